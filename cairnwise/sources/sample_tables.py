@@ -12,6 +12,22 @@ from pyspark.sql import functions as F
 
 FIXED_AS_OF = "2002-01-01"
 
+# The columns of the given tables. Stating them saves one
+# schema-inference job per table and query.
+RAW_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+    " o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double,"
+    " l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string,"
+    " l_shipdate timestamp_ntz",
+    "pages": "page_id bigint, url string, html string",
+}
+
 
 class SampleTables:
     """Lazy accessors, one per canonical table."""
@@ -21,7 +37,10 @@ class SampleTables:
         self.sf_dir = sf_dir
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        reader = self.spark.read
+        if name in RAW_SCHEMAS:
+            reader = reader.schema(RAW_SCHEMAS[name])
+        return reader.parquet(f"{self.sf_dir}/{name}.parquet")
 
     # -- items ---------------------------------------------------------------
     def item_columns(self) -> DataFrame:
