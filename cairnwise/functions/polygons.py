@@ -51,7 +51,10 @@ def centroid(df: DataFrame, rings: str, x: str, y: str) -> DataFrame:
     def middle(axis: str) -> Column:
         return F.col(f"_base.{axis}") + F.try_divide(F.col(f"_total.{axis}"), 3 * F.col("_total.a"))
 
-    return total.withColumns({x: middle("x"), y: middle("y")}).drop("_edges", "_base", "_total")
+    # A generator keeps the optimiser from copying the whole expression into
+    # every null check and join key derived from the result.
+    point = F.inline(F.array(F.struct(middle("x").alias(x), middle("y").alias(y))))
+    return total.select(*df.columns, point)
 
 
 def strictly_inside(x: Column, y: Column, edge_list: Column) -> Column:

@@ -12,6 +12,22 @@ from pyspark.sql import functions as F
 
 FIXED_AS_OF = "2002-01-01"
 
+# Rule templates the derived tasks refer to by position.
+RULE_TEMPLATES = {
+    0: {"kind": "type_in", "codes": ["economy", "small"]},
+    1: {"kind": "and", "nodes": [{"kind": "size_in", "codes": ["M"]}, {"kind": "difficulty_between", "min": 1, "max": 2.5}]},
+    2: {"kind": "country_is", "country_id": 3},
+    3: {"kind": "placed_year", "year": 2010},
+    4: {"kind": "and", "nodes": [{"kind": "placed_before", "date": "2005-01-01"}, {"kind": "terrain_between", "min": 3, "max": 5}]},
+    5: {"kind": "and", "nodes": [{"kind": "placed_after", "date": "2015-01-01"}, {"kind": "attributes", "attributes": [{"id": 1, "is_positive": True}]}]},
+    6: {"kind": "attributes", "attributes": [{"id": 2, "is_positive": True}, {"id": 8, "is_positive": True}]},
+    7: {"kind": "aggregate_sum_diff_plus_terr_at_least", "min_total": 200},
+    8: {"kind": "and", "nodes": [{"kind": "aggregate_sum_altitude_at_least", "min_total": 20000}, {"kind": "type_in", "codes": ["large"]}]},
+    9: {"kind": "aggregate_count_distinct_countries_at_least", "min_total": 15},
+    10: {"kind": "aggregate_dt_matrix_complete", "max_difficulty": 3, "max_terrain": 3},
+    11: {"kind": "or", "nodes": [{"kind": "type_in", "codes": ["promo"]}, {"kind": "not", "node": {"kind": "size_in", "codes": ["L"]}}]},
+}
+
 # The columns of the given tables. Stating them saves one
 # schema-inference job per table and query.
 RAW_SCHEMAS = {
@@ -160,14 +176,15 @@ class SampleTables:
             .select(F.col("o_custkey").alias("user_id"), "challenge_id")
             .distinct()
         )
-        return pairs.selectExpr(
+        return pairs.selectExpr("*", "user_id * 7 + (challenge_id DIV 40) AS seed").selectExpr(
             "user_id * 1000000000 + challenge_id AS uc_id",
             "user_id",
             "challenge_id",
-            "CASE (user_id + challenge_id) % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'accepted'"
+            "seed",
+            "CASE seed % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'accepted'"
             " WHEN 2 THEN 'accepted' ELSE 'dismissed' END AS status",
-            "CASE WHEN (user_id + challenge_id) % 23 = 0 THEN 'completed' END AS computed_status",
-            "CASE WHEN (user_id + challenge_id) % 5 = 0 THEN concat('note ', challenge_id) END AS notes",
+            "CASE WHEN seed % 23 = 0 THEN 'completed' END AS computed_status",
+            "CASE WHEN seed % 6 = 0 THEN concat('note ', challenge_id) END AS notes",
             "date_add(DATE '2001-01-01', CAST((user_id*7 + challenge_id) % 300 AS INT)) AS created_at",
             "date_add(DATE '2001-02-01', CAST((user_id*11 + challenge_id) % 300 AS INT)) AS updated_at",
         )
@@ -177,14 +194,14 @@ class SampleTables:
         min_counts = "element_at(array(3,2,2,1,2,1,1,0,5,0,0,4), rule_id + 1)"
         return (
             self.enrolments()
-            .selectExpr("uc_id", "user_id", "explode(array(0, 1)) AS ord")
+            .selectExpr("uc_id", "user_id", "seed", "explode(array(0, 1)) AS ord")
             .selectExpr(
                 "uc_id * 2 + ord AS task_id",
                 "uc_id",
                 "user_id",
                 "ord",
-                "CASE WHEN uc_id % 3 = 0 THEN NULL ELSE concat('Rule ', ord) END AS title",
-                "CAST((uc_id + 5*ord) % 12 AS INT) AS rule_id",
+                "CASE WHEN seed % 3 = 0 THEN NULL ELSE concat('Rule ', ord) END AS title",
+                "CAST((seed + 5*ord) % 12 AS INT) AS rule_id",
             )
             .selectExpr(
                 "*",
@@ -197,13 +214,13 @@ class SampleTables:
         """Zero to four stored progress snapshots per enrolment."""
         return (
             self.enrolments()
-            .where("uc_id % 5 > 0")
-            .selectExpr("uc_id", "user_id", "explode(sequence(1, CAST(uc_id % 5 AS INT))) AS k")
+            .where("seed % 5 > 0")
+            .selectExpr("uc_id", "user_id", "seed", "explode(sequence(1, CAST(seed % 5 AS INT))) AS k")
             .selectExpr(
                 "uc_id",
                 "user_id",
-                "date_add(DATE '2001-03-01', CAST(30*k + uc_id % 20 AS INT)) AS checked_at",
-                "CAST(least(100, 20*k + uc_id % 25) AS DOUBLE) AS percent",
+                "date_add(DATE '2001-03-01', CAST(30*k + seed % 20 AS INT)) AS checked_at",
+                "CAST(least(100, 20*k + seed % 25) AS DOUBLE) AS percent",
                 "CAST(least(2, k - 1) AS INT) AS tasks_done",
                 "2 AS tasks_total",
             )

@@ -70,30 +70,30 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "enrolments": (
         (),
-        """SELECT user_id * 1000000000 + challenge_id AS uc_id, user_id, challenge_id,
- CASE (user_id + challenge_id) % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'accepted' WHEN 2 THEN 'accepted' ELSE 'dismissed' END AS status,
- CASE WHEN (user_id + challenge_id) % 23 = 0 THEN 'completed' END AS computed_status,
- CASE WHEN (user_id + challenge_id) % 5 = 0 THEN concat('note ', challenge_id) END AS notes,
+        """SELECT user_id * 1000000000 + challenge_id AS uc_id, user_id, challenge_id, seed,
+ CASE seed % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'accepted' WHEN 2 THEN 'accepted' ELSE 'dismissed' END AS status,
+ CASE WHEN seed % 23 = 0 THEN 'completed' END AS computed_status,
+ CASE WHEN seed % 6 = 0 THEN concat('note ', challenge_id) END AS notes,
  CAST(DATE '2001-01-01' + CAST((user_id*7 + challenge_id) % 300 AS INT) AS DATE) AS created_at,
  CAST(DATE '2001-02-01' + CAST((user_id*11 + challenge_id) % 300 AS INT) AS DATE) AS updated_at
- FROM (SELECT DISTINCT o_custkey AS user_id, l_partkey - l_partkey % 40 + 3 AS challenge_id
+ FROM (SELECT DISTINCT o_custkey AS user_id, l_partkey - l_partkey % 40 + 3 AS challenge_id, o_custkey * 7 + l_partkey // 40 AS seed
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
   WHERE l_partkey % 40 = 4 OR (l_partkey % 40 = 3 AND l_orderkey % 8 = 0))""",
     ),
     "tasks": (
         ("enrolments",),
-        """SELECT *, CASE WHEN task_id % 17 = 0 THEN 'done' ELSE 'todo' END AS status FROM (
+        """SELECT task_id, uc_id, user_id, ord, title, rule_id, min_count, CASE WHEN task_id % 17 = 0 THEN 'done' ELSE 'todo' END AS status FROM (
  SELECT uc_id * 2 + ord AS task_id, uc_id, user_id, CAST(ord AS INT) AS ord,
- CASE WHEN uc_id % 3 = 0 THEN NULL ELSE concat('Rule ', ord) END AS title,
- CAST((uc_id + 5*ord) % 12 AS INT) AS rule_id,
- CAST(([3,2,2,1,2,1,1,0,5,0,0,4])[CAST((uc_id + 5*ord) % 12 AS INT) + 1] AS INT) AS min_count
+ CASE WHEN seed % 3 = 0 THEN NULL ELSE concat('Rule ', ord) END AS title,
+ CAST((seed + 5*ord) % 12 AS INT) AS rule_id,
+ CAST(([3,2,2,1,2,1,1,0,5,0,0,4])[CAST((seed + 5*ord) % 12 AS INT) + 1] AS INT) AS min_count
  FROM enrolments, (SELECT unnest([0,1]) AS ord))""",
     ),
     "snapshots": (
         ("enrolments",),
-        """SELECT uc_id, user_id, CAST(DATE '2001-03-01' + CAST(30*k + uc_id % 20 AS INT) AS DATE) AS checked_at,
- CAST(least(100, 20*k + uc_id % 25) AS DOUBLE) AS percent, CAST(least(2, k - 1) AS INT) AS tasks_done, 2 AS tasks_total
- FROM (SELECT uc_id, user_id, unnest(range(1, CAST(uc_id % 5 AS INT) + 1)) AS k FROM enrolments WHERE uc_id % 5 > 0)""",
+        """SELECT uc_id, user_id, CAST(DATE '2001-03-01' + CAST(30*k + seed % 20 AS INT) AS DATE) AS checked_at,
+ CAST(least(100, 20*k + seed % 25) AS DOUBLE) AS percent, CAST(least(2, k - 1) AS INT) AS tasks_done, 2 AS tasks_total
+ FROM (SELECT uc_id, user_id, seed, unnest(range(1, CAST(seed % 5 AS INT) + 1)) AS k FROM enrolments WHERE seed % 5 > 0)""",
     ),
     "zones": (
         (),
