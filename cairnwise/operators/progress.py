@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from cairnwise.functions import grids
 from cairnwise.operators.rules import RuleSet, tag_items
 
 TAG_COLUMNS = ["difficulty", "terrain", "elevation", "country_id"]
@@ -36,13 +37,17 @@ def rule_hits(finds: DataFrame, items: DataFrame, user_rules: DataFrame, rules:
 
 
 def daily_totals(hits: DataFrame) -> DataFrame:
-    """Per (user, signature, day): matches, summed scores, and the running count."""
+    """Per (user, signature, day): matches, summed scores, grid cells as bits,
+    and the running count."""
     zero = F.lit(0)
+    low, high = grids.cell_bits(grids.cell_index(F.col("difficulty"), F.col("terrain")))
     daily = hits.groupBy("user_id", "sig", "found_date").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.coalesce("difficulty", zero)).alias("difficulty"),
         F.sum(F.coalesce("terrain", zero)).alias("terrain"),
         F.sum(F.coalesce("elevation", zero)).alias("altitude"),
+        F.bit_or(low).alias("cells_low"),
+        F.bit_or(high).alias("cells_high"),
     )
     so_far = W.partitionBy("user_id", "sig").orderBy("found_date").rowsBetween(W.unboundedPreceding, 0)
     return daily.withColumn("running", F.sum("n").over(so_far))
@@ -56,20 +61,6 @@ def distinct_countries(hits: DataFrame) -> DataFrame:
     )
 
 
-def found_cells(hits: DataFrame) -> DataFrame:
-    """(user_id, sig, d, t): grid cells found, read to one decimal."""
-    return (
-        hits.select("user_id", "sig", F.round("difficulty", 1).alias("d"), F.round("terrain", 1).alias("t"))
-        .where((F.col("d") * 2) % 1 == 0)
-        .where((F.col("t") * 2) % 1 == 0)
-        .distinct()
-    )
-
-
-def _within_bounds() -> Column:
-    return F.col("d").between(1.0, F.col("max_d")) & F.col("t").between(1.0, F.col("max_t"))
-
-
 def with_rules(tasks: DataFrame, rules: RuleSet, and_only: bool = True) -> DataFrame:
     """Tasks with their rule's signature and aggregate; ``supported`` is false
     for rules with or/not when ``and_only`` is asked for, and for unknown rules."""
@@ -95,6 +86,10 @@ def task_measures(tasks: DataFrame, finds: DataFrame, items: DataFrame, rules: R
             F.sum("difficulty").alias("sum_difficulty"),
             F.sum("terrain").alias("sum_terrain"),
             F.sum("altitude").alias("sum_altitude"),
+            F.bit_or("cells_low").alias("cells_low"),
+            F.bit_or("cells_high").alias("cells_high"),
+            F.first("max_d").alias("max_d"),
+            F.first("max_t").alias("max_t"),
             F.min("found_date").alias("first_date"),
             F.min(F.when((F.col("min_count") > 0) & (F.col("running") >= F.col("min_count")), F.col("found_date"))).alias("nth_date"),
         )
@@ -107,17 +102,9 @@ def task_measures(tasks: DataFrame, finds: DataFrame, items: DataFrame, rules: R
         measures = measures.join(counted, "task_id", "left")
     else:
         measures = measures.withColumn("countries", F.lit(None).cast("long"))
-    if "dt_matrix" in kinds:
-        asking = keyed.where("agg_kind = 'dt_matrix'")
-        sub = rule_hits(finds, items, asking.select("user_id", "sig").distinct(), rules)
-        counted = (
-            asking.join(found_cells(sub), ["user_id", "sig"]).where(_within_bounds())
-            .groupBy("task_id").agg(F.count(F.lit(1)).alias("cells"))
-        )
-        measures = measures.join(counted, "task_id", "left")
-    else:
-        measures = measures.withColumn("cells", F.lit(None).cast("long"))
-    return measures
+    covered = grids.cells_within(F.col("cells_low"), F.col("cells_high"), F.col("max_d"), F.col("max_t"))
+    cells = F.when(F.col("max_d").isNotNull(), F.size(covered).cast("long"))
+    return measures.withColumn("cells", cells).drop("cells_low", "cells_high", "max_d", "max_t")
 
 
 def aggregate_total(kind: Column) -> Column:

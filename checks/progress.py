@@ -239,7 +239,7 @@ CHECKS.update({
         _q(task_aggregate),
         WITH_TASKS
         + """SELECT task_id, sd AS sum_difficulty, st AS sum_terrain, sd + st AS sum_diff_plus_terr, CAST(sa AS BIGINT) AS sum_altitude,
- CASE WHEN rule_id = 9 THEN countries END AS countries, CASE WHEN rule_id = 10 AND cells > 0 THEN cells END AS cells FROM measures JOIN tasks USING (task_id)""",
+ CASE WHEN rule_id = 9 THEN countries END AS countries, CASE WHEN rule_id = 10 THEN cells END AS cells FROM measures JOIN tasks USING (task_id)""",
     ),
     "nth_find_date": (_q(nth_find_date), WITH_TASKS + "SELECT task_id, first_date, nth_date FROM measures"),
     "task_progress": (_q(task_progress), WITH_TASKS + "SELECT * FROM progress"),
