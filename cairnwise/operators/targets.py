@@ -17,6 +17,7 @@ from cairnwise.functions import geo, grids
 from cairnwise.operators.progress import rule_hits, with_rules
 from cairnwise.operators.rules import RuleSet, predicate
 from cairnwise.operators.search import grid_candidates
+from cairnwise.session import materialise
 
 # Limits and score weights.
 LIMIT_PER_TASK = 200
@@ -154,8 +155,14 @@ def _salted(df: DataFrame, spread: bool) -> DataFrame:
 def candidates_by_rank(
     tasks: DataFrame, users: DataFrame, finds: DataFrame, items: DataFrame, rules: RuleSet, limit: int = LIMIT_PER_TASK
 ) -> DataFrame:
-    """(task, item) with the first ``limit`` items per task by id."""
-    keyed = task_keys(tasks, finds, items, rules)
+    """(task, item) with the first ``limit`` items per task by id.
+
+    The open tasks, their list keys and their needs are small next to finds
+    and items, and are read several times below; each is written once to the
+    shared folder, so no later step runs the progress evaluation again.
+    """
+    tasks = materialise(tasks, "open-tasks")
+    keyed = materialise(task_keys(tasks, finds, items, rules), "task-keys")
     item_keys = eligible(items).select("item_id", posting_keys(rules).alias("keys")).where(F.size("keys") > 0)
     active = tasks.select("user_id").distinct()
     excluded = excluded_items(users, finds, items).join(active, "user_id", "left_semi")
@@ -165,10 +172,11 @@ def candidates_by_rank(
         .select("user_id", F.explode(F.array_intersect("keys", "user_keys")).alias("key"))
         .groupBy("user_id", "key").agg(F.count(F.lit(1)).alias("skipped"))
     )
-    needs = (
+    needs = materialise(
         keyed.select("task_id", "user_id", "key")
         .join(skipped, ["user_id", "key"], "left")
-        .withColumn("need", F.lit(limit) + F.coalesce("skipped", F.lit(0)))
+        .withColumn("need", F.lit(limit) + F.coalesce("skipped", F.lit(0))),
+        "task-needs",
     )
     deepest = needs.groupBy("key").agg(F.max("need").alias("deepest"))
     postings = (
@@ -200,6 +208,7 @@ def candidates_by_distance(
     key and grid cell, so only rule-matching items near the centre are met;
     the rank filter runs before the shuffle as well.
     """
+    tasks = materialise(tasks, "open-tasks")
     keyed = task_keys(tasks, finds, items, rules).select("task_id", "user_id", "key")
     asks = keyed.join(centres.select("user_id", "centre_lat", "centre_lon"), "user_id").select(
         "task_id", "user_id", "key", "centre_lat", "centre_lon"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cairnwise.functions import grids
 from cairnwise.operators import progress as p
 from cairnwise.operators import targets as g
+from cairnwise.session import materialise
 from cairnwise.sources.sample_tables import SampleTables
 from checks.progress import RULES, TASK_CTES
 from checks.search import haversine_sql
@@ -16,7 +17,24 @@ SMALL = 20
 
 
 def _q(fn):
-    return lambda spark, sf: fn(SampleTables(spark, sf))
+    return lambda spark, sf: fn(StoredTables(spark, sf))
+
+
+class StoredTables(SampleTables):
+    """Within one query finds and scored targets are written once, as the
+    stored tables they stand for."""
+
+    def finds(self):
+        return self._once("finds", lambda: super(StoredTables, self).finds())
+
+    def scored(self):
+        return self._once("scored", lambda: _scored(self))
+
+    def _once(self, name, build):
+        kept = self.__dict__.setdefault("_stored", {})
+        if name not in kept:
+            kept[name] = materialise(build(), name)
+        return kept[name]
 
 
 def _open(t):
@@ -42,7 +60,7 @@ def _scored(t, limit=SMALL, hard=g.HARD_LIMIT):
 def _existing(t):
     """An older target table: a third of today's rows, some with another score,
     and some rows that no longer qualify."""
-    rows = _scored(t)
+    rows = t.scored()
     older = rows.where("(uc_id + item_id) % 3 = 0").withColumn(
         "score", F.expr("CASE WHEN item_id % 2 = 0 THEN score - 0.01 ELSE score END")
     )
@@ -88,12 +106,12 @@ def evaluate_targets_geo(t):
 
 def evaluate_all(t):
     """Upsert of the small-limit targets into an older table, counted per user."""
-    return g.evaluation_counts(g.merge_targets(_existing(t), _scored(t)))
+    return g.evaluation_counts(g.merge_targets(_existing(t), t.scored()))
 
 
 def evaluate_all_forced(t):
     accepted = t.enrolments().where("status = 'accepted'")
-    return g.evaluation_counts(g.merge_targets(_existing(t), _scored(t), evaluated=accepted))
+    return g.evaluation_counts(g.merge_targets(_existing(t), t.scored(), evaluated=accepted))
 
 
 def needs_evaluation(t):
@@ -106,13 +124,13 @@ def clear_targets(t):
 
 
 def list_targets(t):
-    rows = g.list_targets(_scored(t), sort="-score,code", page=2, size=15, enrolments=t.enrolments(), status="accepted")
+    rows = g.list_targets(t.scored(), sort="-score,code", page=2, size=15, enrolments=t.enrolments(), status="accepted")
     return rows.select("user_id", "uc_id", "item_id", F.round("score", 6).alias("score"), "position", "nb_items", "nb_pages")
 
 
 def targets_nearby(t):
     places = t.users().select("user_id", F.col("home_lat").alias("place_lat"), F.col("home_lon").alias("place_lon"))
-    near = g.targets_nearby(_scored(t), places, 120.0)
+    near = g.targets_nearby(t.scored(), places, 120.0)
     rows = g.list_targets(near, sort="distance", page=1, size=10)
     return rows.select("user_id", "uc_id", "item_id", F.round("distance_m", 1).alias("distance_m"), "position", "nb_items", "nb_pages")
 
