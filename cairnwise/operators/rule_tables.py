@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnwise.operators.rules import AGGREGATES, LOGICAL
+from cairnwise.session import materialise
 
 _NODE = (
     "kind string, nodes array<string>, node string,"
@@ -130,9 +131,18 @@ def canonical_leaves(rules: DataFrame, key: str, lookup: DataFrame, expression:
 
     Adds ``ids`` (sorted, with +/- for attributes), ``unknown`` (labels or ids
     nothing answers to) and ``params`` (year, date, range or target). ``lookup``
-    is ``referentials.alias_table``.
+    is ``referentials.alias_table``. Each distinct text is worked on once,
+    however many rules share it.
     """
-    base = leaves(rules, key, expression).withColumns({"refs": _references(), "given": _given_ids()})
+    shared = rules.where(F.col(expression).isNotNull()).select(key, F.col(expression).alias("rule_text"))
+    texts = shared.select("rule_text").distinct().withColumn("expression", F.col("rule_text"))
+    return shared.join(_canonical_texts(texts, "rule_text", lookup), "rule_text").drop("rule_text")
+
+
+def _canonical_texts(rules: DataFrame, key: str, lookup: DataFrame) -> DataFrame:
+    base = materialise(
+        leaves(rules, key).withColumns({"refs": _references(), "given": _given_ids()}), "rule-leaves"
+    )
     asked = base.select(key, "path", F.inline("refs")).withColumn("lk", F.lower("value"))
     table = lookup.select(
         F.col("kind").alias("ref"), F.col("field").alias("lf"), F.col("key").alias("lk"), F.col("scope").alias("ls"),
@@ -198,7 +208,8 @@ def validate(
     ``requests`` lists the enrolments that were to receive tasks; one without
     any is an error too.
     """
-    canonical = canonical_leaves(payload, "task_key", lookup)
+    columns = ["task_key", "parent", "and_path", "top", "kind", "ids", "unknown", F.col("n.min").alias("low"), F.col("n.max").alias("high")]
+    canonical = materialise(canonical_leaves(payload, "task_key", lookup).select(*columns), "canonical-rules")
     owner = payload.select("task_key", "uc_id")
 
     def rows(df: DataFrame, error: Column, detail: Column) -> DataFrame:
@@ -214,7 +225,7 @@ def validate(
         rows(canonical.where(is_agg).groupBy("task_key").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), F.lit("several_aggregates"), F.col("k")),
         rows(unknown, F.concat(F.lit("unknown_in_"), F.col("kind")), F.col("unknown")),
         rows(states, F.lit("state_without_country"), F.col("ids")),
-        rows(canonical.where(F.col("kind").isin("difficulty_between", "terrain_between") & (F.col("n.min") > F.col("n.max"))), F.lit("min_above_max"), F.col("kind")),
+        rows(canonical.where(F.col("kind").isin("difficulty_between", "terrain_between") & (F.col("low") > F.col("high"))), F.lit("min_above_max"), F.col("kind")),
         rows(canonical.where((F.col("kind") == "type_in") & (F.col("ids") == "")), F.lit("type_in_matches_everything"), F.lit(None)),
         rows(payload.where("expression IS NULL"), F.lit("missing_expression"), F.lit(None)),
         rows(payload.where(F.col("min_count").isNotNull() & ~min_count.rlike(r"^\+?\d+$")), F.lit("bad_min_count"), F.col("min_count")),
