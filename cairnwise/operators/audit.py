@@ -41,8 +41,12 @@ def _dangling(source: DataFrame, column: str, valid: DataFrame) -> DataFrame:
         refs = source.select("id", F.explode(array).alias("a")).select("id", F.col(f"a.{field}").alias("ref"))
     else:
         refs = source.select("id", F.col(column).alias("ref"))
-    missing = refs.where("ref IS NOT NULL").join(valid.select(F.col("id").alias("ref")), "ref", "left_anti")
-    return missing.select("id").distinct()
+    # Distinct references meet the parents, not the rows: one popular parent is
+    # one key here, and a clean table ends with an empty, broadcastable set.
+    missing = refs.where("ref IS NOT NULL").select("ref").distinct().join(
+        valid.select(F.col("id").alias("ref")), "ref", "left_anti"
+    )
+    return refs.join(missing, "ref", "left_semi").select("id").distinct()
 
 
 def orphans(tables: dict[str, DataFrame]) -> DataFrame:

@@ -139,67 +139,70 @@ def lookup(keys: DataFrame, items: DataFrame, types: DataFrame, sizes: DataFrame
     return compact(wanted, types, sizes)
 
 
-def grid_candidates(
-    centres: DataFrame, items: DataFrame, radius_km: float, split: int = 8, keys: list[str] | None = None
-) -> DataFrame:
-    """(centre, item, distance_m) for every item within reach of a centre.
+def _cell(value: Column, width: float) -> Column:
+    return F.floor(value / width).cast("int")
+
+
+def cell_width(radius_km: float, split: int) -> float:
+    """Cells are a fraction of the radius wide, in degrees of latitude."""
+    return radius_km / geo.KM_PER_DEGREE / split
+
 
-    ``centres`` holds distinct ``centre_id, centre_lat, centre_lon``. Items are
-    assigned to latitude/longitude cells an eighth of the radius wide, each
-    centre lists the cells its circle can touch, and both meet in an equi join
-    on the cell (and on ``keys`` such as a rule id). Cells that lie wholly
-    outside the circle are dropped before the join, so the rows compared stay
-    close to the rows kept. ``radius_km`` above the pole distance is handled by
-    listing every longitude cell.
+def with_cells(items: DataFrame, width: float) -> DataFrame:
+    placed = items.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    return placed.withColumns({"cy": _cell(F.col("lat"), width), "cx": _cell(F.col("lon"), width)})
+
+
+def grid_probes(centres: DataFrame, radius_km: float, split: int = 8) -> DataFrame:
+    """``centres`` once per grid cell (``cy, cx``) its circle can touch, with
+    ``nearest_m`` and ``farthest_m``, bounds for the distance of anything in the cell.
+
+    ``centres`` has ``centre_lat, centre_lon``. Near a pole every longitude is
+    listed; across the date line cells are compared as the longitudes they
+    stand for.
     """
-    keys = keys or []
-    width = radius_km / geo.KM_PER_DEGREE / split
-    wide = int(360 / width) + 1
+    width = cell_width(radius_km, split)
     reach = radius_km / geo.KM_PER_DEGREE * (1 + 1e-9)
     ratio = F.sin(F.radians(F.lit(reach))) / F.greatest(F.cos(F.radians("centre_lat")), F.lit(1e-12))
     polar = (F.abs("centre_lat") + reach >= 90) | (ratio >= 1)
     half_lon = F.when(polar, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) * (1 + 1e-9))
-
-    def cell(value: Column) -> Column:
-        return F.floor(value / width).cast("int")
-
-    lat_cells = F.sequence(cell(F.col("centre_lat") - reach), cell(F.col("centre_lat") + reach))
-    low, high = cell(F.col("centre_lon") - F.col("half_lon")), cell(F.col("centre_lon") + F.col("half_lon"))
-    lon_cells = F.sequence(low, F.least(high, low + F.lit(wide)))
-    # nearest point of the cell to the centre, per axis
-    near_lat = F.greatest(F.lit(0.0), F.abs((F.col("cy") + 0.5) * width - F.col("centre_lat")) - width / 2)
-    probes = (
+    lat_cells = F.sequence(_cell(F.col("centre_lat") - reach, width), _cell(F.col("centre_lat") + reach, width))
+    low = _cell(F.col("centre_lon") - F.col("half_lon"), width)
+    high = _cell(F.col("centre_lon") + F.col("half_lon"), width)
+    lon_cells = F.sequence(low, F.least(high, low + F.lit(int(360 / width) + 1)))
+    wraps = F.abs(F.col("centre_lon")) + 2 * width + F.col("half_lon") > 180
+    spread = (
         centres.withColumn("half_lon", half_lon)
         .withColumn("cy", F.explode(lat_cells))
-        .where(near_lat <= reach)
-        .withColumn("cx_raw", F.explode(lon_cells))
-    )
-    # A cell can only matter if its nearest corner or edge is within reach.
-    near_lon = F.greatest(F.lit(0.0), F.abs((F.col("cx_raw") + 0.5) * width - F.col("centre_lon")) - width / 2)
-    top = F.greatest(F.abs(F.col("cy") * width), F.abs((F.col("cy") + 1) * width))
-    shrink = F.cos(F.radians(F.least(F.greatest(top, F.abs("centre_lat")), F.lit(90.0))))
-    flat = F.pow(near_lat, F.lit(2)) + F.pow(near_lon * shrink, F.lit(2))
-    # Chords are shorter than arcs; the 5% slack covers the curvature at <= 100 km.
-    close_enough = (flat <= (reach * 1.05) ** 2) | (near_lon > 60) | (F.abs("centre_lat") > 80)
-    # The date line: longitude cells are compared as the longitude they stand for.
-    lon_of_cell = F.pmod((F.col("cx_raw") + 0.5) * width + 180, F.lit(360.0)) - 180
-    probes = probes.where(close_enough).select(
-        *centres.columns, "cy", cell(lon_of_cell).alias("cx")
-    ).distinct()
-    # Wrapping shifts cells by a fraction of a width; neighbours are added there only.
-    wrap = F.abs(F.col("centre_lon")) + 2 * width + F.col("half_lon") > 180
-    probes = (
-        probes.withColumn("half_lon", half_lon)
-        .withColumn("cx", F.explode(F.when(wrap, F.array(F.col("cx") - 1, F.col("cx"), F.col("cx") + 1)).otherwise(F.array("cx"))))
-        .drop("half_lon")
+        .withColumn("raw_cx", F.explode(lon_cells))
+        .withColumn("own_cx", _cell(F.pmod((F.col("raw_cx") + 0.5) * width + 180, F.lit(360.0)) - 180, width))
+        # Wrapping shifts cells by part of a width, so neighbours join in there.
+        .withColumn("cx", F.explode(F.when(wraps, F.sequence(F.col("own_cx") - 1, F.col("own_cx") + 1)).otherwise(F.array("own_cx"))))
+        .select(*centres.columns, "cy", "cx")
         .distinct()
     )
-    placed = items.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).withColumns(
-        {"cy": cell(F.col("lat")), "cx": cell(F.col("lon"))}
+    middle = geo.haversine_km(F.col("centre_lat"), F.col("centre_lon"), (F.col("cy") + 0.5) * width, (F.col("cx") + 0.5) * width) * 1000
+    half_diagonal = width * geo.KM_PER_DEGREE * 1000 * 0.7072
+    return (
+        spread.withColumn("middle_m", middle)
+        .withColumns({"nearest_m": F.greatest(F.col("middle_m") - half_diagonal, F.lit(0.0)), "farthest_m": F.col("middle_m") + half_diagonal})
+        .drop("middle_m")
+        .where(F.col("nearest_m") <= radius_km * 1000)
     )
+
+
+def grid_candidates(centres: DataFrame, items: DataFrame, radius_km: float, split: int = 8) -> DataFrame:
+    """(centre, item, distance_m) for every item within reach of a centre.
+
+    ``centres`` holds distinct places. Centres and items meet in an equi join
+    on the grid cell; cells wholly outside the circle were dropped before, so
+    the rows compared stay close to the rows kept.
+    """
+    width = cell_width(radius_km, split)
+    probes = grid_probes(centres, radius_km, split).drop("nearest_m", "farthest_m")
     distance = geo.haversine_km(F.col("centre_lat"), F.col("centre_lon"), F.col("lat"), F.col("lon")) * 1000
     return (
-        placed.join(probes, [*keys, "cy", "cx"])
+        with_cells(items, width).join(probes, ["cy", "cx"])
         .withColumn("distance_m", distance)
         .where(F.col("distance_m") <= radius_km * 1000)
         .drop("cy", "cx")

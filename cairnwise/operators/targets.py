@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from cairnwise.functions import geo, grids
 from cairnwise.operators.progress import rule_hits, with_rules
 from cairnwise.operators.rules import RuleSet, predicate
-from cairnwise.operators.search import grid_candidates
+from cairnwise.operators.search import cell_width, grid_probes, with_cells
 from cairnwise.session import materialise
 
 # Limits and score weights.
@@ -152,47 +152,65 @@ def _salted(df: DataFrame, spread: bool) -> DataFrame:
     return df.withColumn("salt", F.when(head, F.pmod(F.hash("task_id"), F.lit(SALTS))).otherwise(F.lit(0)))
 
 
-def candidates_by_rank(
-    tasks: DataFrame, users: DataFrame, finds: DataFrame, items: DataFrame, rules: RuleSet, limit: int = LIMIT_PER_TASK
+def task_needs(
+    keyed: DataFrame, excluded: DataFrame, item_keys: DataFrame, limit: int
 ) -> DataFrame:
-    """(task, item) with the first ``limit`` items per task by id.
-
-    The open tasks, their list keys and their needs are small next to finds
-    and items, and are read several times below; each is written once to the
-    shared folder, so no later step runs the progress evaluation again.
-    """
-    tasks = materialise(tasks, "open-tasks")
-    keyed = materialise(task_keys(tasks, finds, items, rules), "task-keys")
-    item_keys = eligible(items).select("item_id", posting_keys(rules).alias("keys")).where(F.size("keys") > 0)
-    active = tasks.select("user_id").distinct()
-    excluded = excluded_items(users, finds, items).join(active, "user_id", "left_semi")
+    """(task_id, user_id, key, need): how far down a list a task can have to
+    read, namely ``limit`` plus what its user excludes from that list."""
     user_keys = keyed.groupBy("user_id").agg(F.collect_set("key").alias("user_keys"))
     skipped = (
-        excluded.join(user_keys, "user_id").join(item_keys, "item_id")
+        excluded.join(user_keys, "user_id").join(item_keys.select("item_id", "keys"), "item_id")
         .select("user_id", F.explode(F.array_intersect("keys", "user_keys")).alias("key"))
         .groupBy("user_id", "key").agg(F.count(F.lit(1)).alias("skipped"))
     )
-    needs = materialise(
+    return (
         keyed.select("task_id", "user_id", "key")
         .join(skipped, ["user_id", "key"], "left")
-        .withColumn("need", F.lit(limit) + F.coalesce("skipped", F.lit(0))),
-        "task-needs",
+        .withColumn("need", F.lit(limit) + F.coalesce("skipped", F.lit(0)))
     )
+
+
+def draw(needs: DataFrame, postings: DataFrame, list_key: str) -> DataFrame:
+    """Each task with the first ``need`` entries of its list, joined by block."""
+    blocked = postings.withColumn("block", F.floor((F.col("rank") - 1) / F.lit(BLOCK)).cast("int"))
+    last_block = F.floor((F.col("need") - 1) / F.lit(BLOCK)).cast("int")
+    asks = needs.withColumn("block", F.explode(F.sequence(F.lit(0), last_block)))
+    return (
+        _salted(asks, spread=False).join(_salted(blocked, spread=True), [list_key, "block", "salt"])
+        .where(F.col("rank") <= F.col("need"))
+        .drop("block", "salt", "need", "skipped")
+    )
+
+
+def _inputs(tasks, users, finds, items, rules):
+    """The open tasks, their list keys, the excluded pairs and the items' keys.
+
+    Tasks and keys are small next to finds and items and are read several
+    times below; each is written once to the shared folder, so no later step
+    runs the progress evaluation again.
+    """
+    tasks = materialise(tasks, "open-tasks")
+    keyed = materialise(task_keys(tasks, finds, items, rules), "task-keys")
+    item_keys = eligible(items).select("item_id", "lat", "lon", posting_keys(rules).alias("keys")).where(F.size("keys") > 0)
+    active = tasks.select("user_id").distinct()
+    excluded = excluded_items(users, finds, items).join(active, "user_id", "left_semi")
+    return tasks, keyed, excluded, item_keys
+
+
+def candidates_by_rank(
+    tasks: DataFrame, users: DataFrame, finds: DataFrame, items: DataFrame, rules: RuleSet, limit: int = LIMIT_PER_TASK
+) -> DataFrame:
+    """(task, item) with the first ``limit`` items per task by id."""
+    tasks, keyed, excluded, item_keys = _inputs(tasks, users, finds, items, rules)
+    needs = materialise(task_needs(keyed, excluded, item_keys, limit), "task-needs")
     deepest = needs.groupBy("key").agg(F.max("need").alias("deepest"))
     postings = (
         ranked_postings(item_keys.select("item_id", F.explode("keys").alias("key")), items)
         .join(deepest, "key")
         .where(F.col("rank") <= F.col("deepest"))
-        .select("key", "item_id", "rank", F.floor((F.col("rank") - 1) / F.lit(BLOCK)).cast("int").alias("block"))
-    )
-    last_block = F.floor((F.col("need") - 1) / F.lit(BLOCK)).cast("int")
-    asks = needs.withColumn("block", F.explode(F.sequence(F.lit(0), last_block)))
-    shown = (
-        _salted(asks, spread=False).join(_salted(postings, spread=True), ["key", "block", "salt"])
-        .where(F.col("rank") <= F.col("need"))
-        .select("task_id", "user_id", "item_id")
-        .join(excluded, ["user_id", "item_id"], "left_anti")
+        .drop("deepest")
     )
+    shown = draw(needs, postings, "key").join(excluded, ["user_id", "item_id"], "left_anti")
     first = W.partitionBy("task_id").orderBy("item_id")
     kept = shown.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= limit)
     return tasks.join(kept.select("task_id", "item_id"), "task_id").withColumn("distance_m", F.lit(None).cast("double"))
@@ -200,24 +218,46 @@ def candidates_by_rank(
 
 def candidates_by_distance(
     tasks: DataFrame, centres: DataFrame, users: DataFrame, finds: DataFrame, items: DataFrame, rules: RuleSet,
-    radius_km: float, limit: int = LIMIT_PER_TASK,
+    radius_km: float, limit: int = LIMIT_PER_TASK, split: int = 16,
 ) -> DataFrame:
     """(task, item) with the nearest ``limit`` items per task inside a radius.
 
-    ``centres`` holds (user_id, centre_lat, centre_lon). The join is on list
-    key and grid cell, so only rule-matching items near the centre are met;
-    the rank filter runs before the shuffle as well.
+    ``centres`` holds (user_id, centre_lat, centre_lon). Lists are made per
+    distinct place and list key, not per task. Counting items per grid cell
+    first tells how far out a list must reach to hold all its tasks can need;
+    only cells up to there are joined with items. Tasks then read their list
+    by rank as in ``candidates_by_rank``.
     """
-    tasks = materialise(tasks, "open-tasks")
-    keyed = task_keys(tasks, finds, items, rules).select("task_id", "user_id", "key")
-    asks = keyed.join(centres.select("user_id", "centre_lat", "centre_lon"), "user_id").select(
-        "task_id", "user_id", "key", "centre_lat", "centre_lon"
+    tasks, keyed, excluded, item_keys = _inputs(tasks, users, finds, items, rules)
+    places = centres.select("user_id", "centre_lat", "centre_lon", F.concat_ws(":", "centre_lat", "centre_lon").alias("centre"))
+    needs = materialise(
+        task_needs(keyed, excluded, item_keys, limit).join(places, "user_id")
+        .withColumn("list", F.concat_ws("@", "key", "centre")),
+        "task-needs",
     )
-    listed = eligible(items).select("item_id", "lat", "lon", F.explode(posting_keys(rules)).alias("key"))
-    near = grid_candidates(asks, listed, radius_km, keys=["key"]).select("task_id", "user_id", "item_id", "distance_m")
-    active = tasks.select("user_id").distinct()
-    excluded = excluded_items(users, finds, items).join(active, "user_id", "left_semi")
-    shown = near.join(excluded, ["user_id", "item_id"], "left_anti")
+    lists = needs.groupBy("list", "key", "centre_lat", "centre_lon").agg(F.max("need").alias("deepest"))
+    width = cell_width(radius_km, split)
+    listed = with_cells(item_keys.select("item_id", "lat", "lon", F.explode("keys").alias("key")), width)
+    counts = listed.groupBy("key", "cy", "cx").agg(F.count(F.lit(1)).alias("n"))
+    outward = W.partitionBy("list").orderBy("farthest_m", "cy", "cx").rowsBetween(W.unboundedPreceding, 0)
+    probes = (
+        grid_probes(lists, radius_km, split).join(counts, ["key", "cy", "cx"])
+        .withColumn("held", F.sum("n").over(outward))
+        .withColumn("enough_m", F.min(F.when(F.col("held") >= F.col("deepest"), F.col("farthest_m"))).over(W.partitionBy("list")))
+        .where(F.col("enough_m").isNull() | (F.col("nearest_m") <= F.col("enough_m")))
+        .select("list", "key", "cy", "cx", "centre_lat", "centre_lon", "deepest")
+    )
+    distance = geo.haversine_km(F.col("centre_lat"), F.col("centre_lon"), F.col("lat"), F.col("lon")) * 1000
+    by_distance = W.partitionBy("list").orderBy("distance_m", "item_id")
+    postings = (
+        listed.join(probes, ["key", "cy", "cx"])
+        .withColumn("distance_m", distance)
+        .where(F.col("distance_m") <= radius_km * 1000)
+        .withColumn("rank", F.row_number().over(by_distance).cast("long"))
+        .where(F.col("rank") <= F.col("deepest"))
+        .select("list", "item_id", "distance_m", "rank")
+    )
+    shown = draw(needs.select("task_id", "user_id", "list", "need"), postings, "list").join(excluded, ["user_id", "item_id"], "left_anti")
     first = W.partitionBy("task_id").orderBy("distance_m", "item_id")
     kept = shown.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= limit)
     return tasks.join(kept.select("task_id", "item_id", "distance_m"), "task_id")

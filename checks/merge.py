@@ -90,16 +90,17 @@ def count_existing_finds(t):
 
 
 def texts(t):
-    """One text per user listing codes of two thirds of the finds, some lower-cased,
-    plus codes of items not found and codes no item has."""
+    """Texts of a user (one per five thousand item numbers) listing codes of two
+    thirds of the finds, some lower-cased, plus codes of items not found and codes
+    no item has."""
     words = t.finds().where("item_id % 3 > 0").selectExpr(
-        "user_id",
+        "user_id", "item_id DIV 5000 AS part",
         "CASE item_id % 4 WHEN 0 THEN lower(concat('GC', lpad(CAST(item_id AS STRING), 6, '0')))"
         " WHEN 1 THEN concat('GC', lpad(CAST(item_id AS STRING), 6, '0'), ', gc', lpad(CAST(item_id + 1 AS STRING), 6, '0'), '.')"
         " WHEN 2 THEN concat('xGC', item_id, ' (GCQ', item_id, ')')"
         " ELSE concat('GC', lpad(CAST(item_id AS STRING), 6, '0'), ' GC', lpad(CAST(item_id AS STRING), 6, '0')) END AS w",
     )
-    return words.groupBy("user_id").agg(F.concat_ws(" ", F.sort_array(F.collect_list("w"))).alias("text"))
+    return words.groupBy("user_id", "part").agg(F.concat_ws(" ", F.sort_array(F.collect_list("w"))).alias("text"))
 
 
 CODES = """SELECT DISTINCT user_id, upper(c) AS code FROM (SELECT user_id, unnest(CASE item_id % 4
@@ -110,7 +111,7 @@ CODES = """SELECT DISTINCT user_id, upper(c) AS code FROM (SELECT user_id, unnes
 
 
 def extract_codes(t):
-    return m.extract_codes(texts(t)).select("user_id", "code")
+    return m.extract_codes(texts(t)).select("user_id", "code").distinct()
 
 
 def _actions(t):
