@@ -81,6 +81,7 @@ def orphan_counts(report: DataFrame) -> DataFrame:
 def clean(tables: dict[str, DataFrame], report: DataFrame, backup: str | None = None) -> dict[str, DataFrame]:
     """Tables without their reported rows, which are first copied to ``backup``."""
     out = {}
+    report = materialise(report, "orphan-report")
     for name, df in tables.items():
         ids = report.where(F.col("table") == name).select("id").distinct()
         keyed = df.withColumn("_id", F.col("id").cast("string"))

@@ -28,6 +28,8 @@ BLOCK = 256
 ID_BUCKETS = 512
 # Nearly every task reads the first blocks; these are repeated over salts.
 SALTED_BLOCKS, SALTS = 4, 16
+# List ranks whose item id is noted, each about half as far again as the one before.
+MARKS = sorted({int(8 * 1.5**k) for k in range(60)})
 
 
 def open_tasks(
@@ -170,6 +172,29 @@ def task_needs(
     )
 
 
+def tighten(needs: DataFrame, postings: DataFrame, limit: int) -> DataFrame:
+    """Lower needs of tasks that read several lists.
+
+    Such a task wants the first ``limit`` entries of its lists taken together,
+    so the same number from each would be far too many. The ids at a few
+    marked ranks tell up to which id the lists together surely hold enough;
+    each list is then read only to its first mark beyond that id.
+    """
+    several = needs.groupBy("task_id").agg(
+        F.count(F.lit(1)).alias("lists"), (F.sum(F.col("need") - limit) + limit).alias("wanted")
+    ).where("lists > 1")
+    before = F.lag("rank", 1, 0).over(W.partitionBy("key").orderBy("rank"))
+    marks = postings.where(F.col("rank").isin(MARKS)).select("key", F.col("item_id").alias("mark_id"), "rank", (F.col("rank") - before).alias("gain"))
+    passed = W.partitionBy("task_id").orderBy("mark_id").rowsBetween(W.unboundedPreceding, 0)
+    rows = (
+        needs.join(several, "task_id").join(marks, "key").where(F.col("rank") <= F.col("need"))
+        .withColumn("held", F.sum("gain").over(passed))
+        .withColumn("cut", F.min(F.when(F.col("held") >= F.col("wanted"), F.col("mark_id"))).over(W.partitionBy("task_id")))
+    )
+    bounds = rows.where(F.col("mark_id") > F.col("cut")).groupBy("task_id", "key").agg(F.min("rank").alias("bound"))
+    return needs.join(bounds, ["task_id", "key"], "left").withColumn("need", F.coalesce(F.least("need", "bound"), "need")).drop("bound")
+
+
 def draw(needs: DataFrame, postings: DataFrame, list_key: str) -> DataFrame:
     """Each task with the first ``need`` entries of its list, joined by block."""
     blocked = postings.withColumn("block", F.floor((F.col("rank") - 1) / F.lit(BLOCK)).cast("int"))
@@ -204,13 +229,14 @@ def candidates_by_rank(
     tasks, keyed, excluded, item_keys = _inputs(tasks, users, finds, items, rules)
     needs = materialise(task_needs(keyed, excluded, item_keys, limit), "task-needs")
     deepest = needs.groupBy("key").agg(F.max("need").alias("deepest"))
-    postings = (
+    postings = materialise(
         ranked_postings(item_keys.select("item_id", F.explode("keys").alias("key")), items)
         .join(deepest, "key")
         .where(F.col("rank") <= F.col("deepest"))
-        .drop("deepest")
+        .drop("deepest"),
+        "postings",
     )
-    shown = draw(needs, postings, "key").join(excluded, ["user_id", "item_id"], "left_anti")
+    shown = draw(tighten(needs, postings, limit), postings, "key").join(excluded, ["user_id", "item_id"], "left_anti")
     first = W.partitionBy("task_id").orderBy("item_id")
     kept = shown.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= limit)
     return tasks.join(kept.select("task_id", "item_id"), "task_id").withColumn("distance_m", F.lit(None).cast("double"))
