@@ -265,6 +265,16 @@ def create_missing_states(t):
     return ref.missing_states(_record(t), countries, t.states())
 
 
+def create_missing_countries_states(t):
+    """Both in one table, as one import would add them."""
+    record = _record(t)
+    new_countries = ref.missing_countries(record, t.countries())
+    new_states = ref.missing_states(record, t.countries().unionByName(new_countries), t.states())
+    return new_countries.select(F.lit("country").alias("kind"), F.col("country_id").alias("id"), "name", F.lit(None).cast("int").alias("country_id")).unionByName(
+        new_states.select(F.lit("state").alias("kind"), F.col("state_id").alias("id"), "name", "country_id")
+    )
+
+
 def _alias_table(t):
     sizes = t.item_sizes().withColumn("aliases", F.array(F.concat(F.lit("alias-"), F.col("name"))))
     return ref.alias_table(t.item_types(), sizes, t.countries(), t.states(), _attributes(t))
@@ -283,6 +293,15 @@ def resolve_code(t):
     return ref.resolve(asked, _alias_table(t)).select("item_id", "kind", "id", "error")
 
 
+def resolve_alias(t):
+    """Size aliases of every item, case ignored, half of them unknown."""
+    asked = t.items().selectExpr(
+        "item_id", "'size' AS kind", "'alias' AS field",
+        "CASE item_id % 4 WHEN 0 THEN 'ALIAS-MICRO' WHEN 1 THEN 'alias-large' WHEN 2 THEN 'Micro' ELSE concat('alias-', item_id) END AS value", "CAST(NULL AS STRING) AS scope",
+    )
+    return ref.resolve(asked, _alias_table(t)).select("item_id", "id", "error")
+
+
 def check_ids_exist(t):
     refs = t.finds().selectExpr("item_id + 500 AS item_id")
     return ref.check_ids(refs, t.items(), "item_id")
@@ -376,6 +395,9 @@ REASON_CTES = {
 WITH_REASONS = with_tables("items", "item_types", "item_sizes", extra=REASON_CTES)
 NEW_COUNTRIES = f"""SELECT CAST(24 + row_number() OVER (ORDER BY CAST('0x' || substr(md5(key), 1, 3) AS INT), key) AS INT) AS country_id, name FROM (
  SELECT {_PLAIN.format('country')} AS key, min(country) AS name FROM record WHERE coalesce(country, '') <> '' GROUP BY 1) WHERE key NOT IN (SELECT {_PLAIN.format('name')} FROM countries)"""
+NEW_STATES = f"""SELECT CAST(99 + row_number() OVER (ORDER BY CAST('0x' || substr(md5(pair), 1, 3) AS INT), pair) AS INT) AS state_id, name, country_id FROM (
+ SELECT c.country_id, {_PLAIN.format('r.state')} AS key, min(r.state) AS name, concat(c.country_id, ':', key) AS pair FROM record r JOIN allc c ON {_PLAIN.format('c.name')} = {_PLAIN.format('r.country')}
+ WHERE coalesce(r.state, '') <> '' GROUP BY 1, 2) x WHERE NOT EXISTS (SELECT 1 FROM states s WHERE s.country_id = x.country_id AND {_PLAIN.format('s.name')} = x.key)"""
 WITH_NEW = with_tables("items", "countries", "states", extra={
     "raw": RAW_SQL, "record": RECORD, "newc": NEW_COUNTRIES, "allc": "SELECT country_id, name FROM countries UNION ALL SELECT * FROM newc",
 })
@@ -445,10 +467,15 @@ CHECKS = {
     "create_missing_countries": (_q(create_missing_countries), WITH_NEW + "SELECT * FROM newc"),
     "create_missing_states": (
         _q(create_missing_states),
-        WITH_NEW
-        + f"""SELECT CAST(99 + row_number() OVER (ORDER BY CAST('0x' || substr(md5(pair), 1, 3) AS INT), pair) AS INT) AS state_id, name, country_id FROM (
- SELECT c.country_id, {_PLAIN.format('r.state')} AS key, min(r.state) AS name, concat(c.country_id, ':', key) AS pair FROM record r JOIN allc c ON {_PLAIN.format('c.name')} = {_PLAIN.format('r.country')}
- WHERE coalesce(r.state, '') <> '' GROUP BY 1, 2) x WHERE NOT EXISTS (SELECT 1 FROM states s WHERE s.country_id = x.country_id AND {_PLAIN.format('s.name')} = x.key)""",
+        WITH_NEW + NEW_STATES,
+    ),
+    "create_missing_countries_states": (
+        _q(create_missing_countries_states),
+        WITH_NEW + "SELECT 'country' AS kind, country_id AS id, name, CAST(NULL AS INT) AS country_id FROM newc UNION ALL SELECT 'state', state_id, name, country_id FROM (" + NEW_STATES + ")",
+    ),
+    "resolve_alias": (
+        _q(resolve_alias),
+        with_tables("items") + "SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'M' WHEN 1 THEN 'L' END AS id, CASE WHEN item_id % 4 > 1 THEN 'not found' END AS error FROM items",
     ),
     "resolve_code": (
         _q(resolve_code),

@@ -164,6 +164,13 @@ def nth_find_date(t):
     return p.task_measures(tasks, t.finds(), t.items(), RULES).select("task_id", "first_date", "nth_date")
 
 
+def first_find_date(t):
+    """The first matching find of every task, null where there is none yet."""
+    tasks = p.with_rules(t.tasks(), RULES, and_only=False)
+    dates = p.task_measures(tasks, t.finds(), t.items(), RULES).select("task_id", "first_date")
+    return tasks.select("task_id").join(dates, "task_id", "left")
+
+
 def task_progress(t):
     return p.task_progress(t.tasks(), t.finds(), t.items(), RULES)
 
@@ -242,6 +249,7 @@ CHECKS.update({
  CASE WHEN rule_id = 9 THEN countries END AS countries, CASE WHEN rule_id = 10 THEN cells END AS cells FROM measures JOIN tasks USING (task_id)""",
     ),
     "nth_find_date": (_q(nth_find_date), WITH_TASKS + "SELECT task_id, first_date, nth_date FROM measures"),
+    "first_find_date": (_q(first_find_date), WITH_TASKS + "SELECT task_id, first_date FROM tasks LEFT JOIN measures USING (task_id)"),
     "task_progress": (_q(task_progress), WITH_TASKS + "SELECT * FROM progress"),
     "enrolment_progress": (_q(enrolment_progress), WITH_TASKS + UC),
     "evaluate_progress": (

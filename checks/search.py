@@ -173,6 +173,7 @@ CHECKS = {
         DIMS + COMPACT + " WHERE code IN (SELECT concat('GC', lpad(CAST(l_partkey * 2 AS VARCHAR), 6, '0')) FROM lineitem)",
     ),
     "lookup_by_id": (_q(lookup_by_id), DIMS + COMPACT + " WHERE item_id IN (SELECT l_partkey * 3 FROM lineitem)"),
+    "sort_items": (_q(_sorted("no such order")), _sort_sql("placed_at DESC")),
     "sort_items_placed": (_q(_sorted("-placed_at")), _sort_sql("placed_at DESC")),
     "sort_items_favorites": (_q(_sorted("-favorites")), _sort_sql("favorites DESC")),
     "sort_items_difficulty": (_q(_sorted("difficulty")), _sort_sql("difficulty")),

@@ -94,6 +94,24 @@ def evaluate_targets(t):
     return _rounded(g.score(cand, t.items()), "code", "type_code")
 
 
+def score_urgency(t):
+    return t.scored().select("uc_id", "item_id", F.round("urgency", 6).alias("urgency"))
+
+
+def score_coverage(t):
+    return t.scored().select("uc_id", "item_id", "matched_tasks", F.round("coverage", 6).alias("coverage"))
+
+
+def score_composite(t):
+    """Other weights than the default, without a centre."""
+    rows = g.score(_candidates(t), t.items(), weights={"urgency": 0.9, "coverage": 0.4})
+    return rows.select("uc_id", "item_id", F.round("score", 6).alias("score"))
+
+
+def primary_task(t):
+    return t.scored().select("uc_id", "item_id", "primary_task_id")
+
+
 def evaluate_targets_hard_limit(t):
     return _rounded(_scored(t, SMALL, hard=25))
 
@@ -216,6 +234,13 @@ CHECKS = {
             + f"SELECT uc_id, item_id, matched_tasks, primary_task_id, round(distance_m, 1) AS distance_m, {ROUNDED} FROM scored"
         ),
     ),
+    "score_urgency": (_q(score_urgency), _sql(_with() + "SELECT uc_id, item_id, round(urgency, 6) AS urgency FROM scored")),
+    "score_coverage": (_q(score_coverage), _sql(_with() + "SELECT uc_id, item_id, matched_tasks, round(coverage, 6) AS coverage FROM scored")),
+    "score_composite": (
+        _q(score_composite),
+        _sql(_with() + "SELECT uc_id, item_id, round(least(urgency * 0.9::DOUBLE + coverage * 0.4::DOUBLE, 1.0), 6) AS score FROM scored"),
+    ),
+    "primary_task": (_q(primary_task), _sql(_with() + "SELECT uc_id, item_id, primary_task_id FROM scored")),
     "evaluate_all_targets": (_q(evaluate_all), _sql(_with() + COUNTS.format(MERGED))),
     "evaluate_all_targets_forced": (
         _q(evaluate_all_forced),
