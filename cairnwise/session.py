@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -34,19 +36,26 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder of the cluster.
 
     The folder is ``spark.checkpoint.dir`` of the session. Only when that is
-    unset (local tests) a temporary folder is created and recorded there for
-    the rest of the session.
+    unset (local tests) this process makes a temporary folder of its own.
     """
     key = "spark.checkpoint.dir"
     base = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
     if not base:
-        base = _LOCAL_SCRATCH.setdefault("dir", tempfile.mkdtemp(prefix="cairnwise-"))
+        base = _local_scratch()
     return os.path.join(base, f"{label}-{uuid.uuid4().hex}")
 
 
 _LOCAL_SCRATCH: dict[str, str] = {}
 
 
+def _local_scratch() -> str:
+    """This process's own temporary folder, removed when the process ends."""
+    if "dir" not in _LOCAL_SCRATCH:
+        _LOCAL_SCRATCH["dir"] = tempfile.mkdtemp(prefix="cairnwise-")
+        atexit.register(shutil.rmtree, _LOCAL_SCRATCH["dir"], ignore_errors=True)
+    return _LOCAL_SCRATCH["dir"]
+
+
 def materialise(df, label: str):
     """Write ``df`` once to the shared folder and read it back.
 

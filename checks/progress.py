@@ -148,9 +148,9 @@ def _agg(rule, column):
 
     def run(t):
         rules = r.RuleSet({0: rule})
-        tasks = t.users().select(
-            F.col("user_id").alias("task_id"), "user_id", F.lit(0).alias("rule_id"), F.lit(0).alias("min_count")
-        )
+        # Every user gets rule 0; written as a column so that the rule join stays an equi join.
+        zero = (F.col("user_id") - F.col("user_id")).cast("int")
+        tasks = t.users().select(F.col("user_id").alias("task_id"), "user_id", zero.alias("rule_id"), F.lit(0).alias("min_count"))
         tasks = p.with_rules(tasks, rules)
         rows = tasks.join(p.task_measures(tasks, t.finds(), t.items(), rules), "task_id", "left")
         total = p.aggregate_total(F.col("agg_kind"))
