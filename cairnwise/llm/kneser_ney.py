@@ -32,9 +32,11 @@ SYMBOL_BITS = 12
 OWN = 2047
 #: Entries that one shard of the model holds at most (a single symbol's entries stay together).
 SHARD_ENTRIES = 6_000_000
-#: A document is rejected above the trusted q_high quantile plus SPREAD times its distance from the median.
+#: A document is rejected if its log perplexity exceeds the trusted median by more than SPREAD times
+#: the distance between these two quantiles; a text of n symbols is given sqrt(1 + SHORT / n) times that.
 QUANTILES = (0.5, 0.99)
-SPREAD = 1.0
+SPREAD = 2.5
+SHORT = 100
 _MASK = (1 << SYMBOL_BITS) - 1
 _SCORES = "doc_id bigint, version bigint, lang string, total double, symbols bigint, n bigint"
 
@@ -296,8 +298,9 @@ def document_quality(
     )
     known = scored.join(ids, "doc_id", "left_semi").where("loss is not null")
     cuts = known.groupBy("lang").agg(F.percentile_approx("loss", list(QUANTILES), 10_000).alias("q"))
-    cuts = cuts.select("lang", (F.col("q")[1] + SPREAD * (F.col("q")[1] - F.col("q")[0])).alias("cut"))
-    judged = scored.join(F.broadcast(cuts), "lang", "left").select(
+    cuts = cuts.select("lang", F.col("q")[0].alias("middle"), (SPREAD * (F.col("q")[1] - F.col("q")[0])).alias("room"))
+    room = F.col("room") * F.sqrt(1 + SHORT / (F.col("symbols") / F.col("n")))
+    judged = scored.join(F.broadcast(cuts), "lang", "left").withColumn("cut", F.col("middle") + room).select(
         "doc_id", "lang", "version", "symbols", "n", F.exp("loss").alias("perplexity"), F.exp("cut").alias("limit"),
         F.coalesce(F.col("loss") <= F.col("cut"), F.lit(True)).alias("kept"),
     )
