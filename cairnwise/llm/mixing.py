@@ -21,7 +21,7 @@ WEIGHTS = (5, 2, 1)
 TOTAL_SHARE = 1.5
 MOST_EPOCHS = 2
 #: Rows that one key range of a source should hold.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 
 
 def word_count(text: Column) -> Column:
