@@ -67,13 +67,13 @@ def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, pa.Ar
         yield lang, rows, batch.column("text").take(pa.array(rows))
 
 
-def count_ngrams(rows: DataFrame) -> DataFrame:
-    """``lang, key, n``: counts of the longest n-grams over all rows (``text, lang``)."""
+def count_ngrams(rows: DataFrame, order: int = ORDER) -> DataFrame:
+    """``lang, key, n``: counts of the n-grams of this order over all rows (``text, lang``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             for lang, _, texts in _by_language(batch):
-                keys, n = np.unique(ngram_keys(*symbols(texts)), return_counts=True)
+                keys, n = np.unique(ngram_keys(*symbols(texts), order), return_counts=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(n)], names=["lang", "key", "n"]
                 )
@@ -105,13 +105,14 @@ def kneser_ney_model(rows: DataFrame, order: int = ORDER) -> DataFrame:
     """``lang, order, key, logp, back`` from trusted ``text, lang``.
 
     ``logp`` is the natural logarithm of the interpolated probability of the
-    n-gram's last symbol after its others; ``back`` that of the back-off weight of
+    n-gram's last symbol after its others (null for contexts at a text's start,
+    which are no n-grams themselves); ``back`` that of the back-off weight of
     the n-gram as a context (null where it never is one). The entry of order 0
     holds the back-off weight of the empty context, and the log of the uniform
     probability over the language's symbols and one unknown.
     """
     spark = rows.sparkSession
-    counts = {order: materialise(count_ngrams(rows), "counts")}
+    counts = {order: materialise(count_ngrams(rows, order), "counts")}
     for n in range(order - 1, 0, -1):
         suffix = F.col("key").bitwiseAND(F.lit((1 << (SYMBOL_BITS * n)) - 1))
         counts[n] = materialise(counts[n + 1].groupBy("lang", suffix.alias("key")).agg(F.count(F.lit(1)).alias("n")), "counts")
@@ -140,7 +141,7 @@ def kneser_ney_model(rows: DataFrame, order: int = ORDER) -> DataFrame:
             )
         )
         backs = contexts.select("lang", F.col("context").alias("key"), F.log("gamma").alias("back"))
-        tables.append(lower.join(backs, ["lang", "key"], "left").select("lang", F.lit(n - 1).alias("order"), "key", "logp", "back"))
+        tables.append(lower.join(backs, ["lang", "key"], "full").select("lang", F.lit(n - 1).alias("order"), "key", "logp", "back"))
         lower = materialise(made, "probabilities")
     last = lower.select("lang", F.lit(order).alias("order"), "key", "logp", F.lit(None).cast("double").alias("back"))
     model = last
@@ -198,6 +199,7 @@ class Shard:
         for n in range(order, 0, -1):
             own = keys[left] & ((1 << (SYMBOL_BITS * n)) - 1)
             hit, logp = self._find(lang, n, own, 1)
+            hit &= ~np.isnan(logp)
             out[left[hit]] = offset[left[hit]] + logp[hit]
             left, own = left[~hit], own[~hit]
             if not len(left):
@@ -299,7 +301,7 @@ def document_quality(
     known = scored.join(ids, "doc_id", "left_semi").where("loss is not null")
     cuts = known.groupBy("lang").agg(F.percentile_approx("loss", list(QUANTILES), 10_000).alias("q"))
     cuts = cuts.select("lang", F.col("q")[0].alias("middle"), (SPREAD * (F.col("q")[1] - F.col("q")[0])).alias("room"))
-    room = F.col("room") * F.sqrt(1 + SHORT / (F.col("symbols") / F.col("n")))
+    room = F.col("room") * F.sqrt(1 + SHORT * F.col("n") / F.greatest(F.col("symbols"), F.lit(1)))
     judged = scored.join(F.broadcast(cuts), "lang", "left").withColumn("cut", F.col("middle") + room).select(
         "doc_id", "lang", "version", "symbols", "n", F.exp("loss").alias("perplexity"), F.exp("cut").alias("limit"),
         F.coalesce(F.col("loss") <= F.col("cut"), F.lit(True)).alias("kept"),
