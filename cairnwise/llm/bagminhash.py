@@ -12,11 +12,14 @@ where they are not. So the work is about m log m points per document, not m
 times its shingles.
 
 Components are banded. In every bucket all members are compared with one
-leader; links join components; members outside the leader's component become
-leaders in turn, until every pair of a bucket that is not in one component has
-been compared. Tight groups therefore need one comparison a member, and no
-link between buckets' members is lost. A comparison first estimates the
-similarity from the signatures, then verifies the multiset overlap exactly.
+leader: the similarity is estimated from the signatures, then the multiset
+overlap is verified exactly. Tight groups are settled by that with one
+comparison a member. Buckets that still hold several components form families
+(what is connected through such buckets); inside a family the exact overlaps
+of all its texts come from products of small incidence matrices. Families are
+cut into chunks, and a task sees two chunks at a time and returns only the
+links that join components, so rows stay in proportion to the texts. A family
+that has grown beyond FAMILY texts is worked on bucket by bucket in the same way.
 """
 
 from __future__ import annotations
@@ -41,6 +44,11 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
 #: Standard errors by which a signature estimate may miss the threshold before a pair is dropped unverified.
 MARGIN = 4.5
+#: Texts of a chunk, and of the largest family that is compared as a whole.
+CHUNK = 128
+FAMILY = 8192
+#: Bytes of text that a worker handles at once.
+SLICE = 8 << 20
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _A, _B, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -140,7 +148,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int
     m = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             n = batch.num_rows
             keys, counts, _ = weighted(shingle_keys(batch.column("text"), words))
             signatures = bag_min_hash(keys, counts, n, m)
@@ -170,7 +178,7 @@ def shingle_units(texts: DataFrame, words: int) -> DataFrame:
     """``node, units``: one 64-bit unit per shingle occurrence, so that multisets become sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             keys = shingle_keys(batch.column("text"), words)
             _, _, number = weighted(keys)
             unit = mix((keys & np.uint64((1 << 48) - 1)) * _GOLD + number.astype(np.uint64)).view(np.int64)
@@ -206,6 +214,79 @@ def _linked(pairs: DataFrame, signatures: DataFrame, units: DataFrame, similarit
     return both.withColumn("shared", shared).where(F.col("shared") >= F.lit(similarity) * whole).select("a", "b")
 
 
+def _compare_families(members: DataFrame, labels: DataFrame, units: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join the components left in buckets, by comparing all texts of each family."""
+    state = members.join(labels, "node", "left").select("key", "leader", "node", F.coalesce("comp", "node").alias("comp"))
+    mixed = state.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    state = materialise(state.join(mixed.select("key"), "key", "left_semi"), "mixed-buckets")
+    families = components(state.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")))
+    sizes = families.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    placed = families.withColumnRenamed("comp", "family").join(sizes.withColumnRenamed("comp", "family"), "family")
+    comps = state.select("node", "comp").distinct()
+    whole = placed.where(F.col("size") <= FAMILY).join(comps, "node").select(
+        F.concat(F.lit("f"), "family").alias("part"), "node", "comp", "size"
+    )
+    large = state.join(placed.where(F.col("size") > FAMILY).select("node"), "node", "left_semi")
+    counts = large.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    buckets = large.join(counts, "key").select(F.concat(F.lit("b"), "key").alias("part"), "node", "comp", "size")
+    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    dealt = (
+        whole.unionByName(buckets)
+        .withColumn("chunks", chunks)
+        .withColumn("chunk", chunk)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select("part", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "comp")
+        .join(units, "node")
+    )
+
+    def compare(group: pa.Table) -> pa.Table:
+        node, comp, chunk = (group.column(c).to_numpy() for c in ("node", "comp", "chunk"))
+        lists = group.column("units").combine_chunks()
+        overlap, size = overlaps(lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        linked = overlap >= similarity * (size[:, None] + size[None, :] - overlap) - 1e-9
+        linked |= comp[:, None] == comp[None, :]
+        if len(np.unique(chunk)) == 2:  # pairs inside a chunk belong to that chunk's own group
+            linked &= (chunk[:, None] != chunk[None, :]) | (comp[:, None] == comp[None, :])
+        root = spanning_roots(linked)
+        apart = comp[root] != comp
+        return pa.table({"a": node[root][apart], "b": node[apart]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return dealt.groupBy("part", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+
+
+def overlaps(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the sets and of all their pairwise intersections."""
+    n = len(lengths)
+    row = np.repeat(np.arange(n), lengths)
+    _, index, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = counts > 1
+    column = (np.cumsum(shared) - 1)[index]
+    row, column = row[shared[index]], column[shared[index]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    total, width = np.zeros((n, n)), 1 << 13
+    for begin in range(0, int(shared.sum()), width):
+        a, b = np.searchsorted(column, [begin, begin + width])
+        part = np.zeros((n, width), np.float32)
+        part[row[a:b], column[a:b] - begin] = 1
+        total += part @ part.T
+    np.fill_diagonal(total, lengths)
+    return total, lengths.astype(float)
+
+
+def spanning_roots(linked: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric relation the smallest row of its component."""
+    n = len(linked)
+    label = np.arange(n)
+    while True:
+        lower = np.minimum(label, np.where(linked, label[None, :], n).min(axis=1))
+        lower = lower[lower]
+        if (lower == label).all():
+            return label
+        label = lower
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -244,36 +325,8 @@ def near_duplicates(
     units = materialise(shingle_units(texts, words), "units")
     pairs = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     edges = materialise(_linked(pairs, signatures, units, similarity, m), "links")
-    labels = components(edges)
-    used, leaders = None, 4
-    while True:
-        state = members.join(labels, "node", "left").select("key", "node", "leader", F.coalesce("comp", "node").alias("comp"))
-        tops = labels.select(F.col("node").alias("leader"), F.col("comp").alias("top"))
-        state = state.join(tops, "leader", "left").withColumn("top", F.coalesce("top", "leader"))
-        strays = state.where("comp <> top")
-        if used is not None:
-            strays = strays.join(used, ["key", "node"], "left_anti")
-        turn = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-        chosen = materialise(
-            strays.withColumn("turn", turn).where(F.col("turn") <= leaders).select("key", "node", "comp"), "leaders"
-        )
-        if chosen.isEmpty():
-            break
-        others = state.where("node <> leader").select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-        pairs = (
-            chosen.withColumnRenamed("node", "a")
-            .join(others, "key")
-            .where("comp <> comp_b")
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            .distinct()
-        )
-        found = materialise(_linked(pairs, signatures, units, similarity, m), "links")
-        if not found.isEmpty():
-            edges = edges.unionByName(found)
-            labels = components(edges)
-        taken = chosen.select("key", "node")
-        used = taken if used is None else used.unionByName(taken)
-        leaders *= 4
+    rest = _compare_families(members, components(edges), units, similarity)
+    labels = components(edges.unionByName(materialise(rest, "family-links")))
     grouped = classes.join(labels, "node", "left").select("digest", F.coalesce("comp", "node").alias("comp"))
     member = materialise(sketch.select("tag", "doc_id", "digest").join(grouped, "digest"), "near-groups")
     lowest = F.struct(F.col("doc_id").isNull(), "doc_id", "tag")

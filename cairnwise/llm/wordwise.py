@@ -44,11 +44,11 @@ def ragged_of(lists: list, dtype) -> Ragged:
     return Ragged(flat, lengths)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that each holds about BATCH_BYTES of text, whole rows only."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each holds about ``size`` bytes of text, whole rows only."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        group = np.cumsum(sizes) // BATCH_BYTES
+        group = np.cumsum(sizes) // size
         edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(edges, edges[1:]):
             if b > a:
