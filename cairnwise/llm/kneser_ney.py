@@ -293,7 +293,8 @@ def document_quality(
         F.coalesce(docs[lang_col].cast("string"), F.lit("")).alias("lang"),
     ).withColumn("version", F.xxhash64("text"))
     ids = trusted.select(F.col(trusted.columns[0]).cast("bigint").alias("doc_id")).distinct()
-    model = kneser_ney_model(rows.join(ids, "doc_id", "left_semi").where("text <> ''").select("text", "lang"), order)
+    # trusted ids grow with the documents, so they are never broadcast, small as they may be
+    model = kneser_ney_model(rows.join(ids.hint("merge"), "doc_id", "left_semi").where("text <> ''").select("text", "lang"), order)
     scored = materialise(
         log_probabilities(rows, model, order, entries).withColumn(
             "loss", F.when(F.col("symbols") > 0, -F.col("total") / F.col("symbols"))
