@@ -10,6 +10,7 @@ many ranges. The last epoch of a source is cut exactly at its budget.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -90,7 +91,7 @@ def mix_sources(
     targets = source_targets(sizes, weights, share, most)
     ranges = {r["source"]: max(1, -(-r["n"] // RANGE_ROWS)) for r in per_source}
     figures = docs.sparkSession.createDataFrame(
-        [(s, sizes[s], targets[s], round(targets[s]), ranges[s]) for s in sizes],
+        [(s, sizes[s], targets[s], math.floor(targets[s] + 0.5), ranges[s]) for s in sizes],
         "source string, source_size bigint, target double, budget bigint, ranges int",
     )
     joined = rows.join(F.broadcast(figures), rows["source"].eqNullSafe(figures["source"])).drop(figures["source"])

@@ -118,16 +118,65 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
 
+OP9_SQL = r"""
+WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS total, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM sized GROUP BY source),
+weighted AS (SELECT source, total, CAST([5, 2, 1][(place - 1) % 3 + 1] AS DOUBLE) AS w FROM sources),
+filled AS (SELECT *, row_number() OVER o AS rank, sum(w) OVER (ORDER BY 2 * total / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w,
+ 1.5 * sum(total) OVER () - coalesce(sum(2.0 * total) OVER (ORDER BY 2 * total / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_words
+ FROM weighted WINDOW o AS (ORDER BY 2 * total / w, source)),
+cut AS (SELECT rank, left_words, open_w FROM filled WHERE CAST(left_words AS DOUBLE) * w / open_w <= 2 * total ORDER BY rank LIMIT 1),
+targets AS (SELECT source, total, CASE WHEN f.rank < coalesce(c.rank, 1000000000) THEN CAST(2 * total AS DOUBLE) ELSE CAST(c.left_words AS DOUBLE) * w / c.open_w END AS target
+ FROM filled f LEFT JOIN cut c ON true),
+running AS (SELECT doc_id, size, total, target, CAST(floor(target + 0.5) AS BIGINT) AS budget,
+ sum(size) OVER (PARTITION BY d.source ORDER BY md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS ahead
+ FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+epochs AS (SELECT *, CASE WHEN total > 0 THEN budget // total ELSE 0 END AS full_epochs FROM running),
+taken AS (SELECT *, greatest(0, least(size, budget - full_epochs * total - ahead)) AS part FROM epochs)
+SELECT doc_id, CAST(size AS BIGINT) AS size, total AS source_size, target, CAST(full_epochs * size + part AS BIGINT) AS taken,
+ CAST(CASE WHEN size = 0 THEN 0 ELSE full_epochs + CASE WHEN part > 0 THEN 1 ELSE 0 END END AS INTEGER) AS epochs FROM taken"""
+
+#: Places of a pattern's matches: running sums of the lengths of pieces and matches.
+_PLACES = """(SELECT doc_id, unnest(list_transform(range(1, len(hits) + 1), lambda i: {{'start':
+ CAST(list_sum(list_transform(pieces[1:i], lambda p: length(p))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0) AS BIGINT), 'hit': hits[i]}}), recursive := true)
+ FROM (SELECT doc_id, string_split_regex(text, '{0}') AS pieces, regexp_extract_all(text, '{0}') AS hits FROM docs))"""
+
+
+def _secrets_sql() -> str:
+    quoted = lambda p: p.replace("'", "''")
+    places = lambda p: _PLACES.format(quoted(p))
+    w = secrets.WINDOW
+    allowed = quoted("|".join(f"(?:{p})" for p in secrets.ALLOWED))
+    names = "['assign', 'access', 'hex', 'entropy']"
+    joined = f"coalesce(string_agg({names}[kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop) {{}}, '')"
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+candidates AS (SELECT doc_id, start, hit, CASE WHEN regexp_full_match(hit, '[0-9A-Fa-f]+') THEN {secrets.THRESHOLDS['hex']} ELSE {secrets.THRESHOLDS['base64']} END AS least
+ FROM {places(secrets.CANDIDATE)} WHERE NOT regexp_matches(hit, '{allowed}') AND NOT regexp_full_match(hit, '[0-9]+')),
+windows AS (SELECT doc_id, start, hit, least, unnest(range(0, length(hit) - {w - 1})) AS pos FROM candidates),
+hot AS (SELECT doc_id, start, pos FROM windows WHERE round(list_entropy(string_split(hit[pos + 1:pos + {w}], '')), 6) >= least),
+marked AS (SELECT *, CASE WHEN pos <= lag(pos) OVER o + {w} THEN 0 ELSE 1 END AS fresh FROM hot WINDOW o AS (PARTITION BY doc_id, start ORDER BY pos)),
+islands AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, start ORDER BY pos) AS island FROM marked),
+spans AS (
+ SELECT doc_id, 0 AS kind, start, start + length(hit) AS stop FROM {places(secrets.ASSIGN)} WHERE length(regexp_extract(hit, '{quoted(secrets.ASSIGN)}', 2)) >= {secrets.ASSIGN_LEAST}
+ UNION ALL SELECT doc_id, 1, start, start + length(hit) FROM {places(secrets.ACCESS)}
+ UNION ALL SELECT doc_id, 2, start, start + length(hit) FROM {places(secrets.HEX)}
+ UNION ALL SELECT doc_id, 3, start + min(pos), start + max(pos) + {w} FROM islands GROUP BY doc_id, start, island)
+SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+ sha256({joined.format('FILTER (kind < 3)')}) AS base_sha256, {joined.format('')} AS spans
+FROM docs d LEFT JOIN spans s USING (doc_id) GROUP BY d.doc_id"""
+
+
 CHECKS: dict = {
     "op1_quality": (op1_quality, None),
-    "op2_secrets": (op2_secrets, None),
+    "op2_secrets": (op2_secrets, _secrets_sql()),
     "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
     "op4_sentencepiece": (op4_sentencepiece, None),
     "op5_line_dedup": (op5_line_dedup, OP5_SQL),
     "op6_token_files": (op6_token_files, None),
     "op7_near_dedup": (op7_near_dedup, None),
     "op8_topk": (op8_topk, OP8_SQL),
-    "op9_mixing": (op9_mixing, None),
+    "op9_mixing": (op9_mixing, OP9_SQL),
     "op10_language_id": (op10_language_id, None),
     "pipeline": (pipeline, None),
 }
