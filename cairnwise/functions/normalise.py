@@ -34,10 +34,10 @@ def name_key(text: Column) -> Column:
 
 
 def _compatibility_letters() -> tuple[str, str, dict[str, str]]:
-    """Characters of the basic plane whose compatibility decomposition leaves
+    """Characters whose compatibility decomposition leaves
     ASCII letters or digits behind: one-letter replacements, and longer ones."""
     single, longer = {}, {}
-    for point in range(0x80, 0x10000):
+    for point in range(0x80, 0x110000):
         plain = unicodedata.normalize("NFKD", chr(point)).encode("ascii", "ignore").decode()
         plain = "".join(c for c in plain if c.isalnum())
         if plain:
@@ -60,7 +60,7 @@ def plain_name_key(text: Column) -> Column:
     expanded = F.array_join(
         F.transform(F.split(folded, ""), lambda c: F.coalesce(F.try_element_at(expanding, c), c)), ""
     )
-    ligatures = "[" + "".join(f"\\u{ord(c):04x}" for c in _LONGER) + "]"
+    ligatures = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in _LONGER) + "]"
     return name_key(F.when(folded.rlike(ligatures), expanded).otherwise(folded))
 
 
@@ -97,40 +97,45 @@ def without_tags(html: Column) -> Column:
 
 # -- positions written as text -----------------------------------------------------
 
-_COMPONENT = (
-    r"([NnSsEeWw])?\s*([+-])?\s*(\d+(?:\.\d+)?)"
-    r"(?:\s*[°\s]\s*(\d+(?:\.\d+)?)(?:\s*['\s]\s*(\d+(?:\.\d+)?)\s*\")?)?\s*([NnSsEeWw])?"
-)
-_NUMBER = r"[-+]?\d+(?:\.\d+)?"
-
-
-def position_columns(text: Column) -> dict[str, Column]:
-    """Intermediate columns of a position text: cleaned text, its components
-    (hemisphere, sign, degrees, minutes, seconds) and its bare numbers."""
-    clean = strip(text)
-    clean = F.regexp_replace(clean, r"(\d),(\d)", "$1.$2")
-    clean = F.regexp_replace(F.regexp_replace(clean, "[’′]", "'"), "[“”″]", '"')
-    return {"_text": F.regexp_replace(clean, r"\s+", " ")}
+_HEMISPHERE = r"(?<![A-Za-z])[NSEWnsew](?![A-Za-z])"
+_SIGNED = r"[-+]?[0-9]+(?:\.[0-9]+)?"
+_LETTERS = ["N", "S", "E", "W"]
 
 
-def position_parts(text: Column) -> Column:
-    """Components as structs, in order of appearance."""
+def position_tokens(text: Column) -> Column:
+    """The hemisphere letters and numbers of a position, in order; a comma between digits is a decimal one."""
+    clean = F.regexp_replace(text, r"([0-9]),([0-9])", "$1.$2")
+    return F.transform(F.regexp_extract_all(clean, F.lit(f"{_HEMISPHERE}|{_SIGNED}"), F.lit(0)), F.upper)
 
-    def group(part: Column, n: int) -> Column:
-        return F.regexp_extract(part, _COMPONENT, n)
 
-    def parse(part: Column) -> Column:
-        degrees = group(part, 3).try_cast("double")
-        minutes, seconds = group(part, 4).try_cast("double"), group(part, 5).try_cast("double")
-        value = degrees + F.coalesce(minutes / 60.0, F.lit(0.0)) + F.coalesce(seconds / 3600.0, F.lit(0.0))
-        in_range = (F.coalesce(minutes, F.lit(0.0)) < 60) & (F.coalesce(seconds, F.lit(0.0)) < 60)
-        hemisphere = F.upper(F.coalesce(blank_to_null(group(part, 1)), group(part, 6)))
-        return F.struct(
-            value.alias("value"), hemisphere.alias("hem"), (group(part, 2) == "-").alias("minus"), in_range.alias("ok")
-        )
+def position_cut(tokens: Column) -> Column:
+    """How many tokens belong to the first half; null where there are no two halves.
 
-    return F.transform(F.regexp_extract_all(text, F.lit(_COMPONENT), F.lit(0)), parse)
+    Two letters divide the text: before the second one if the text starts with
+    a letter, else behind the first one. Without letters the numbers are halved.
+    """
+    letters = F.filter(tokens, lambda t: t.isin(_LETTERS))
+    second = F.array_position(tokens, F.get(letters, F.lit(1))) - 1
+    first = F.array_position(tokens, F.get(letters, F.lit(0)))
+    by_letter = F.when(F.get(tokens, F.lit(0)).isin(_LETTERS), second).otherwise(first)
+    return (
+        F.when(F.size(letters) == 2, by_letter)
+        .when((F.size(letters) == 0) & F.size(tokens).isin(2, 4, 6), F.size(tokens) / 2)
+        .cast("int")
+    )
 
 
-def bare_numbers(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(_NUMBER), F.lit(0)), lambda n: n.try_cast("double"))
+def position_half(tokens: Column) -> Column:
+    """One half as struct: ``value`` (signed degrees), ``hem``, ``read`` (one to three numbers), ``ok`` (minutes, seconds below 60)."""
+    numbers = F.filter(tokens, lambda t: ~t.isin(_LETTERS))
+    hem = F.get(F.filter(tokens, lambda t: t.isin(_LETTERS)), F.lit(0))
+    part = lambda i: F.abs(F.get(numbers, F.lit(i)).try_cast("double"))
+    minutes, seconds = F.coalesce(part(1), F.lit(0.0)), F.coalesce(part(2), F.lit(0.0))
+    value = part(0) + minutes / 60.0 + seconds / 3600.0
+    minus = F.when(hem.isNull(), F.startswith(F.get(numbers, F.lit(0)), F.lit("-"))).otherwise(hem.isin("S", "W"))
+    return F.struct(
+        F.when(minus, -value).otherwise(value).alias("value"),
+        hem.alias("hem"),
+        F.size(numbers).between(1, 3).alias("read"),
+        ((minutes < 60) & (seconds < 60)).alias("ok"),
+    )

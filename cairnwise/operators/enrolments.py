@@ -103,8 +103,8 @@ def reset(enrolments: DataFrame, chosen: DataFrame) -> DataFrame:
 def transition_error(new_status: Column, computed: Column) -> Column:
     """Why a status may not be set, or null."""
     return (
-        F.when(new_status.isNotNull() & ~new_status.isin(STATUSES), F.concat(F.lit("Invalid status: "), new_status))
-        .when(computed.eqNullSafe(COMPLETED) & new_status.isin("pending", "dismissed"), "Cannot change status of auto-completed challenge")
+        F.when(new_status.isNotNull() & ~new_status.isin(STATUSES), F.concat(F.lit("status_unknown: "), new_status))
+        .when(computed.eqNullSafe(COMPLETED) & new_status.isin("pending", "dismissed"), "completed_by_find")
     )
 
 
@@ -123,10 +123,10 @@ def check_patches(enrolments: DataFrame, patches: DataFrame) -> DataFrame:
     current = enrolments.select("uc_id", "user_id", F.col("computed_status").alias("computed"), F.lit(True).alias("known"))
     rows = patches.join(current, ["uc_id", "user_id"], "left")
     error = F.coalesce(
-        F.when(F.col("known").isNull(), "UserChallenge not found"),
+        F.when(F.col("known").isNull(), "enrolment_unknown"),
         transition_error(F.col("status"), F.col("computed")),
-        F.when(F.length("notes") > MAX_NOTES, f"Notes too long (max {MAX_NOTES} characters)"),
-        F.when(F.length("reason") > MAX_REASON, f"Override reason too long (max {MAX_REASON} characters)"),
+        F.when(F.length("notes") > MAX_NOTES, f"notes_long"),
+        F.when(F.length("reason") > MAX_REASON, f"reason_long"),
     )
     return rows.withColumn("error", error).withColumn("ok", F.col("error").isNull()).drop("known")
 

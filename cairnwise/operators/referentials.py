@@ -71,7 +71,7 @@ def check_ids(references: DataFrame, table: DataFrame, key: str) -> DataFrame:
 
 
 def new_ids(names: DataFrame, key: str, existing: DataFrame, ident: str) -> DataFrame:
-    """Adds consecutive ids after the largest existing one, without one big sort.
+    """Adds consecutive ids after the largest existing one, of its type, without one big sort.
 
     Names are bucketed by hash; bucket counts give offsets, ranks are taken
     within a bucket.
@@ -84,7 +84,7 @@ def new_ids(names: DataFrame, key: str, existing: DataFrame, ident: str) -> Data
     inside = W.partitionBy("_bucket").orderBy(key)
     return (
         rows.withColumn("_rn", F.row_number().over(inside)).join(offsets.drop("_n"), "_bucket").withColumn("_top", top)
-        .withColumn(ident, (F.col("_top") + F.col("_offset") + F.col("_rn")).cast("int"))
+        .withColumn(ident, (F.col("_top") + F.col("_offset") + F.col("_rn")).cast(existing.schema[ident].dataType))
         .drop("_bucket", "_offset", "_rn", "_top")
     )
 
@@ -142,7 +142,7 @@ def upsert_dimension(existing: DataFrame, incoming: DataFrame, key: str, replace
     same or kept; ``replace`` drops rows that are not in the load."""
     payload = [c for c in incoming.columns if c != key]
     old = existing.select(key, F.struct(*payload).alias("old"))
-    new = incoming.dropDuplicates([key]).select(key, F.struct(*payload).alias("new"))
+    new = incoming.groupBy(key).agg(F.max(F.struct(*payload)).alias("new"))  # of rows that share a key the largest counts
     change = (
         F.when(F.col("old").isNull(), "inserted").when(F.col("new").isNull(), "kept")
         .when(F.col("old").eqNullSafe(F.col("new")), "same").otherwise("updated")

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from cairnwise.functions import geo
 
-MAX_PAGE_SIZE = 200
-MIN_RADIUS_KM, MAX_RADIUS_KM = 0.1, 100.0
-
 
 @dataclass
 class ItemFilter:
@@ -94,8 +91,8 @@ def page(rows: DataFrame, order: list[Column], number: int = 1, size: int = 50)
     Planned as a distributed top-k (each task keeps only ``number * size``
     rows), never as a global sort or a single-partition window.
     """
-    size = min(max(1, size), MAX_PAGE_SIZE)
-    number = max(1, number)
+    if size < 1 or number < 1:
+        raise ValueError("page number and size start at 1")
     total = rows.groupBy().agg(F.count(F.lit(1))).scalar()
     chosen = rows.orderBy(*order).offset((number - 1) * size).limit(size)
     return chosen.withColumn("total", total).withColumn(
@@ -106,7 +103,8 @@ def page(rows: DataFrame, order: list[Column], number: int = 1, size: int = 50)
 def within_radius(items: DataFrame, lat: float, lon: float, radius_km: float) -> DataFrame:
     """Items at most ``radius_km`` away with their distance; the box comparison
     prunes the scan, the great-circle test decides."""
-    radius_km = min(max(radius_km, MIN_RADIUS_KM), MAX_RADIUS_KM)
+    if radius_km < 0:
+        raise ValueError("the radius is negative")
     box = geo.radius_box(lat, lon, radius_km)
     return (
         items.where(geo.in_box(F.col("lat"), F.col("lon"), *box))

@@ -132,8 +132,9 @@ def assign_zones(
         found = exact.withColumns({"l1": F.lit(None).cast("string"), "l2": F.lit(None).cast("string"), "foreign": F.lit(False)})
     else:
         parents = zones.where("level = 2").select(F.col("code").alias("l2"), F.col("parent_code").alias("l1"))
-        table = lookup.select(
-            "lat_key", "lon_key", F.col("level2").alias("l2"), (F.col("country") != country).alias("foreign")
+        one = lookup.groupBy("lat_key", "lon_key").agg(F.max(F.struct("level2", "country")).alias("place"))
+        table = one.select(
+            "lat_key", "lon_key", F.col("place.level2").alias("l2"), (F.col("place.country") != country).alias("foreign")
         ).join(parents, "l2", "left")
         keys = [F.round("lat", 3).alias("lat_key"), F.round("lon", 3).alias("lon_key")]
         found = (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -35,12 +36,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder of the cluster.
 
-    The folder is ``spark.checkpoint.dir`` of the session. Only when that is
-    unset (local tests) this process makes a temporary folder of its own.
+    The folder is ``spark.checkpoint.dir`` of the session. Only a local session,
+    whose one machine runs everything, may leave it unset and gets a temporary
+    folder of this process; on a cluster a missing setting is an error.
     """
     key = "spark.checkpoint.dir"
     base = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"set {key} to a folder that the driver and all executors share")
         base = _local_scratch()
     return os.path.join(base, f"{label}-{uuid.uuid4().hex}")
 

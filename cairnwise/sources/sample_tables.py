@@ -168,7 +168,7 @@ class SampleTables:
         orders = self.raw("orders").select("o_orderkey", "o_custkey")
         lines = (
             self.raw("lineitem")
-            .where("l_partkey % 40 = 4 OR (l_partkey % 40 = 3 AND l_orderkey % 8 = 0)")
+            .where("l_partkey % 40 IN (3, 4)")
             .selectExpr("l_orderkey", "l_partkey - l_partkey % 40 + 3 AS challenge_id")
         )
         pairs = (

@@ -94,14 +94,14 @@ def _reason(strict):
     def only(text):
         return text if strict else ""
 
-    return f"""CASE WHEN coalesce(code, '') = '' THEN 'Missing required GC code' WHEN NOT regexp_matches(upper(code), '^GC[A-Z0-9]{{3,}}$') THEN 'Invalid GC code'
- {only("WHEN title IS NULL THEN 'Missing required title'")} WHEN lat IS NULL OR lon IS NULL THEN 'Missing coordinates'
- WHEN NOT lat BETWEEN -90 AND 90 THEN 'Invalid latitude' WHEN NOT lon BETWEEN -180 AND 180 THEN 'Invalid longitude'
- {only("WHEN lat = 0 AND lon = 0 THEN 'Invalid coordinates (0,0)'")}
- WHEN NOT difficulty BETWEEN 1 AND 5 THEN 'difficulty must be between 1.0 and 5.0' WHEN NOT terrain BETWEEN 1 AND 5 THEN 'terrain must be between 1.0 and 5.0'
- WHEN length(trim(owner)) > 100 THEN 'Owner name too long' WHEN placed_at > TIMESTAMP '{AS_OF}' THEN 'placed_at cannot be in the future'
- {only("WHEN year(placed_at) < 2000 THEN 'placed_at seems too old'")} WHEN favorites < 0 THEN 'favorites cannot be negative'
- {only("WHEN favorites > 10000 THEN 'favorites count seems too high'")} END"""
+    return f"""CASE WHEN coalesce(code, '') = '' THEN 'code_missing' WHEN NOT regexp_matches(upper(code), '^GC[A-Z0-9]{{3,}}$') THEN 'code_malformed'
+ {only("WHEN title IS NULL THEN 'title_missing'")} WHEN lat IS NULL OR lon IS NULL THEN 'position_missing'
+ WHEN NOT lat BETWEEN -90 AND 90 THEN 'latitude_out_of_range' WHEN NOT lon BETWEEN -180 AND 180 THEN 'longitude_out_of_range'
+ {only("WHEN lat = 0 AND lon = 0 THEN 'position_is_origin'")}
+ WHEN NOT difficulty BETWEEN 1 AND 5 THEN 'difficulty_out_of_range' WHEN NOT terrain BETWEEN 1 AND 5 THEN 'terrain_out_of_range'
+ WHEN length(trim(owner)) > 100 THEN 'owner_long' WHEN placed_at > TIMESTAMP '{AS_OF}' THEN 'placed_in_future'
+ {only("WHEN year(placed_at) < 2000 THEN 'placed_too_early'")} WHEN favorites < 0 THEN 'favorites_negative'
+ {only("WHEN favorites > 10000 THEN 'favorites_high'")} END"""
 
 
 def validated_sql(source, strict=False):
@@ -324,7 +324,7 @@ def upsert_dimension_replace(t):
 POSITION = """CASE item_id % 8 WHEN 0 THEN concat(CAST(lat AS TEXT), ', ', CAST(lon AS TEXT)) WHEN 1 THEN concat(CAST(lat AS TEXT), 'N ', replace(CAST(abs(lon) AS TEXT), '.', ','), CASE WHEN lon < 0 THEN 'W' ELSE 'E' END)
  WHEN 2 THEN concat(CASE WHEN lon < 0 THEN 'w' ELSE 'e' END, CAST(abs(lon) AS TEXT), ', n', CAST(lat AS TEXT))
  WHEN 3 THEN concat(CAST(CAST(floor(lat) AS INT) AS TEXT), '° ', CAST(item_id % 60 AS TEXT), '.5 S ,  ', CAST(item_id % 180 AS TEXT), '° ', CAST(item_id % 60 AS TEXT), chr(39), ' ', CAST(item_id % 60 AS TEXT), chr(34), ' W')
- WHEN 4 THEN concat('200.', CAST(item_id AS TEXT), ' 300.0') WHEN 5 THEN 'no position here' WHEN 6 THEN concat('N 48° 75.', CAST(item_id AS TEXT), ', E 2° 10') ELSE concat(CAST(-lat AS TEXT), ' ', CAST(lon AS TEXT)) END"""
+ WHEN 4 THEN CASE WHEN item_id % 16 = 4 THEN concat('N ', CAST(item_id % 90 AS TEXT), '° ', CAST(item_id % 60 AS TEXT), '.250 W ', CAST(item_id % 180 AS TEXT), '° 07.500') ELSE concat('200.', CAST(item_id AS TEXT), ' 300.0') END WHEN 5 THEN 'no position here' WHEN 6 THEN concat('N 48° 75.', CAST(item_id AS TEXT), ', E 2° 10') ELSE concat(CAST(-lat AS TEXT), ' ', CAST(lon AS TEXT)) END"""
 
 
 def parse_coordinate_text(t):
@@ -433,15 +433,15 @@ CHECKS = {
     "validate_find": (
         _q(validate_find),
         WITH_RECORD
-        + f"""SELECT item_id, CASE WHEN found_at IS NULL THEN 'Missing required found_date' WHEN found_at > TIMESTAMP '{AS_OF}' THEN 'found_date cannot be in the future' END AS reject_reason,
- CASE WHEN found_at IS NULL THEN 'Missing required found_date' WHEN found_at > TIMESTAMP '{AS_OF}' THEN 'found_date cannot be in the future' WHEN year(found_at) < 2000 THEN 'found_date seems too old' WHEN length(notes) > 4000 THEN 'Notes too long' END AS strict_reason,
+        + f"""SELECT item_id, CASE WHEN found_at IS NULL THEN 'found_missing' WHEN found_at > TIMESTAMP '{AS_OF}' THEN 'found_in_future' END AS reject_reason,
+ CASE WHEN found_at IS NULL THEN 'found_missing' WHEN found_at > TIMESTAMP '{AS_OF}' THEN 'found_in_future' WHEN year(found_at) < 2000 THEN 'found_too_early' WHEN length(notes) > 4000 THEN 'notes_long' END AS strict_reason,
  CAST(CASE WHEN notes IS NOT NULL THEN least(length(notes), 4000) END AS INT) AS notes_length FROM record""",
     ),
     "validate_consistency": (
         _q(validate_consistency),
         WITH_RECORD
-        + """SELECT item_id, CASE WHEN found_at < placed THEN 'found_date cannot be before placed_at' WHEN mismatch THEN 'GC code mismatch between cache and found data' END AS both_reason,
- CASE WHEN found_at IS NULL THEN 'found mode requires found_date' WHEN found_at < placed THEN 'found_date cannot be before placed_at' WHEN mismatch THEN 'GC code mismatch between cache and found data' END AS found_reason
+        + """SELECT item_id, CASE WHEN found_at < placed THEN 'found_before_placed' WHEN mismatch THEN 'find_of_other_code' END AS both_reason,
+ CASE WHEN found_at IS NULL THEN 'mode_needs_find' WHEN found_at < placed THEN 'found_before_placed' WHEN mismatch THEN 'find_of_other_code' END AS found_reason
  FROM (SELECT *, CASE WHEN year(placed_at) >= 2000 THEN placed_at END AS placed, found_at IS NOT NULL AND item_id % 11 = 0 AS mismatch FROM record)""",
     ),
     "validate_with_reason": (_q(validate_with_reason), WITH_REASONS + "SELECT item_id, reason FROM reasons"),
@@ -492,9 +492,9 @@ CHECKS = {
     "parse_coordinate_text": (
         _q(parse_coordinate_text),
         with_tables("items")
-        + """SELECT item_id, round(CASE item_id % 8 WHEN 0 THEN lat WHEN 1 THEN lat WHEN 2 THEN lat WHEN 3 THEN -(floor(lat) + (item_id % 60 + 0.5) / 60) WHEN 7 THEN -lat END, 6) AS lat,
- round(CASE item_id % 8 WHEN 0 THEN lon WHEN 1 THEN lon WHEN 2 THEN lon WHEN 3 THEN -(item_id % 180 + (item_id % 60) / 60 + (item_id % 60) / 3600) WHEN 7 THEN lon END, 6) AS lon,
- CASE item_id % 8 WHEN 4 THEN 'coordinates out of range' WHEN 5 THEN 'unable to parse position' WHEN 6 THEN 'minutes or seconds out of range' END AS position_error FROM items""",
+        + """SELECT item_id, round(CASE item_id % 8 WHEN 0 THEN lat WHEN 1 THEN lat WHEN 2 THEN lat WHEN 3 THEN -(floor(lat) + (item_id % 60 + 0.5) / 60) WHEN 4 THEN CASE WHEN item_id % 16 = 4 THEN item_id % 90 + (item_id % 60 + 0.25) / 60 END WHEN 7 THEN -lat END, 6) AS lat,
+ round(CASE item_id % 8 WHEN 0 THEN lon WHEN 1 THEN lon WHEN 2 THEN lon WHEN 3 THEN -(item_id % 180 + (item_id % 60) / 60 + (item_id % 60) / 3600) WHEN 4 THEN CASE WHEN item_id % 16 = 4 THEN -(item_id % 180 + 0.125) END WHEN 7 THEN lon END, 6) AS lon,
+ CASE item_id % 8 WHEN 4 THEN CASE WHEN item_id % 16 <> 4 THEN 'coordinates out of range' END WHEN 5 THEN 'unable to parse position' WHEN 6 THEN 'minutes or seconds out of range' END AS position_error FROM items""",
     ),
     "enrich_elevation": (_q(enrich_elevation), with_tables("items") + ELEVATION),
     "enrich_elevation_counts": (

@@ -189,10 +189,10 @@ PATCHES = """SELECT uc_id, user_id, 1 AS ord, CASE seed % 5 WHEN 0 THEN 'complet
  CASE WHEN seed % 7 = 0 THEN repeat('x', 2001) WHEN seed % 7 = 1 THEN '   ' WHEN seed % 7 = 2 THEN ' hello ' END AS notes,
  CASE WHEN seed % 11 = 0 THEN repeat('y', 501) WHEN seed % 11 = 1 THEN 'because' END AS reason FROM full_uc WHERE seed % 3 = 0
  UNION ALL SELECT uc_id, CASE WHEN seed % 2 = 0 THEN user_id + 1 ELSE user_id END, 2, CASE WHEN seed % 4 = 1 THEN 'dismissed' END, 'second', NULL FROM full_uc WHERE seed % 3 = 0"""
-CHECKED = """SELECT p.*, f.computed_status AS computed, CASE WHEN f.uc_id IS NULL THEN 'UserChallenge not found'
- WHEN p.status NOT IN ('pending','accepted','dismissed','completed') THEN concat('Invalid status: ', p.status)
- WHEN f.computed_status = 'completed' AND p.status IN ('pending','dismissed') THEN 'Cannot change status of auto-completed challenge'
- WHEN length(p.notes) > 2000 THEN 'Notes too long (max 2000 characters)' WHEN length(p.reason) > 500 THEN 'Override reason too long (max 500 characters)' END AS error
+CHECKED = """SELECT p.*, f.computed_status AS computed, CASE WHEN f.uc_id IS NULL THEN 'enrolment_unknown'
+ WHEN p.status NOT IN ('pending','accepted','dismissed','completed') THEN concat('status_unknown: ', p.status)
+ WHEN f.computed_status = 'completed' AND p.status IN ('pending','dismissed') THEN 'completed_by_find'
+ WHEN length(p.notes) > 2000 THEN 'notes_long (max 2000 characters)' WHEN length(p.reason) > 500 THEN 'reason_long' END AS error
  FROM patches p LEFT JOIN full_uc f ON f.uc_id = p.uc_id AND f.user_id = p.user_id"""
 APPLIED = f"""SELECT f.uc_id, f.user_id, f.challenge_id, f.seed, coalesce(p.status, f.status) AS status,
  CASE WHEN auto THEN 'completed' ELSE f.computed_status END AS computed_status,

@@ -182,7 +182,7 @@ WITH_WPT = with_tables("items", "item_attributes", extra={"wpt": WPT})
 DIALECT = f"CASE WHEN {PQ_SQL} THEN 'pocket_query' ELSE 'cgeo' END"
 _valid = ing.validated_sql("record").replace("AS reject_reason", "AS bad")
 GOOD = f"""SELECT r.*, v.title AS vtitle, v.lat AS vlat, v.lon AS vlon, v.difficulty AS vd, v.terrain AS vt, v.owner AS vowner, v.placed_at AS vplaced, v.favorites AS vfav, v.status AS vstatus,
- CASE WHEN r.code IS NULL THEN 'no code' WHEN v.bad IS NOT NULL THEN v.bad WHEN found_at > TIMESTAMP '{ing.AS_OF}' THEN 'found_date cannot be in the future' WHEN found_at < v.placed_at THEN 'found_date cannot be before placed_at' END AS why
+ CASE WHEN r.code IS NULL THEN 'no code' WHEN v.bad IS NOT NULL THEN v.bad WHEN found_at > TIMESTAMP '{ing.AS_OF}' THEN 'found_in_future' WHEN found_at < v.placed_at THEN 'found_before_placed' END AS why
  FROM record r JOIN ({_valid}) v USING (item_id)"""
 PLAIN = ing._PLAIN
 IMPORT = {

@@ -78,7 +78,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
  CAST(DATE '2001-02-01' + CAST((user_id*11 + challenge_id) % 300 AS INT) AS DATE) AS updated_at
  FROM (SELECT DISTINCT o_custkey AS user_id, l_partkey - l_partkey % 40 + 3 AS challenge_id, o_custkey * 7 + l_partkey // 40 AS seed
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  WHERE l_partkey % 40 = 4 OR (l_partkey % 40 = 3 AND l_orderkey % 8 = 0))""",
+  WHERE l_partkey % 40 IN (3, 4))""",
     ),
     "tasks": (
         ("enrolments",),

@@ -13,7 +13,7 @@ from checks.progress import RULES, TASK_CTES
 from checks.search import haversine_sql
 from checks.tables import with_tables
 
-SMALL = 20
+SMALL = 200
 
 
 def _q(fn):

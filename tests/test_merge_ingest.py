@@ -48,7 +48,7 @@ def test_plain_name_key_equals_unicode_folding(spark, text):
     "text,lat,lon",
     [
         ("48.8566 2.3522", 48.8566, 2.3522), ("43.1234, 5.6789", 43.1234, 5.6789), ("-33.8688 151.2093", -33.8688, 151.2093),
-        ("N48.8566 E2.3522", 48.8566, 2.3522), ("S33.86 W70.67", -33.86, 70.67), ("48° 30' 36\"N 2° 20' 24\" W", 48.51, -2.34),
+        ("N48.8566 E2.3522", 48.8566, 2.3522), ("S33.86 W70.67", -33.86, -70.67), ("N 40° 42.768 W 074° 00.360", 40.7128, -74.006), ("48° 30' 36\"N 2° 20' 24\" W", 48.51, -2.34),
         ("2.5E, 48.5N", 48.5, 2.5), ("48,5 N 2,25 W", 48.5, -2.25), ("-10.5, -20.5", -10.5, -20.5),
     ],
 )

@@ -1,6 +1,8 @@
 import math
 import random
 
+import pytest
+
 from cairnwise.functions import geo
 from cairnwise.operators import search
 
@@ -52,9 +54,17 @@ def test_page_limits(spark):
     rows = spark.range(0, 500).withColumnRenamed("id", "item_id")
     from pyspark.sql import functions as F
 
-    got = search.page(rows, [F.asc("item_id")], number=3, size=1000).collect()
-    assert [r.item_id for r in got] == list(range(400, 500))
-    assert got[0].total == 500 and got[0].nb_pages == 3
+    got = search.page(rows, [F.asc("item_id")], number=2, size=300).collect()
+    assert [r.item_id for r in got] == list(range(300, 500))
+    assert got[0].total == 500 and got[0].nb_pages == 2
+    assert search.page(rows, [F.asc("item_id")], number=1, size=1000).count() == 500
+    with pytest.raises(ValueError):
+        search.page(rows, [F.asc("item_id")], number=1, size=0)
+
+
+def test_wide_radius_is_honoured(spark):
+    items = spark.createDataFrame([(1, 1.2, 0.0), (2, 1.4, 0.0)], "item_id bigint, lat double, lon double")
+    assert [r.item_id for r in search.within_radius(items, 0.0, 0.0, 150.0).collect()] == [1]
 
 
 def test_proximity_score(spark):
