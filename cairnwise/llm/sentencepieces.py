@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from cairnwise.llm.wordwise import Ragged, WordCache, binary_array, slices, spread, sums, words_of
 
 BLANK = "▁"
+#: Bytes of text that a worker handles at once.
+SLICE = 6 << 20
 _SCHEMA = "doc_id string, ids binary, piece_ends binary, decoded string"
 
 
@@ -137,7 +139,7 @@ class PieceEncoder:
             and not any(BLANK in x.lstrip(BLANK) for x in names)
             and not any(p.type == 4 for p in model.pieces)
         )
-        self.cache = WordCache(lambda words: self.lib.encode(words, num_threads=1), np.uint16 if len(names) < 65536 else np.uint32)
+        self.cache = WordCache(lambda words: self.lib.encode(words, num_threads=1), np.uint16 if len(names) < 65536 else np.uint32, 150_000)
 
     def encode_whole(self, text: str) -> tuple[list[int], np.ndarray]:
         """Ids and the source offset at which each piece ends."""
@@ -190,9 +192,8 @@ class PieceEncoder:
         return Ragged(flat, whole), Ragged(stops, whole)
 
     def decode(self, ids: Ragged) -> list[str]:
-        flat = ids.flat.tolist()
         edges = ids.starts.tolist()
-        return [self.lib.decode(flat[a:b]) for a, b in zip(edges, edges[1:])]
+        return [self.lib.decode(ids.flat[a:b].tolist()) for a, b in zip(edges, edges[1:])]
 
 
 @lru_cache(maxsize=2)
@@ -215,7 +216,7 @@ def encode_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(model_path)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             ids, ends = model.encode(batch.column("text"), begin, end)
             columns = [
                 batch.column("doc_id"),
