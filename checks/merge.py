@@ -192,7 +192,7 @@ PATCHES = """SELECT uc_id, user_id, 1 AS ord, CASE seed % 5 WHEN 0 THEN 'complet
 CHECKED = """SELECT p.*, f.computed_status AS computed, CASE WHEN f.uc_id IS NULL THEN 'enrolment_unknown'
  WHEN p.status NOT IN ('pending','accepted','dismissed','completed') THEN concat('status_unknown: ', p.status)
  WHEN f.computed_status = 'completed' AND p.status IN ('pending','dismissed') THEN 'completed_by_find'
- WHEN length(p.notes) > 2000 THEN 'notes_long (max 2000 characters)' WHEN length(p.reason) > 500 THEN 'reason_long' END AS error
+ WHEN length(p.notes) > 2000 THEN 'notes_long' WHEN length(p.reason) > 500 THEN 'reason_long' END AS error
  FROM patches p LEFT JOIN full_uc f ON f.uc_id = p.uc_id AND f.user_id = p.user_id"""
 APPLIED = f"""SELECT f.uc_id, f.user_id, f.challenge_id, f.seed, coalesce(p.status, f.status) AS status,
  CASE WHEN auto THEN 'completed' ELSE f.computed_status END AS computed_status,
