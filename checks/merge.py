@@ -89,11 +89,11 @@ def count_existing_finds(t):
     return m.count_existing_finds(find_batch(t), t.finds(), t.items())
 
 
-def texts(t):
-    """Texts of a user (one per five thousand item numbers) listing codes of two
-    thirds of the finds, some lower-cased, plus codes of items not found and codes
+def texts(t, finds=None):
+    """Texts of a user (one per five thousand item numbers) listing codes of ``finds``
+    (by default two thirds of them, so that a synchronisation has finds to delete), some lower-cased, plus codes of items not found and codes
     no item has."""
-    words = t.finds().where("item_id % 3 > 0").selectExpr(
+    words = (t.finds().where("item_id % 3 > 0") if finds is None else finds).selectExpr(
         "user_id", "item_id DIV 5000 AS part",
         "CASE item_id % 4 WHEN 0 THEN lower(concat('GC', lpad(CAST(item_id AS STRING), 6, '0')))"
         " WHEN 1 THEN concat('GC', lpad(CAST(item_id AS STRING), 6, '0'), ', gc', lpad(CAST(item_id + 1 AS STRING), 6, '0'), '.')"
@@ -111,7 +111,7 @@ CODES = """SELECT DISTINCT user_id, upper(c) AS code FROM (SELECT user_id, unnes
 
 
 def extract_codes(t):
-    return m.extract_codes(texts(t)).select("user_id", "code").distinct()
+    return m.extract_codes(texts(t, t.finds())).select("user_id", "code").distinct()
 
 
 def _actions(t):
@@ -302,7 +302,7 @@ CHECKS = {
         _q(count_existing_finds),
         FINDS + "SELECT user_id, count(*) AS existing FROM finds WHERE (user_id, item_id) IN (SELECT (user_id, item_id) FROM fbatch) GROUP BY user_id",
     ),
-    "extract_codes_from_text": (_q(extract_codes), with_tables("finds") + CODES),
+    "extract_codes_from_text": (_q(extract_codes), with_tables("finds") + CODES.replace(" WHERE item_id % 3 > 0", "")),
     "sync_finds_full": (
         _q(sync_finds_full),
         with_tables("items", "finds", extra=SYNC)
