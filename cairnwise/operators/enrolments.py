@@ -118,8 +118,9 @@ def override_kind(new_status: Column, computed: Column) -> Column:
 def check_patches(enrolments: DataFrame, patches: DataFrame) -> DataFrame:
     """Patches (``uc_id, user_id, status, notes, reason, ord``) with ``error``.
 
-    A missing value means the field is left alone.
+    A missing value means the field is left alone, and so does a blank status.
     """
+    patches = patches.withColumn("status", F.nullif(F.trim("status"), F.lit("")))
     current = enrolments.select("uc_id", "user_id", F.col("computed_status").alias("computed"), F.lit(True).alias("known"))
     rows = patches.join(current, ["uc_id", "user_id"], "left")
     error = F.coalesce(

@@ -1,7 +1,7 @@
 """Rules stored as JSON text in tables: canonical leaves, checks, signatures.
 
 A rule is taken apart level by level with ``from_json``; how many levels to
-unroll is read off the texts themselves, so no rule is too deep. Labels are
+unroll is read off the nesting of the texts, so no rule is too deep or too wide. Labels are
 resolved by one join of all leaves with the dimension lookup table.
 """
 
@@ -29,35 +29,56 @@ _REF = "array<struct<ref:string,fields:array<string>,value:string,scope:string,m
 _IDS = "array<string>"
 
 
+def _nesting(text: Column) -> Column:
+    """How many braces are open at once in a JSON text, outside its strings."""
+    braces = F.regexp_replace(F.regexp_replace(text, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', ""), "[^{}]", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(acc: Column, brace: Column) -> Column:
+        now = acc["now"] + F.when(brace == "{", 1).when(brace == "}", -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    return F.aggregate(F.split(braces, ""), start, step, lambda acc: acc["most"])
+
+
 def leaves(rules: DataFrame, key: str, expression: str = "expression") -> DataFrame:
-    """One row per leaf: (key, path, parent, and_path, top, n).
+    """One row per leaf: (key, path, trail, parent, and_path, top, n).
 
+    ``trail`` lists the logical kinds from the root down to the leaf.
     ``parent`` is the nearest and/or above the leaf, or 'not' when any
     negation is above it; ``and_path`` says that only 'and' is; a rule that is
-    a bare leaf counts as an 'and' of it. ``n`` holds the parsed leaf.
+    a bare leaf counts as an 'and' of it, as do nodes without a kind. ``n``
+    holds the parsed leaf.
+
+    Levels are unrolled as deep as the texts are nested, however wide they are;
+    leaves that end early are carried along, so the plan grows with depth only.
     """
     texts = rules.where(F.col(expression).isNotNull()).select(key, F.col(expression).alias("text"))
-    deepest = texts.groupBy().agg(F.max(F.regexp_count("text", F.lit('"nodes?"')))).first()[0] or 0
+    deepest = texts.agg(F.max(_nesting(F.col("text")))).first()[0] or 0
     level = texts.select(
-        key, F.lit("0").alias("path"), F.lit("and").alias("parent"), F.lit(True).alias("and_path"),
-        F.lit(None).cast("string").alias("top"), F.from_json("text", _NODE).alias("n"),
+        key, F.lit("0").alias("path"), F.expr("CAST(array() AS array<string>)").alias("trail"), F.from_json("text", _NODE).alias("n")
     )
-    found = None
-    for _ in range(deepest + 1):
-        inner = F.col("n.kind").isin(*LOGICAL)
-        here = level.where(~F.coalesce(inner, F.lit(False))).withColumn("top", F.coalesce("top", F.lit("and")))
-        found = here if found is None else found.unionByName(here)
-        kind = F.col("n.kind")
-        children = F.when(kind == "not", F.array(F.col("n.node"))).otherwise(F.coalesce("n.nodes", F.expr("CAST(array() AS array<string>)")))
-        parent = F.when((F.col("parent") == "not") | (kind == "not"), "not").otherwise(kind)
-        level = level.where(inner).select(
-            key, "path", parent.alias("parent"), (F.col("and_path") & (kind == "and")).alias("and_path"),
-            F.coalesce("top", kind).alias("top"), F.posexplode(children).alias("i", "child"),
+    for _ in range(deepest - 1):
+        kind = F.coalesce("n.kind", F.when(F.col("n.nodes").isNotNull(), "and"))
+        inner = F.coalesce(kind.isin(*LOGICAL), F.lit(False))
+        below = F.when(kind == "not", F.array(F.col("n.node"))).otherwise(F.coalesce("n.nodes", F.expr("CAST(array() AS array<string>)")))
+        children = F.when(inner, below).otherwise(F.expr("CAST(array(NULL) AS array<string>)"))
+        level = level.select(
+            key, "path", "trail", "n", F.when(inner, kind).alias("logical"), F.posexplode(children).alias("i", "child")
         ).select(
-            key, F.concat_ws(".", "path", F.col("i").cast("string")).alias("path"), "parent", "and_path", "top",
-            F.from_json("child", _NODE).alias("n"),
+            key,
+            F.when(F.col("logical").isNull(), F.col("path")).otherwise(F.concat_ws(".", "path", F.col("i").cast("string"))).alias("path"),
+            F.when(F.col("logical").isNull(), F.col("trail")).otherwise(F.concat("trail", F.array("logical"))).alias("trail"),
+            F.when(F.col("logical").isNull(), F.col("n")).otherwise(F.from_json("child", _NODE)).alias("n"),
         )
-    return found
+    negated = F.array_contains("trail", "not")
+    return level.where(~F.coalesce(F.col("n.kind").isin(*LOGICAL), F.lit(False))).select(
+        key, "path", "trail",
+        F.when(negated, "not").otherwise(F.coalesce(F.try_element_at("trail", F.lit(-1)), F.lit("and"))).alias("parent"),
+        F.forall("trail", lambda k: k == "and").alias("and_path"),
+        F.coalesce(F.try_element_at("trail", F.lit(1)), F.lit("and")).alias("top"),
+        "n",
+    )
 
 
 def _references() -> Column:
@@ -178,25 +199,75 @@ def _canonical_texts(rules: DataFrame, key: str, lookup: DataFrame) -> DataFrame
     params = F.concat_ws("|", n["year"].cast("string"), n["date"], n["min"].cast("string"), n["max"].cast("string"), n["min_total"].cast("string"), n["max_difficulty"].cast("string"), n["max_terrain"].cast("string"))
     return (
         base.join(resolved, [key, "path"], "left").join(stated, [key, "path"], "left")
-        .select(key, "path", "parent", "and_path", "top", n["kind"].alias("kind"), union("found", "stated").alias("ids"), union("missing", "strange").alias("unknown"), params.alias("params"), "n")
+        .select(key, "path", "trail", "parent", "and_path", "top", n["kind"].alias("kind"), union("found", "stated").alias("ids"), union("missing", "strange").alias("unknown"), params.alias("params"), "n")
+    )
+
+
+def _node_text(node: Column) -> Column:
+    return F.when(node["op"] == "leaf", node["parts"][0]).otherwise(
+        F.concat(node["op"], F.lit("["), F.array_join(node["parts"], ";"), F.lit("]"))
+    )
+
+
+def _tree_texts(rows: DataFrame, key: str) -> DataFrame:
+    """(key, signature) from leaves (key, path, trail, leaf), built up from the deepest level.
+
+    A node's text holds its children's in order, each once; a nested node of the
+    same kind is merged into it, and an and/or of one child is that child.
+    """
+    rows = materialise(rows, "signature-leaves")
+    deepest = rows.agg(F.max(F.size("trail"))).first()[0] or 0
+    level = rows.select(
+        key, F.split("path", r"\.").alias("place"), "trail",
+        F.struct(F.lit("leaf").alias("op"), F.array("leaf").alias("parts")).alias("node"),
     )
+    for depth in range(deepest, 0, -1):
+        here = F.size("trail") == depth
+        grouped = level.groupBy(
+            key,
+            F.when(here, F.slice("place", 1, depth)).otherwise(F.col("place")).alias("place"),
+            F.when(here, F.slice("trail", 1, depth - 1)).otherwise(F.col("trail")).alias("trail"),
+            F.when(here, F.col("trail")[depth - 1]).alias("op"),
+        ).agg(F.collect_list("node").alias("below"))
+        op = F.col("op")
+        parts = F.transform("below", lambda c: F.when(c["op"] == op, c["parts"]).otherwise(F.array(_node_text(c))))
+        only = F.col("below")[0]
+        level = grouped.withColumn("parts", F.array_sort(F.array_distinct(F.flatten(parts)))).select(
+            key, "place", "trail",
+            F.when(op == "not", F.struct(op.alias("op"), F.array(_node_text(only)).alias("parts")))
+            .when(op.isNull() | (F.size("parts") == 1), only)
+            .otherwise(F.struct(op.alias("op"), F.col("parts").alias("parts"))).alias("node"),
+        )
+    return level.select(key, _node_text(F.col("node")).alias("signature"))
 
 
 def signatures(canonical: DataFrame, key: str) -> DataFrame:
     """Per rule: signature of its item leaves, whether it is 'and' only, and its
-    first usable aggregate with its target."""
-    is_agg = F.col("kind").isin(*AGGREGATES)
-    text = F.concat_ws("", "parent", F.lit(":"), "kind", F.lit("("), "ids", F.lit("|"), "params", F.lit(")"))
+    first usable aggregate with its target.
+
+    Equal signatures mean equal item conditions: the text follows the tree, so
+    'and', 'or' and 'not' stay apart. A rule of aggregates alone has an empty one.
+    """
+    is_agg = F.coalesce(F.col("kind").isin(*AGGREGATES), F.lit(False))
+    text = F.concat_ws("", "kind", F.lit("("), "ids", F.lit("|"), "params", F.lit(")"))
     kind = reduce(lambda acc, kv: acc.when(F.col("kind") == kv[0], kv[1][0]), AGGREGATES.items(), F.when(F.lit(False), ""))
     steps_d = F.bround((F.coalesce("n.max_difficulty", F.lit(5.0)) - 1.0) / 0.5) + 1
     steps_t = F.bround((F.coalesce("n.max_terrain", F.lit(5.0)) - 1.0) / 0.5) + 1
     target = F.when(F.col("kind") == "aggregate_dt_matrix_complete", (steps_d * steps_t).cast("int")).otherwise(F.col("n.min_total"))
     first = F.min(F.when(is_agg & target.isNotNull(), F.struct("path", kind.alias("agg"), target.alias("target"))))
-    return canonical.groupBy(key).agg(
-        F.array_join(F.sort_array(F.collect_list(F.when(~is_agg, text))), ";").alias("signature"),
-        F.min("and_path").alias("and_only"),
-        first.alias("a"),
-    ).select(key, "signature", "and_only", F.col("a.agg").alias("agg_kind"), F.col("a.target").alias("agg_target"))
+    facts = canonical.groupBy(key).agg(F.min("and_path").alias("and_only"), first.alias("a"))
+    texts = _tree_texts(canonical.where(~is_agg).select(key, "path", "trail", text.alias("leaf")), key)
+    return facts.join(texts, key, "left").select(
+        key, F.coalesce("signature", F.lit("")).alias("signature"), "and_only",
+        F.col("a.agg").alias("agg_kind"), F.col("a.target").alias("agg_target"),
+    )
+
+
+def rule_signatures(rules: DataFrame, key: str, lookup: DataFrame, expression: str = "expression") -> DataFrame:
+    """``signatures`` of stored rules; each distinct text is worked on once."""
+    shared = rules.where(F.col(expression).isNotNull()).select(key, F.col(expression).alias("rule_text"))
+    texts = shared.select("rule_text").distinct().withColumn("expression", F.col("rule_text"))
+    return shared.join(signatures(_canonical_texts(texts, "rule_text", lookup), "rule_text"), "rule_text").drop("rule_text")
 
 
 def validate(

@@ -1,6 +1,6 @@
 """Queries over rules stored as JSON text, with their SQL.
 
-Every task carries one of sixteen rule texts; the expected leaves and errors
+Every task carries one of twenty rule texts; the expected leaves and errors
 of each text are stated as rows in the SQL.
 """
 
@@ -24,6 +24,9 @@ _and = lambda *nodes: {"kind": "and", "nodes": list(nodes)}
 _or = lambda *nodes: {"kind": "or", "nodes": list(nodes)}
 SUM_D = {"kind": "aggregate_sum_difficulty_at_least", "min_total": 50}
 SUM_T = {"kind": "aggregate_sum_terrain_at_least", "min_total": 60}
+A, B = {"kind": "type_in", "codes": ["economy"]}, {"kind": "size_in", "codes": ["M"]}
+C, D = {"kind": "placed_year", "year": 2010}, {"kind": "terrain_between", "min": 3, "max": 5}
+_not = lambda node: {"kind": "not", "node": node}
 STATE = {"kind": "state_in", "country_id": 3, "states": [{"name": "state 2"}], "state_ids": [13]}
 
 TEXTS = {
@@ -43,8 +46,12 @@ TEXTS = {
     13: RULE_TEMPLATES[7],
     14: RULE_TEMPLATES[10],
     15: {"kind": "state_in", "state_ids": [9999]},
+    16: _or(_and(A, B), _and(C, D)),
+    17: _or(_and(A, C), _and(D, B)),
+    18: _not(_or(A, B)),
+    19: _and(_not(_and(B, _and(A, B)))),
 }
-_TEXT_NO = "((uc_id DIV 1000000000) * 14 + ((uc_id % 1000000000) DIV 40) * 2 + ord) % 16"
+_TEXT_NO = "((uc_id DIV 1000000000) * 14 + ((uc_id % 1000000000) DIV 40) * 2 + ord) % 20"
 _CASE = f"CASE {_TEXT_NO} " + " ".join(
     f"WHEN {k} THEN '{json.dumps(v)}'" for k, v in TEXTS.items() if v is not None
 ) + " END"
@@ -63,11 +70,11 @@ def canonicalise(t):
 
 
 def rule_signature(t):
-    return rt.signatures(rt.canonical_leaves(payload(t), "task_key", _alias_table(t)), "task_key").select("task_key", "signature", "and_only")
+    return rt.rule_signatures(payload(t), "task_key", _alias_table(t)).select("task_key", "signature", "and_only")
 
 
 def extract_aggregate(t):
-    rows = rt.signatures(rt.canonical_leaves(payload(t), "task_key", _alias_table(t)), "task_key")
+    rows = rt.rule_signatures(payload(t), "task_key", _alias_table(t))
     return rows.select("task_key", "agg_kind", "agg_target").where("agg_kind IS NOT NULL")
 
 
@@ -91,20 +98,29 @@ LEAVES = """SELECT * FROM (VALUES
  (12,'0.0.0.0','not',false,'type_in','promo','',''),(12,'0.0.0.1.0','not',false,'size_in','L','',''),
  (13,'0','and',true,'aggregate_sum_diff_plus_terr_at_least','','','200'),
  (14,'0','and',true,'aggregate_dt_matrix_complete','','','3.0|3.0'),
- (15,'0','and',true,'state_in','','9999','')) v(m, path, parent, and_path, kind, ids, unknown, params)"""
+ (15,'0','and',true,'state_in','','9999',''),
+ (16,'0.0.0','and',false,'type_in','economy','',''),(16,'0.0.1','and',false,'size_in','M','',''),(16,'0.1.0','and',false,'placed_year','','','2010'),(16,'0.1.1','and',false,'terrain_between','','','3.0|5.0'),
+ (17,'0.0.0','and',false,'type_in','economy','',''),(17,'0.0.1','and',false,'placed_year','','','2010'),(17,'0.1.0','and',false,'terrain_between','','','3.0|5.0'),(17,'0.1.1','and',false,'size_in','M','',''),
+ (18,'0.0.0','not',false,'type_in','economy','',''),(18,'0.0.1','not',false,'size_in','M','',''),
+ (19,'0.0.0.0','not',false,'size_in','M','',''),(19,'0.0.0.1.0','not',false,'type_in','economy','',''),(19,'0.0.0.1.1','not',false,'size_in','M','','')) v(m, path, parent, and_path, kind, ids, unknown, params)"""
 ERRORS = """SELECT * FROM (VALUES (0,'missing_expression',NULL),(1,'unknown_in_type_in','nonsense'),(2,'aggregate_not_under_and','or'),(3,'several_aggregates','2'),(4,'state_without_country','13,14'),
  (5,'min_above_max','difficulty_between'),(6,'unknown_in_attributes','nope'),(7,'unknown_in_country_is','Nowhere'),(11,'type_in_matches_everything',NULL),
  (15,'unknown_in_state_in','9999'),(15,'state_without_country','')) v(m, error, detail)"""
+SIGNATURES = """SELECT * FROM (VALUES (1,'type_in(economy|)',true),(2,'size_in(M|)',false),(3,'placed_year(|2010)',true),(4,'state_in(13,14|)',true),
+ (5,'difficulty_between(|4.0|2.0)',true),(6,'attributes(3+,71-|)',true),(7,'country_is(|)',true),(8,'and[country_is(3|);state_in(13,14|)]',true),
+ (9,'size_in(L,S|)',true),(10,'and[difficulty_between(|1.0|2.5);size_in(M|)]',true),(11,'type_in(|)',true),
+ (12,'not[or[not[size_in(L|)];type_in(promo|)]]',false),(13,'',true),(14,'',true),(15,'state_in(|)',true),
+ (16,'or[and[placed_year(|2010);terrain_between(|3.0|5.0)];and[size_in(M|);type_in(economy|)]]',false),
+ (17,'or[and[placed_year(|2010);type_in(economy|)];and[size_in(M|);terrain_between(|3.0|5.0)]]',false),
+ (18,'not[or[size_in(M|);type_in(economy|)]]',false),(19,'not[and[size_in(M|);type_in(economy|)]]',false)) v(m, signature, and_only)"""
 TEXT_NO_SQL = _TEXT_NO.replace("DIV", "//")
-BASE = with_tables("tasks", "users", extra={"leaves": LEAVES, "errors": ERRORS})
+BASE = with_tables("tasks", "users", extra={"leaves": LEAVES, "errors": ERRORS, "signatures": SIGNATURES})
 
 CHECKS = {
     "canonicalise_rules": (_q(canonicalise), BASE + "SELECT task_id AS task_key, path, parent, and_path, kind, ids, unknown, params FROM tasks JOIN leaves ON m = TEXT_NO"),
     "rule_signature": (
         _q(rule_signature),
-        BASE
-        + """SELECT task_id AS task_key, coalesce(string_agg(concat(parent, ':', kind, '(', ids, '|', params, ')'), ';' ORDER BY concat(parent, ':', kind, '(', ids, '|', params, ')')) FILTER (WHERE kind NOT LIKE 'aggregate%'), '') AS signature,
- bool_and(and_path) AS and_only FROM tasks JOIN leaves ON m = TEXT_NO GROUP BY task_id""",
+        BASE + "SELECT task_id AS task_key, signature, and_only FROM tasks JOIN signatures ON m = TEXT_NO",
     ),
     "extract_aggregate": (
         _q(extract_aggregate),

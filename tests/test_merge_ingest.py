@@ -103,3 +103,13 @@ def test_orphan_cleanup_is_idempotent(spark, tmp_path):
     ]
     cleaned = audit.clean(tables, report, str(tmp_path / "backup"))
     assert audit.orphans(cleaned).count() == 0
+
+
+def test_blank_status_leaves_the_status_alone(spark):
+    uc = spark.createDataFrame([(1, 1, "accepted", None), (2, 1, "accepted", "completed")], "uc_id long, user_id long, status string, computed_status string")
+    patches = spark.createDataFrame(
+        [(1, 1, "  ", "x", None, 1), (2, 1, "", None, None, 1), (1, 1, "gone", None, None, 2)],
+        "uc_id long, user_id long, status string, notes string, reason string, ord int",
+    )
+    got = {(r.uc_id, r.ord): (r.status, r.error) for r in e.check_patches(uc, patches).collect()}
+    assert got == {(1, 1): (None, None), (2, 1): (None, None), (1, 2): ("gone", "status_unknown: gone")}
