@@ -48,16 +48,22 @@ def _children(rule: dict) -> list[dict]:
 def _leaf(leaf: dict) -> Column:
     kind = leaf["kind"]
     if kind == "type_in":
-        codes = [c.lower() for c in leaf.get("codes", [])]
+        given = [t.get("id") or t.get("type_code") or t.get("code") for t in leaf.get("types") or []]
+        codes = [c.lower() for c in [*given, *(leaf.get("codes") or []), *(leaf.get("type_ids") or [])] if c]
         return F.col("type_code").isin(codes) if codes else F.lit(True)
     if kind == "size_in":
-        codes = list(leaf.get("codes", []))
-        return F.col("size_code").isin(codes) if codes else F.lit(True)
+        given = [s.get("id") or s.get("code") for s in leaf.get("sizes") or []]
+        codes = [c for c in [*given, *(leaf.get("codes") or []), *(leaf.get("size_ids") or [])] if c]
+        if not codes and (leaf.get("names") or leaf.get("sizes")):
+            raise ValueError("sizes given by name: use resolve_labels first")
+        # both cases are listed, so that the filter still reaches the scan
+        return F.col("size_code").isin(sorted({v for c in codes for v in (c, c.upper(), c.lower())})) if codes else F.lit(True)
     if kind == "country_is":
         country = leaf.get("country_id")
-        return F.lit(False) if country is None else F.col("country_id") == country
+        return F.lit(False) if country is None else F.col("country_id") == int(country)
     if kind == "state_in":
-        states = list(leaf.get("state_ids", []))
+        given = [s.get("state_id") for s in leaf.get("states") or []]
+        states = [int(s) for s in [*given, *(leaf.get("state_ids") or [])] if s is not None]
         return F.col("state_id").isin(states) if states else F.lit(False)
     if kind == "placed_year":
         year = int(leaf["year"])
@@ -72,7 +78,7 @@ def _leaf(leaf: dict) -> Column:
     if kind == "terrain_between":
         return F.col("terrain").between(float(leaf["min"]), float(leaf["max"]))
     if kind == "attributes":
-        wanted = leaf.get("attributes", [])
+        wanted = [*(leaf.get("attributes") or []), *({"code": c} for c in leaf.get("codes") or [])]
         return reduce(lambda a, b: a & b, [_attribute(w) for w in wanted], F.lit(True))
     raise ValueError(f"unknown rule kind {kind!r}")
 
@@ -84,6 +90,68 @@ def _attribute(wanted: dict) -> Column:
     return F.exists("attributes", lambda a: (a["attr_id"] == ident) & (a["is_positive"] == sign))
 
 
+# Lookup fields in which a label of each dimension is searched, in this order.
+_FIELDS = {"type": ["code"], "size": ["code", "name", "alias"], "country": ["name"], "state": ["name"], "attribute": ["code", "name"]}
+
+
+def _labels(leaf: dict) -> tuple[str | None, list[tuple[str, dict]], list]:
+    """Dimension of a leaf, its labels (with the entry they stand in), and the ids it states."""
+    entries = lambda name: [e for e in leaf.get(name) or []]
+    plain = lambda *names: [(v, {}) for n in names for v in entries(n)]
+    kind = leaf.get("kind")
+    if kind == "type_in":
+        dim, found, ids = "type", [(t.get("type_code") or t.get("code"), t) for t in entries("types")] + plain("codes"), entries("type_ids")
+    elif kind == "size_in":
+        dim, found, ids = "size", [(s.get("code") or s.get("name"), s) for s in entries("sizes")] + plain("codes", "names"), entries("size_ids")
+    elif kind == "country_is":
+        named = leaf.get("country") or {}
+        dim, found, ids = "country", [(named.get("name") or named.get("code"), named)], [leaf.get("country_id")]
+    elif kind == "state_in":
+        dim, found, ids = "state", [(s.get("name"), {"id": s.get("state_id")}) for s in entries("states")], entries("state_ids")
+    elif kind == "attributes":
+        dim, found, ids = "attribute", [(a.get("code"), a) for a in entries("attributes")] + plain("codes"), []
+    else:
+        return None, [], []
+    ids = [i for i in [*ids, *(e.get("id") for _, e in found if dim != "attribute")] if i is not None]
+    return dim, [(text, e) for text, e in found if e.get("id") is not None or text], ids
+
+
+def resolve_labels(rules: dict[int, dict], lookup: DataFrame) -> dict[int, dict]:
+    """The rules with every label replaced by its id from ``referentials.alias_table``.
+
+    Labels are compared without case. Types or sizes of which none is known do
+    not filter; an unknown country, state or attribute matches nothing. Only
+    lookup rows of labels in these rules are fetched.
+    """
+    asked = {text.lower() for rule in rules.values() for leaf in _leaves(rule) for text, _ in _labels(leaf)[1] if text}
+    rows = lookup.where(F.col("key").isin(sorted(asked))).collect() if asked else []
+    known = {(r["kind"], r["field"], r["key"], r["scope"]): r["id"] for r in rows if r["kind"] != "state" or r["candidates"] == 1}
+
+    def find(dim: str, text: str, scope) -> str | None:
+        keys = [(dim, field, text.lower(), None if scope is None else str(scope)) for field in _FIELDS[dim]]
+        return next((known[k] for k in keys if k in known), None)
+
+    def resolved(node: dict) -> dict:
+        if node.get("kind") == "not":
+            return {**node, "node": resolved(node["node"])}
+        if isinstance(node.get("nodes"), list):
+            return {**node, "nodes": [resolved(n) for n in node["nodes"]]}
+        dim, found, ids = _labels(node)
+        if dim is None:
+            return node
+        scope = node.get("country_id") if dim == "state" else None
+        if dim == "attribute":
+            wanted = [{"id": e["id"] if e.get("id") is not None else find(dim, text, None), "is_positive": e.get("is_positive", True)} for text, e in found]
+            return {"kind": node["kind"], "attributes": wanted}
+        if dim != "country" or not ids:
+            ids = ids + [i for i in (find(dim, text, scope) for text, e in found if e.get("id") is None) if i is not None]
+        if dim == "country":
+            return {"kind": node["kind"], "country_id": ids[0] if ids else None}
+        return {"kind": node["kind"], f"{dim}_ids": ids}
+
+    return {k: resolved(rule) for k, rule in rules.items()}
+
+
 def predicate(rule: dict) -> Column:
     """The rule as a Column over items; aggregate leaves do not filter.
 
@@ -110,7 +178,7 @@ def is_and_only(rule: dict) -> bool:
 
 
 def _leaves(rule: dict):
-    if rule.get("kind") in LOGICAL:
+    if rule.get("kind") in LOGICAL or isinstance(rule.get("nodes"), list):
         for child in _children(rule):
             yield from _leaves(child)
     else:

@@ -1,9 +1,10 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from cairnwise.operators import progress as p
-from cairnwise.operators.rules import RuleSet, aggregate_of, is_and_only, matching_items, signature, wrap
+from cairnwise.operators.rules import RuleSet, aggregate_of, is_and_only, matching_items, resolve_labels, signature, wrap
 
 ITEMS = "item_id long, type_code string, size_code string, country_id int, state_id int, placed_at date, difficulty double, terrain double, elevation int, attributes array<struct<attr_id:int,is_positive:boolean>>"
 
@@ -34,6 +35,37 @@ def test_leaf_edges(spark):
     assert ids(matching_items(data, {"kind": "attributes", "attributes": [{"code": "unknown"}]})) == []
 
 
+def test_every_leaf_form(spark):
+    data = items(spark).withColumn("state_id", F.col("item_id").cast("int") % 3)
+    assert ids(matching_items(data, {"kind": "type_in", "types": [{"code": "b"}]})) == [1, 4, 7, 10]
+    assert ids(matching_items(data, {"kind": "type_in", "type_ids": ["zzz"]})) == []
+    assert ids(matching_items(data, {"kind": "size_in", "codes": ["s"]})) == [0, 2, 4, 6, 8, 10]
+    assert ids(matching_items(data, {"kind": "attributes", "codes": ["one"]})) == []
+    with pytest.raises(ValueError):
+        matching_items(data, {"kind": "size_in", "names": ["small"]})
+    rows = [("type", "code", "b", None, "b", 1), ("size", "name", "small", None, "S", 1), ("size", "alias", "tiny", None, "S", 1),
+            ("country", "name", "land", None, "1", 1), ("state", "name", "north", "1", "2", 1), ("state", "name", "south", "1", "0", 2),
+            ("attribute", "name", "one", None, "1", 1)]
+    lookup = spark.createDataFrame(rows, "kind string, field string, key string, scope string, id string, candidates long")
+    cases = [
+        ({"kind": "type_in", "types": [{"type_code": "B"}], "codes": ["nonsense"]}, [1, 4, 7, 10]),
+        ({"kind": "type_in", "codes": ["nonsense"]}, list(range(12))),
+        ({"kind": "type_in", "type_ids": ["c"]}, [2, 5, 8, 11]),
+        ({"kind": "size_in", "names": ["Tiny"]}, [0, 2, 4, 6, 8, 10]),
+        ({"kind": "size_in", "sizes": [{"name": "SMALL"}, {"id": "M"}]}, list(range(12))),
+        ({"kind": "country_is", "country": {"name": "Land"}}, [1, 9]),
+        ({"kind": "country_is", "country": {"name": "nowhere"}}, []),
+        ({"kind": "state_in", "country_id": 1, "states": [{"name": "North"}, {"name": "South"}]}, [2, 5, 8, 11]),
+        ({"kind": "state_in", "states": [{"state_id": 1}]}, [1, 4, 7, 10]),
+        ({"kind": "attributes", "codes": ["ONE"]}, [1, 4, 7, 10]),
+        ({"kind": "attributes", "attributes": [{"code": "one"}, {"id": 7, "is_positive": False}]}, [1, 7]),
+        ({"nodes": [{"kind": "not", "node": {"kind": "type_in", "codes": ["b"]}}, {"kind": "or", "nodes": [{"kind": "attributes", "codes": ["one"]}, {"kind": "size_in", "names": ["small"]}]}]}, [0, 2, 6, 8]),
+    ]
+    got = resolve_labels(dict(enumerate(rule for rule, _ in cases)), lookup)
+    for i, (rule, expected) in enumerate(cases):
+        assert ids(matching_items(data, got[i])) == expected, rule
+
+
 def test_rule_structure():
     nested = {"kind": "and", "nodes": [{"kind": "and", "nodes": [{"kind": "size_in", "codes": ["M"]}]}, {"kind": "aggregate_sum_terrain_at_least", "min_total": 5}]}
     flat = {"kind": "and", "nodes": [{"kind": "size_in", "codes": ["M"]}]}
