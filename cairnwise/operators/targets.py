@@ -120,17 +120,30 @@ def excluded_items(users: DataFrame, finds: DataFrame, items: DataFrame) -> Data
     return finds.select("user_id", "item_id").unionByName(owned.select("user_id", "item_id")).distinct()
 
 
+def _id_buckets(postings: DataFrame, ids: DataFrame) -> DataFrame:
+    """(key, item_id, bucket): buckets between the quantiles of ``ids``, in their order.
+
+    The bounds are fetched once: approximate quantiles may come out otherwise in
+    another run, and every use of the buckets must agree.
+    """
+    shares = [i / ID_BUCKETS for i in range(1, ID_BUCKETS)]
+    bounds = ids.agg(F.percentile_approx("item_id", shares, 20 * ID_BUCKETS)).first()[0] or []
+    # how many bounds lie below the id: every 16th one first, then those in between
+    below = lambda values: F.size(F.filter(values, lambda b: b < F.col("item_id")))
+    fixed = lambda values: F.array(*[F.lit(v) for v in values]).cast("array<bigint>")
+    return postings.withColumn("coarse", below(fixed(bounds[15::16]))).select(
+        "key", "item_id", (F.col("coarse") * 16 + below(F.slice(fixed(bounds), F.col("coarse") * 16 + 1, 16))).alias("bucket")
+    )
+
+
 def ranked_postings(postings: DataFrame, ids: DataFrame) -> DataFrame:
     """Adds ``rank`` (1-based, by id) per list without sorting a list in one task.
 
-    Items are bucketed by id range; bucket counts give each bucket its offset
-    in the list, and ranks are counted inside a bucket only.
+    Items are bucketed by quantiles of the ids, so outlying ids do not crowd the
+    others into few buckets; bucket counts give each bucket its offset in the
+    list, and ranks are counted inside a bucket only.
     """
-    span = ids.groupBy().agg(F.struct(F.min("item_id").alias("low"), F.max("item_id").alias("high"))).scalar()
-    width = F.greatest(F.ceil((F.col("span.high") - F.col("span.low") + 1) / F.lit(ID_BUCKETS)), F.lit(1))
-    bucketed = postings.withColumn("span", span).select(
-        "key", "item_id", F.floor((F.col("item_id") - F.col("span.low")) / width).cast("int").alias("bucket")
-    )
+    bucketed = _id_buckets(postings, ids)
     before = W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         bucketed.groupBy("key", "bucket").agg(F.count(F.lit(1)).alias("n"))

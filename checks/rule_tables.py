@@ -11,6 +11,7 @@ import json
 from pyspark.sql import functions as F
 
 from cairnwise.operators import rule_tables as rt
+from cairnwise.operators import rules as r
 from cairnwise.sources.sample_tables import RULE_TEMPLATES, SampleTables
 from checks.ingest import _alias_table
 from checks.tables import with_tables
@@ -136,4 +137,34 @@ CHECKS = {
     ),
 }
 
+# One form of a leaf each, labels resolved through the lookup table, and its condition.
+FORMS = {
+    "type_in_types": ({"kind": "type_in", "types": [{"type_code": "PROMO"}, {"code": "small"}]}, "type_code IN ('promo', 'small')"),
+    "type_in_type_ids": ({"kind": "type_in", "type_ids": ["economy"]}, "type_code = 'economy'"),
+    "type_in_part_unknown": ({"kind": "type_in", "codes": ["economy", "nonsense"]}, "type_code = 'economy'"),
+    "type_in_unknown": ({"kind": "type_in", "codes": ["nonsense"]}, "true"),
+    "size_in_names": ({"kind": "size_in", "names": ["Small", "ALIAS-large"]}, "size_code IN ('S', 'L')"),
+    "size_in_sizes": ({"kind": "size_in", "sizes": [{"name": "micro"}, {"code": "o"}], "size_ids": ["R"]}, "size_code IN ('M', 'O', 'R')"),
+    "country_is_name": ({"kind": "country_is", "country": {"name": "nation_3"}}, "country_id = 3"),
+    "country_is_unknown": (_or({"kind": "country_is", "country": {"name": "Nowhere"}}, B), "size_code = 'M'"),
+    "state_in_names": (_and({"kind": "country_is", "country_id": 3}, STATE), "country_id = 3 AND state_id IN (13, 14)"),
+    "attributes_codes": ({"kind": "attributes", "codes": ["attr_3"]}, "i.item_id IN (SELECT item_id FROM item_attributes WHERE attr_id = 3 AND is_positive)"),
+    "attributes_code_unset": (
+        {"kind": "attributes", "attributes": [{"code": "ATTR_8", "is_positive": False}]},
+        "i.item_id IN (SELECT item_id FROM item_attributes WHERE attr_id = 8 AND NOT is_positive)",
+    ),
+    "or_not_by_labels": (_or(_not({"kind": "size_in", "names": ["small"]}), _and({"kind": "attributes", "codes": ["attr_3"]}, C)),
+                         "size_code <> 'S' OR (year(placed_at) = 2010 AND i.item_id IN (SELECT item_id FROM item_attributes WHERE attr_id = 3 AND is_positive))"),
+}
+
+
+def _form(rule):
+    return _q(lambda t: r.matching_items(t.items(), r.resolve_labels({0: rule}, _alias_table(t))[0]).select("item_id", "code"))
+
+
+CHECKS.update({
+    f"rule_{name}": (_form(rule), with_tables("items", "item_attributes") + f"SELECT item_id, code FROM items i WHERE {sql}")
+    for name, (rule, sql) in FORMS.items()
+})
+
 CHECKS = {name: (fn, sql.replace("TEXT_NO", TEXT_NO_SQL)) for name, (fn, sql) in CHECKS.items()}

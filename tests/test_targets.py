@@ -124,3 +124,11 @@ def test_merge_twice_changes_nothing(spark, world):
     assert {r.change for r in once.collect()} == {"inserted"} and {r.change for r in again.collect()} == {"same"}
     found = frames["finds"].select("user_id", "item_id")
     assert once.join(found, ["user_id", "item_id"]).count() == 0
+
+
+def test_an_outlying_id_does_not_crowd_the_buckets(spark):
+    ids = [*range(10_000), 10**15]
+    lists = spark.createDataFrame([("k", i) for i in ids], "key string, item_id long")
+    ranked = g.ranked_postings(lists, lists.select("item_id"))
+    assert [(r["item_id"], r["rank"]) for r in ranked.orderBy("rank").collect()] == [(i, n) for n, i in enumerate(ids, 1)]
+    assert g._id_buckets(lists, lists.select("item_id")).groupBy("bucket").count().agg({"count": "max"}).first()[0] < 100
