@@ -13,27 +13,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cairnwise.functions import grids
-from cairnwise.operators.rules import RuleSet, tag_items
+from cairnwise.operators.rule_tables import StoredRules
+from cairnwise.operators.rules import RuleSet
 
 TAG_COLUMNS = ["difficulty", "terrain", "elevation", "country_id"]
 
 
-def rule_hits(finds: DataFrame, items: DataFrame, user_rules: DataFrame, rules: RuleSet) -> DataFrame:
+def rule_hits(finds: DataFrame, items: DataFrame, user_rules: DataFrame, rules: RuleSet | StoredRules) -> DataFrame:
     """(user_id, sig, found_date, item columns): finds matching a rule of their user.
 
-    ``user_rules`` holds (user_id, sig) pairs; a user's signatures travel as
-    one small array, so the join multiplies nothing and only real matches are
-    exploded.
+    ``user_rules`` holds user_id and sig, for stored rules also their program.
     """
-    wanted = user_rules.groupBy("user_id").agg(F.collect_set("sig").alias("user_sigs"))
-    tagged = tag_items(items, rules, TAG_COLUMNS).where(F.size("sigs") > 0)
-    return (
-        finds.select("user_id", "item_id", "found_date")
-        .join(wanted, "user_id")
-        .join(tagged, "item_id")
-        .withColumn("sig", F.explode(F.array_intersect("sigs", "user_sigs")))
-        .drop("sigs", "user_sigs")
-    )
+    return rules.hits(finds, items, user_rules, TAG_COLUMNS)
 
 
 def daily_totals(hits: DataFrame) -> DataFrame:
@@ -61,22 +52,20 @@ def distinct_countries(hits: DataFrame) -> DataFrame:
     )
 
 
-def with_rules(tasks: DataFrame, rules: RuleSet, and_only: bool = True) -> DataFrame:
+def with_rules(tasks: DataFrame, rules: RuleSet | StoredRules, and_only: bool = True) -> DataFrame:
     """Tasks with their rule's signature and aggregate; ``supported`` is false
     for rules with or/not when ``and_only`` is asked for, and for unknown rules."""
-    table = rules.table(tasks.sparkSession)
-    joined = tasks.join(table, "rule_id", "left")
+    joined = rules.attach(tasks)
     supported = F.col("sig").isNotNull() & (F.col("and_only") | F.lit(not and_only))
     return joined.withColumn("supported", F.coalesce(supported, F.lit(False)))
 
 
-def task_measures(tasks: DataFrame, finds: DataFrame, items: DataFrame, rules: RuleSet) -> DataFrame:
+def task_measures(tasks: DataFrame, finds: DataFrame, items: DataFrame, rules: RuleSet | StoredRules) -> DataFrame:
     """Per task: count, the six aggregates' values, first and n-th date.
 
     ``tasks`` comes from ``with_rules``; ``min_count`` is the n of the n-th date.
     """
-    pairs = tasks.select("user_id", "sig").distinct()
-    hits = rule_hits(finds, items, pairs, rules)
+    hits = rule_hits(finds, items, tasks, rules)
     keyed = tasks.select("task_id", "user_id", "sig", "min_count", "agg_kind", "max_d", "max_t")
     measures = (
         keyed.join(daily_totals(hits), ["user_id", "sig"])
@@ -94,10 +83,9 @@ def task_measures(tasks: DataFrame, finds: DataFrame, items: DataFrame, rules: R
             F.min(F.when((F.col("min_count") > 0) & (F.col("running") >= F.col("min_count")), F.col("found_date"))).alias("nth_date"),
         )
     )
-    kinds = {r.aggregate["kind"] for r in rules.rules if r.aggregate}
-    if "distinct_countries" in kinds:
-        asking = keyed.where("agg_kind = 'distinct_countries'")
-        sub = rule_hits(finds, items, asking.select("user_id", "sig").distinct(), rules)
+    if isinstance(rules, StoredRules) or any(r.aggregate and r.aggregate["kind"] == "distinct_countries" for r in rules.rules):
+        asking = tasks.where("agg_kind = 'distinct_countries'")
+        sub = rule_hits(finds, items, asking, rules)
         counted = asking.join(distinct_countries(sub), ["user_id", "sig"]).select("task_id", "countries")
         measures = measures.join(counted, "task_id", "left")
     else:
@@ -121,10 +109,13 @@ def aggregate_total(kind: Column) -> Column:
 
 
 def task_progress(
-    tasks: DataFrame, finds: DataFrame, items: DataFrame, rules: RuleSet, force: bool = False, and_only: bool = True
+    tasks: DataFrame, finds: DataFrame, items: DataFrame, rules: RuleSet | StoredRules, force: bool = False, and_only: bool = True
 ) -> DataFrame:
     """One row per task with count, percent, aggregate, status and dates.
 
+    Rules come from a ``RuleSet`` by ``rule_id``, or from the tasks' own
+    expressions with ``StoredRules``.
+
     A task the user marked done stands at 100 % unless ``force``. Tasks may
     carry ``start_found_at`` and ``completed_at`` from an earlier evaluation:
     the start is kept, the completion is recomputed.

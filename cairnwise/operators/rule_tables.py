@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnwise.operators.rules import AGGREGATES, LOGICAL
+from cairnwise.operators.rules import AGGREGATES, ITEM_LEAVES, LOGICAL
 from cairnwise.session import materialise
 
 _NODE = (
@@ -209,17 +209,24 @@ def _node_text(node: Column) -> Column:
     )
 
 
-def _tree_texts(rows: DataFrame, key: str) -> DataFrame:
-    """(key, signature) from leaves (key, path, trail, leaf), built up from the deepest level.
+def _token(op, n: Column) -> Column:
+    """A step of a program that joins the last ``n`` results."""
+    return F.struct(op.alias("op"), n.alias("n"), F.lit(None).cast("string").alias("params"), F.lit(None).cast(_IDS).alias("ids"), F.lit(True).alias("known"),
+                    F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
+
+
+def _trees(rows: DataFrame, key: str) -> DataFrame:
+    """(key, signature, program) from leaves (key, path, trail, leaf, token), built up from the deepest level.
 
     A node's text holds its children's in order, each once; a nested node of the
-    same kind is merged into it, and an and/or of one child is that child.
+    same kind is merged into it, and an and/or of one child is that child. A
+    node's program is its children's one after another, then how to join them.
     """
     rows = materialise(rows, "signature-leaves")
     deepest = rows.agg(F.max(F.size("trail"))).first()[0] or 0
     level = rows.select(
         key, F.split("path", r"\.").alias("place"), "trail",
-        F.struct(F.lit("leaf").alias("op"), F.array("leaf").alias("parts")).alias("node"),
+        F.struct(F.lit("leaf").alias("op"), F.array("leaf").alias("parts"), F.array("token").alias("program")).alias("node"),
     )
     for depth in range(deepest, 0, -1):
         here = F.size("trail") == depth
@@ -232,13 +239,14 @@ def _tree_texts(rows: DataFrame, key: str) -> DataFrame:
         op = F.col("op")
         parts = F.transform("below", lambda c: F.when(c["op"] == op, c["parts"]).otherwise(F.array(_node_text(c))))
         only = F.col("below")[0]
+        joined = F.concat(F.flatten(F.transform("below", lambda c: c["program"])), F.array(_token(op, F.size("below"))))
         level = grouped.withColumn("parts", F.array_sort(F.array_distinct(F.flatten(parts)))).select(
             key, "place", "trail",
-            F.when(op == "not", F.struct(op.alias("op"), F.array(_node_text(only)).alias("parts")))
+            F.when(op == "not", F.struct(op.alias("op"), F.array(_node_text(only)).alias("parts"), joined.alias("program")))
             .when(op.isNull() | (F.size("parts") == 1), only)
-            .otherwise(F.struct(op.alias("op"), F.col("parts").alias("parts"))).alias("node"),
+            .otherwise(F.struct(op.alias("op"), F.col("parts").alias("parts"), joined.alias("program"))).alias("node"),
         )
-    return level.select(key, _node_text(F.col("node")).alias("signature"))
+    return level.select(key, _node_text(F.col("node")).alias("signature"), "node.program")
 
 
 def signatures(canonical: DataFrame, key: str) -> DataFrame:
@@ -247,6 +255,8 @@ def signatures(canonical: DataFrame, key: str) -> DataFrame:
 
     Equal signatures mean equal item conditions: the text follows the tree, so
     'and', 'or' and 'not' stay apart. A rule of aggregates alone has an empty one.
+    ``program`` holds the steps that ``matches`` follows; ``known`` is false where
+    a leaf is of no known kind.
     """
     is_agg = F.coalesce(F.col("kind").isin(*AGGREGATES), F.lit(False))
     text = F.concat_ws("", "kind", F.lit("("), "ids", F.lit("|"), "params", F.lit(")"))
@@ -254,13 +264,108 @@ def signatures(canonical: DataFrame, key: str) -> DataFrame:
     steps_d = F.bround((F.coalesce("n.max_difficulty", F.lit(5.0)) - 1.0) / 0.5) + 1
     steps_t = F.bround((F.coalesce("n.max_terrain", F.lit(5.0)) - 1.0) / 0.5) + 1
     target = F.when(F.col("kind") == "aggregate_dt_matrix_complete", (steps_d * steps_t).cast("int")).otherwise(F.col("n.min_total"))
-    first = F.min(F.when(is_agg & target.isNotNull(), F.struct("path", kind.alias("agg"), target.alias("target"))))
-    facts = canonical.groupBy(key).agg(F.min("and_path").alias("and_only"), first.alias("a"))
-    texts = _tree_texts(canonical.where(~is_agg).select(key, "path", "trail", text.alias("leaf")), key)
-    return facts.join(texts, key, "left").select(
-        key, F.coalesce("signature", F.lit("")).alias("signature"), "and_only",
+    first = F.min(
+        F.when(
+            is_agg & target.isNotNull(),
+            F.struct("path", kind.alias("agg"), target.alias("target"), *[F.coalesce(f"n.{c}", F.lit(5.0)).alias(c) for c in ("max_difficulty", "max_terrain")]),
+        )
+    )
+    known = F.coalesce(F.col("kind").isin(*AGGREGATES, *ITEM_LEAVES), F.lit(False))
+    facts = canonical.groupBy(key).agg(F.min("and_path").alias("and_only"), F.min(known).alias("known"), first.alias("a"))
+    token = F.struct(
+        F.col("kind").alias("op"), F.lit(0).alias("n"), F.coalesce(F.col("n.year").cast("string"), "n.date").alias("params"),
+        F.when(F.col("ids") == "", F.array().cast(_IDS)).otherwise(F.split("ids", ",")).alias("ids"), (F.col("unknown") == "").alias("known"),
+        F.col("n.min").alias("low"), F.col("n.max").alias("high"),
+    )
+    trees = _trees(canonical.where(~is_agg).select(key, "path", "trail", text.alias("leaf"), token.alias("token")), key)
+    matrix = F.col("a.agg") == "dt_matrix"
+    return facts.join(trees, key, "left").select(
+        key, F.coalesce("signature", F.lit("")).alias("signature"), "and_only", "known", "program",
         F.col("a.agg").alias("agg_kind"), F.col("a.target").alias("agg_target"),
+        F.when(matrix, F.col("a.max_difficulty")).alias("max_d"), F.when(matrix, F.col("a.max_terrain")).alias("max_t"),
+    )
+
+
+def item_keys(items: DataFrame, columns: list[str]) -> DataFrame:
+    """Items with what ``matches`` compares (``k``), made once per item."""
+    k = F.struct(
+        "type_code", "size_code", F.col("country_id").cast("string").alias("country"), F.col("state_id").cast("string").alias("state"),
+        F.col("placed_at").cast("date").alias("placed"), F.col("difficulty").alias("d"), F.col("terrain").alias("t"),
+        F.transform("attributes", lambda a: F.concat(a["attr_id"].cast("string"), F.when(a["is_positive"], "+").otherwise("-"))).alias("attributes"),
     )
+    return items.select("item_id", *columns, k.alias("k"))
+
+
+def _holds(step: Column, k: Column) -> Column:
+    """Whether one leaf holds; what is missing never does."""
+    ids = step["ids"]
+
+    def among(value: Column) -> Column:
+        return F.array_contains(ids, value)
+
+    by_kind = {
+        "type_in": (F.size(ids) == 0) | among(k["type_code"]),
+        "size_in": (F.size(ids) == 0) | among(k["size_code"]),
+        "country_is": among(k["country"]),
+        "state_in": among(k["state"]),
+        "placed_year": F.year(k["placed"]).cast("string") == step["params"],
+        "placed_before": k["placed"] < F.try_to_date(step["params"]),
+        "placed_after": k["placed"] > F.try_to_date(step["params"]),
+        "difficulty_between": k["d"].between(step["low"], step["high"]),
+        "terrain_between": k["t"].between(step["low"], step["high"]),
+        "attributes": step["known"] & F.forall(ids, lambda i: F.array_contains(k["attributes"], i)),
+    }
+    out = None
+    for kind, value in by_kind.items():
+        out = F.when(step["op"] == kind, value) if out is None else out.when(step["op"] == kind, value)
+    return F.coalesce(out, F.lit(False))
+
+
+def matches(program: Column, k: Column) -> Column:
+    """The rule over an item: the steps in order, each and/or/not joining the
+    results before it. A missing program (a rule of aggregates alone) holds."""
+
+    def follow(done: Column, step: Column) -> Column:
+        before = F.slice(done, F.lit(1), F.size(done) - step["n"])
+        last = F.slice(done, F.size(done) - step["n"] + 1, step["n"])
+        joined = (
+            F.when(step["op"] == "and", F.forall(last, lambda v: v))
+            .when(step["op"] == "or", F.exists(last, lambda v: v))
+            .when(step["op"] == "not", ~F.exists(last, lambda v: v))
+            .otherwise(_holds(step, k))
+        )
+        return F.concat(before, F.array(joined))
+
+    done = F.aggregate(program, F.array().cast("array<boolean>"), follow)
+    return F.coalesce(F.try_element_at(done, F.lit(1)), F.lit(True))
+
+
+class StoredRules:
+    """Rules that a table's rows hold as JSON (``expression``), for progress.
+
+    The rules stay rows: nothing is built on the driver, and their number may
+    grow with the tasks. Each distinct text is taken apart once.
+    """
+
+    def __init__(self, lookup: DataFrame, expression: str = "expression"):
+        self.lookup, self.expression = lookup, expression
+
+    def attach(self, tasks: DataFrame) -> DataFrame:
+        """Tasks with signature, program and aggregate; without a signature
+        where the expression is missing or has a leaf of no known kind."""
+        units = reduce(lambda acc, kv: acc.when(F.col("agg_kind") == kv[0], kv[1]), AGGREGATES.values(), F.when(F.lit(False), ""))
+        table = rule_signatures(tasks, "task_id", self.lookup, self.expression).where("known")
+        sig = F.sha2("signature", 256).alias("sig")
+        return tasks.join(table.select("task_id", sig, "program", "and_only", "agg_kind", "agg_target", units.alias("agg_unit"), "max_d", "max_t"), "task_id", "left")
+
+    def hits(self, finds: DataFrame, items: DataFrame, tasks: DataFrame, columns: list[str]) -> DataFrame:
+        """Finds that match a rule of their user; a user's equal rules are one
+        row here. Adaptive execution splits the join where a user is heavy."""
+        own = tasks.groupBy("user_id", "sig").agg(F.first("program").alias("program"))
+        return (
+            finds.select("user_id", "item_id", "found_date").join(item_keys(items, columns), "item_id")
+            .join(own, "user_id").where(matches(F.col("program"), F.col("k"))).drop("program", "k")
+        )
 
 
 def rule_signatures(rules: DataFrame, key: str, lookup: DataFrame, expression: str = "expression") -> DataFrame:

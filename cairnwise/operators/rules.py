@@ -29,6 +29,10 @@ AGGREGATES = {
     "aggregate_dt_matrix_complete": ("dt_matrix", "cells"),
 }
 LOGICAL = ("and", "or", "not")
+ITEM_LEAVES = (
+    "type_in", "size_in", "country_is", "state_in", "placed_year", "placed_before", "placed_after", "difficulty_between",
+    "terrain_between", "attributes",
+)
 
 
 def wrap(rule: dict) -> dict:
@@ -271,6 +275,26 @@ class RuleSet:
             )
         )
 
+    def attach(self, tasks: DataFrame) -> DataFrame:
+        """Tasks with their rule's signature and aggregate, by ``rule_id``."""
+        return tasks.join(self.table(tasks.sparkSession), "rule_id", "left")
+
+    def hits(self, finds: DataFrame, items: DataFrame, tasks: DataFrame, columns: list[str]) -> DataFrame:
+        """Finds that match a rule of their user.
+
+        A user's signatures travel as one small array, so the join multiplies
+        nothing and only real matches are exploded.
+        """
+        wanted = tasks.groupBy("user_id").agg(F.collect_set("sig").alias("user_sigs"))
+        tagged = tag_items(items, self, columns).where(F.size("sigs") > 0)
+        return (
+            finds.select("user_id", "item_id", "found_date")
+            .join(wanted, "user_id")
+            .join(tagged, "item_id")
+            .withColumn("sig", F.explode(F.array_intersect("sigs", "user_sigs")))
+            .drop("sigs", "user_sigs")
+        )
+
     def matching_signatures(self) -> Column:
         """Array of the signatures an item satisfies."""
         return F.array_compact(

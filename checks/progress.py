@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from cairnwise.operators import progress as p
 from cairnwise.operators import rules as r
+from cairnwise.operators.rule_tables import StoredRules
 from cairnwise.sources.sample_tables import FIXED_AS_OF, RULE_TEMPLATES, SampleTables
+from checks.ingest import _alias_table
 from checks.tables import with_tables
 
 
@@ -175,6 +177,35 @@ def task_progress(t):
     return p.task_progress(t.tasks(), t.finds(), t.items(), RULES)
 
 
+# Every task's own rule as JSON, with numbers of its own and labels for some ids.
+STORED = """CASE task_id % 7
+ WHEN 0 THEN format_string('{"kind":"and","nodes":[{"kind":"type_in","types":[{"code":"ECONOMY"}]},{"kind":"difficulty_between","min":1,"max":%d}]}', 1 + task_id % 4)
+ WHEN 1 THEN format_string('{"kind":"or","nodes":[{"kind":"country_is","country_id":%d},{"kind":"and","nodes":[{"kind":"size_in","names":["micro"]},{"kind":"terrain_between","min":3,"max":5}]}]}', task_id % 25)
+ WHEN 2 THEN format_string('{"kind":"not","node":{"kind":"or","nodes":[{"kind":"placed_year","year":%d},{"kind":"type_in","type_ids":["large","promo"]}]}}', 2000 + task_id % 20)
+ WHEN 3 THEN format_string('{"kind":"attributes","attributes":[{"id":%d}]}', task_id % 7)
+ WHEN 4 THEN format_string('{"nodes":[{"kind":"aggregate_count_distinct_countries_at_least","min_total":3},{"kind":"placed_before","date":"20%d-01-01"}]}', 10 + task_id % 10)
+ WHEN 5 THEN format_string('{"kind":"state_in","states":[{"state_id":%d}],"state_ids":[%d]}', task_id % 100, (task_id + 7) % 100)
+ ELSE '{"kind":"moon_phase"}' END"""
+STORED_SQL = """CASE t.task_id % 7 WHEN 0 THEN type_code = 'economy' AND difficulty <= 1 + t.task_id % 4
+ WHEN 1 THEN country_id = t.task_id % 25 OR (size_code = 'M' AND terrain >= 3)
+ WHEN 2 THEN NOT (year(placed_at) = 2000 + t.task_id % 20 OR type_code IN ('large','promo'))
+ WHEN 3 THEN EXISTS (SELECT 1 FROM item_attributes a WHERE a.item_id = i.item_id AND attr_id = t.task_id % 7 AND is_positive)
+ WHEN 4 THEN placed_at < make_date(CAST(2010 + t.task_id % 10 AS INT), 1, 1)
+ WHEN 5 THEN state_id IN (t.task_id % 100, (t.task_id + 7) % 100) END"""
+STORED_CTES = {
+    "hits": HITS.replace("JOIN matches m ON m.rule_id = t.rule_id AND m.item_id = f.item_id ", "") + f" WHERE {STORED_SQL}",
+    "measures": MEASURES,
+    "aggs": "SELECT 4 AS rule_id, 'distinct_countries' AS agg_kind, 3 AS agg_target, 'countries' AS agg_unit",
+    "progress": PROGRESS.replace("t.rule_id <> 11", "t.task_id % 7 <> 6").replace("aggs.rule_id = t.rule_id", "aggs.rule_id = t.task_id % 7"),
+}
+
+
+def task_progress_stored(t):
+    """Each task evaluated by the rule in its own row, or/not included."""
+    tasks = t.tasks().withColumn("expression", F.expr(STORED))
+    return p.task_progress(tasks, t.finds(), t.items(), StoredRules(_alias_table(t)), and_only=False)
+
+
 def enrolment_progress(t):
     return p.enrolment_progress(t.enrolments(), task_progress(t))
 
@@ -251,6 +282,7 @@ CHECKS.update({
     "nth_find_date": (_q(nth_find_date), WITH_TASKS + "SELECT task_id, first_date, nth_date FROM measures"),
     "first_find_date": (_q(first_find_date), WITH_TASKS + "SELECT task_id, first_date FROM tasks LEFT JOIN measures USING (task_id)"),
     "task_progress": (_q(task_progress), WITH_TASKS + "SELECT * FROM progress"),
+    "task_progress_stored": (_q(task_progress_stored), with_tables("items", "item_attributes", "finds", "tasks", extra=STORED_CTES) + "SELECT * FROM progress"),
     "enrolment_progress": (_q(enrolment_progress), WITH_TASKS + UC),
     "evaluate_progress": (
         _q(evaluate_progress),

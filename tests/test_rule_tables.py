@@ -2,7 +2,10 @@ import itertools
 import json
 import time
 
+from pyspark.sql import functions as F
+
 from cairnwise.operators import rule_tables as rt
+from cairnwise.operators.rules import matching_items
 
 A, B = {"kind": "type_in", "codes": ["a"]}, {"kind": "type_in", "codes": ["b"]}
 C, D = {"kind": "placed_year", "year": 2010}, {"kind": "placed_year", "year": 2011}
@@ -71,3 +74,21 @@ def test_wide_and_deep_rules(spark):
     got = signatures(spark, wide, deep)
     assert got[0].signature.count("and[") == 500
     assert got[1].signature.count("[") == 12 and got[1].signature.count("placed_year") == 12
+
+
+def test_programs_agree_with_predicates(spark):
+    """Every item under every rule: the stored program says what the Column says."""
+    near = {"kind": "attributes", "attributes": [{"id": 3, "is_positive": False}]}
+    early, year = {"kind": "placed_before", "date": "2005-01-01"}, {"kind": "placed_year", "year": 2006}
+    hard = {"kind": "difficulty_between", "min": 2, "max": 3}
+    trees = [A, land(A, lor(hard, near)), lnot(lor(A, early)), lor(lnot(year), land(B, C)), lnot(lnot(near)), land(SUM, lor(A, A)), SUM, land(lor(A, land(B, hard)), lnot(early), year)]
+    rows = spark.createDataFrame([(i, json.dumps(tree)) for i, tree in enumerate(trees)], "k long, expression string")
+    known = lookup(spark).unionByName(spark.createDataFrame([("attribute", "code", "x", None, "3", 1)], lookup(spark).schema))
+    items = spark.createDataFrame(
+        [(1, "a", "2004-05-01", 2.0, [(3, False)]), (2, "b", "2006-05-01", 5.0, [(3, True)]), (3, "c", "2006-01-01", 2.5, []), (4, None, None, None, None), (5, "a", "2006-12-31", 3.0, [(3, False), (3, True)])],
+        "item_id long, type_code string, placed string, difficulty double, attributes array<struct<attr_id:int,is_positive:boolean>>",
+    ).selectExpr("*", "CAST(placed AS DATE) AS placed_at", "CAST(NULL AS STRING) AS size_code", "1 AS country_id", "2 AS state_id", "1D AS terrain")
+    pairs = rt.item_keys(items, []).crossJoin(rt.rule_signatures(rows, "k", known).select(F.col("k").alias("rule"), "program"))
+    got = {(r.rule, r.item_id) for r in pairs.where(rt.matches(F.col("program"), F.col("k"))).collect()}
+    want = {(i, r.item_id) for i, tree in enumerate(trees) for r in matching_items(items, tree).collect()}
+    assert got == want
