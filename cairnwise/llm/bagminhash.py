@@ -351,10 +351,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     An id stands for one document here; repeated rows of a kept id are reduced
     to one.
     """
-    kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col("doc_id").alias("__id"))
-    own = docs.withColumn("__own", F.struct(*[docs[c] for c in docs.columns])).select(
-        "__own", docs[id_col].cast("bigint").alias("__id"), docs[text_col].alias("__text")
-    )
-    joined = own.join(kept, own["__id"].eqNullSafe(kept["__id"]), "left_semi")
-    first = Window.partitionBy("__id").orderBy("__text")
+    key = ["__id", "__null"]
+
+    def keys(column) -> list:
+        return [F.coalesce(column, F.lit(0)).alias("__id"), column.isNull().alias("__null")]
+
+    kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(*keys(F.col("doc_id")))
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__own"), *keys(docs[id_col].cast("bigint")))
+    # The join and the window share their keys, so texts are shuffled once.
+    first = Window.partitionBy(*key).orderBy(F.col("__own")[text_col])
+    joined = own.join(kept, key, "left_semi")
     return joined.withColumn("__n", F.row_number().over(first)).where("__n = 1").select("__own.*")

@@ -97,13 +97,14 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Decisions are joined on id and digest; rows that repeat in both are reduced
     to one on the same partitioning.
     """
-    kept = exact_duplicates(docs, id_col, text_col).where("kept")
-    kept = kept.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    rows = docs.withColumn("__own", F.struct(*[docs[c] for c in docs.columns])).select(
-        "__own",
-        docs[id_col].cast("bigint").alias("__id"),
-        F.sha2(F.coalesce(docs[text_col], F.lit("")), 256).alias("__sha"),
-    )
-    joined = rows.join(kept, rows["__id"].eqNullSafe(kept["__id"]) & (rows["__sha"] == kept["__sha"]), "left_semi")
-    first = Window.partitionBy("__id", "__sha").orderBy("__sha")
+    key = ["__id", "__null", "__sha"]
+
+    def keys(column, sha) -> list:
+        return [F.coalesce(column, F.lit(0)).alias("__id"), column.isNull().alias("__null"), sha.alias("__sha")]
+
+    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(*keys(F.col("doc_id"), F.col("text_sha256")))
+    sha = F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__own"), *keys(docs[id_col].cast("bigint"), sha))
+    joined = rows.join(kept, key, "left_semi")
+    first = Window.partitionBy(*key).orderBy("__sha")
     return joined.withColumn("__n", F.row_number().over(first)).where("__n = 1").select("__own.*")
