@@ -287,15 +287,7 @@ def spanning_roots(linked: np.ndarray) -> np.ndarray:
         label = lower
 
 
-def near_duplicates(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    words: int = WORDS,
-    similarity: float = SIMILARITY,
-    bands: int = BANDS,
-    rows: int = ROWS,
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per input row: ``doc_id, class_id, group_id, group_size, kept``.
 
     ``class_id`` is the smallest id among equal texts, ``group_id`` the smallest
@@ -305,6 +297,19 @@ def near_duplicates(
     texts only. A null id ranks above all others; of rows that share the smallest
     id exactly one is kept. Other columns are not read.
     """
+    return _near_duplicates(docs, id_col, text_col, **options).drop("digest")
+
+
+def _near_duplicates(
+    docs: DataFrame,
+    id_col: str,
+    text_col: str,
+    words: int = WORDS,
+    similarity: float = SIMILARITY,
+    bands: int = BANDS,
+    rows: int = ROWS,
+) -> DataFrame:
+    """The columns of ``near_duplicates``, and the text's ``digest``."""
     m = bands * rows
     sketch = sketches(docs, id_col, text_col, words, bands, rows)
     classes = materialise(sketch.groupBy("digest").agg(F.min("tag").alias("node")), "classes")
@@ -341,6 +346,7 @@ def near_duplicates(
             F.col("low.doc_id").alias("group_id"),
             "group_size",
             (F.col("tag") == F.col("low.tag")).alias("kept"),
+            "digest",
         )
     )
 
@@ -348,16 +354,18 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with its own columns, one row of each group.
 
-    An id stands for one document here; repeated rows of a kept id are reduced
-    to one.
+    Decisions are joined on id and digest, so rows that share an id, or have
+    none, are judged by their texts; rows that repeat in both are reduced to one.
     """
-    key = ["__id", "__null"]
+    key = ["__id", "__null", "__digest"]
 
-    def keys(column) -> list:
-        return [F.coalesce(column, F.lit(0)).alias("__id"), column.isNull().alias("__null")]
+    def keys(column, digest) -> list:
+        return [F.coalesce(column, F.lit(0)).alias("__id"), column.isNull().alias("__null"), digest.alias("__digest")]
 
-    kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(*keys(F.col("doc_id")))
-    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__own"), *keys(docs[id_col].cast("bigint")))
+    kept = _near_duplicates(docs, id_col, text_col, **options).where("kept").select(*keys(F.col("doc_id"), F.col("digest")))
+    own = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("__own"), *keys(docs[id_col].cast("bigint"), text_digest(docs[text_col]))
+    )
     # The join and the window share their keys, so texts are shuffled once.
     first = Window.partitionBy(*key).orderBy(F.col("__own")[text_col])
     joined = own.join(kept, key, "left_semi")

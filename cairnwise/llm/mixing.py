@@ -55,16 +55,7 @@ def source_targets(
     return target
 
 
-def mix_sources(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    weights: Sequence[float] = WEIGHTS,
-    share: float = TOTAL_SHARE,
-    most: int = MOST_EPOCHS,
-    seed: str = "mix",
-) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """One row per input row: ``doc_id, source, size, source_size, target, taken, epochs``.
 
     ``taken`` counts the words that the mix takes of the document, repeats
@@ -76,6 +67,21 @@ def mix_sources(
     count as rows of their own, ordered among themselves by size; equal rows are
     interchangeable. The per-source figures (one row per source) pass the driver.
     """
+    return _mix_sources(docs, id_col, text_col, source_col, **options)
+
+
+def _mix_sources(
+    docs: DataFrame,
+    id_col: str,
+    text_col: str,
+    source_col: str,
+    weights: Sequence[float] = WEIGHTS,
+    share: float = TOTAL_SHARE,
+    most: int = MOST_EPOCHS,
+    seed: str = "mix",
+    carry: Sequence[Column] = (),
+) -> DataFrame:
+    """``mix_sources`` with further columns of ``docs``, named ``carry``."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs[id_col].cast("string"), F.lit(""))))
     rows = materialise(
         docs.select(
@@ -83,6 +89,7 @@ def mix_sources(
             docs[source_col].cast("string").alias("source"),
             word_count(docs[text_col]).alias("size"),
             key.alias("key"),
+            *carry,
         ),
         "mix-sizes",
     )
@@ -130,18 +137,30 @@ def mix_sources(
             .otherwise(F.col("full") + (F.col("cut") > 0).cast("int"))
             .cast("int")
             .alias("epochs"),
+            *rows.columns[4:],
         )
     )
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options
+) -> DataFrame:
     """``docs`` with its own columns, each row once per epoch that takes it.
 
-    Documents are not cut: the one at a source's budget is kept whole. An id
-    stands for one document; of rows that share an id, the largest number of
-    epochs holds for each of them.
+    Documents are not cut: the one at a source's budget is kept whole. Rows
+    are told apart by id, source and text; of rows that agree in all three, the
+    largest number of epochs holds for each of them.
     """
-    mix = mix_sources(docs, id_col, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.max("epochs").alias("__epochs"))
-    own = docs.withColumn("__own", F.struct(*[docs[c] for c in docs.columns])).select("__own", docs[id_col].alias("__id"))
-    joined = own.join(mix, own["__id"].eqNullSafe(mix["__id"])).where("__epochs > 0")
+    key = ["__id", "__source", "__nulls", "__text"]
+    nulls = F.concat(docs[id_col].isNull().cast("string"), docs[source_col].isNull().cast("string"))
+
+    def keys(id_: Column, source: Column) -> list:
+        return [F.coalesce(id_.cast("string"), F.lit("")).alias("__id"), F.coalesce(source.cast("string"), F.lit("")).alias("__source")]
+
+    tell = [nulls.alias("__nulls"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("__text")]
+    mix = _mix_sources(docs, id_col, text_col, source_col, carry=tell, **options)
+    mix = mix.select(*keys(F.col("doc_id"), F.col("source")), "__nulls", "__text", "epochs")
+    mix = mix.groupBy(*key).agg(F.max("epochs").alias("__epochs")).where("__epochs > 0")
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__own"), *keys(docs[id_col], docs[source_col]), *tell)
+    joined = own.join(mix, key)
     return joined.select("__own", F.explode(F.sequence(F.lit(1), F.col("__epochs")))).select("__own.*")

@@ -140,3 +140,16 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, k) for k in range(101, 160)] + [(200, 201), (201, 200)]
     got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert {got[i] for i in range(61)} == {0} and {got[i] for i in range(100, 160)} == {100} and got[201] == 200
+
+
+def test_dropping_near_duplicates_with_null_and_shared_ids(spark):
+    rng = random.Random(9)
+    a, b, c, d, e = (_prose(rng, 120) for _ in range(5))
+    near_a = f"{a} more"
+    texts, ids = [a, b, c, near_a, d, near_a + " x", e, e, None, ""], [None, None, None, 1, 1, 2, 3, 3, 4, 4]
+    docs = documents(spark, texts, ids=ids)
+    left = [(r["doc_id"], r["text"]) for r in bagminhash.drop_near_duplicates(docs.repartition(3)).collect()]
+    # the group of a keeps id 1's row of it; all other texts are alone
+    assert sorted((i is None, i or 0, t or "") for i, t in left) == sorted(
+        [(False, 1, near_a), (False, 1, d), (False, 3, e), (False, 4, ""), (True, 0, b), (True, 0, c)]
+    )

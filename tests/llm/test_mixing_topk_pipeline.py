@@ -55,6 +55,16 @@ def test_mixing_edges(spark):
     assert mixing.mixed_documents(nothing).count() == 0
 
 
+def test_mixed_documents_with_null_and_shared_ids(spark):
+    texts = [f"{chr(97 + i)} " * (i + 1) for i in range(12)] + [None, ""]
+    docs = documents(spark, texts, sources=["s", "t"] * 7, ids=[None] * 7 + [5] * 7)
+    budget = sum(r["epochs"] for r in mixing.mix_sources(docs).collect())
+    assert 0 < budget < 24
+    got = mixing.mixed_documents(docs).collect()
+    assert len(got) == budget
+    assert {(r["text"], r["source"]) for r in got} <= set(zip(texts, ["s", "t"] * 7))
+
+
 def _brute_top(rows, every, k):
     best = {}
     fine = {}
