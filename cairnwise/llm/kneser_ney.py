@@ -287,6 +287,13 @@ def document_quality(
     is a language of its own, returned as null. Null ids are never trusted;
     repeated rows repeat their result. Other columns are not read.
     """
+    return _document_quality(docs, trusted, id_col, text_col, lang_col, order, entries).drop("version")
+
+
+def _document_quality(
+    docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, lang_col: str, order: int = ORDER, entries: int = SHARD_ENTRIES
+) -> DataFrame:
+    """The columns of ``document_quality``, and the ``version`` (hash) of the text."""
     rows = docs.select(
         docs[id_col].cast("bigint").alias("doc_id"),
         F.coalesce(docs[text_col], F.lit("")).alias("text"),
@@ -312,7 +319,7 @@ def document_quality(
     judged = judged.withColumn("n", F.explode(F.array_repeat("n", F.col("n").cast("int"))))
     languages = model.where("order = 0").select("lang")
     unknown = rows.join(F.broadcast(languages), "lang", "left_anti").select(
-        "doc_id", "lang", F.length("text").cast("bigint").alias("symbols"), F.lit(None).cast("double").alias("perplexity"),
+        "doc_id", "lang", "version", F.length("text").cast("bigint").alias("symbols"), F.lit(None).cast("double").alias("perplexity"),
         F.lit(None).cast("double").alias("limit"), F.lit(True).alias("kept"),
     )
     return (
@@ -323,11 +330,25 @@ def document_quality(
     )
 
 
-def drop_low_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def drop_low_quality(
+    docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options
+) -> DataFrame:
     """``docs`` with its own columns, without the rejected documents.
 
-    An id stands for one document: of rows that share an id, all go if one is rejected.
+    Decisions are joined on id, text and language, so a rejected text takes no
+    other one along that shares its id or has none either.
     """
-    bad = document_quality(docs, trusted, id_col, **options).where("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    own = docs.withColumn("__id", docs[id_col].cast("bigint"))
-    return own.join(bad, own["__id"].eqNullSafe(bad["__id"]), "left_anti").select(*[own[c] for c in docs.columns])
+    key = ["__id", "__null", "__version", "__lang"]
+
+    def keys(id_, version, lang) -> list:
+        known = F.coalesce(id_, F.lit(0)).alias("__id"), id_.isNull().alias("__null")
+        return [*known, version.alias("__version"), F.coalesce(lang, F.lit("")).alias("__lang")]
+
+    bad = _document_quality(docs, trusted, id_col, text_col, lang_col, **options).where("not kept")
+    bad = bad.select(*keys(F.col("doc_id"), F.col("version"), F.col("lang"))).distinct()
+    version = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    own = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("__own"),
+        *keys(docs[id_col].cast("bigint"), version, docs[lang_col].cast("string")),
+    )
+    return own.join(bad, key, "left_anti").select("__own.*")

@@ -238,6 +238,18 @@ def test_document_quality_edges(spark):
     assert kneser_ney.document_quality(docs.limit(0), trusted).count() == 0
 
 
+def test_dropping_low_quality_with_null_and_shared_ids(spark):
+    rng = random.Random(8)
+    good = [" ".join(rng.choice(["the", "and", "house", "river", "walks", "green"]) for _ in range(80)) for _ in range(64)]
+    bad = ["#$%^ QZX!! " * 40, "!!@ ZZQ%^# " * 40]
+    ids = [*range(60), None, None, 70, 70, None, 70]
+    docs = documents(spark, good + bad, ids=ids, langs=["en"] * 61 + [None] + ["en"] * 4)
+    trusted = spark.createDataFrame([(i,) for i in range(60)], "doc_id bigint")
+    left = kneser_ney.drop_low_quality(docs, trusted)
+    assert left.columns == docs.columns
+    assert sorted(r["text"] for r in left.collect()) == sorted(good)
+
+
 def test_language_identification(spark):
     rng = random.Random(3)
     stems = {"aa": ["the", "and", "walk", "ing", "house"], "bb": ["der", "und", "haus", "ung", "weg"], "cc": ["el", "casa", "que", "ción", "río"]}
