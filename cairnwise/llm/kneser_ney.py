@@ -10,7 +10,8 @@ turn, and a document's partial sums are added up. Texts are shuffled only once,
 where trusted ids meet them.
 
 Each language has its own threshold, derived from quantiles of the trusted
-texts' log perplexities.
+texts' log perplexities out of sample: the trusted texts are halved, and each
+half is scored by a model of the other one.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnwise.llm.wordwise import slices
-from cairnwise.session import materialise
+from cairnwise.session import materialise, scratch_path
 
 ORDER = 5
 SYMBOL_BITS = 12
@@ -34,11 +35,14 @@ SLICE = 3 << 20
 OWN = 2047
 #: Entries that one shard of the model holds at most (a single symbol's entries stay together).
 SHARD_ENTRIES = 6_000_000
-#: A document is rejected if its log perplexity exceeds the trusted median by more than SPREAD times
-#: the distance between these two quantiles; a text of n symbols is given sqrt(1 + SHORT / n) times that.
+#: A document is rejected if its log perplexity exceeds the trusted median (out of sample) by more than SPREAD times
+#: the distance between these two quantiles; a text of n symbols is given sqrt(1 + SHORT / n) times that, and the
+#: upper quantile is of distances divided by it.
 QUANTILES = (0.5, 0.99)
-SPREAD = 2.5
+SPREAD = 1.25
 SHORT = 100
+#: Distinct trusted texts that a language needs for a limit; below, the 99 % quantile says nothing and all is kept.
+LEAST = 30
 _MASK = (1 << SYMBOL_BITS) - 1
 _SCORES = "doc_id bigint, version bigint, lang string, total double, symbols bigint, n bigint"
 
@@ -113,8 +117,13 @@ def kneser_ney_model(rows: DataFrame, order: int = ORDER) -> DataFrame:
     holds the back-off weight of the empty context, and the log of the uniform
     probability over the language's symbols and one unknown.
     """
-    spark = rows.sparkSession
-    counts = {order: materialise(count_ngrams(rows, order), "counts")}
+    return _model_of_counts(materialise(count_ngrams(rows, order), "counts"), order)
+
+
+def _model_of_counts(longest: DataFrame, order: int) -> DataFrame:
+    """The model from the counts of the longest n-grams."""
+    spark = longest.sparkSession
+    counts = {order: longest}
     for n in range(order - 1, 0, -1):
         suffix = F.col("key").bitwiseAND(F.lit((1 << (SYMBOL_BITS * n)) - 1))
         counts[n] = materialise(counts[n + 1].groupBy("lang", suffix.alias("key")).agg(F.count(F.lit(1)).alias("n")), "counts")
@@ -269,6 +278,31 @@ def log_probabilities(docs: DataFrame, model: DataFrame, order: int = ORDER, ent
     return passes.groupBy("doc_id", "version", "lang").agg(*sums)
 
 
+def _halved(rows: DataFrame) -> DataFrame:
+    """``doc_id, version, text, lang, half``, written once; equal texts are in one half."""
+    made = rows.select("doc_id", "version", "text", "lang", F.pmod("version", F.lit(2)).cast("int").alias("half"))
+    path = scratch_path(rows.sparkSession, "trusted")
+    made.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(made.schema).parquet(path)
+
+
+def _leeway(symbols):
+    """How much further from the median a text of so many symbols may be than a long one."""
+    return F.sqrt(1 + SHORT / F.greatest(symbols, F.lit(1)))
+
+
+def _with_halves(learnt: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
+    """The models of all trusted texts and of their halves, whose languages begin with 0 or 1.
+
+    The halves' counts add up to all counts; the three models are made in one go.
+    """
+    halves = materialise(count_ngrams(learnt.select("text", F.concat("half", "lang").alias("lang")), order), "counts")
+    whole = halves.groupBy(F.concat(F.lit("2"), F.expr("substring(lang, 2)")).alias("lang"), "key").agg(F.sum("n").alias("n"))
+    model = _model_of_counts(materialise(halves.unionByName(whole), "counts"), order)
+    is_whole = F.col("lang").startswith("2")
+    return model.where(is_whole).withColumn("lang", F.expr("substring(lang, 2)")), model.where(~is_whole)
+
+
 def document_quality(
     docs: DataFrame,
     trusted: DataFrame,
@@ -283,7 +317,8 @@ def document_quality(
     ``trusted`` holds the ids (first column) of the texts that the model is
     trained on. ``perplexity`` is per symbol; ``limit`` is the language's, see
     QUANTILES and SPREAD. A null text counts as empty; a text without symbols, or in a
-    language without trusted text, has no perplexity and is kept; a null language
+    language without trusted text, has no perplexity and is kept; a language with fewer
+    than LEAST distinct trusted texts has no limit and is kept whole; a null language
     is a language of its own, returned as null. Null ids are never trusted;
     repeated rows repeat their result. Other columns are not read.
     """
@@ -301,17 +336,29 @@ def _document_quality(
     ).withColumn("version", F.xxhash64("text"))
     ids = trusted.select(F.col(trusted.columns[0]).cast("bigint").alias("doc_id")).distinct()
     # trusted ids grow with the documents, so they are never broadcast, small as they may be
-    model = kneser_ney_model(rows.join(ids.hint("merge"), "doc_id", "left_semi").where("text <> ''").select("text", "lang"), order)
+    learnt = _halved(rows.join(ids.hint("merge"), "doc_id", "left_semi").where("text <> ''"))
+    model, halves = _with_halves(learnt, order)
     scored = materialise(
         log_probabilities(rows, model, order, entries).withColumn(
             "loss", F.when(F.col("symbols") > 0, -F.col("total") / F.col("symbols"))
         ),
         "perplexities",
     )
-    known = scored.join(ids, "doc_id", "left_semi").where("loss is not null")
-    cuts = known.groupBy("lang").agg(F.percentile_approx("loss", list(QUANTILES), 10_000).alias("q"))
-    cuts = cuts.select("lang", F.col("q")[0].alias("middle"), (SPREAD * (F.col("q")[1] - F.col("q")[0])).alias("room"))
-    room = F.col("room") * F.sqrt(1 + SHORT * F.col("n") / F.greatest(F.col("symbols"), F.lit(1)))
+    # each half by the model of the other; copies of a text are in one half and count once
+    other = learnt.select("doc_id", "version", "text", F.concat(F.lit(1) - F.col("half"), "lang").alias("lang"))
+    known = log_probabilities(other, halves, order, entries).select(
+        F.expr("substring(lang, 2)").alias("lang"),
+        "version",
+        (-F.col("total") / F.col("symbols")).alias("loss"),
+        _leeway(F.col("symbols") / F.col("n")).alias("leeway"),
+    )
+    known = materialise(known.groupBy("lang", "version").agg(F.min("loss").alias("loss"), F.min("leeway").alias("leeway")), "losses")
+    quantile = lambda value, q: F.percentile_approx(value, F.lit(q), F.lit(10_000))
+    middles = known.groupBy("lang").agg(quantile(F.col("loss"), QUANTILES[0]).alias("middle"), F.count(F.lit(1)).alias("texts"))
+    above = (F.col("loss") - F.col("middle")) / F.col("leeway")
+    cuts = known.join(F.broadcast(middles.where(F.col("texts") >= LEAST)), "lang").groupBy("lang", "middle")
+    cuts = cuts.agg((SPREAD * quantile(above, QUANTILES[1])).alias("room"))
+    room = F.col("room") * _leeway(F.col("symbols") / F.col("n"))
     judged = scored.join(F.broadcast(cuts), "lang", "left").withColumn("cut", F.col("middle") + room).select(
         "doc_id", "lang", "version", "symbols", "n", F.exp("loss").alias("perplexity"), F.exp("cut").alias("limit"),
         F.coalesce(F.col("loss") <= F.col("cut"), F.lit(True)).alias("kept"),

@@ -250,6 +250,25 @@ def test_dropping_low_quality_with_null_and_shared_ids(spark):
     assert sorted(r["text"] for r in left.collect()) == sorted(good)
 
 
+def test_thinly_labelled_languages_keep_their_documents(spark):
+    rng = random.Random(12)
+    parts = ["the", "and", "ri", "ver", "wal", "king", "gre", "en", "hou", "se", "ble", "ment", "ou", "sta", "qui", "tor"]
+
+    def prose():
+        return " ".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(40, 200)))
+
+    few = {"one": 1, "two": 2, "five": 5, None: 3, "many": 60}
+    texts, langs, trusted = [], [], []
+    for lang, n in few.items():
+        trusted += [(len(texts) + i,) for i in range(n)]
+        texts += [prose() for _ in range(n + 40)] + ["#$%^ QZX!! " * 40]
+        langs += [lang] * (n + 41)
+    docs = documents(spark, texts, langs=langs)
+    rows = kneser_ney.document_quality(docs, spark.createDataFrame(trusted, "doc_id bigint")).collect()
+    lost = collections.Counter(r["lang"] for r in rows if not r["kept"])
+    assert lost == {"many": 1} and not rows_of(docs.sparkSession.createDataFrame(rows))[len(texts) - 1]["kept"]
+
+
 def test_language_identification(spark):
     rng = random.Random(3)
     stems = {"aa": ["the", "and", "walk", "ing", "house"], "bb": ["der", "und", "haus", "ung", "weg"], "cc": ["el", "casa", "que", "ción", "río"]}
