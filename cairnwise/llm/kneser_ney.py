@@ -11,7 +11,8 @@ where trusted ids meet them.
 
 Each language has its own threshold, derived from quantiles of the trusted
 texts' log perplexities out of sample: the trusted texts are halved, and each
-half is scored by a model of the other one.
+half is scored by a model of the other one. An n-gram does not see that a text
+says one word over and over, so words equal to the one before are counted too.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnwise.llm.wordwise import slices
+from cairnwise.llm.wordwise import slices, words_of
 from cairnwise.session import materialise, scratch_path
 
 ORDER = 5
@@ -41,10 +42,13 @@ SHARD_ENTRIES = 6_000_000
 QUANTILES = (0.5, 0.99)
 SPREAD = 1.25
 SHORT = 100
+#: A document is rejected as well if the share of its words that equal the word before exceeds the larger of
+#: ECHO and twice the trusted upper quantile; short texts are given the same leeway.
+ECHO = 0.2
 #: Distinct trusted texts that a language needs for a limit; below, the 99 % quantile says nothing and all is kept.
 LEAST = 30
 _MASK = (1 << SYMBOL_BITS) - 1
-_SCORES = "doc_id bigint, version bigint, lang string, total double, symbols bigint, n bigint"
+_SCORES = "doc_id bigint, version bigint, lang string, total double, symbols bigint, n bigint, echo double"
 
 
 def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -185,6 +189,14 @@ def _link(position: int):
     return F.shiftright(F.col("key"), SYMBOL_BITS if position else 0).bitwiseAND(F.lit(_MASK))
 
 
+def echoes(texts: pa.Array) -> np.ndarray:
+    """The share of each text's words, split at white space, that equal the word before."""
+    _, index, counts = words_of(texts, pc.utf8_split_whitespace)
+    doc = np.repeat(np.arange(len(counts)), counts)
+    again = (index[1:] == index[:-1]) & (doc[1:] == doc[:-1])
+    return np.bincount(doc[1:][again], minlength=len(counts)) / np.maximum(counts, 1)
+
+
 class Shard:
     """A part of the model as sorted arrays by language and order.
 
@@ -229,10 +241,10 @@ class Shard:
 
 
 def log_probabilities(docs: DataFrame, model: DataFrame, order: int = ORDER, entries: int = SHARD_ENTRIES) -> DataFrame:
-    """``doc_id, version, lang, total, symbols, n``: the log probability of each text of ``docs``.
+    """``doc_id, version, lang, total, symbols, n, echo``: the log probability of each text of ``docs``.
 
     ``docs`` has ``doc_id, version, text, lang``; ``n`` is the number of rows that
-    share the first three, whose totals and symbols are added up. One pass over
+    share the first three, whose totals and symbols are added up; ``echo`` see ``echoes``. One pass over
     the documents per shard. Languages without a model give no rows.
     """
     spark = docs.sparkSession
@@ -267,15 +279,16 @@ def log_probabilities(docs: DataFrame, model: DataFrame, order: int = ORDER, ent
                         pa.array(total),
                         pa.array(count),
                         pa.array(np.full(len(rows), int(number == 0))),
+                        pa.array(echoes(texts) if number == 0 else np.zeros(len(rows))),
                     ]
-                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "version", "lang", "total", "symbols", "n"])
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "version", "lang", "total", "symbols", "n", "echo"])
 
         scored = docs.select("doc_id", "version", "text", "lang").mapInArrow(run, _SCORES)
         passes = scored if passes is None else passes.unionByName(scored)
     if passes is None:
         return spark.createDataFrame([], _SCORES)
     sums = [F.sum(c).alias(c) for c in ("total", "symbols", "n")]
-    return passes.groupBy("doc_id", "version", "lang").agg(*sums)
+    return passes.groupBy("doc_id", "version", "lang").agg(*sums, F.max("echo").alias("echo"))
 
 
 def _halved(rows: DataFrame) -> DataFrame:
@@ -316,7 +329,7 @@ def document_quality(
 
     ``trusted`` holds the ids (first column) of the texts that the model is
     trained on. ``perplexity`` is per symbol; ``limit`` is the language's, see
-    QUANTILES and SPREAD. A null text counts as empty; a text without symbols, or in a
+    QUANTILES and SPREAD; texts that repeat single words are rejected too, see ECHO. A null text counts as empty; a text without symbols, or in a
     language without trusted text, has no perplexity and is kept; a language with fewer
     than LEAST distinct trusted texts has no limit and is kept whole; a null language
     is a language of its own, returned as null. Null ids are never trusted;
@@ -351,17 +364,21 @@ def _document_quality(
         "version",
         (-F.col("total") / F.col("symbols")).alias("loss"),
         _leeway(F.col("symbols") / F.col("n")).alias("leeway"),
+        "echo",
     )
-    known = materialise(known.groupBy("lang", "version").agg(F.min("loss").alias("loss"), F.min("leeway").alias("leeway")), "losses")
+    one = [F.min(c).alias(c) for c in ("loss", "leeway", "echo")]
+    known = materialise(known.groupBy("lang", "version").agg(*one), "losses")
     quantile = lambda value, q: F.percentile_approx(value, F.lit(q), F.lit(10_000))
     middles = known.groupBy("lang").agg(quantile(F.col("loss"), QUANTILES[0]).alias("middle"), F.count(F.lit(1)).alias("texts"))
     above = (F.col("loss") - F.col("middle")) / F.col("leeway")
     cuts = known.join(F.broadcast(middles.where(F.col("texts") >= LEAST)), "lang").groupBy("lang", "middle")
-    cuts = cuts.agg((SPREAD * quantile(above, QUANTILES[1])).alias("room"))
-    room = F.col("room") * _leeway(F.col("symbols") / F.col("n"))
+    most = F.greatest(F.lit(ECHO), 2 * quantile(F.col("echo") / F.col("leeway"), QUANTILES[1]))
+    cuts = cuts.agg((SPREAD * quantile(above, QUANTILES[1])).alias("room"), most.alias("most"))
+    leeway = _leeway(F.col("symbols") / F.col("n"))
+    room, echoing = F.col("room") * leeway, F.coalesce(F.col("echo") > F.col("most") * leeway, F.lit(False))
     judged = scored.join(F.broadcast(cuts), "lang", "left").withColumn("cut", F.col("middle") + room).select(
         "doc_id", "lang", "version", "symbols", "n", F.exp("loss").alias("perplexity"), F.exp("cut").alias("limit"),
-        F.coalesce(F.col("loss") <= F.col("cut"), F.lit(True)).alias("kept"),
+        (F.coalesce(F.col("loss") <= F.col("cut"), F.lit(True)) & ~echoing).alias("kept"),
     )
     judged = judged.withColumn("n", F.explode(F.array_repeat("n", F.col("n").cast("int"))))
     languages = model.where("order = 0").select("lang")

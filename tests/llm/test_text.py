@@ -250,6 +250,17 @@ def test_dropping_low_quality_with_null_and_shared_ids(spark):
     assert sorted(r["text"] for r in left.collect()) == sorted(good)
 
 
+def test_texts_that_repeat_one_word_are_rejected(spark, sf_dir):
+    assert kneser_ney.echoes(pa.array(["a a a b", "b", "", "b b", "x\ny y"])).tolist() == pytest.approx([0.5, 0, 0, 0.5, 1 / 3])
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en'").select("doc_id", "text", "lang")
+    more = spark.createDataFrame([(10**7 + i, f"{w} " * 200, "en") for i, w in enumerate(["The", "As", "This"])], docs.schema)
+    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
+    rows = rows_of(kneser_ney.document_quality(docs.unionByName(more), trusted))
+    assert not any(rows[10**7 + i]["kept"] for i in range(3))
+    bad = [r[0] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 0").collect() if r[0] in rows]
+    assert sum(rows[d]["kept"] for d in bad) <= 0.1 * len(bad)
+
+
 def test_thinly_labelled_languages_keep_their_documents(spark):
     rng = random.Random(12)
     parts = ["the", "and", "ri", "ver", "wal", "king", "gre", "en", "hou", "se", "ble", "ment", "ou", "sta", "qui", "tor"]
