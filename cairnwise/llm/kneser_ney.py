@@ -18,6 +18,7 @@ says one word over and over, so words equal to the one before are counted too.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -206,9 +207,16 @@ class Shard:
 
     def __init__(self, links: list[tuple[str, int]], entries: pa.Table, elsewhere: list[tuple[str, int]] | None):
         self.tables, self.links = {}, {}
-        for (lang, order), part in entries.to_pandas().groupby(["lang", "order"]):
-            part = part.sort_values("key")
-            self.tables[lang, int(order)] = tuple(part[c].to_numpy() for c in ("key", "logp", "back"))
+        coded = entries.column("lang").combine_chunks().dictionary_encode()
+        names, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        orders, keys = (entries.column(c).to_numpy() for c in ("order", "key"))
+        at = np.lexsort((keys, orders, index))
+        edges = np.flatnonzero((np.diff(index[at]) != 0) | (np.diff(orders[at]) != 0)) + 1
+        columns = [entries.column(c).to_numpy()[at] for c in ("key", "logp", "back")]
+        for part in np.split(np.arange(len(at)), edges) if len(at) else []:
+            a, b = part[0], part[-1] + 1
+            lang = names[index[at[a]]]
+            self.tables[lang, int(orders[at[a]])] = tuple(c[a:b].copy() for c in columns)
             self.links.setdefault(lang, np.full(_MASK + 1, elsewhere is not None))
         for lang, link in elsewhere or []:
             self.links[lang][link] = False
@@ -359,7 +367,10 @@ def _document_quality(
     )
     # each half by the model of the other; copies of a text are in one half and count once
     other = learnt.select("doc_id", "version", "text", F.concat(F.lit(1) - F.col("half"), "lang").alias("lang"))
-    known = log_probabilities(other, halves, order, entries).select(
+    # one half after the other, so that the driver never holds both models
+    apart = [F.col("lang").startswith(h) for h in "01"]
+    known = reduce(DataFrame.unionByName, [log_probabilities(other.where(h), halves.where(h), order, entries) for h in apart])
+    known = known.select(
         F.expr("substring(lang, 2)").alias("lang"),
         "version",
         (-F.col("total") / F.col("symbols")).alias("loss"),
