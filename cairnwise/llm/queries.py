@@ -7,7 +7,21 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnwise.llm import bagminhash, exact_dedup, kneser_ney, langid, line_dedup, mixing, secrets, sentencepieces, token_files, topk
+from cairnwise.llm import (
+    bagminhash,
+    conversations,
+    exact_dedup,
+    kneser_ney,
+    langid,
+    line_dedup,
+    mixing,
+    packing,
+    secrets,
+    sentencepieces,
+    token_files,
+    topk,
+    vector_codes,
+)
 from cairnwise.llm.shipping import ship_package
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -85,6 +99,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations")
+    return conversations.repair_report(turns, conversations.damage(turns))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", end_id=1)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -167,6 +194,108 @@ SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind =
 FROM docs d LEFT JOIN spans s USING (doc_id) GROUP BY d.doc_id"""
 
 
+def _conversations_sql() -> str:
+    """The cheapest edits by dynamic programming over rows: a state's best is a string of nine digits of cost and the audit."""
+    c = conversations
+
+    def paid(x: str, cost: str | int, letter: str) -> str:
+        return f"lpad(CAST(CAST(left({x}, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr({x}, 10) || '{letter}'"
+
+    def insert(x: str) -> str:
+        return paid(x, c.INSERT, "I")
+
+    def delete(x: str) -> str:
+        return paid(x, f"{c.DELETE}", "D")
+
+    def stays(x: str, initial: str) -> str:
+        keep, rerole = paid(x, "stay", "K"), paid(x, f"stay + {c.REROLE}", "R")
+        return f"CASE WHEN NOT doomed AND initial = '{initial}' THEN {keep} END, CASE WHEN NOT doomed THEN {rerole} END"
+
+    blanks = " || ".join(f"chr({ord(x)})" for x in c.BLANKS)
+    space = "coalesce({}, ' ')".format
+    conv, turn = space("CAST(conv_id AS VARCHAR)"), space("CAST(turn AS VARCHAR)")
+    return f"""
+WITH RECURSIVE seeded AS (
+ SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(4294967295, list_reduce(
+  list_transform(string_split({conv} || ':' || {turn}, ''), lambda x: CAST(ascii(x) AS BIGINT)),
+  lambda crc, byte: list_reduce(range(8), lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END), xor(crc, byte)),
+  CAST(4294967295 AS BIGINT))) % 20 AS kind FROM conversations),
+damaged AS (
+ SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+  CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) FROM seeded WHERE kind <> 0),
+placed AS (
+ SELECT conv_id, turn, role, text, left(role, 1) AS initial, trim(text, {blanks}) AS said,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(concat_ws(':', {conv}, {turn}, length(role), role || text))) AS i
+ FROM damaged),
+faults AS (
+ SELECT *, said = '' AS blank, said <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS repeated,
+  said <> '' AND right(said, 1) NOT IN ('.', '!', '?') AS cut FROM placed),
+rows AS MATERIALIZED (
+ SELECT *, blank OR repeated AS doomed, cut AND NOT repeated AS truncated, CASE WHEN cut THEN {c.TRUNCATED} ELSE 0 END AS stay,
+  lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au') AS off FROM faults),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+walk AS (
+ SELECT conv_id, 0 AS i, '000000000' AS s0, CAST(NULL AS VARCHAR) AS s1, CAST(NULL AS VARCHAR) AS s2, CAST(NULL AS VARCHAR) AS s3 FROM ids
+ UNION ALL
+ SELECT conv_id, CAST(i AS INTEGER), {delete('s0')}, least({delete('s1')}, CASE WHEN NOT doomed AND initial = 's' THEN {paid('s0', 'stay', 'K')} END),
+  least({delete('s2')}, {stays('s0', 'u')}, {stays('s1', 'u')}, {stays('f3', 'u')}), least({delete('s3')}, {stays('f2', 'a')})
+ FROM (SELECT *, least(s3, {insert('f2')}) AS f3 FROM (
+  SELECT w.s0, w.s1, w.s2, w.s3, r.conv_id, r.i, r.initial, r.doomed, r.stay,
+   least(w.s2, {insert('w.s0')}, {insert('w.s1')}, {insert('w.s3')}) AS f2
+  FROM walk w JOIN rows r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1))),
+ends AS (SELECT conv_id, least(s0, s3, {insert('s2')}, {insert(f"({insert('s1')})")}) AS best FROM walk
+ QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+solved AS (SELECT conv_id, CAST(left(best, 9) AS BIGINT) AS cost, substr(best, 10) AS audit FROM ends),
+letters AS (SELECT conv_id, unnest(string_split(audit, '')) AS letter, generate_subscripts(string_split(audit, ''), 1) AS p FROM solved WHERE audit <> ''),
+steps AS (SELECT conv_id, letter, p, sum(CAST(letter <> 'I' AS INTEGER)) OVER o AS i, sum(CAST(letter <> 'D' AS INTEGER)) OVER o AS place FROM letters
+ WINDOW o AS (PARTITION BY conv_id ORDER BY p)),
+written AS (
+ SELECT s.conv_id, s.letter, s.p, s.place, r.role, r.text, max(CAST(s.letter = 'K' AND s.place = 1 AND r.initial = 's' AS INTEGER)) OVER (PARTITION BY s.conv_id) AS system
+ FROM steps s LEFT JOIN rows r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.i = s.i WHERE s.letter <> 'D'),
+repaired AS (
+ SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (place - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' ||
+  CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS lines FROM written GROUP BY conv_id),
+counts AS (
+ SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+  count(*) FILTER (repeated) AS duplicate, count(*) FILTER (truncated) AS truncated, count(*) FILTER (off) AS illegal FROM rows GROUP BY conv_id)
+SELECT s.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+ coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost, audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM solved s LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM s.conv_id"""
+
+
+def _vector_codes_sql() -> str:
+    v = vector_codes
+
+    def assigned(k: int) -> str:
+        """``best`` packs distance and index, so that the least one also breaks ties."""
+        difference = "list_sum(list_transform(range(1, len(s.part) + 1), lambda d: (s.part[d] - b.part[d]) * (s.part[d] - b.part[d])))"
+        return f"""a{k} AS MATERIALIZED (SELECT s.row, s.p, CAST(min({difference} * {v.ENTRIES} + b.entry) AS BIGINT) AS best
+ FROM parts s JOIN b{k} b USING (p) GROUP BY s.row, s.p)"""
+
+    def updated(k: int) -> str:
+        return f"""m{k} AS (SELECT p, a.best % {v.ENTRIES} AS entry, d, sum(part[d]) AS total, count(*) AS many
+ FROM (SELECT p, best, part, unnest(range(1, len(part) + 1)) AS d FROM a{k} JOIN parts USING (row, p)) a GROUP BY ALL),
+b{k + 1} AS MATERIALIZED (SELECT b.p, b.entry, coalesce(n.part, b.part) AS part FROM b{k} b LEFT JOIN (
+ SELECT p, entry, list(CAST((total - ((total % many) + many) % many) // many AS BIGINT) ORDER BY d) AS part FROM m{k} GROUP BY p, entry) n USING (p, entry))"""
+
+    rounds = ",\n".join(f"{assigned(k)},\n{updated(k)}" for k in range(v.ROUNDS))
+    return f"""
+WITH kept AS MATERIALIZED (
+ SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS row,
+  list_transform(embedding, lambda x: CAST(floor({v.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+ WHERE embedding IS NOT NULL AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)))),
+parts AS MATERIALIZED (SELECT row, p, x[p * len(x) // {v.PARTS} + 1:(p + 1) * len(x) // {v.PARTS}] AS part FROM kept, range({v.PARTS}) t(p)),
+b0 AS (SELECT p, row - 1 AS entry, part FROM parts WHERE row <= {v.ENTRIES}),
+{rounds},
+{assigned(v.ROUNDS)},
+book AS (SELECT sha256(string_agg(array_to_string(part, ','), ',' ORDER BY p, entry)) AS codebooks_sha256 FROM b{v.ROUNDS}),
+coded AS (SELECT row, string_agg(printf('%02x', best % {v.ENTRIES}), '' ORDER BY p) AS code, CAST(sum(best // {v.ENTRIES}) AS BIGINT) AS error
+ FROM a{v.ROUNDS} GROUP BY row)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (row), book"""
+
+
 CHECKS: dict = {
     "op1_quality": (op1_quality, None),
     "op2_secrets": (op2_secrets, _secrets_sql()),
@@ -178,5 +307,8 @@ CHECKS: dict = {
     "op8_topk": (op8_topk, OP8_SQL),
     "op9_mixing": (op9_mixing, OP9_SQL),
     "op10_language_id": (op10_language_id, None),
+    "op11_conversations": (op11_conversations, _conversations_sql()),
+    "op12_vector_codes": (op12_vector_codes, _vector_codes_sql()),
+    "op13_packing": (op13_packing, None),
     "pipeline": (pipeline, None),
 }

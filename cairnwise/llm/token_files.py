@@ -203,7 +203,7 @@ def _tails(words: pa.Array, stem: pa.Array) -> pa.Array:
 
 
 @lru_cache(maxsize=2)
-def _word_encoder(path: str) -> WordEncoder:
+def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
@@ -235,7 +235,7 @@ def write_token_files(
         writer = None
         tokens = documents = 0
         for batch in slices(batches, "text"):
-            encoder = _word_encoder(tokenizer_path)
+            encoder = word_encoder(tokenizer_path)
             ids = encoder.encode(batch.column("text"))
             counts = ids.lengths + 1
             flat = np.empty(len(ids.flat) + len(counts), encoder.dtype)
