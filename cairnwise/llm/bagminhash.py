@@ -18,8 +18,10 @@ comparison a member. Buckets that still hold several components form families
 (what is connected through such buckets); inside a family the exact overlaps
 of all its texts come from products of small incidence matrices. Families are
 cut into chunks, and a task sees two chunks at a time and returns only the
-links that join components, so rows stay in proportion to the texts. A family
-that has grown beyond FAMILY texts is worked on bucket by bucket in the same way.
+links that join components. Chunks of one settled component never meet, so a
+large group meets the few texts around it once; f texts of many small
+components are dealt f * f / CHUNK times. A family that has grown beyond
+FAMILY texts is worked on bucket by bucket in the same way.
 """
 
 from __future__ import annotations
@@ -214,6 +216,33 @@ def _linked(pairs: DataFrame, signatures: DataFrame, units: DataFrame, similarit
     return both.withColumn("shared", shared).where(F.col("shared") >= F.lit(similarity) * whole).select("a", "b")
 
 
+def _deal(texts: DataFrame) -> DataFrame:
+    """``part, i, j, chunk, node, comp``: the texts of a part cut into chunks, in all pairs of chunks that may hold new links.
+
+    A component of CHUNK texts or more has chunks of its own, which never meet
+    each other, so a large settled group meets only the few texts around it.
+    """
+    texts = materialise(texts, "family-texts")
+    many = texts.groupBy("part", "comp").agg(F.count(F.lit(1)).alias("n"))
+    many = many.withColumn("own", F.when(F.col("n") >= CHUNK, F.col("comp")))
+    cut = many.groupBy("part", "own").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks"))
+    before = Window.partitionBy("part").orderBy("own").rowsBetween(Window.unboundedPreceding, -1)
+    cut = cut.select(
+        F.col("part").alias("p"),
+        F.col("own").alias("o"),
+        "chunks",
+        F.coalesce(F.sum("chunks").over(before), F.lit(0)).cast("int").alias("first"),
+        F.sum("chunks").over(Window.partitionBy("part")).cast("int").alias("total"),
+    )
+    placed = texts.join(many.drop("n"), ["part", "comp"])
+    placed = placed.join(cut, (placed["part"] == cut["p"]) & placed["own"].eqNullSafe(cut["o"]))
+    chunk = F.col("first") + F.pmod(F.xxhash64(F.when(F.col("own").isNull(), F.col("comp")).otherwise(F.col("node"))), F.col("chunks")).cast("int")
+    apart = lambda j: F.col("own").isNull() | (j < F.col("first")) | (j >= F.col("first") + F.col("chunks"))
+    others = F.filter(F.sequence(F.lit(0), F.col("total") - 1), apart)
+    met = placed.withColumn("chunk", chunk).withColumn("other", F.explode(others))
+    return met.select("part", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "comp")
+
+
 def _compare_families(members: DataFrame, labels: DataFrame, units: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) that join the components left in buckets, by comparing all texts of each family."""
     state = members.join(labels, "node", "left").select("key", "leader", "node", F.coalesce("comp", "node").alias("comp"))
@@ -223,22 +252,9 @@ def _compare_families(members: DataFrame, labels: DataFrame, units: DataFrame, s
     sizes = families.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
     placed = families.withColumnRenamed("comp", "family").join(sizes.withColumnRenamed("comp", "family"), "family")
     comps = state.select("node", "comp").distinct()
-    whole = placed.where(F.col("size") <= FAMILY).join(comps, "node").select(
-        F.concat(F.lit("f"), "family").alias("part"), "node", "comp", "size"
-    )
+    whole = placed.where(F.col("size") <= FAMILY).join(comps, "node").select(F.concat(F.lit("f"), "family").alias("part"), "node", "comp")
     large = state.join(placed.where(F.col("size") > FAMILY).select("node"), "node", "left_semi")
-    counts = large.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    buckets = large.join(counts, "key").select(F.concat(F.lit("b"), "key").alias("part"), "node", "comp", "size")
-    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    dealt = (
-        whole.unionByName(buckets)
-        .withColumn("chunks", chunks)
-        .withColumn("chunk", chunk)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("part", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "comp")
-        .join(units, "node")
-    )
+    dealt = _deal(whole.unionByName(large.select(F.concat(F.lit("b"), "key").alias("part"), "node", "comp"))).join(units, "node")
 
     def compare(group: pa.Table) -> pa.Table:
         node, comp, chunk = (group.column(c).to_numpy() for c in ("node", "comp", "chunk"))
