@@ -49,6 +49,8 @@ MARGIN = 4.5
 #: Texts of a chunk, and of the largest family that is compared as a whole.
 CHUNK = 128
 FAMILY = 8192
+#: Components at most that are broadcast.
+LARGE = 1000
 #: Bytes of text that a worker handles at once.
 SLICE = 8 << 20
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -236,7 +238,7 @@ def _deal(texts: DataFrame) -> DataFrame:
     )
     placed = texts.join(many.drop("n"), ["part", "comp"])
     placed = placed.join(cut, (placed["part"] == cut["p"]) & placed["own"].eqNullSafe(cut["o"]))
-    chunk = F.col("first") + F.pmod(F.xxhash64(F.when(F.col("own").isNull(), F.col("comp")).otherwise(F.col("node"))), F.col("chunks")).cast("int")
+    chunk = F.col("first") + F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     apart = lambda j: F.col("own").isNull() | (j < F.col("first")) | (j >= F.col("first") + F.col("chunks"))
     others = F.filter(F.sequence(F.lit(0), F.col("total") - 1), apart)
     met = placed.withColumn("chunk", chunk).withColumn("other", F.explode(others))
@@ -353,8 +355,14 @@ def _near_duplicates(
     lowest = F.struct(F.col("doc_id").isNull(), "doc_id", "tag")
     by_comp = member.groupBy("comp").agg(F.min(lowest).alias("low"), F.count(F.lit(1)).alias("group_size"))
     by_class = member.groupBy("digest").agg(F.min("doc_id").alias("class_id"))
+    # At most LARGE components can hold so many rows; they are broadcast, so that no task gets all rows of one.
+    by_comp = materialise(by_comp, "components")
+    least = max(2, sketch.count() // LARGE + 1)
+    large = F.broadcast(by_comp.where(F.col("group_size") >= least))
+    others = member.join(large.select("comp"), "comp", "left_anti").join(by_comp.where(F.col("group_size") < least), "comp")
     return (
-        member.join(by_comp, "comp")
+        member.join(large, "comp")
+        .unionByName(others)
         .join(by_class, "digest")
         .select(
             "doc_id",
