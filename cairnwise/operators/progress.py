@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cairnwise.functions import grids
-from cairnwise.operators.rule_tables import StoredRules
+from cairnwise.operators.rule_index import StoredRules
 from cairnwise.operators.rules import RuleSet
 
 TAG_COLUMNS = ["difficulty", "terrain", "elevation", "country_id"]
@@ -22,14 +22,14 @@ TAG_COLUMNS = ["difficulty", "terrain", "elevation", "country_id"]
 def rule_hits(finds: DataFrame, items: DataFrame, user_rules: DataFrame, rules: RuleSet | StoredRules) -> DataFrame:
     """(user_id, sig, found_date, item columns): finds matching a rule of their user.
 
-    ``user_rules`` holds user_id and sig, for stored rules also their program.
+    ``user_rules`` holds user_id and sig.
     """
     return rules.hits(finds, items, user_rules, TAG_COLUMNS)
 
 
 def daily_totals(hits: DataFrame) -> DataFrame:
     """Per (user, signature, day): matches, summed scores, grid cells as bits,
-    and the running count."""
+    countries as a set, and the running count. A missing country counts as one."""
     zero = F.lit(0)
     low, high = grids.cell_bits(grids.cell_index(F.col("difficulty"), F.col("terrain")))
     daily = hits.groupBy("user_id", "sig", "found_date").agg(
@@ -39,19 +39,12 @@ def daily_totals(hits: DataFrame) -> DataFrame:
         F.sum(F.coalesce("elevation", zero)).alias("altitude"),
         F.bit_or(low).alias("cells_low"),
         F.bit_or(high).alias("cells_high"),
+        F.collect_set(F.coalesce("country_id", F.lit(-1))).alias("countries"),
     )
     so_far = W.partitionBy("user_id", "sig").orderBy("found_date").rowsBetween(W.unboundedPreceding, 0)
     return daily.withColumn("running", F.sum("n").over(so_far))
 
 
-def distinct_countries(hits: DataFrame) -> DataFrame:
-    """(user_id, sig, countries); a missing country counts as one."""
-    return (
-        hits.select("user_id", "sig", "country_id").distinct()
-        .groupBy("user_id", "sig").agg(F.count(F.lit(1)).alias("countries"))
-    )
-
-
 def with_rules(tasks: DataFrame, rules: RuleSet | StoredRules, and_only: bool = True) -> DataFrame:
     """Tasks with their rule's signature and aggregate; ``supported`` is false
     for rules with or/not when ``and_only`` is asked for, and for unknown rules."""
@@ -81,15 +74,11 @@ def task_measures(tasks: DataFrame, finds: DataFrame, items: DataFrame, rules: R
             F.first("max_t").alias("max_t"),
             F.min("found_date").alias("first_date"),
             F.min(F.when((F.col("min_count") > 0) & (F.col("running") >= F.col("min_count")), F.col("found_date"))).alias("nth_date"),
+            # Only tasks that ask for it gather sets: at most one entry a country and day.
+            F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("agg_kind") == "distinct_countries", F.col("countries")))))).alias("countries"),
         )
     )
-    if isinstance(rules, StoredRules) or any(r.aggregate and r.aggregate["kind"] == "distinct_countries" for r in rules.rules):
-        asking = tasks.where("agg_kind = 'distinct_countries'")
-        sub = rule_hits(finds, items, asking, rules)
-        counted = asking.join(distinct_countries(sub), ["user_id", "sig"]).select("task_id", "countries")
-        measures = measures.join(counted, "task_id", "left")
-    else:
-        measures = measures.withColumn("countries", F.lit(None).cast("long"))
+    measures = measures.withColumn("countries", F.when(F.col("countries") > 0, F.col("countries").cast("long")))
     covered = grids.cells_within(F.col("cells_low"), F.col("cells_high"), F.col("max_d"), F.col("max_t"))
     cells = F.when(F.col("max_d").isNotNull(), F.size(covered).cast("long"))
     return measures.withColumn("cells", cells).drop("cells_low", "cells_high", "max_d", "max_t")
@@ -169,6 +158,58 @@ def latest_snapshots(snapshots: DataFrame) -> DataFrame:
     return snapshots.groupBy("uc_id").agg(newest.alias("s")).select("uc_id", *[F.col(f"s.{c}") for c in payload])
 
 
+#: What a snapshot keeps of each task.
+SNAPSHOT_FIELDS = (
+    "ord", "task_id", "title", "status", "supported", "min_count", "current_count", "percent", "agg_total", "agg_target", "agg_unit",
+    "start_found_at", "completed_at",
+)
+
+
+def nested_snapshots(progress: DataFrame, rolled: DataFrame, as_of: str) -> DataFrame:
+    """One snapshot per enrolment: its roll-up, and its tasks in order as an array of structs.
+
+    ``progress`` comes from ``task_progress``, ``rolled`` from
+    ``enrolment_progress``. An enrolment without tasks has an empty array.
+    """
+    tasks = progress.groupBy("uc_id").agg(F.array_sort(F.collect_list(F.struct(*SNAPSHOT_FIELDS))).alias("tasks"))
+    none = F.array().cast(tasks.schema["tasks"].dataType)
+    return rolled.join(tasks, "uc_id", "left").select(
+        "uc_id", "user_id", F.lit(as_of).cast("date").alias("checked_at"), "percent", "tasks_done", "tasks_total",
+        F.coalesce("tasks", none).alias("tasks"),
+    )
+
+
+def latest_task_progress(snapshots: DataFrame) -> DataFrame:
+    """One row per task of every enrolment's newest snapshot, with ``uc_id`` and ``checked_at``.
+
+    Snapshots are compared before their tasks are unfolded, so older ones cost
+    no more than their date.
+    """
+    newest = snapshots.groupBy("uc_id").agg(F.max_by("tasks", "checked_at").alias("tasks"), F.max("checked_at").alias("checked_at"))
+    return newest.select("uc_id", "checked_at", F.inline("tasks"))
+
+
+def written_tasks(tasks: DataFrame, progress: DataFrame) -> DataFrame:
+    """The task table after an evaluation: status and dates of evaluated tasks, all others as they were."""
+    for name in ("start_found_at", "completed_at"):
+        if name not in tasks.columns:
+            tasks = tasks.withColumn(name, F.lit(None).cast("date"))
+    fresh = progress.select("task_id", F.struct("status", "start_found_at", "completed_at").alias("new"))
+    changed = {c: F.when(F.col("new").isNotNull(), F.col(f"new.{c}")).otherwise(F.col(c)) for c in ("status", "start_found_at", "completed_at")}
+    return tasks.join(fresh, "task_id", "left").withColumns(changed).select(*tasks.columns)
+
+
+def written_enrolments(enrolments: DataFrame, rolled: DataFrame, as_of: str) -> DataFrame:
+    """The enrolment table after an evaluation, with the last ``progress`` of evaluated ones."""
+    kind = "struct<percent:double,tasks_done:bigint,tasks_total:bigint,checked_at:date>"
+    if "progress" not in enrolments.columns:
+        enrolments = enrolments.withColumn("progress", F.lit(None).cast(kind))
+    last = F.struct("percent", "tasks_done", "tasks_total", F.lit(as_of).cast("date").alias("checked_at")).cast(kind)
+    fresh = rolled.select("uc_id", F.struct("status", "computed_status", last.alias("progress")).alias("new"))
+    changed = {c: F.when(F.col("new").isNotNull(), F.col(f"new.{c}")).otherwise(F.col(c)) for c in ("status", "computed_status", "progress")}
+    return enrolments.join(fresh, "uc_id", "left").withColumns(changed).select(*enrolments.columns)
+
+
 def enrolment_progress(
     enrolments: DataFrame, tasks: DataFrame, strict: bool = False
 ) -> DataFrame:

@@ -259,7 +259,9 @@ def signatures(canonical: DataFrame, key: str) -> DataFrame:
     a leaf is of no known kind.
     """
     is_agg = F.coalesce(F.col("kind").isin(*AGGREGATES), F.lit(False))
-    text = F.concat_ws("", "kind", F.lit("("), "ids", F.lit("|"), "params", F.lit(")"))
+    # An unknown attribute never holds, so such a leaf differs from the same one without it.
+    strange = F.when((F.col("kind") == "attributes") & (F.col("unknown") != ""), "?").otherwise("")
+    text = F.concat_ws("", "kind", F.lit("("), "ids", F.lit("|"), "params", strange, F.lit(")"))
     kind = reduce(lambda acc, kv: acc.when(F.col("kind") == kv[0], kv[1][0]), AGGREGATES.items(), F.when(F.lit(False), ""))
     steps_d = F.bround((F.coalesce("n.max_difficulty", F.lit(5.0)) - 1.0) / 0.5) + 1
     steps_t = F.bround((F.coalesce("n.max_terrain", F.lit(5.0)) - 1.0) / 0.5) + 1
@@ -340,34 +342,6 @@ def matches(program: Column, k: Column) -> Column:
     return F.coalesce(F.try_element_at(done, F.lit(1)), F.lit(True))
 
 
-class StoredRules:
-    """Rules that a table's rows hold as JSON (``expression``), for progress.
-
-    The rules stay rows: nothing is built on the driver, and their number may
-    grow with the tasks. Each distinct text is taken apart once.
-    """
-
-    def __init__(self, lookup: DataFrame, expression: str = "expression"):
-        self.lookup, self.expression = lookup, expression
-
-    def attach(self, tasks: DataFrame) -> DataFrame:
-        """Tasks with signature, program and aggregate; without a signature
-        where the expression is missing or has a leaf of no known kind."""
-        units = reduce(lambda acc, kv: acc.when(F.col("agg_kind") == kv[0], kv[1]), AGGREGATES.values(), F.when(F.lit(False), ""))
-        table = rule_signatures(tasks, "task_id", self.lookup, self.expression).where("known")
-        sig = F.sha2("signature", 256).alias("sig")
-        return tasks.join(table.select("task_id", sig, "program", "and_only", "agg_kind", "agg_target", units.alias("agg_unit"), "max_d", "max_t"), "task_id", "left")
-
-    def hits(self, finds: DataFrame, items: DataFrame, tasks: DataFrame, columns: list[str]) -> DataFrame:
-        """Finds that match a rule of their user; a user's equal rules are one
-        row here. Adaptive execution splits the join where a user is heavy."""
-        own = tasks.groupBy("user_id", "sig").agg(F.first("program").alias("program"))
-        return (
-            finds.select("user_id", "item_id", "found_date").join(item_keys(items, columns), "item_id")
-            .join(own, "user_id").where(matches(F.col("program"), F.col("k"))).drop("program", "k")
-        )
-
-
 def rule_signatures(rules: DataFrame, key: str, lookup: DataFrame, expression: str = "expression") -> DataFrame:
     """``signatures`` of stored rules; each distinct text is worked on once."""
     shared = rules.where(F.col(expression).isNotNull()).select(key, F.col(expression).alias("rule_text"))

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 
 from cairnwise.functions import geo, grids
 from cairnwise.operators.progress import rule_hits, with_rules
+from cairnwise.operators.rule_index import StoredRules
 from cairnwise.operators.rules import RuleSet, predicate
 from cairnwise.operators.search import cell_width, grid_probes, with_cells
 from cairnwise.session import materialise
@@ -33,11 +34,14 @@ MARKS = sorted({int(8 * 1.5**k) for k in range(60)})
 
 
 def open_tasks(
-    tasks: DataFrame, enrolments: DataFrame, percents: DataFrame, rules: RuleSet, and_only: bool = True
+    tasks: DataFrame, enrolments: DataFrame, percents: DataFrame, rules: RuleSet | StoredRules, and_only: bool = True
 ) -> DataFrame:
     """Unfinished tasks of accepted enrolments, with ratio and the enrolment's
     number of unfinished tasks (unsupported ones count there as well).
 
+    Rules come from a ``RuleSet`` by ``rule_id``, or from the tasks' own
+    expressions with ``StoredRules``; with ``and_only=False`` or/not take part.
+
     ``percents`` holds (task_id, percent); a task without one stands at 0.
     """
     accepted = enrolments.where("status = 'accepted'").select("uc_id")
@@ -49,7 +53,7 @@ def open_tasks(
         .where(F.col("percent") < 100)
         .withColumn("incomplete", F.count(F.lit(1)).over(W.partitionBy("uc_id")))
     )
-    return rows.where(F.col("supported") & (F.col("top") == "and")).select(
+    return rows.where("supported").select(
         "task_id", "uc_id", "user_id", "ord", "sig", "agg_kind", "max_d", "max_t",
         (F.col("percent") / 100.0).alias("ratio"), "incomplete",
     )
@@ -85,7 +89,36 @@ def posting_keys(rules: RuleSet) -> Column:
     return F.array_distinct(F.array_compact(F.array(*keys)))
 
 
-def covered_cells(tasks: DataFrame, finds: DataFrame, items: DataFrame, rules: RuleSet) -> DataFrame:
+def item_lists(items: DataFrame, tasks: DataFrame, rules: RuleSet | StoredRules) -> DataFrame:
+    """(item_id, lat, lon, keys): eligible items and the lists they belong to.
+
+    A ``RuleSet`` answers with one expression per signature. Stored rules
+    answer with their (item, rule) pairs; ``tasks`` tell which of them are
+    matrix rules, and up to which difficulty and terrain.
+    """
+    if isinstance(rules, RuleSet):
+        return eligible(items).select("item_id", "lat", "lon", posting_keys(rules).alias("keys")).where(F.size("keys") > 0)
+    matrix = F.coalesce(F.col("agg_kind") == "dt_matrix", F.lit(False))
+    forms = tasks.groupBy("sig").agg(
+        F.max(~matrix).alias("plain"), F.collect_set(F.when(matrix, F.struct("max_d", "max_t"))).alias("variants")
+    )
+    name = F.col("sig").cast("string")
+    index = grids.cell_index(F.col("difficulty"), F.col("terrain"))
+
+    def cell_list(v: Column) -> Column:
+        inside = F.col("difficulty").between(F.lit(1.0), v["max_d"]) & F.col("terrain").between(F.lit(1.0), v["max_t"])
+        off = F.concat_ws("|", name, F.lit("off"), v["max_d"].cast("string"), v["max_t"].cast("string"))
+        return F.when(inside, F.when(index.isNotNull(), F.concat_ws("|", name, index.cast("string"))).otherwise(off))
+
+    own = F.when(F.col("plain"), F.array(name)).otherwise(F.array().cast("array<string>"))
+    keys = F.array_compact(F.concat(own, F.transform("variants", cell_list)))
+    shown = eligible(items).select("item_id", "lat", "lon", "difficulty", "terrain")
+    rows = rules.pairs(items).join(forms, "sig").join(shown, "item_id").select("item_id", "lat", "lon", keys.alias("keys")).where(F.size("keys") > 0)
+    lists = rows.groupBy("item_id", "lat", "lon").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"))
+    return materialise(lists, "item-lists")
+
+
+def covered_cells(tasks: DataFrame, finds: DataFrame, items: DataFrame, rules: RuleSet | StoredRules) -> DataFrame:
     """(user_id, sig, cells_low, cells_high): grid cells a user's matching finds
     cover, for the users of matrix tasks."""
     asking = tasks.where("agg_kind = 'dt_matrix'").select("user_id", "sig").distinct()
@@ -94,11 +127,11 @@ def covered_cells(tasks: DataFrame, finds: DataFrame, items: DataFrame, rules: R
     return hits.groupBy("user_id", "sig").agg(F.bit_or(low).alias("cells_low"), F.bit_or(high).alias("cells_high"))
 
 
-def task_keys(tasks: DataFrame, finds: DataFrame, items: DataFrame, rules: RuleSet) -> DataFrame:
+def task_keys(tasks: DataFrame, finds: DataFrame, items: DataFrame, rules: RuleSet | StoredRules) -> DataFrame:
     """Tasks with the lists they draw from (``key``): their signature, or for a
     matrix task one list per cell its user has not covered yet."""
     plain = tasks.where("agg_kind IS NULL OR agg_kind <> 'dt_matrix'").withColumn("key", F.col("sig").cast("string"))
-    if not _matrix_variants(rules):
+    if isinstance(rules, RuleSet) and not _matrix_variants(rules):
         return plain
     free = grids.cells_within(F.col("cells_low"), F.col("cells_high"), F.col("max_d"), F.col("max_t"), present=False)
     off = F.concat_ws("|", F.col("sig").cast("string"), F.lit("off"), F.col("max_d").cast("string"), F.col("max_t").cast("string"))
@@ -229,14 +262,14 @@ def _inputs(tasks, users, finds, items, rules):
     """
     tasks = materialise(tasks, "open-tasks")
     keyed = materialise(task_keys(tasks, finds, items, rules), "task-keys")
-    item_keys = eligible(items).select("item_id", "lat", "lon", posting_keys(rules).alias("keys")).where(F.size("keys") > 0)
+    item_keys = item_lists(items, tasks, rules)
     active = tasks.select("user_id").distinct()
     excluded = excluded_items(users, finds, items).join(active, "user_id", "left_semi")
     return tasks, keyed, excluded, item_keys
 
 
 def candidates_by_rank(
-    tasks: DataFrame, users: DataFrame, finds: DataFrame, items: DataFrame, rules: RuleSet, limit: int = LIMIT_PER_TASK
+    tasks: DataFrame, users: DataFrame, finds: DataFrame, items: DataFrame, rules: RuleSet | StoredRules, limit: int = LIMIT_PER_TASK
 ) -> DataFrame:
     """(task, item) with the first ``limit`` items per task by id."""
     tasks, keyed, excluded, item_keys = _inputs(tasks, users, finds, items, rules)
@@ -256,7 +289,7 @@ def candidates_by_rank(
 
 
 def candidates_by_distance(
-    tasks: DataFrame, centres: DataFrame, users: DataFrame, finds: DataFrame, items: DataFrame, rules: RuleSet,
+    tasks: DataFrame, centres: DataFrame, users: DataFrame, finds: DataFrame, items: DataFrame, rules: RuleSet | StoredRules,
     radius_km: float, limit: int = LIMIT_PER_TASK, split: int = 16,
 ) -> DataFrame:
     """(task, item) with the nearest ``limit`` items per task inside a radius.

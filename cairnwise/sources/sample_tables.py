@@ -226,6 +226,20 @@ class SampleTables:
             )
         )
 
+    def task_snapshots(self) -> DataFrame:
+        """The stored snapshots with an entry for each of their two tasks."""
+        entry = (
+            "transform(array(0, 1), o -> named_struct('ord', o, 'task_id', uc_id * 2 + o, 'current_count', CAST(k + o AS BIGINT),"
+            " 'percent', CAST(least(100, 15 * k + (seed + 11 * o) % 45) AS DOUBLE)))"
+        )
+        nested = self.enrolments().where("seed % 5 > 0").selectExpr("uc_id", "user_id", "seed", "explode(sequence(1, CAST(seed % 5 AS INT))) AS k")
+        return nested.selectExpr(
+            "uc_id",
+            "user_id",
+            "date_add(DATE '2001-03-01', CAST(30*k + seed % 20 AS INT)) AS checked_at",
+            f"{entry} AS tasks",
+        )
+
     # -- zones ---------------------------------------------------------------
     def zone_boxes(self) -> DataFrame:
         level1 = self.raw("region").selectExpr(

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from cairnwise.operators import progress as p
 from cairnwise.operators import rules as r
-from cairnwise.operators.rule_tables import StoredRules
+from cairnwise.operators.rule_index import StoredRules
+from cairnwise.plans import evaluation
+from cairnwise.session import scratch_path
+from cairnwise.sources.versions import Versions
 from cairnwise.sources.sample_tables import FIXED_AS_OF, RULE_TEMPLATES, SampleTables
 from checks.ingest import _alias_table
 from checks.tables import with_tables
@@ -200,6 +203,12 @@ STORED_CTES = {
 }
 
 
+WITH_EVALUATED = with_tables(
+    "items", "item_attributes", "finds", "tasks", "snapshots",
+    extra={**STORED_CTES, "due": "SELECT uc_id FROM enrolments WHERE NOT (coalesce(computed_status = 'completed' OR status = 'completed', false) AND uc_id IN (SELECT uc_id FROM snapshots))"},
+)
+
+
 def task_progress_stored(t):
     """Each task evaluated by the rule in its own row, or/not included."""
     tasks = t.tasks().withColumn("expression", F.expr(STORED))
@@ -241,10 +250,41 @@ def enrolment_eta(t):
     return p.enrolment_eta(task_eta(t))
 
 
-def latest_task_progress(t):
+def latest_snapshots(t):
     return p.latest_snapshots(t.snapshots()).select("uc_id", "checked_at", "percent")
 
 
+def latest_task_progress(t):
+    """One row per task, from the entries of each enrolment's newest snapshot."""
+    return p.latest_task_progress(t.task_snapshots())
+
+
+def _evaluated(t):
+    """An evaluation over the tasks' own rules, committed, and read again from the tables."""
+    tables = Versions(t.spark, scratch_path(t.spark, "tables"))
+    rules = StoredRules(_alias_table(t))
+    tasks = t.tasks().withColumn("expression", F.expr(STORED))
+    tables.commit({"tasks": tasks, "enrolments": t.enrolments()})
+    result = evaluation.evaluate(tasks, t.enrolments(), t.snapshots(), t.finds(), t.items(), rules, FIXED_AS_OF, and_only=False)
+    evaluation.publish(result, tables)
+    return tables
+
+
+def evaluated_task_snapshots(t):
+    rows = p.latest_task_progress(_evaluated(t).read("snapshots"))
+    return rows.select("task_id", "uc_id", "checked_at", "ord", "status", "supported", "current_count", "percent", "agg_total", "start_found_at", "completed_at")
+
+
+def evaluated_tasks(t):
+    return _evaluated(t).read("tasks").select("task_id", "status", "start_found_at", "completed_at")
+
+
+def evaluated_enrolments(t):
+    return _evaluated(t).read("enrolments").select(
+        "uc_id", "status", "computed_status", F.col("progress.percent").alias("percent"), F.col("progress.tasks_done").alias("tasks_done")
+    )
+
+
 def _agg_sql(expr, target, where="true"):
     return with_tables("items", "finds", "users") + f"""SELECT user_id, total AS VALUE_NAME, total >= {target} AS reached FROM (
  SELECT u.user_id, CAST(trunc(coalesce({expr}, 0)) AS BIGINT) AS total FROM users u
@@ -310,6 +350,27 @@ CHECKS.update({
     "enrolment_eta": (_q(enrolment_eta), WITH_TASKS + f"SELECT uc_id, max(eta) AS eta FROM ({ETA}) GROUP BY uc_id"),
     "latest_task_progress": (
         _q(latest_task_progress),
+        with_tables("task_snapshots") + "SELECT uc_id, checked_at, ord, task_id, current_count, percent FROM task_snapshots QUALIFY checked_at = max(checked_at) OVER (PARTITION BY uc_id)",
+    ),
+    "evaluated_task_snapshots": (
+        _q(evaluated_task_snapshots),
+        WITH_EVALUATED
+        + f"""SELECT task_id, uc_id, DATE '{FIXED_AS_OF}' AS checked_at, ord, status, supported, current_count, percent, agg_total, start_found_at, completed_at FROM progress SEMI JOIN due USING (uc_id)""",
+    ),
+    "evaluated_tasks": (
+        _q(evaluated_tasks),
+        WITH_EVALUATED
+        + """SELECT t.task_id, CASE WHEN d.uc_id IS NULL THEN t.status ELSE p.status END AS status, CASE WHEN d.uc_id IS NOT NULL THEN p.start_found_at END AS start_found_at,
+ CASE WHEN d.uc_id IS NOT NULL THEN p.completed_at END AS completed_at FROM tasks t JOIN progress p USING (task_id) LEFT JOIN due d ON d.uc_id = t.uc_id""",
+    ),
+    "evaluated_enrolments": (
+        _q(evaluated_enrolments),
+        WITH_EVALUATED
+        + f"""SELECT e.uc_id, CASE WHEN d.uc_id IS NULL THEN e.status ELSE u.status END AS status, CASE WHEN d.uc_id IS NULL THEN e.computed_status ELSE u.computed_status END AS computed_status,
+ CASE WHEN d.uc_id IS NOT NULL THEN u.percent END AS percent, CASE WHEN d.uc_id IS NOT NULL THEN u.tasks_done END AS tasks_done FROM enrolments e JOIN ({UC}) u USING (uc_id) LEFT JOIN due d USING (uc_id)""",
+    ),
+    "latest_snapshots": (
+        _q(latest_snapshots),
         with_tables("snapshots") + "SELECT uc_id, max(checked_at) AS checked_at, max_by(percent, checked_at) AS percent FROM snapshots GROUP BY uc_id",
     ),
 })

@@ -108,7 +108,7 @@ ERRORS = """SELECT * FROM (VALUES (0,'missing_expression',NULL),(1,'unknown_in_t
  (5,'min_above_max','difficulty_between'),(6,'unknown_in_attributes','nope'),(7,'unknown_in_country_is','Nowhere'),(11,'type_in_matches_everything',NULL),
  (15,'unknown_in_state_in','9999'),(15,'state_without_country','')) v(m, error, detail)"""
 SIGNATURES = """SELECT * FROM (VALUES (1,'type_in(economy|)',true),(2,'size_in(M|)',false),(3,'placed_year(|2010)',true),(4,'state_in(13,14|)',true),
- (5,'difficulty_between(|4.0|2.0)',true),(6,'attributes(3+,71-|)',true),(7,'country_is(|)',true),(8,'and[country_is(3|);state_in(13,14|)]',true),
+ (5,'difficulty_between(|4.0|2.0)',true),(6,'attributes(3+,71-|?)',true),(7,'country_is(|)',true),(8,'and[country_is(3|);state_in(13,14|)]',true),
  (9,'size_in(L,S|)',true),(10,'and[difficulty_between(|1.0|2.5);size_in(M|)]',true),(11,'type_in(|)',true),
  (12,'not[or[not[size_in(L|)];type_in(promo|)]]',false),(13,'',true),(14,'',true),(15,'state_in(|)',true),
  (16,'or[and[placed_year(|2010);terrain_between(|3.0|5.0)];and[size_in(M|);type_in(economy|)]]',false),

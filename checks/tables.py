@@ -94,6 +94,12 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT uc_id, user_id, CAST(DATE '2001-03-01' + CAST(30*k + seed % 20 AS INT) AS DATE) AS checked_at,
  CAST(least(100, 20*k + seed % 25) AS DOUBLE) AS percent, CAST(least(2, k - 1) AS INT) AS tasks_done, 2 AS tasks_total
  FROM (SELECT uc_id, user_id, seed, unnest(range(1, CAST(seed % 5 AS INT) + 1)) AS k FROM enrolments WHERE seed % 5 > 0)""",
+    ),
+    "task_snapshots": (
+        ("enrolments",),
+        """SELECT uc_id, user_id, CAST(DATE '2001-03-01' + CAST(30*k + seed % 20 AS INT) AS DATE) AS checked_at, CAST(o AS INT) AS ord,
+ uc_id * 2 + o AS task_id, CAST(k + o AS BIGINT) AS current_count, CAST(least(100, 15 * k + (seed + 11 * o) % 45) AS DOUBLE) AS percent
+ FROM (SELECT uc_id, user_id, seed, unnest(range(1, CAST(seed % 5 AS INT) + 1)) AS k FROM enrolments WHERE seed % 5 > 0), range(2) t(o)""",
     ),
     "zones": (
         (),

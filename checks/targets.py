@@ -9,7 +9,9 @@ from cairnwise.operators import progress as p
 from cairnwise.operators import targets as g
 from cairnwise.session import materialise
 from cairnwise.sources.sample_tables import SampleTables
-from checks.progress import RULES, TASK_CTES
+from cairnwise.operators.rule_index import StoredRules
+from checks.ingest import _alias_table
+from checks.progress import RULES, STORED, STORED_SQL, TASK_CTES
 from checks.search import haversine_sql
 from checks.tables import with_tables
 
@@ -58,9 +60,12 @@ def _scored(t, limit=SMALL, hard=g.HARD_LIMIT):
 
 
 def _existing(t):
+    return _older(t.scored())
+
+
+def _older(rows):
     """An older target table: a third of today's rows, some with another score,
     and some rows that no longer qualify."""
-    rows = t.scored()
     older = rows.where("(uc_id + item_id) % 3 = 0").withColumn(
         "score", F.expr("CASE WHEN item_id % 2 = 0 THEN score - 0.01 ELSE score END")
     )
@@ -153,6 +158,54 @@ def targets_nearby(t):
     return rows.select("user_id", "uc_id", "item_id", F.round("distance_m", 1).alias("distance_m"), "position", "nb_items", "nb_pages")
 
 
+# Every task's own rule, and/or/not and a matrix included.
+OWN_RULES = STORED.replace("% 7\n", "% 8\n").replace(
+    "ELSE", """WHEN 7 THEN '{"nodes":[{"kind":"aggregate_dt_matrix_complete","max_difficulty":3,"max_terrain":3},{"kind":"size_in","codes":["M","S"]}]}' ELSE"""
+)
+OWN_RULES_SQL = STORED_SQL.replace("t.task_id % 7 WHEN 0", "o.task_id % 8 WHEN 0").replace("t.task_id", "o.task_id").replace(
+    " END", " WHEN 7 THEN size_code IN ('M', 'S') END"
+)
+
+
+def _own(t):
+    """(rules, open tasks) by the tasks' own expressions, with each task's percent of the newest snapshot."""
+    rules = StoredRules(_alias_table(t))
+    tasks = t.tasks().withColumn("expression", F.expr(OWN_RULES))
+    percents = p.latest_task_progress(t.task_snapshots()).select("task_id", "percent")
+    return rules, g.open_tasks(tasks, t.enrolments(), percents, rules, and_only=False)
+
+
+def _own_candidates(t, limit=SMALL):
+    rules, tasks = _own(t)
+    return g.candidates_by_rank(tasks, t.users(), t.finds(), t.items(), rules, limit)
+
+
+def target_candidates_stored(t):
+    return _own_candidates(t).select("task_id", "uc_id", "item_id")
+
+
+def target_candidates_stored_few(t):
+    """So few per task that several lists of a matrix task have to be read together."""
+    return _own_candidates(t, 7).select("task_id", "uc_id", "item_id")
+
+
+def evaluate_targets_stored(t):
+    return _rounded(g.score(_own_candidates(t), t.items()))
+
+
+def evaluate_targets_stored_geo(t):
+    rules, tasks = _own(t)
+    centres = t.users().select("user_id", F.col("home_lat").alias("centre_lat"), F.col("home_lon").alias("centre_lon"))
+    cand = g.candidates_by_distance(tasks, centres, t.users(), t.finds(), t.items(), rules, 90.0, SMALL)
+    return _rounded(g.score(cand, t.items(), radius_km=90.0, weights={"geographic": 0.5}), F.round("distance_m", 1).alias("distance_m"))
+
+
+def evaluate_all_stored(t):
+    """Targets by the tasks' own rules, merged into an older table of them."""
+    scored = materialise(g.score(_own_candidates(t), t.items()), "own-targets")
+    return g.evaluation_counts(g.merge_targets(_older(scored), scored))
+
+
 def refresh_status(t):
     return g.refresh_status(t.users())
 
@@ -177,6 +230,25 @@ def _ctes(limit, percents="stored", candidate_extra=""):
     return ctes
 
 
+def _own_ctes(limit):
+    """The same with the tasks' own rules and the percents of their snapshot entries."""
+    ctes = _ctes(limit)
+    ctes["pct"] = """SELECT t.*, coalesce(l.percent, 0) AS percent FROM tasks t LEFT JOIN (SELECT task_id, max_by(percent, checked_at) AS percent FROM task_snapshots GROUP BY task_id) l USING (task_id)"""
+    ctes["opened"] = ctes["opened"].replace("rule_id <> 11", "task_id % 8 <> 6")
+    ctes["pool"] = f"""SELECT o.*, i.item_id, i.lat, i.lon FROM opened o JOIN items i ON {OWN_RULES_SQL}
+ ANTI JOIN finds f ON f.user_id = o.user_id AND f.item_id = i.item_id
+ WHERE coalesce(i.status, '') NOT IN ('disabled','archived') AND (o.task_id % 8 <> 7 OR (i.difficulty <= 3 AND i.terrain <= 3 AND NOT EXISTS (SELECT 1 FROM cov
+  WHERE cov.user_id = o.user_id AND cov.difficulty = i.difficulty AND cov.terrain = i.terrain AND cov.size_code IN ('M', 'S'))))"""
+    ctes["cov"] = "SELECT DISTINCT user_id, difficulty, terrain, size_code FROM finds JOIN items USING (item_id)"
+    return ctes
+
+
+def _with_own(limit=SMALL, **replaced):
+    ctes = _own_ctes(limit)
+    ctes.update(replaced)
+    return with_tables("items", "item_attributes", "finds", "users", "tasks", "snapshots", "task_snapshots", extra=ctes)
+
+
 def _scored_sql(geo_weight, geographic, hard):
     return f"""SELECT s.*, i.code, i.title, i.type_code, i.lat, i.lon, least(urgency * 0.4::DOUBLE + coverage * 0.3::DOUBLE + geographic * {geo_weight}::DOUBLE, 1.0) AS score FROM (
  SELECT *, least(best, 1.0::DOUBLE) AS urgency, least(matched_tasks::DOUBLE / incomplete, 1.0::DOUBLE) AS coverage, {geographic} AS geographic FROM (
@@ -265,6 +337,23 @@ CHECKS = {
  count(*) OVER (PARTITION BY user_id) AS nb_items, CAST(ceil(count(*) OVER (PARTITION BY user_id) / 10) AS BIGINT) AS nb_pages
  FROM (SELECT s.*, {D} * 1000 AS d FROM scored s JOIN users USING (user_id)) WHERE d <= 120000 QUALIFY position <= 10"""),
     ),
+    "target_candidates_stored": (_q(target_candidates_stored), _with_own() + "SELECT task_id, uc_id, item_id FROM cand"),
+    "target_candidates_stored_few": (_q(target_candidates_stored_few), _with_own(7) + "SELECT task_id, uc_id, item_id FROM cand"),
+    "evaluate_targets_stored": (
+        _q(evaluate_targets_stored), _sql(_with_own() + f"SELECT uc_id, item_id, matched_tasks, primary_task_id, {ROUNDED} FROM scored")
+    ),
+    "evaluate_targets_stored_geo": (
+        _q(evaluate_targets_stored_geo),
+        _sql(
+            _with_own(
+                cand=f"""SELECT p.*, {D} * 1000 AS distance_m FROM pool p JOIN users USING (user_id) WHERE {D} * 1000 <= 90000
+ QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY {D} * 1000, item_id) <= {SMALL}""",
+                scored=_scored_sql(0.5, GEO, g.HARD_LIMIT),
+            )
+            + f"SELECT uc_id, item_id, matched_tasks, primary_task_id, round(distance_m, 1) AS distance_m, {ROUNDED} FROM scored"
+        ),
+    ),
+    "evaluate_all_targets_stored": (_q(evaluate_all_stored), _sql(_with_own() + COUNTS.format(MERGED))),
     "targets_refresh_status": (
         _q(refresh_status),
         with_tables("users") + "SELECT user_id, coalesce(last_import_at IS NOT NULL AND (last_evaluated_at IS NULL OR last_import_at > last_evaluated_at), false) AS needs_refresh, last_import_at, last_evaluated_at FROM users",
