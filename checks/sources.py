@@ -9,9 +9,11 @@ from cairnwise.operators import audit
 from cairnwise.plans import importing
 from cairnwise.session import scratch_path
 from cairnwise.sources import documents, snapshots, waypoints
+from cairnwise.sources.versions import Versions
 from cairnwise.sources.sample_tables import FIXED_AS_OF, SampleTables
 from checks import ingest as ing
 from checks.tables import with_tables
+from checks.zones import NEAR
 
 PER_FILE = 500
 
@@ -172,6 +174,41 @@ def import_quarantine(t):
     return _import(t, "found").quarantine.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def _pipeline(t):
+    """A whole import over stored tables, with zones, elevations and places, read back from its commit."""
+    tables = Versions(t.spark, scratch_path(t.spark, "tables"))
+    tables.commit({
+        "items": t.items().where("item_id % 3 > 0").withColumn("url", F.lit(None).cast("string")),
+        "finds": t.items().where("item_id % 4 = 0 AND item_id % 3 > 0").selectExpr("item_id % 50 AS user_id", "item_id", "DATE '2000-06-01' AS found_date", "'old' AS notes"),
+        "countries": t.countries(), "states": t.states(), "users": t.users(),
+    })
+    raw = ing.raw_items(t).selectExpr("*", "item_id % 50 AS user_id", "item_id AS ord", "concat('f', item_id % 20) AS source_file").drop("item_id")
+    places = t.items().where("country_id IS NULL").selectExpr(
+        "round(lat, 3) AS lat_key", "round(lon, 3) AS lon_key", "concat('NATION_', item_id % 25) AS country",
+        *[f"CAST(NULL AS STRING) AS {c}" for c in ("state", "region", "county")],
+    )
+    importing.import_job(
+        tables, raw, t.item_types(), t.item_sizes(), ing._attributes(t), FIXED_AS_OF,
+        zones=t.zones(), elevation=ing._elevation_lookup(t), places=places,
+    )
+    return tables
+
+
+def import_pipeline(t):
+    return _pipeline(t).read("items").select(
+        "code", "title", "lat", "lon", "difficulty", "terrain", "type_code", "size_code", "country_id", "elevation", "favorites", "status",
+        "placed_at", "zone_level1", "zone_level2",
+    )
+
+
+def import_pipeline_users(t):
+    return _pipeline(t).read("users").select("user_id", "last_import_at")
+
+
+def import_pipeline_tables(t):
+    return _pipeline(t).listing().select("name", "docs", "folders", "version")
+
+
 def import_statistics(t):
     return audit.import_statistics(t.users(), t.finds(), {"items": t.items(), "types": t.item_types(), "sizes": t.item_sizes(), "countries": t.countries(), "states": t.states()})
 
@@ -203,6 +240,25 @@ IMPORT = {
  FROM oldf o FULL JOIN newf n ON n.user_id = o.user_id AND n.code = o.code""",
     "news": f"""SELECT c.country_id, {PLAIN.format('r.state')} AS key FROM good r JOIN allc c ON {PLAIN.format('c.name')} = {PLAIN.format('r.country')} WHERE coalesce(r.state, '') <> '' GROUP BY 1, 2""",
 }
+# The same import with places, elevations and zones.
+_K = "round(lat, 3) AS lat_key, round(lon, 3) AS lon_key"
+PIPELINE = {
+    **{k: v for k, v in IMPORT.items() if k in ("raw", "record", "good0")},
+    "pl": f"SELECT {_K}, max(concat('NATION_', item_id % 25)) AS place FROM items WHERE country_id IS NULL GROUP BY ALL",
+    "good1": "SELECT * FROM good0 WHERE why IS NULL",
+    "good": "SELECT g.* EXCLUDE (country), coalesce(g.country, pl.place) AS country FROM good1 g LEFT JOIN pl ON lat_key = round(g.vlat, 3) AND lon_key = round(g.vlon, 3)",
+    **{k: v for k, v in IMPORT.items() if k in ("newc", "allc", "stored")},
+    "el": f"SELECT {_K}, max(lat * 10 + 0.5) AS metres FROM items WHERE item_id % 4 < 2 GROUP BY ALL",
+    "mapped0": IMPORT["mapped"],
+    "mapped": "SELECT m.*, CAST(round_even(metres, 0) AS INT) AS melev FROM mapped0 m LEFT JOIN el ON lat_key = round(vlat, 3) AND lon_key = round(vlon, 3)",
+    "pts": "SELECT item_id, vlat AS lat, vlon AS lon FROM mapped WHERE vlat IS NOT NULL AND vlon IS NOT NULL",
+    **{k: v.replace("FROM items", "FROM pts") for k, v in NEAR.items()},
+    "placed": "SELECT item_id, coalesce(level1, n1) AS z1, coalesce(level2, n2) AS z2 FROM pts LEFT JOIN exact USING (item_id) LEFT JOIN near USING (item_id)",
+    "merged": IMPORT["merged"].replace(" AS placed_at,", " AS placed_at, coalesce(m.melev, s.elevation) AS elevation, z1 AS zone_level1, z2 AS zone_level2,")
+    + " LEFT JOIN placed ON placed.item_id = m.item_id",
+    **{k: v for k, v in IMPORT.items() if k in ("oldf", "newf", "mf", "news")},
+}
+WITH_PIPELINE = with_tables("items", "item_types", "item_sizes", "countries", "states", "users", "zones", extra=PIPELINE)
 WITH_IMPORT = with_tables("items", "item_types", "item_sizes", "countries", "states", extra=IMPORT)
 BACKUP = with_tables("items", "users", "finds", "enrolments")
 COUNTS = "SELECT 'items' AS \"table\", count(*) AS docs FROM items UNION ALL SELECT 'users', count(*) FROM users UNION ALL SELECT 'finds', count(*) FROM finds UNION ALL SELECT 'enrolments', count(*) FROM enrolments"
@@ -246,6 +302,23 @@ CHECKS = {
     ),
     "import_items": (_q(import_items), WITH_IMPORT + "SELECT * FROM merged"),
     "import_finds": (_q(import_finds), WITH_IMPORT + "SELECT * FROM mf"),
+    "import_pipeline": (
+        _q(import_pipeline),
+        WITH_PIPELINE + "SELECT code, title, lat, lon, difficulty, terrain, type_code, size_code, country_id, elevation, favorites, status, placed_at, zone_level1, zone_level2 FROM merged",
+    ),
+    "import_pipeline_users": (
+        _q(import_pipeline_users),
+        WITH_PIPELINE
+        + f"""SELECT u.user_id, CASE WHEN unfound > 0 THEN DATE '{FIXED_AS_OF}' ELSE last_import_at END AS last_import_at FROM users u
+ LEFT JOIN (SELECT item_id % 50 AS user_id, count(*) - count(found_at) AS unfound FROM good GROUP BY 1) USING (user_id)""",
+    ),
+    "import_pipeline_tables": (
+        _q(import_pipeline_tables),
+        WITH_PIPELINE
+        + f"""SELECT name, docs, 1 AS folders, 2::BIGINT AS version FROM (SELECT 'items' AS name, count(*) AS docs FROM merged UNION ALL SELECT 'finds', count(*) FROM mf UNION ALL SELECT 'users', count(*) FROM users
+ UNION ALL SELECT 'countries', count(*) FROM allc UNION ALL SELECT 'quarantine', count(*) FROM good0 WHERE why IS NOT NULL UNION ALL SELECT 'imports', 1
+ UNION ALL SELECT 'states', (SELECT count(*) FROM states) + (SELECT count(*) FROM news x WHERE NOT EXISTS (SELECT 1 FROM states s WHERE s.country_id = x.country_id AND {PLAIN.format('s.name')} = x.key)))""",
+    ),
     "import_quarantine": (
         _q(import_quarantine),
         WITH_IMPORT
