@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnwise.session import materialise
+from cairnwise.session import materialise, scratch_path
 
 # Parents before children, and every foreign key (table, column, parent).
 ORDER = [
@@ -31,47 +33,70 @@ REFERENCES = [
     ("enrolments", "challenge_id", "challenges"),
     ("enrolments", "user_id", "users"),
 ]
-# Parents whose own rows may be marked, and so must be known before their children.
-_CASCADING = {"states", "items", "challenges", "enrolments", "tasks"}
-
-
-def _dangling(source: DataFrame, column: str, valid: DataFrame) -> DataFrame:
-    if "." in column:
-        array, field = column.split(".")
-        refs = source.select("id", F.explode(array).alias("a")).select("id", F.col(f"a.{field}").alias("ref"))
-    else:
-        refs = source.select("id", F.col(column).alias("ref"))
-    # Distinct references meet the parents, not the rows: one popular parent is
-    # one key here, and a clean table ends with an empty, broadcastable set.
-    missing = refs.where("ref IS NOT NULL").select("ref").distinct().join(
-        valid.select(F.col("id").alias("ref")), "ref", "left_anti"
-    )
-    return refs.join(missing, "ref", "left_semi").select("id").distinct()
+# Parents whose own rows refer to something, so that a marked row marks its children.
+_CASCADING = {parent for _, _, parent in REFERENCES} & {source for source, _, _ in REFERENCES}
+
+
+def reference_rows(tables: dict[str, DataFrame]) -> DataFrame:
+    """One long table (table, id, column, parent, ref) of all references, ids as text.
+
+    Each table is scanned once; every row also states itself, as a row without
+    a column whose parent is its own table.
+    """
+    kind = "array<struct<column:string,parent:string,ref:string>>"
+
+    def entry(column: str | None, parent: str, ref: Column) -> Column:
+        return F.struct(F.lit(column).cast("string").alias("column"), F.lit(parent).alias("parent"), ref.cast("string").alias("ref"))
+
+    parts = []
+    for name in ORDER:
+        entries = [F.array(entry(None, name, F.col("id"))).cast(kind)]
+        for source, column, parent in REFERENCES:
+            if source != name:
+                continue
+            if "." in column:
+                array, field = column.split(".")
+                refs = F.array_distinct(F.transform(array, lambda a: entry(column, parent, a[field])))  # noqa: B023
+                entries.append(F.coalesce(refs.cast(kind), F.array().cast(kind)))
+            else:
+                entries.append(F.array(entry(column, parent, F.col(column))).cast(kind))
+        stated = F.filter(F.concat(*entries), lambda e: e["ref"].isNotNull())
+        parts.append(tables[name].select(F.lit(name).alias("table"), F.col("id").cast("string").alias("id"), F.inline(stated)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def orphans(tables: dict[str, DataFrame]) -> DataFrame:
     """(table, column, id) of rows whose reference leads nowhere.
 
-    Parents are visited first; a row already found to be an orphan does not
-    count as a parent any more, so whole chains show up. Each table has an
-    ``id`` column. The ids of marked parents are written once, because every
-    child table reads them.
+    A row that was found to be an orphan does not count as a parent any more,
+    so whole chains show up. Each table has an ``id`` column. All references
+    are written as one long table, by parent; one aggregation over it finds the
+    references to nothing (a popular parent is one key there). Then every round
+    takes only the rows marked in the round before, and reads only the
+    references to their tables, until nothing new is marked.
     """
-    marked: dict[str, DataFrame] = {}
-    report: DataFrame | None = None
-    for parent in ORDER:
-        valid = tables[parent].select("id")
-        if parent in marked and parent in _CASCADING:
-            marked[parent] = materialise(marked[parent].distinct(), f"orphans-{parent}")
-            valid = valid.join(marked[parent], "id", "left_anti")
-        for source, column, target in REFERENCES:
-            if target != parent:
-                continue
-            ids = _dangling(tables[source], column, valid)
-            marked[source] = ids if source not in marked else marked[source].unionByName(ids)
-            rows = ids.select(F.lit(source).alias("table"), F.lit(column).alias("column"), F.col("id").cast("string").alias("id"))
-            report = rows if report is None else report.unionByName(rows)
-    return report
+    spark = tables[ORDER[0]].sparkSession
+    long = reference_rows(tables)
+    path = scratch_path(spark, "references")
+    long.write.partitionBy("parent").parquet(path)
+    long = spark.read.schema(long.schema).parquet(path)
+    references = long.where(F.col("column").isNotNull())
+    stated = long.groupBy("parent", "ref").agg(F.max(F.col("column").isNull()).alias("exists"))
+    gone = stated.where(~F.col("exists")).select("parent", "ref")
+    found = materialise(references.join(gone, ["parent", "ref"], "left_semi").select("table", "column", "id").distinct(), "orphans")
+    report, marked = found, None
+    while True:
+        ids = found.where(F.col("table").isin(sorted(_CASCADING))).select(F.col("table").alias("parent"), F.col("id").alias("ref")).distinct()
+        if marked is not None:
+            ids = ids.join(marked, ["parent", "ref"], "left_anti")
+        ids = materialise(ids, "marked")
+        touched = [r["parent"] for r in ids.select("parent").distinct().collect()]  # table names
+        if not touched:
+            return report.distinct()
+        marked = ids if marked is None else marked.unionByName(ids)
+        below = references.where(F.col("parent").isin(touched)).join(ids, ["parent", "ref"], "left_semi")
+        found = materialise(below.select("table", "column", "id").distinct(), "orphans")
+        report = report.unionByName(found)
 
 
 def orphan_counts(report: DataFrame) -> DataFrame:

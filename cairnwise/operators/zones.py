@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cairnwise.functions import polygons
+from cairnwise.session import materialise
 
 # Fixed value: how far (degrees) a point may lie outside its nearest zone.
 NEAREST_LIMIT_DEG = 0.1
 CELL_DEG = 0.5
 SALTS = 8
 DETAIL_LIMIT = 10
+#: Beyond this distance (degrees) every zone on a map of the earth has been seen.
+FARTHEST_DEG = 1024.0
 
 
 def _cell(value: Column, size: float) -> Column:
@@ -163,6 +166,35 @@ def assign_zones(
     return result if existing is None else result.unionByName(existing)
 
 
+def nearest_by_rings(points: DataFrame, zones: DataFrame) -> DataFrame:
+    """(item_id, near): the nearest zone of each point's country, however far.
+
+    Rings grow by doubling: in each round points meet the zones of their cell,
+    which carries all edges within one cell's width. A zone found within that
+    width is the nearest, since unseen ones are farther; the other points go on
+    to the next, wider grid. ``points`` holds item_id, country, lat, lon; of
+    zones equally near the lowest code wins. Points of a country without zones
+    have no row.
+    """
+    owners = zones.select("code", F.col("country").alias("zone_country"))
+    open_points = materialise(points.join(zones.select("country").distinct(), "country", "left_semi"), "open-points")
+    distance = polygons.edge_distance(F.col("lon"), F.col("lat"), F.col("edges"))
+    width, done = CELL_DEG, None
+    while width <= FARTHEST_DEG and not open_points.isEmpty():
+        cells = zone_cells(zones, width, width).join(owners, "code")
+        located = open_points.select(
+            "item_id", "country", "lat", "lon", _cell(F.col("lon"), width).alias("cx"), _cell(F.col("lat"), width).alias("cy"),
+            F.pmod(F.hash("item_id"), F.lit(SALTS)).alias("salt"),
+        )
+        spread = cells.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("zone_country", "country")
+        near = located.join(spread, ["country", "cx", "cy", "salt"]).withColumn("d", distance).where(F.col("d") <= width)
+        found = materialise(near.groupBy("item_id").agg(F.min(F.struct("d", "code"))["code"].alias("near")), "nearest")
+        done = found if done is None else done.unionByName(found)
+        open_points = materialise(open_points.join(found, "item_id", "left_anti"), "open-points")
+        width *= 2
+    return points.select("item_id", F.lit(None).cast("string").alias("near")).where(F.lit(False)) if done is None else done
+
+
 def zone_parents(zones: DataFrame) -> DataFrame:
     """(code, parent_code) of level-2 zones: the level-1 zone around the
     centroid, else the nearest level-1 zone of the same country."""
@@ -171,13 +203,8 @@ def zone_parents(zones: DataFrame) -> DataFrame:
     )
     level1 = zones.where("level = 1")
     around = containing_zones(children, level1).select("item_id", "level1")
-    placed = children.join(around, "item_id", "left")
-    outside = placed.where("level1 IS NULL").join(
-        level1.select("country", F.col("code").alias("parent"), polygons.edges(F.col("rings")).alias("edges")), "country"
-    )
-    nearest = outside.groupBy("item_id").agg(
-        F.min(F.struct(polygons.edge_distance(F.col("lon"), F.col("lat"), F.col("edges")).alias("d"), "parent"))["parent"].alias("near")
-    )
+    placed = materialise(children.join(around, "item_id", "left"), "children")
+    nearest = nearest_by_rings(placed.where("level1 IS NULL").select("item_id", "country", "lat", "lon"), level1)
     return placed.join(nearest, "item_id", "left").select(
         F.col("item_id").alias("code"), F.coalesce("level1", "near").alias("parent_code")
     )

@@ -77,3 +77,28 @@ def test_zone_level_preference(spark):
     zones = zone_table(spark, [("X", 1, box(0, 0, 1, 1)), ("X", 2, box(0, 0, 1, 1)), ("Y", 1, box(0, 0, 1, 1))])
     assert {r.code: r.level for r in z.chosen_levels(zones).collect()} == {"X": 2, "Y": 1}
     assert {r.code: r.level for r in z.chosen_levels(zones, 1).collect()} == {"X": 1, "Y": 1}
+
+
+def test_parents_of_outliers(spark):
+    """Children outside every zone take the nearest zone of their own country, near or on the other side of the map."""
+    r = random.Random(4)
+    rows = [(f"P{k}", 1, [box(x, y, x + r.uniform(0.1, 4), y + r.uniform(0.1, 3))[0]], "XX" if k % 3 else "YY") for k, (x, y) in enumerate((r.uniform(-30, 30), r.uniform(-20, 20)) for _ in range(12))]
+    spots = [(r.uniform(-35, 35), r.uniform(-25, 25)) for _ in range(40)] + [(179.5, 80.0), (-179.9, -85.0), (0.0, 0.0)]
+    rows += [(f"C{k}", 2, box(x, y, x + 0.01, y + 0.01), "XX" if k % 2 else "YY") for k, (x, y) in enumerate(spots)]
+    rows.append(("C-lost", 2, box(5, 5, 6, 6), "ZZ"))
+    schema = "code string, level int, name string, country string, parent_code string, rings array<array<struct<x:double,y:double>>>"
+    zones = spark.createDataFrame([(code, level, code, country, None, rings) for code, level, rings, country in rows], schema)
+
+    def gap(x, y, rings):
+        xs, ys = [p["x"] for p in rings[0]], [p["y"] for p in rings[0]]
+        return max(min(xs) - x, 0, x - max(xs)), max(min(ys) - y, 0, y - max(ys))
+
+    got = {row["code"]: row["parent_code"] for row in z.zone_parents(zones).collect()}
+    for code, level, rings, country in rows:
+        if level == 1:
+            continue
+        x, y = (rings[0][0]["x"] + rings[0][2]["x"]) / 2, (rings[0][0]["y"] + rings[0][2]["y"]) / 2
+        gaps = {p: gap(x, y, pr) for p, pl, pr, _ in rows if pl == 1}
+        around = sorted(p for p, g in gaps.items() if g == (0, 0))
+        own = [(dx * dx + dy * dy, p) for (p, (dx, dy)), pc in zip(gaps.items(), [c for _, lv, _, c in rows if lv == 1]) if pc == country]
+        assert got[code] == (around[0] if around else min(own)[1] if own else None), code
