@@ -173,22 +173,30 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def training_sample(known: DataFrame, per_language: int) -> DataFrame:
+    """``h, v, lang, text``: at most ``per_language`` rows a language, chosen by a hash of id and text.
+
+    Repeated rows are one row, so the bound holds for all that reaches the
+    driver; only hashes are ranked.
+    """
+    id_hash = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    keyed = known.select(id_hash.alias("h"), F.xxhash64("text").alias("v"), "lang", "text")
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("h", "v"))
+    ranked = keyed.select("h", "v", "lang").distinct().withColumn("turn", turn)
+    chosen = ranked.where(F.col("turn") <= per_language).select("h", "v", "lang")
+    return keyed.join(F.broadcast(chosen), ["h", "v", "lang"], "left_semi").dropDuplicates(["h", "v", "lang"])
+
+
 def fit_language_model(rows: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray, float]:
     """Languages, table of idf-weighted weights and temperature from ``doc_id, text, lang``.
 
-    Rows with a null language, or without text, teach nothing.
+    Rows with a null language, or without text, teach nothing; of each language
+    at most ``per_language`` different (id, text) rows are learned from.
     """
     known = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     df, n = document_frequencies(known)
     idf = np.where(df > 0, np.log((1 + n) / (1 + df)) + 1, 0.0)
-    ranked = known.select(
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"), F.xxhash64("text").alias("v"), "lang"
-    )
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy("h", "v"))
-    chosen = ranked.withColumn("turn", turn).where(F.col("turn") <= per_language).select("h", "v", "lang")
-    keyed = known.select("text", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"), "lang")
-    keyed = keyed.withColumn("v", F.xxhash64("text"))
-    sample = keyed.join(F.broadcast(chosen.distinct()), ["h", "v", "lang"], "left_semi")
+    sample = training_sample(known, per_language)
     got = sorted((r["h"], r["lang"], r["text"]) for r in sample.select("h", "lang", "text").collect())
     languages = sorted({lang for _, lang, _ in got})
     place = {lang: i for i, lang in enumerate(languages)}

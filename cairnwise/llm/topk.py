@@ -26,23 +26,29 @@ QUERY_BLOCK = 512
 #: Blocks of the longest vectors that give the first thresholds.
 HEADS = 2
 STEP = 256
+#: Tasks at most that multiply pairs of blocks.
+PAIR_TASKS = 10_000
 
-_BLOCKS = "block string, longest double, n int, ids binary, data binary"
-_FOUND = "query_id bigint, vec_id bigint, score bigint"
+_BLOCKS = "block string, longest double, n int, ids binary, rows binary, data binary"
+_FOUND = "query_id bigint, query_row bigint, vec_id bigint, row bigint, score bigint"
 
 
 def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
-    """``vec_id, x array<bigint>, n2 double``; vectors that are null or hold a null or non-finite component go."""
+    """``vec_id, row, x array<bigint>, n2 double``; vectors that are null or hold a null or non-finite component go.
+
+    ``row`` is a number of its own for every row, so that rows may share an id.
+    """
     x = vectors[vector_col].cast("array<double>")
     fine = (
         vectors[id_col].isNotNull()
         & x.isNotNull()
+        & (F.size(x) > 0)
         & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     )
     whole = vectors.where(fine).select(
         vectors[id_col].cast("bigint").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale)).alias("x")
     )
-    whole = whole.groupBy("vec_id").agg(F.min("x").alias("x"))
+    whole = whole.withColumn("row", F.monotonically_increasing_id())
     return whole.withColumn("n2", F.aggregate("x", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double")))
 
 
@@ -76,25 +82,26 @@ def pack_blocks(vectors: DataFrame, dim: int, size: int) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, size):
                 part = batch.slice(a, min(size, batch.num_rows - a))
-                ids = part.column("vec_id").to_numpy()
+                ids, rows = (part.column(c).to_numpy() for c in ("vec_id", "row"))
                 row = [
-                    [f"{ids[0]}:{len(ids)}"],
+                    [f"{ids[0]}:{rows[0]}:{len(ids)}"],
                     [float(np.sqrt(part.column("n2").to_numpy().max()))],
                     [len(ids)],
                     [ids.astype("<i8").tobytes()],
+                    [rows.astype("<i8").tobytes()],
                     [_matrix(part.column("x"), dim).astype("<i8").tobytes()],
                 ]
-                kinds = [pa.string(), pa.float64(), pa.int32(), pa.binary(), pa.binary()]
+                kinds = [pa.string(), pa.float64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(v, t) for v, t in zip(row, kinds)], names=["block", "longest", "n", "ids", "data"]
+                    [pa.array(v, t) for v, t in zip(row, kinds)], names=["block", "longest", "n", "ids", "rows", "data"]
                 )
 
-    order = [F.desc("n2"), F.col("vec_id")]
+    order = [F.desc("n2"), F.col("vec_id"), F.col("row")]
     return vectors.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, _BLOCKS)
 
 
 def best_of_block(
-    q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, basis: np.ndarray, k: int, least: np.ndarray, head: int
+    q_rows: np.ndarray, q: np.ndarray, ids: np.ndarray, x_rows: np.ndarray, x: np.ndarray, basis: np.ndarray, k: int, least: np.ndarray, head: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best vectors of one block for each query, as (query row, vector row, score).
 
@@ -118,14 +125,14 @@ def best_of_block(
         margin = slack[alive] * (1 + x_norm[a])
         r, c = np.nonzero(bound + margin[:, None] >= least[alive][:, None])
         r, c = alive[r], c + a
-        own = q_ids[r] == ids[c]
+        own = q_rows[r] == x_rows[c]
         r, c = r[~own], c[~own]
         score = np.einsum("ij,ij->i", q[r], x[c])
         rows.append(r)
         cols.append(c)
         scores.append(score)
         flat_r, flat_c, flat_s = map(np.concatenate, (rows, cols, scores))
-        order = np.lexsort((ids[flat_c], -flat_s, flat_r))
+        order = np.lexsort((x_rows[flat_c], ids[flat_c], -flat_s, flat_r))
         flat_r, flat_c, flat_s = flat_r[order], flat_c[order], flat_s[order]
         rank = np.arange(len(flat_r)) - np.searchsorted(flat_r, flat_r)
         keep = rank < k
@@ -151,20 +158,22 @@ def top_inner_products(
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best vectors of every query.
 
-    Queries are the vectors whose id is divisible by ``query_every``; every
-    other row than the query's own id is a candidate. Components become
+    Queries are the rows whose id is divisible by ``query_every``; every
+    row but the query's own is a candidate. Components become
     floor(scale * x); scores are exact integers (|scale * x| below 2**28), ties go
-    to the smaller id. Vectors that are null, have a null id, or hold a null or
-    non-finite component take no part, nor do those of another length than the
-    most common one. Of rows that share an id the smallest vector counts. An empty table gives an empty result.
+    to the smaller id. Vectors that are null or empty, have a null id, or hold a
+    null or non-finite component take no part; unequal lengths raise. Rows that share
+    an id, or repeat, are rows of their own: each is a candidate, and as a
+    query each has its own ranks. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     whole = materialise(integer_vectors(vectors, id_col, vector_col, scale), "vectors")
-    lengths = whole.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not lengths or not lengths[0]["d"]:
+    lengths = whole.agg(F.min(F.size("x")).alias("low"), F.max(F.size("x")).alias("high")).first()
+    if not lengths["high"]:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    dim = lengths[0]["d"]
-    whole = whole.where(F.size("x") == dim)
+    if lengths["low"] != lengths["high"]:
+        raise ValueError(f"vectors of {lengths['low']} to {lengths['high']} components have no inner product")
+    dim = lengths["high"]
     basis = rotation(whole, dim)
     head = max(1, int(dim * head_share))
     blocks = materialise(pack_blocks(whole, dim, block), "blocks")
@@ -173,62 +182,66 @@ def top_inner_products(
     def serve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                q_ids, ids = (np.frombuffer(row[c], "<i8") for c in ("q_ids", "ids"))
+                q_ids, q_rows, ids, x_rows = (np.frombuffer(row[c], "<i8") for c in ("q_ids", "q_rows", "ids", "rows"))
                 q, x = (np.frombuffer(row[c], "<i8").reshape(-1, dim) for c in ("q_data", "data"))
                 least = np.frombuffer(row["least"], "<f8") if row["least"] is not None else np.full(len(q_ids), -np.inf)
-                r, c, s = best_of_block(q_ids, q, ids, x, basis, k, least, head)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(q_ids[r]), pa.array(ids[c]), pa.array(s)], names=["query_id", "vec_id", "score"]
-                )
+                r, c, s = best_of_block(q_rows, q, ids, x_rows, x, basis, k, least, head)
+                columns = [pa.array(v) for v in (q_ids[r], q_rows[r], ids[c], x_rows[c], s)]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "query_row", "vec_id", "row", "score"])
 
-    q = queries.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    q = queries.select(
+        F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.col("data").alias("q_data")
+    )
     heads = blocks.orderBy(F.desc("longest"), "block").limit(HEADS)
     met = q.join(F.broadcast(heads)).withColumn("least", F.lit(None).cast("binary"))
-    met = met.select("q_ids", "q_data", "ids", "data", "least").repartition(F.hash("q_ids", "ids"))
+    met = met.select("q_ids", "q_rows", "q_data", "ids", "rows", "data", "least").repartition(F.hash("q_rows", "rows"))
     found = materialise(met.mapInArrow(serve, _FOUND), "first")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    kth = found.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("query_id", F.col("score").alias("kth"))
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
+    kth = found.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("query_row", F.col("score").alias("kth"))
 
     def thresholds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids = np.frombuffer(row["q_ids"], "<i8")
-                known = {t["query_id"]: t["kth"] for t in row["kths"] or []}
-                least = np.array([known.get(i, -np.inf) for i in ids.tolist()], np.float64)
+                rows = np.frombuffer(row["q_rows"], "<i8")
+                known = {t["query_row"]: t["kth"] for t in row["kths"] or []}
+                least = np.array([known.get(i, -np.inf) for i in rows.tolist()], np.float64)
                 norms = np.sqrt((np.frombuffer(row["q_data"], "<i8").reshape(-1, dim).astype(np.float64) ** 2).sum(1))
                 # a block whose longest vector is shorter than this serves none of these queries
-                reach = np.where(least > 0, least / np.maximum(norms, 1e-9), 0.0).min() if len(ids) else 0.0
-                kinds = [pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.float64()]
-                value = [row["q_block"], row["q_ids"], row["q_data"], least.astype("<f8").tobytes(), float(reach) * (1 - 1e-9)]
+                reach = np.where(least > 0, least / np.maximum(norms, 1e-9), 0.0).min() if len(rows) else 0.0
+                kinds = [pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.float64()]
+                value = [row["q_block"], row["q_ids"], row["q_rows"], row["q_data"], least.astype("<f8").tobytes(), float(reach) * (1 - 1e-9)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([v], t) for v, t in zip(value, kinds)], names=["q_block", "q_ids", "q_data", "least", "reach"]
+                    [pa.array([v], t) for v, t in zip(value, kinds)], names=["q_block", "q_ids", "q_rows", "q_data", "least", "reach"]
                 )
 
     place = materialise(pack_places(q), "places")
-    per_block = place.join(kth, "query_id").groupBy("q_block").agg(F.collect_list(F.struct("query_id", "kth")).alias("kths"))
+    per_block = place.join(kth, "query_row").groupBy("q_block").agg(F.collect_list(F.struct("query_row", "kth")).alias("kths"))
     ready = materialise(
         q.join(per_block, "q_block", "left").mapInArrow(
-            thresholds, "q_block string, q_ids binary, q_data binary, least binary, reach double"
+            thresholds, "q_block string, q_ids binary, q_rows binary, q_data binary, least binary, reach double"
         ),
         "thresholds",
     )
     rest = blocks.join(F.broadcast(heads.select("block")), "block", "left_anti")
     meets = ready.select("q_block", "reach").join(rest.select("block", "longest"), F.col("longest") >= F.col("reach"))
     sent = meets.select("q_block", "block").join(rest, "block").join(ready, "q_block")
-    later = sent.select("q_ids", "q_data", "ids", "data", "least").mapInArrow(serve, _FOUND)
+    # A number of partitions, so that adaptive execution does not put many pairs into one task.
+    pairs = max(1, min(queries.count() * blocks.count(), PAIR_TASKS))
+    sent = sent.select("q_ids", "q_rows", "q_data", "ids", "rows", "data", "least").repartition(pairs, F.hash("q_rows", "rows"))
+    later = sent.mapInArrow(serve, _FOUND)
     ranked = found.unionByName(later).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
 def pack_places(queries: DataFrame) -> DataFrame:
-    """``query_id, q_block``: where every query stands."""
+    """``query_row, q_block``: where every query stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids = np.frombuffer(row["q_ids"], "<i8")
+                rows = np.frombuffer(row["q_rows"], "<i8")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), pa.array([row["q_block"]] * len(ids), pa.string())], names=["query_id", "q_block"]
+                    [pa.array(rows), pa.array([row["q_block"]] * len(rows), pa.string())], names=["query_row", "q_block"]
                 )
 
-    return queries.select("q_ids", "q_block").mapInArrow(run, "query_id bigint, q_block string")
+    return queries.select("q_rows", "q_block").mapInArrow(run, "query_row bigint, q_block string")

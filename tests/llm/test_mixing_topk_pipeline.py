@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from helpers import documents, rows_of
 
-from cairnwise.llm import mixing, topk
+from cairnwise.llm import langid, mixing, topk
 
 
 def test_targets_follow_weights_and_limits():
@@ -94,12 +94,40 @@ def test_topk_against_brute_force(spark, block, query_block):
     assert got == _brute_top(rows, 50, 5)
 
 
+def test_rows_that_share_an_id(spark):
+    """Every row is a candidate and, as a query, has ranks of its own; only its own row is left out."""
+    rng = np.random.default_rng(5)
+    rows = [(int(i), rng.integers(-3, 4, 6).astype(float).tolist()) for i in rng.integers(0, 160, 400)] + [(50, [1.0] * 6)] * 9
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    want = []
+    for a, (q, x) in enumerate(rows):
+        if q % 50 == 0:
+            scored = sorted((-65536 * int(np.dot(x, y)), c) for b, (c, y) in enumerate(rows) if a != b)
+            want += [(q, rank, c, -s) for rank, (s, c) in enumerate(scored[:5], 1)]
+    for block, query_block in ((16, 3), (2048, 512)):
+        got = [tuple(r) for r in topk.top_inner_products(frame, 50, 5, block=block, query_block=query_block).collect()]
+        assert sorted(got) == sorted(want)
+
+
+def test_unequal_lengths_raise(spark):
+    frame = spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], "vec_id bigint, embedding array<float>")
+    with pytest.raises(ValueError, match="components"):
+        topk.top_inner_products(frame, 50, 5)
+
+
+def test_language_sample_is_bounded(spark):
+    rows = [(i, f"text {i}", "en") for i in range(60)] + [(3, "text 3", "en")] * 3000 + [(None, f"none {i % 40}", "fr") for i in range(2000)]
+    known = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    sample = langid.training_sample(known, 50).collect()
+    assert {lang: sum(r["lang"] == lang for r in sample) for lang in ("en", "fr")} == {"en": 50, "fr": 40}
+
+
 def test_topk_edges(spark):
     schema = "vec_id bigint, embedding array<float>"
     assert topk.top_inner_products(spark.createDataFrame([], schema), 50, 5).count() == 0
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [9.0, 9.0]), (3, [])], schema)
     got = [tuple(r) for r in topk.top_inner_products(few, 50, 5).collect()]
-    assert got == [(0, 1, 1, 65536)]
+    assert sorted(got) == [(0, 1, 1, 65536), (0, 2, 1, 65536)]  # rows that share an id are two candidates
 
 
 def test_pipeline_runs_and_keeps_clean_documents(spark, sf_dir):
