@@ -180,10 +180,12 @@ def _secrets_sql() -> str:
     joined = f"coalesce(string_agg({names}[kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop) {{}}, '')"
     return f"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-candidates AS (SELECT doc_id, start, hit, CASE WHEN regexp_full_match(hit, '[0-9A-Fa-f]+') THEN {secrets.THRESHOLDS['hex']} ELSE {secrets.THRESHOLDS['base64']} END AS least
- FROM {places(secrets.CANDIDATE)} WHERE NOT regexp_matches(hit, '{allowed}') AND NOT regexp_full_match(hit, '[0-9]+')),
-windows AS (SELECT doc_id, start, hit, least, unnest(range(0, length(hit) - {w - 1})) AS pos FROM candidates),
-hot AS (SELECT doc_id, start, pos FROM windows WHERE round(list_entropy(string_split(hit[pos + 1:pos + {w}], '')), 6) >= least),
+candidates AS (SELECT doc_id, start, CASE WHEN regexp_matches(hit, '{allowed}') THEN array_to_string(list_transform(
+ list_zip(string_split_regex(hit, '{allowed}'), regexp_extract_all(hit, '{allowed}')), lambda z: z[1] || repeat('{secrets.MASK}', coalesce(length(z[2]), 0))), '') ELSE hit END AS hit
+ FROM {places(secrets.CANDIDATE)}),
+windows AS (SELECT doc_id, start, pos, hit[pos + 1:pos + {w}] AS part FROM (SELECT *, unnest(range(0, length(hit) - {w - 1})) AS pos FROM candidates)),
+hot AS (SELECT doc_id, start, pos FROM windows WHERE NOT contains(part, '{secrets.MASK}') AND NOT regexp_full_match(part, '[0-9]+') AND round(list_entropy(string_split(part, '')), 6) >=
+ CASE WHEN regexp_full_match(part, '[0-9A-Fa-f]+') THEN {secrets.THRESHOLDS['hex']} ELSE {secrets.THRESHOLDS['base64']} END),
 marked AS (SELECT *, CASE WHEN pos <= lag(pos) OVER o + {w} THEN 0 ELSE 1 END AS fresh FROM hot WINDOW o AS (PARTITION BY doc_id, start ORDER BY pos)),
 islands AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, start ORDER BY pos) AS island FROM marked),
 spans AS (

@@ -2,10 +2,11 @@
 
 Three fixed patterns give the base spans. Besides, every candidate string (a
 long run of key-like characters) is scanned by a sliding window; the window's
-character counts are updated incrementally and give its Shannon entropy, which
-is compared with the threshold of the candidate's character class. Candidates
-matching an allow list are suppressed. Everything runs in the scan stage: no
-shuffle and no Python.
+character counts are updated incrementally and give its Shannon entropy and its
+character class, whose threshold it has to reach. So a key behind a name or a
+path is judged by the windows inside it. Windows that overlap a match of an
+allow list are suppressed. The work grows with the length of a candidate.
+Everything runs in the scan stage: no shuffle and no Python.
 """
 
 from __future__ import annotations
@@ -25,15 +26,17 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: Least entropy in bits of a window, by class; digits alone are never a secret.
 THRESHOLDS = {"hex": 3.0, "base64": 3.9}
-#: Candidates that look random but are no secrets.
+#: What looks random but is no secret.
 ALLOWED = (
-    r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
+    r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}",
     r"(?i)abcdefghijklmnop|0123456789abcdef|example|placeholder|your[_-]",
 )
 #: Order of the kinds in lists of spans.
 KINDS = ("assign", "access", "hex", "entropy")
 
-_FIRST, _SYMBOLS = 43, 80  # candidate characters lie in code points 43 to 122
+#: Stands for the characters of an allowed match; the code point behind those of candidates.
+MASK = "{"
+_FIRST, _SYMBOLS = 43, 81  # code points 43 to 122, and the mask
 
 _SPAN = "array<struct<start:int,kind:int,stop:int>>"
 
@@ -73,40 +76,57 @@ def _as_spans(located: Column, kind: str) -> Column:
     )
 
 
+def _masked(candidate: Column, pattern: str) -> Column:
+    """The candidate with every character of a match replaced by ``MASK``."""
+    parts = F.arrays_zip(
+        F.split(candidate, pattern, -1).alias("piece"), F.regexp_extract_all(candidate, F.lit(pattern), 0).alias("hit")
+    )
+    joined = F.transform(parts, lambda p: F.concat(p["piece"], F.repeat(F.lit(MASK), F.length(F.coalesce(p["hit"], F.lit(""))))))
+    return F.when(candidate.rlike(pattern), F.array_join(joined, "")).otherwise(candidate)
+
+
 def _hot_windows(candidate: Column, window: int) -> Column:
-    """Merged spans of the candidate's windows whose entropy reaches the threshold.
+    """Merged spans of the candidate's windows whose entropy reaches the threshold of their class.
 
     With counts c of the window's characters the entropy is
-    log2(w) - sum(c log2 c) / w; a step changes two counts and two terms.
+    log2(w) - sum(c log2 c) / w; a step changes two counts and two terms. The
+    window's masked characters, its letters, and those that are not hexadecimal are counted as well.
     """
-    least = (
-        F.when(candidate.rlike("^[0-9]+$"), F.lit(99.0))
-        .when(candidate.rlike("^[0-9A-Fa-f]+$"), F.lit(THRESHOLDS["hex"]))
-        .otherwise(F.lit(THRESHOLDS["base64"]))
-    )
     chars = F.transform(F.split(candidate, ""), lambda c: F.ascii(c) - _FIRST)
     term = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(0.0)
+    code = lambda c: ord(c) - _FIRST
+    between = lambda c, low, high: c.between(code(low), code(high))
+    letter = lambda c: F.when(between(c, "0", "9"), 0).otherwise(1)
+    other = lambda c: F.when(between(c, "0", "9") | between(c, "A", "F") | between(c, "a", "f"), 0).otherwise(1)
+    masked = lambda c: F.when(c == code(MASK), 1).otherwise(0)
     start = F.struct(
         F.array_repeat(F.lit(0), _SYMBOLS).alias("counts"),
         F.lit(0.0).alias("total"),
         F.lit(0).alias("at"),
+        F.lit(0).alias("letters"),
+        F.lit(0).alias("others"),
+        F.lit(0).alias("masks"),
         F.expr("cast(array() as array<struct<start:int,stop:int>>)").alias("out"),
     )
-    steps = F.transform(
-        chars, lambda c, i: F.struct(c.alias("into"), F.when(i >= window, F.get(chars, i - window)).alias("away"))
-    )
+    # Each character beside the one that leaves the window when it comes: the same array, shifted.
+    shifted = F.concat(F.array_repeat(F.lit(None).cast("int"), window), chars)
+    steps = F.slice(F.arrays_zip(chars.alias("into"), shifted.alias("away")), 1, F.length(candidate))
+
+    def put(counts: Column, place: Column, value: Column) -> Column:
+        return F.concat(F.slice(counts, F.lit(1), place), F.array(value), F.slice(counts, place + 2, F.lit(_SYMBOLS)))
 
     def step(acc: Column, x: Column) -> Column:
+        leaves = x["away"].isNotNull()
         gone = F.get(acc["counts"], x["away"])
-        less = F.when(x["away"].isNull(), 0.0).otherwise(term(gone) - term(gone - 1))
-        come = F.get(acc["counts"], x["into"]) - (F.coalesce(x["away"], F.lit(-1)) == x["into"]).cast("int")
+        less = F.when(leaves, term(gone) - term(gone - 1)).otherwise(0.0)
+        left = F.when(leaves, put(acc["counts"], x["away"], gone - 1)).otherwise(acc["counts"])
+        come = F.get(acc["counts"], x["into"]) - F.when(leaves & (x["away"] == x["into"]), 1).otherwise(0)
         total = acc["total"] - less + term(come + 1) - term(come)
-        counts = F.transform(
-            acc["counts"],
-            lambda c, j: c + (j == x["into"]).cast("int") - (j == F.coalesce(x["away"], F.lit(-1))).cast("int"),
-        )
+        net = lambda f: f(x["into"]) - F.when(leaves, f(x["away"])).otherwise(0)
         at = acc["at"] + 1
-        hot = (at >= window) & (F.round(F.lit(math.log2(window)) - total / window, 6) >= least)
+        letters, others, masks = acc["letters"] + net(letter), acc["others"] + net(other), acc["masks"] + net(masked)
+        least = F.when(letters == 0, 99.0).when(others == 0, THRESHOLDS["hex"]).otherwise(THRESHOLDS["base64"])
+        hot = (at >= window) & (masks == 0) & (F.round(F.lit(math.log2(window)) - total / window, 6) >= least)
         last = F.get(acc["out"], F.size(acc["out"]) - 1)
         one = lambda begin: F.array(F.struct(begin.alias("start"), at.alias("stop")))
         out = (
@@ -114,7 +134,15 @@ def _hot_windows(candidate: Column, window: int) -> Column:
             .when(last["stop"] >= at - window, F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), one(last["start"])))
             .otherwise(F.concat(acc["out"], one(at - window)))
         )
-        return F.struct(counts.alias("counts"), total.alias("total"), at.alias("at"), out.alias("out"))
+        return F.struct(
+            put(left, x["into"], come + 1).alias("counts"),
+            total.alias("total"),
+            at.alias("at"),
+            letters.alias("letters"),
+            others.alias("others"),
+            masks.alias("masks"),
+            out.alias("out"),
+        )
 
     return F.aggregate(steps, start, step, lambda acc: acc["out"])
 
@@ -130,12 +158,12 @@ def secret_spans(text: Column, window: int = WINDOW, allowed: tuple[str, ...] =
     ).otherwise(_none())
     access = F.when(text.contains("AKIA"), _as_spans(_located(text, ACCESS), "access")).otherwise(_none())
     hexes = F.when(text.rlike(HEX), _as_spans(_located(text, HEX), "hex")).otherwise(_none())
-    fine = lambda x: ~F.lit(False) if not allowed else ~x["found"].rlike("|".join(f"(?:{p})" for p in allowed))
+    shown = lambda c: _masked(c, "|".join(f"(?:{p})" for p in allowed)) if allowed else c
     entropy = F.when(
         text.rlike(CANDIDATE),
         F.flatten(
             F.transform(
-                F.filter(_located(text, CANDIDATE), fine),
+                F.transform(_located(text, CANDIDATE), lambda x: F.struct(x["start"].alias("start"), shown(x["found"]).alias("found"))),
                 lambda x: F.transform(
                     _hot_windows(x["found"], window),
                     lambda s: F.struct(

@@ -3,6 +3,7 @@ import io
 import math
 import random
 import re
+import time
 import struct
 import zlib
 
@@ -39,13 +40,14 @@ def _entropy_spans(text, window=secrets.WINDOW):
     out = []
     allowed = re.compile("|".join(f"(?:{p.replace('(?i)', '')})" for p in secrets.ALLOWED), re.I)
     for m in re.finditer(secrets.CANDIDATE, text):
-        c = m[0]
-        if allowed.search(c) or c.isdigit():
-            continue
-        least = secrets.THRESHOLDS["hex" if re.fullmatch("[0-9A-Fa-f]+", c) else "base64"]
-        spans = []
+        c, spans = m[0], []
+        known = [a.span() for a in allowed.finditer(c)]
         for i in range(len(c) - window + 1):
-            counts = collections.Counter(c[i : i + window]).values()
+            part = c[i : i + window]
+            if part.isdigit() or any(i < b and i + window > a for a, b in known):
+                continue
+            least = secrets.THRESHOLDS["hex" if re.fullmatch("[0-9A-Fa-f]+", part) else "base64"]
+            counts = collections.Counter(part).values()
             if round(-sum(n / window * math.log2(n / window) for n in counts), 6) >= least:
                 if spans and spans[-1][1] >= i:
                     spans[-1][1] = i + window
@@ -55,6 +57,39 @@ def _entropy_spans(text, window=secrets.WINDOW):
     return out
 
 
+def _covered(spark, texts, begin):
+    """Share of texts of whose key, from ``begin`` on, half or more is in entropy spans."""
+    rows = rows_of(secrets.scan_secrets(documents(spark, texts)))
+    good = 0
+    for i, text in enumerate(texts):
+        seen = {p for s in rows[i]["spans"] if s["kind"] == 3 for p in range(s["start"], s["stop"]) if p >= begin}
+        good += len(seen) * 2 >= len(text) - begin
+    return good / len(texts)
+
+
+def test_keys_behind_names_and_paths_are_found(spark):
+    rng = random.Random(8)
+    of = lambda symbols, n: "".join(rng.choice(symbols) for _ in range(n))
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    shapes = [("", "0123456789ABCDEF", 40), ("key=", "0123456789ABCDEF", 40), ("db/", "0123456789abcdef", 24), ("your_key=", base64, 40)]
+    for prefix, symbols, n in shapes:
+        assert _covered(spark, [prefix + of(symbols, n) for _ in range(200)], len(prefix)) >= 0.95, prefix
+
+
+def test_one_long_candidate_takes_linear_time(spark):
+    rng = random.Random(9)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    took = {}
+    for n in (20_000, 160_000, 1_000_000):
+        text = "".join(rng.choices(base64, k=n))
+        begin = time.time()
+        (row,) = secrets.scan_secrets(documents(spark, [text])).collect()
+        took[n] = time.time() - begin
+        if n < 200_000:
+            assert [tuple(x) for x in row["spans"] if x["kind"] == 3] == _entropy_spans(text)
+    assert took[1_000_000] < 20 * took[160_000], took  # squared it would be 39 times
+
+
 def test_entropy_spans(spark):
     rng = random.Random(4)
     key = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
