@@ -25,7 +25,7 @@ from cairnwise.session import materialise
 
 CAPACITY = 4096
 #: Bytes of text that a worker tokenises at once.
-SLICE = 8 << 20
+SLICE = 16 << 20
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, local bigint"
 
 

@@ -14,6 +14,7 @@ chunk index bytes, number of blocks), ``CWBP``.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -28,11 +29,15 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnwise.llm.wordwise import Ragged, WordCache, slices, spread, sums, words_of
+from cairnwise.llm.wordwise import Ragged, WordCache, ragged_of, slices, spread, sums, words_of
 from cairnwise.session import materialise, scratch_path
 
 MAGIC = b"CWBP"
 BLOCK = 1 << 16
+#: Tasks at most that read files.
+READERS = 10_000
+#: Pre-tokenizer pattern under which words between white space, and letters before stops, are encoded alone.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _TRAILER = "<QIQII"
 _MANIFEST = "file string, first_doc bigint, documents bigint, tokens bigint"
 
@@ -160,7 +165,9 @@ class WordEncoder:
 
     The tokenizer drops white space, so words between white space are encoded
     alone. A word of letters with stops or commas behind it is encoded as the
-    letters and as the stops, which the pre-tokenizer separates anyway.
+    letters and as the stops, which the pre-tokenizer separates anyway. Both
+    hold for files whose pre-tokenizer drops white space and splits as above;
+    texts of any other file are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -171,11 +178,15 @@ class WordEncoder:
         self.dtype = np.uint16 if self.lib.get_vocab_size() <= 65536 else np.uint32
         self.width = self.dtype().itemsize
         self.cache = WordCache(self._encode, self.dtype)
+        first = ((json.loads(self.lib.to_str()).get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        self.apart = first.get("behavior") == "Removed" and first.get("invert") and first.get("pattern") == {"Regex": WORD_PATTERN}
 
     def _encode(self, words: list[str]) -> list:
         return [e.ids for e in self.lib.encode_batch_fast(words, add_special_tokens=False)] if words else []
 
     def encode(self, texts: pa.Array) -> Ragged:
+        if not self.apart:
+            return ragged_of(self._encode(texts.to_pylist()), self.dtype)
         split = lambda a: pc.split_pattern_regex(a, r"[ \t\n\x0b\x0c\r]+")
         words, index, counts = words_of(texts, split)
         stem = pc.utf8_rtrim(words, characters=".,")
@@ -198,8 +209,11 @@ class WordEncoder:
 def _tails(words: pa.Array, stem: pa.Array) -> pa.Array:
     """What is left of each word behind its stem."""
     size = (pc.binary_length(words).to_numpy() - pc.binary_length(stem).to_numpy()).astype(np.int64)
-    tails = ["" if not n else w[-n:] for w, n in zip(words.to_pylist(), size.tolist())]
-    return pa.array(tails, pa.string())
+    words = pa.concat_arrays([words])  # without an offset
+    ends = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1)[1:].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[spread(ends - size, size)]
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(words), pa.py_buffer(offsets), pa.py_buffer(data))
 
 
 @lru_cache(maxsize=2)
@@ -288,7 +302,8 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
-    spread_out = files.select("file", "start").repartition("file")
+    # A number of partitions, so that adaptive execution does not read many files in one task.
+    spread_out = files.select("file", "start").repartition(max(1, min(manifest.count(), READERS)))
     return spread_out.mapInArrow(run, schema).withColumn(
         "doc_id", F.when(F.col("doc_id") != -(2**63), F.col("doc_id"))
     )

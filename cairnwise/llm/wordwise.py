@@ -8,6 +8,7 @@ the texts' ids are gathered from them with numpy.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -65,7 +66,8 @@ class WordCache:
         texts = words.to_pylist()
         found = [self.known.get(w) for w in texts]
         missing = [i for i, x in enumerate(found) if x is None]
-        fresh = [np.array(x, self.dtype).tobytes() for x in self.encode([texts[i] for i in missing])]
+        code = np.dtype(self.dtype).char
+        fresh = [array(code, x).tobytes() for x in self.encode([texts[i] for i in missing])]
         for i, packed in zip(missing, fresh):
             found[i] = packed
         if len(self.known) < self.remember:

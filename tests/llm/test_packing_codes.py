@@ -84,6 +84,14 @@ def test_packing_equals_the_library(spark):
     assert len(sequences) <= math.ceil(sum(x["length"] for x in rows) / 256) + 1
 
 
+def test_other_tokenizers_encode_whole_texts(spark):
+    texts = ["Two  words.", "a,b  c", None, "", " lead"]
+    path = f"{TOKENIZERS}/byte_bpe_50k.json"
+    rows = packing.pack_documents(documents(spark, texts), path, 1).collect()
+    lib = Tokenizer.from_file(path)
+    assert {r["doc_id"]: r["length"] for r in rows} == {i: len(lib.encode(t or "").ids) + 1 for i, t in enumerate(texts)}
+
+
 def test_long_texts_repeats_and_null_ids(spark):
     long = "word " * 30_000
     rows, _ = packed(spark, [long, long, "tie", "tie", None, "x " * 4095], ids=[5, 5, None, None, 1, 2])
