@@ -226,7 +226,8 @@ def top_inner_products(
     meets = ready.select("q_block", "reach").join(rest.select("block", "longest"), F.col("longest") >= F.col("reach"))
     sent = meets.select("q_block", "block").join(rest, "block").join(ready, "q_block")
     # A number of partitions, so that adaptive execution does not put many pairs into one task.
-    pairs = max(1, min(queries.count() * blocks.count(), PAIR_TASKS))
+    held = [f.agg(F.sum("n")).first()[0] or 0 for f in (queries, blocks)]
+    pairs = max(1, min(-(-held[0] // query_block) * -(-held[1] // block), PAIR_TASKS))
     sent = sent.select("q_ids", "q_rows", "q_data", "ids", "rows", "data", "least").repartition(pairs, F.hash("q_rows", "rows"))
     later = sent.mapInArrow(serve, _FOUND)
     ranked = found.unionByName(later).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
