@@ -76,6 +76,22 @@ def strictly_inside(x: Column, y: Column, edge_list: Column) -> Column:
     return odd & ~F.exists(edge_list, touches)
 
 
+def may_touch_box(e: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """False only where an edge surely stays clear of a box.
+
+    It does if their extents are apart or all corners lie on one side of the
+    edge's line, by more than rounding could account for.
+    """
+    apart = (
+        (F.greatest(e["x1"], e["x2"]) < x0) | (F.least(e["x1"], e["x2"]) > x1)
+        | (F.greatest(e["y1"], e["y2"]) < y0) | (F.least(e["y1"], e["y2"]) > y1)
+    )
+    dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
+    sides = [dx * (y - e["y1"]) - dy * (x - e["x1"]) for x in (x0, x1) for y in (y0, y1)]
+    slack = (F.abs(dx) + F.abs(dy)) * 1e-9
+    return ~(apart | (F.least(*sides) > slack) | (F.greatest(*sides) < -slack))
+
+
 def edge_distance(x: Column, y: Column, edge_list: Column) -> Column:
     """Shortest distance from a point to any of the edges (null if there is none)."""
 

@@ -1,15 +1,19 @@
 """Assigning points to administrative zones, and statistics per zone.
 
-Zones are cut along a latitude/longitude grid: one row per zone and cell, with
-only the edges that matter there. A point meets its cell in an equi join, so
+Points and zones are cut along one quadtree-like grid: cells of half a degree,
+and where points crowd, cells a quarter as wide, down to about fifty metres.
+Zones have one row per cell with only the edges that matter there, or none
+where the cell lies wholly inside. A point meets its cell in an equi join, so
 no point is compared with a zone elsewhere and a polygon of many vertices is
-never scanned whole. Each cell row is repeated over a few salts and points are
-spread over them, so one crowded cell does not become one task.
+never scanned whole. No cell holds more than a bounded share of the points:
+a place too crowded even for the smallest cells is spread over salts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -19,7 +23,14 @@ from cairnwise.session import materialise
 # Fixed value: how far (degrees) a point may lie outside its nearest zone.
 NEAREST_LIMIT_DEG = 0.1
 CELL_DEG = 0.5
+#: Salts of the ring search, whose points are few.
 SALTS = 8
+#: A crowded cell is cut into FANOUT x FANOUT; powers of two keep the borders of parents and children equal.
+FANOUT = 4
+DEEPEST = 5
+#: A cell is crowded beyond this many points, or beyond its share of all points if that is more.
+CELL_POINTS = 50_000
+CROWDED_SHARE = 10_000
 DETAIL_LIMIT = 10
 #: Beyond this distance (degrees) every zone on a map of the earth has been seen.
 FARTHEST_DEG = 1024.0
@@ -29,20 +40,22 @@ def _cell(value: Column, size: float) -> Column:
     return F.floor(value / size).cast("int")
 
 
-def zone_cells(zones: DataFrame, size: float, margin: float) -> DataFrame:
-    """(level, code, cx, cy, edges) for every cell a zone's box, widened by
-    ``margin``, touches.
+def _strips(zones: DataFrame, size: float, margin: float) -> DataFrame:
+    """(level, code, cy, strip): the edges of each zone within ``margin`` of each row of cells.
 
-    With no margin the edges kept are those a ray to the east can meet from
-    inside the cell; with a margin, those within the margin of the cell.
+    Edges travel one by one, so no task copies a whole polygon to every cell.
     """
-    boxed = zones.select(
-        "level", "code", polygons.edges(F.col("rings")).alias("all_edges"),
-        *[v.alias(k) for k, v in polygons.bounds(F.col("rings")).items()],
+    edge = zones.select("level", "code", F.explode(polygons.edges(F.col("rings"))).alias("e"))
+    rows = F.sequence(
+        _cell(F.least("e.y1", "e.y2") - margin, size), _cell(F.greatest("e.y1", "e.y2") + margin, size)
     )
-    xs = F.sequence(_cell(F.col("x0") - margin, size), _cell(F.col("x1") + margin, size))
-    ys = F.sequence(_cell(F.col("y0") - margin, size), _cell(F.col("y1") + margin, size))
-    west, south = F.col("cx") * size, F.col("cy") * size
+    return edge.withColumn("cy", F.explode(rows)).groupBy("level", "code", "cy").agg(F.collect_list("e").alias("strip"))
+
+
+def _mattering(edges: str, cx: Column, cy: Column, size: float, margin: float) -> Column:
+    """With no margin, the edges a ray to the east can meet from inside the
+    cell; with a margin, those within the margin of the cell."""
+    west, south = cx * size, cy * size
 
     def matters(e: Column) -> Column:
         north_side = F.greatest(e["y1"], e["y2"]) >= south - margin
@@ -51,30 +64,153 @@ def zone_cells(zones: DataFrame, size: float, margin: float) -> DataFrame:
         keep = north_side & south_side & east_side
         return keep & (F.least(e["x1"], e["x2"]) <= west + size + margin) if margin else keep
 
+    return F.filter(edges, matters)
+
+
+def zone_cells(zones: DataFrame, size: float, margin: float) -> DataFrame:
+    """(level, code, cx, cy, edges) for every cell of the plain grid that an edge
+    matters in (see ``_mattering``)."""
+
+    def reach(pick, end: Column) -> Column:
+        return pick(F.transform("strip", lambda e: end(e["x1"], e["x2"])))
+
+    west = _cell(reach(F.array_min, F.least) - margin, size)
+    east = _cell(reach(F.array_max, F.greatest) + margin, size)
     return (
-        boxed.withColumn("cx", F.explode(xs))
-        .withColumn("cy", F.explode(ys))
-        .select("level", "code", "cx", "cy", F.filter("all_edges", matters).alias("edges"))
+        _strips(zones, size, margin)
+        .withColumn("cx", F.explode(F.sequence(west, east)))
+        .select("level", "code", "cx", "cy", _mattering("strip", F.col("cx"), F.col("cy"), size, margin).alias("edges"))
         .where(F.size("edges") > 0)
     )
 
 
-def _meet(points: DataFrame, cells: DataFrame, size: float, salts: int) -> DataFrame:
-    located = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(
-        "item_id", "lat", "lon", _cell(F.col("lon"), size).alias("cx"), _cell(F.col("lat"), size).alias("cy"),
-        F.pmod(F.hash("item_id"), F.lit(salts)).alias("salt"),
+@dataclass(frozen=True)
+class CellTree:
+    """Crowded cells (cx, cy, points) by depth; what is crowded at the last depth is salted, not cut.
+
+    A depth holds at most ``CROWDED_SHARE`` cells, since each holds more than
+    that share of all points; so the driver may list and broadcast them.
+    """
+
+    spark: SparkSession
+    crowded: list[list[tuple[int, int, int]]]
+    size: float
+    limit: int
+    deepest: int
+
+    def width(self, depth: int) -> float:
+        return self.size / FANOUT**depth
+
+    def marks(self, depth: int) -> DataFrame:
+        rows = [(depth, x, y, -(-n // self.limit)) for x, y, n in self.crowded[depth]]
+        return F.broadcast(self.spark.createDataFrame(rows, "depth int, cx int, cy int, parts long"))
+
+
+def cell_tree(points: DataFrame, size: float = CELL_DEG, limit: int = CELL_POINTS, deepest: int = DEEPEST) -> CellTree:
+    """Counts points per cell and, depth by depth, inside the cells found crowded."""
+    located = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("lat", "lon")
+    spark, crowded = points.sparkSession, []
+    whole = materialise(_cell_counts(located, size), "cell-counts")
+    total = whole.agg(F.sum("n")).first()[0] or 0
+    tree = CellTree(spark, crowded, size, max(limit, -(-total // CROWDED_SHARE)), deepest)
+    counts = whole
+    for depth in range(deepest + 1):
+        found = [tuple(r) for r in counts.where(F.col("n") > tree.limit).select("cx", "cy", "n").collect()]
+        if not found:
+            break
+        crowded.append(found)
+        inside = F.broadcast(tree.marks(depth).select("cx", "cy"))
+        located = located.withColumns(
+            {"cx": _cell(F.col("lon"), tree.width(depth)), "cy": _cell(F.col("lat"), tree.width(depth))}
+        ).join(inside, ["cx", "cy"], "left_semi").select("lat", "lon")
+        counts = _cell_counts(located, tree.width(depth + 1))
+    return tree
+
+
+def _cell_counts(located: DataFrame, width: float) -> DataFrame:
+    return located.groupBy(_cell(F.col("lon"), width).alias("cx"), _cell(F.col("lat"), width).alias("cy")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
+def leaf_points(points: DataFrame, tree: CellTree) -> DataFrame:
+    """(item_id, lat, lon, depth, cx, cy, salt): every located point with its cell."""
+    out = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(
+        "item_id", "lat", "lon", F.lit(0).alias("depth"),
+        _cell(F.col("lon"), tree.size).alias("cx"), _cell(F.col("lat"), tree.size).alias("cy"), F.lit(0).alias("salt"),
     )
-    spread = cells.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return located.join(spread, ["cx", "cy", "salt"])
+    for depth in range(len(tree.crowded)):
+        out = out.join(tree.marks(depth), ["depth", "cx", "cy"], "left")
+        crowded = F.col("parts").isNotNull()
+        if depth == tree.deepest:
+            salt = F.pmod(F.xxhash64("item_id"), F.col("parts")).cast("int")
+            out = out.withColumn("salt", F.when(crowded, salt).otherwise(0))
+        else:
+            width = tree.width(depth + 1)
+            out = out.withColumns({
+                "depth": F.when(crowded, depth + 1).otherwise(F.col("depth")),
+                "cx": F.when(crowded, _cell(F.col("lon"), width)).otherwise(F.col("cx")),
+                "cy": F.when(crowded, _cell(F.col("lat"), width)).otherwise(F.col("cy")),
+            })
+        out = out.drop("parts")
+    return out
+
+
+def leaf_cells(zones: DataFrame, tree: CellTree, margin: float) -> DataFrame:
+    """(level, code, depth, cx, cy, salt, edges, whole): the zones in every cell of the tree.
+
+    ``whole`` cells lie inside the zone and carry no edges; they occur only
+    without a margin.
+    """
+    out = zone_cells(zones, tree.size, margin).withColumns({"depth": F.lit(0), "salt": F.lit(0)})
+    for depth in range(len(tree.crowded)):
+        out = out.join(tree.marks(depth), ["depth", "cx", "cy"], "left")
+        crowded = F.col("parts").isNotNull()
+        if depth == tree.deepest:
+            last = F.when(crowded, F.col("parts") - 1).otherwise(0).cast("int")
+            out = out.withColumn("salt", F.explode(F.sequence(F.lit(0), last)))
+        else:
+            def cut(axis: str) -> Column:
+                first = F.col(axis) * FANOUT
+                return F.explode(F.when(crowded, F.sequence(first, first + FANOUT - 1)).otherwise(F.array(axis)))
+
+            kept = _mattering("edges", F.col("cx"), F.col("cy"), tree.width(depth + 1), margin)
+            out = (
+                out.withColumn("cx", cut("cx")).withColumn("cy", cut("cy"))
+                .withColumn("edges", F.when(crowded, kept).otherwise(F.col("edges")))
+                .withColumn("depth", F.when(crowded, depth + 1).otherwise(F.col("depth")))
+                .where(F.size("edges") > 0)
+            )
+        out = out.drop("parts")
+    if margin:
+        return out.withColumn("whole", F.lit(False))
+    width = F.lit(tree.size) / F.pow(F.lit(float(FANOUT)), F.col("depth"))
+    west, south = F.col("cx") * width, F.col("cy") * width
+    touched = F.exists("edges", lambda e: polygons.may_touch_box(e, west, south, west + width, south + width))
+    inside = polygons.strictly_inside(west + width / 2, south + width / 2, F.col("edges"))
+    place = F.when(touched, "border").when(inside, "whole").otherwise("outside")
+    return (
+        out.withColumn("place", place)
+        .where("place <> 'outside'")
+        .withColumn("whole", F.col("place") == "whole")
+        .withColumn("edges", F.when(F.col("whole"), F.slice("edges", 1, 0)).otherwise(F.col("edges")))
+        .drop("place")
+    )
+
 
+def _meet(points: DataFrame, zones: DataFrame, margin: float, tree: CellTree | None) -> DataFrame:
+    tree = tree or cell_tree(points)
+    return leaf_points(points, tree).join(leaf_cells(zones, tree, margin), ["depth", "cx", "cy", "salt"])
 
-def containing_zones(points: DataFrame, zones: DataFrame, size: float = CELL_DEG, salts: int = SALTS) -> DataFrame:
+
+def containing_zones(points: DataFrame, zones: DataFrame, tree: CellTree | None = None) -> DataFrame:
     """(item_id, level1, level2): the zone strictly containing each point.
 
     Points in no zone have no row; of overlapping zones the lowest code wins.
+    ``tree`` is made of the points unless given (see ``cell_tree``).
     """
-    hits = _meet(points, zone_cells(zones, size, 0.0), size, salts).where(
-        polygons.strictly_inside(F.col("lon"), F.col("lat"), F.col("edges"))
+    hits = _meet(points, zones, 0.0, tree).where(
+        F.col("whole") | polygons.strictly_inside(F.col("lon"), F.col("lat"), F.col("edges"))
     )
     return hits.groupBy("item_id").agg(
         F.min(F.when(F.col("level") == 1, F.col("code"))).alias("level1"),
@@ -83,15 +219,11 @@ def containing_zones(points: DataFrame, zones: DataFrame, size: float = CELL_DEG
 
 
 def nearest_zones(
-    points: DataFrame, zones: DataFrame, limit: float = NEAREST_LIMIT_DEG, size: float = CELL_DEG, salts: int = SALTS
+    points: DataFrame, zones: DataFrame, limit: float = NEAREST_LIMIT_DEG, tree: CellTree | None = None
 ) -> DataFrame:
     """(item_id, level1, level2): the zone whose border is nearest, within ``limit`` degrees."""
     distance = polygons.edge_distance(F.col("lon"), F.col("lat"), F.col("edges"))
-    near = (
-        _meet(points, zone_cells(zones, size, limit), size, salts)
-        .withColumn("distance", distance)
-        .where(F.col("distance") <= limit)
-    )
+    near = _meet(points, zones, limit, tree).withColumn("distance", distance).where(F.col("distance") <= limit)
 
     def best(level: int) -> Column:
         return F.min(F.when(F.col("level") == level, F.struct("distance", "code")))["code"]
@@ -106,9 +238,11 @@ def assign_exact(points: DataFrame, zones: DataFrame) -> DataFrame:
 
 def assign_nearest(points: DataFrame, zones: DataFrame, limit: float = NEAREST_LIMIT_DEG) -> DataFrame:
     """Containing zone per level, else the nearest within the limit."""
-    near = nearest_zones(points, zones, limit).withColumnsRenamed({"level1": "near1", "level2": "near2"})
+    tree = cell_tree(points)
+    near = nearest_zones(points, zones, limit, tree).withColumnsRenamed({"level1": "near1", "level2": "near2"})
     return (
-        assign_exact(points, zones)
+        points.select("item_id")
+        .join(containing_zones(points, zones, tree), "item_id", "left")
         .join(near, "item_id", "left")
         .select("item_id", F.coalesce("level1", "near1").alias("level1"), F.coalesce("level2", "near2").alias("level2"))
     )
@@ -129,7 +263,8 @@ def assign_zones(
         existing = points.where("level2 IS NOT NULL").select("item_id", "level1", "level2", F.lit("kept").alias("via"))
         points = points.where("level2 IS NULL")
     placed = points.where("lat IS NOT NULL AND lon IS NOT NULL").select("item_id", "lat", "lon")
-    exact = placed.join(containing_zones(placed, zones), "item_id", "left")
+    tree = cell_tree(placed)
+    exact = placed.join(containing_zones(placed, zones, tree), "item_id", "left")
     both = F.col("level1").isNotNull() & F.col("level2").isNotNull()
     if lookup is None:
         found = exact.withColumns({"l1": F.lit(None).cast("string"), "l2": F.lit(None).cast("string"), "foreign": F.lit(False)})
@@ -146,7 +281,7 @@ def assign_zones(
             .withColumn("foreign", F.coalesce("foreign", F.lit(False)))
         )
     open_points = found.where(~both & F.col("l2").isNull() & ~F.col("foreign"))
-    near = nearest_zones(open_points, zones).withColumnsRenamed({"level1": "n1", "level2": "n2"})
+    near = nearest_zones(open_points, zones, tree=tree).withColumnsRenamed({"level1": "n1", "level2": "n2"})
     out = found.join(near, "item_id", "left")
     via = (
         F.when(both, "exact")

@@ -38,6 +38,14 @@ def assign(t):
     return z.assign_zones(_points(t), t.zones(), lookup_table(t))
 
 
+def crowded(t):
+    """The zones of every single visit: popular places repeat their point for each of their finds."""
+    visits = t.finds().join(t.items().select("item_id", "lat", "lon"), "item_id").select(
+        F.concat_ws(":", "user_id", "item_id").alias("item_id"), "lat", "lon"
+    )
+    return z.containing_zones(visits, t.zones(), z.cell_tree(visits, limit=500))
+
+
 def parents(t):
     """Service boxes of suppliers and nations, each in its region's strip."""
     return z.zone_parents(supplier_zones(t))
@@ -126,6 +134,11 @@ CHECKS = {
         + """SELECT item_id, CASE via WHEN 'exact' THEN level1 WHEN 'lookup' THEN l1 WHEN 'nearest' THEN coalesce(level1, n1) END AS level1,
  CASE via WHEN 'exact' THEN level2 WHEN 'lookup' THEN l2 WHEN 'nearest' THEN coalesce(level2, n2) END AS level2, via FROM j""",
     ),
+    "assign_zones_crowded": (
+        _q(crowded),
+        with_tables("items", "zones", "finds", extra=EXACT)
+        + "SELECT concat(user_id, ':', item_id) AS item_id, level1, level2 FROM finds JOIN exact USING (item_id)",
+    ),
     "zone_parents": (
         _q(parents),
         with_tables("zones", extra={

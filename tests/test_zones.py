@@ -102,3 +102,69 @@ def test_parents_of_outliers(spark):
         around = sorted(p for p, g in gaps.items() if g == (0, 0))
         own = [(dx * dx + dy * dy, p) for (p, (dx, dy)), pc in zip(gaps.items(), [c for _, lv, _, c in rows if lv == 1]) if pc == country]
         assert got[code] == (around[0] if around else min(own)[1] if own else None), code
+
+
+def crowded_map(spark):
+    """Half of the points crowd around one corner of slanted zones, a third share one place."""
+    r = random.Random(8)
+    donut = [ring((0, 0), (6, 1), (7, 5), (2, 7), (0, 0)), ring((2, 2), (2, 4), (4, 4), (4, 2), (2, 2))]
+    wedge = [ring((2.1, 2.1), (3.9, 2.2), (3, 3.9), (2.1, 2.1))]
+    rows = [(r.uniform(-1, 8), r.uniform(-1, 8)) for _ in range(300)]
+    rows += [(2 + r.gauss(0, 0.05), 2 + r.gauss(0, 0.05)) for _ in range(900)]
+    rows += [(5.0001, 3.0001)] * 600 + [(2.0, 3.0), (6.0, 1.0), (0.0, 0.0)]
+    spots = [(i, x, y) for i, (x, y) in enumerate(rows)]
+    nowhere = spark.createDataFrame([(-1, None, 3.0), (-2, 2.0, None)], "item_id long, lat double, lon double")
+    pts = points(spark, spots).unionByName(nowhere)
+    return spots, pts, {"D": donut, "W": wedge}, zone_table(spark, [("D", 1, donut), ("W", 2, wedge)])
+
+
+def on_border(x, y, rings):
+    return any(
+        (b["x"] - a["x"]) * (y - a["y"]) == (b["y"] - a["y"]) * (x - a["x"])
+        and min(a["x"], b["x"]) <= x <= max(a["x"], b["x"]) and min(a["y"], b["y"]) <= y <= max(a["y"], b["y"])
+        for r in rings for a, b in zip(r, r[1:])
+    )
+
+
+def test_crowded_cells_against_brute_force(spark):
+    spots, pts, shapes, zones = crowded_map(spark)
+    tree = z.cell_tree(pts, limit=40)
+    got = assigned(z.containing_zones(pts, zones, tree))
+    for i, x, y in spots:
+        want = tuple(c if inside(x, y, shapes[c]) and not on_border(x, y, shapes[c]) else None for c in ("D", "W"))
+        assert got.get(i, (None, None)) == want, (x, y)
+    assert set(got) <= {i for i, _, _ in spots}
+    plain = assigned(z.containing_zones(pts, zones))
+    assert plain == got
+
+
+def test_no_cell_holds_more_than_its_share(spark):
+    spots, pts, _, zones = crowded_map(spark)
+    tree = z.cell_tree(pts, limit=40)
+    assert len(tree.crowded) == tree.deepest + 1 and all(len(cells) <= z.CROWDED_SHARE for cells in tree.crowded)
+    leaves = z.leaf_points(pts, tree)
+    assert leaves.count() == len(spots)
+    sizes = [r["count"] for r in leaves.groupBy("depth", "cx", "cy", "salt").count().collect()]
+    assert max(sizes) <= 80
+    cells = z.leaf_cells(zones, tree, 0.0).withColumn("n", F.size("edges")).collect()
+    whole = [c for c in cells if c["whole"]]
+    assert whole and all(c["n"] == 0 for c in whole) and len({c["salt"] for c in whole}) > 10
+    assert z.cell_tree(pts.limit(0)).crowded == [] and z.cell_tree(pts).crowded == []
+
+
+def test_nearest_border_in_crowded_cells(spark):
+    spots, pts, shapes, zones = crowded_map(spark)
+
+    def gap(x, y, rings):
+        best = 9e9
+        for r in rings:
+            for a, b in zip(r, r[1:]):
+                dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+                t = max(0.0, min(1.0, ((x - a["x"]) * dx + (y - a["y"]) * dy) / (dx * dx + dy * dy)))
+                best = min(best, ((x - a["x"] - t * dx) ** 2 + (y - a["y"] - t * dy) ** 2) ** 0.5)
+        return best
+
+    got = assigned(z.nearest_zones(pts, zones, 0.1, z.cell_tree(pts, limit=40)))
+    for i, x, y in spots:
+        want = tuple(c if gap(x, y, shapes[c]) <= 0.1 else None for c in ("D", "W"))
+        assert got.get(i, (None, None)) == want, (x, y)
