@@ -74,32 +74,152 @@ def filter_items(items: DataFrame, wanted: ItemFilter) -> DataFrame:
     return out
 
 
+SORT_KEYS: dict[str, tuple[str, bool]] = {
+    "-placed_at": ("placed_at", True),
+    "-favorites": ("favorites", True),
+    "difficulty": ("difficulty", False),
+    "terrain": ("terrain", False),
+}
+
+
+def sort_keys(sort: str | None) -> list[tuple[str, bool]]:
+    """(column, descending) of one of four orders (newest placed first by default), made total by the id."""
+    return [SORT_KEYS.get(sort or "-placed_at", SORT_KEYS["-placed_at"]), ("item_id", False)]
+
+
+def order_of(keys: list[tuple[str, bool]]) -> list[Column]:
+    return [F.desc(name) if descending else F.asc(name) for name, descending in keys]
+
+
 def sort_order(sort: str | None) -> list[Column]:
-    """One of four orders (newest placed first by default), made total by the id."""
-    orders = {
-        "-placed_at": F.desc("placed_at"),
-        "-favorites": F.desc("favorites"),
-        "difficulty": F.asc("difficulty"),
-        "terrain": F.asc("terrain"),
-    }
-    return [orders.get(sort or "-placed_at", orders["-placed_at"]), F.asc("item_id")]
+    return order_of(sort_keys(sort))
 
 
 def page(rows: DataFrame, order: list[Column], number: int = 1, size: int = 50) -> DataFrame:
     """One page plus the total and the number of pages on every row.
 
     Planned as a distributed top-k (each task keeps only ``number * size``
-    rows), never as a global sort or a single-partition window.
+    rows), never as a global sort or a single-partition window. That suits the
+    first pages; ``deep_page`` serves any page.
     """
     if size < 1 or number < 1:
         raise ValueError("page number and size start at 1")
     total = rows.groupBy().agg(F.count(F.lit(1))).scalar()
     chosen = rows.orderBy(*order).offset((number - 1) * size).limit(size)
+    return _with_totals(chosen, total, size)
+
+
+def _with_totals(chosen: DataFrame, total: Column, size: int) -> DataFrame:
     return chosen.withColumn("total", total).withColumn(
         "nb_pages", F.ceil(F.col("total") / F.lit(size)).cast("long")
     )
 
 
+#: Types of page keys, besides decimals.
+RANKED_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "boolean")
+#: Ranges of at most this many rows are sorted instead of being narrowed further.
+SORTED_ROWS = 100_000
+#: Ranks of the approximate quantiles are off by at most one part in this many.
+QUANTILE_ACCURACY = 2000
+
+
+def deep_page(
+    rows: DataFrame, keys: list[tuple[str, bool]], number: int = 1, size: int = 50, sorted_rows: int = SORTED_ROWS
+) -> DataFrame:
+    """``page`` for any page number, by order statistics instead of skipping rows.
+
+    ``keys`` are (column, descending), numbers, dates, timestamps or booleans,
+    the last one unique; rows equal in all of them are interchangeable. Nulls
+    come first ascending and last descending, as in any Spark sort. Two
+    approximate quantiles bracket the page's positions, one exact count per
+    side of the bracket tells where it lies, and the bracket is narrowed until
+    ``sorted_rows`` rows are left; only those are sorted. Each round reads the
+    key columns twice and keeps about a thousandth of the rows, and its range
+    is a plain filter on the scan. A crowd of equal values goes on to the next
+    key. Runs jobs when called; ``rows`` is read several times.
+    """
+    if size < 1 or number < 1:
+        raise ValueError("page number and size start at 1")
+    names = [name for name, _ in keys]
+    kinds = dict(rows.select(*names).dtypes)
+    for name, kind in kinds.items():
+        if kind not in RANKED_TYPES and not kind.startswith("decimal"):
+            raise ValueError(f"no order statistics for column {name} of type {kind}")
+    total, known = rows.agg(F.count(F.lit(1)), F.count(_value(rows, names[0]))).first()
+    first = (number - 1) * size
+    last = min(first + size, total)
+    if first >= total:
+        chosen = rows.limit(0)
+    else:
+        chosen = None
+        for condition, skip, take, whole in _ranges(rows.select(*names), F.lit(True), keys, first, last, total, known, sorted_rows):
+            part = rows.where(condition)
+            if not whole:
+                part = part.orderBy(*order_of(keys)).offset(skip).limit(take)
+            chosen = part if chosen is None else chosen.unionByName(part)
+        chosen = chosen.orderBy(*order_of(keys))
+    return _with_totals(chosen, F.lit(total).cast("long"), size)
+
+
+def _value(rows: DataFrame, name: str) -> Column:
+    """The key where it has a place among values: NaN sorts after all of them, as a range of its own."""
+    floating = dict(rows.select(name).dtypes)[name] in ("float", "double")
+    return F.when(~F.isnan(name), F.col(name)) if floating else F.col(name)
+
+
+def _ranges(keyed, inside, left, first, last, count, known, sorted_rows) -> list[tuple[Column, int, int, bool]]:
+    """(condition, skip, take, whole) of the ranges that hold positions ``first`` to ``last`` - 1
+    among the ``count`` rows where ``inside`` holds; whole ranges need no sorting.
+
+    ``left`` are the keys not yet fixed to one value by ``inside``, ``known``
+    counts the rows with a value in the first of them (None: not counted yet).
+    """
+    if first == 0 and last == count:
+        return [(inside, 0, count, True)]
+    if count <= sorted_rows or not left:
+        return [(inside, first, last - first, False)]
+    (name, descending), key = left[0], F.col(left[0][0])
+    here = keyed.where(inside)
+    if known is None:
+        known = here.agg(F.count(_value(here, name))).first()[0]
+    floating = dict(here.dtypes)[name] in ("float", "double")
+    number = ~F.isnan(key) if floating else F.lit(True)
+    parts: list[tuple[Column, list]] = [(key.isNull(), left[1:])]
+    if known:
+        low, high = _bracket(here, name, first, last, count, known, descending)
+        parts += [(key < low, left), (key == low, left[1:]), ((key > low) & (key < high), left)]
+        parts += [((key == high) & (low != high), left[1:]), ((key > high) & number, left)]
+    if floating:
+        parts += [(F.isnan(key), left[1:])]
+    sizes = here.agg(*[F.count_if(p).alias(f"p{i}") for i, (p, _) in enumerate(parts)]).first()
+    out, before = [], 0
+    for i in reversed(range(len(parts))) if descending else range(len(parts)):
+        (condition, rest), held = parts[i], sizes[i]
+        begin, end = max(first - before, 0), min(last - before, held)
+        before += held
+        if begin < end:
+            # Values too close for quantiles to tell apart are sorted.
+            rest = [] if rest is left and held == count else rest
+            out += _ranges(keyed, inside & condition, rest, begin, end, held, held if rest is left else None, sorted_rows)
+    return out
+
+
+def _bracket(here: DataFrame, name: str, first: int, last: int, count: int, known: int, descending: bool) -> tuple[Column, Column]:
+    """Two values of the key around the wanted positions, as far as approximate ranks can tell."""
+    # Nulls (and NaN, on the other side) shift positions among values; an estimate is enough here.
+    lowest, highest = (count - last, count - first) if descending else (first, last)
+    nulls, slack = count - known, 2.0 / QUANTILE_ACCURACY
+    shares = [
+        max(0.0, min(1.0, (lowest - nulls) / known - slack)),
+        max(0.0, min(1.0, (highest - nulls) / known + slack)),
+    ]
+    kind = dict(here.dtypes)[name]
+    rank = F.unix_micros(name) if kind == "timestamp" else F.col(name).cast("int") if kind == "boolean" else _value(here, name)
+    bounds = here.agg(F.percentile_approx(rank, shares, QUANTILE_ACCURACY)).first()[0]
+    back = {"boolean": lambda v: F.lit(bool(v)), "timestamp": lambda v: F.timestamp_micros(F.lit(v))}.get(kind, F.lit)
+    return back(bounds[0]), back(bounds[1])
+
+
 def within_radius(items: DataFrame, lat: float, lon: float, radius_km: float) -> DataFrame:
     """Items at most ``radius_km`` away with their distance; the box comparison
     prunes the scan, the great-circle test decides."""

@@ -100,6 +100,19 @@ def paginate(t):
     return s.page(rows, s.sort_order("-favorites"), number=2, size=37).select("item_id", "favorites", "total", "nb_pages")
 
 
+def paginate_deep(t):
+    """A page far down all visits, newest first."""
+    keys = [("found_date", True), ("user_id", False), ("item_id", False)]
+    rows = t.finds().select("user_id", "item_id", "found_date")
+    return s.deep_page(rows, keys, number=60, size=50, sorted_rows=1000)
+
+
+def sort_items_deep(t):
+    """A late page of the items by favourites, within one size."""
+    rows = s.filter_items(t.items(), ItemFilter(size_code="M"))
+    return s.deep_page(rows, s.sort_keys("-favorites"), number=4, size=7, sorted_rows=20).select("item_id", "favorites", "total", "nb_pages")
+
+
 def geo_radius_candidates(t):
     homes = t.users().select(F.col("home_lat").alias("centre_lat"), F.col("home_lon").alias("centre_lon")).distinct()
     centres = homes.withColumn("centre_id", F.concat_ws(":", "centre_lat", "centre_lon"))
@@ -183,6 +196,18 @@ CHECKS = {
         ITEMS
         + """SELECT item_id, favorites, count(*) OVER () AS total, CAST(ceil(count(*) OVER () / 37) AS BIGINT) AS nb_pages
  FROM items WHERE size_code = 'M' ORDER BY favorites DESC, item_id LIMIT 37 OFFSET 37""",
+    ),
+    "paginate_deep": (
+        _q(paginate_deep),
+        with_tables("finds")
+        + """SELECT user_id, item_id, found_date, count(*) OVER () AS total, CAST(ceil(count(*) OVER () / 50) AS BIGINT) AS nb_pages
+ FROM finds ORDER BY found_date DESC, user_id, item_id LIMIT 50 OFFSET 2950""",
+    ),
+    "sort_items_deep": (
+        _q(sort_items_deep),
+        ITEMS
+        + """SELECT item_id, favorites, count(*) OVER () AS total, CAST(ceil(count(*) OVER () / 7) AS BIGINT) AS nb_pages
+ FROM items WHERE size_code = 'M' ORDER BY favorites DESC, item_id LIMIT 7 OFFSET 21""",
     ),
     "geo_radius_candidates": (
         _q(geo_radius_candidates),

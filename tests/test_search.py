@@ -1,3 +1,4 @@
+import datetime
 import math
 import random
 
@@ -73,3 +74,52 @@ def test_proximity_score(spark):
     df = spark.createDataFrame([(0.0,), (-1.0,), (15000.0,)], "d double")
     values = [r[0] for r in df.select(geo.proximity_score(F.col("d"), F.lit(50.0))).collect()]
     assert values[:2] == [1.0, 1.0] and abs(values[2] - 0.5) < 1e-12
+
+
+def test_deep_pages_against_a_plain_sort(spark):
+    """Nulls, heavy ties, NaN, dates and timestamps; every page of every order, both narrowed and sorted whole."""
+    rnd = random.Random(5)
+    rows = []
+    for i in range(1, 3001):
+        day = datetime.date(2020, 1, 1) + datetime.timedelta(days=int(rnd.expovariate(0.02)))
+        number = None if i % 11 == 0 else 7.5 if i % 3 == 0 else math.nan if i % 50 == 0 else rnd.choice([-1, 1]) * 10 ** rnd.uniform(-200, 200)
+        stamp = datetime.datetime(2021, 10, 31) + datetime.timedelta(seconds=rnd.randrange(8 * 3600))
+        rows.append((i, day if i % 7 else None, number, stamp, i % 2 == 0, None))
+    rnd.shuffle(rows)
+    schema = "item_id long, day date, number double, stamp timestamp, flag boolean, empty int"
+    df = spark.createDataFrame(rows, schema).repartition(5).cache()
+    for keys in (
+        [("day", True), ("item_id", False)],
+        [("number", False), ("item_id", True)],
+        [("number", True), ("item_id", False)],
+        [("stamp", False), ("item_id", False)],
+        [("flag", True), ("empty", False), ("day", False), ("item_id", False)],
+    ):
+        want = [r.item_id for r in df.orderBy(*search.order_of(keys)).select("item_id").collect()]
+        for number, size in ((1, 40), (20, 40), (7, 300), (75, 40), (1, 5000)):
+            got = search.deep_page(df, keys, number, size, sorted_rows=200).collect()
+            assert [r.item_id for r in got] == want[(number - 1) * size : number * size], (keys, number, size)
+            assert all(r.total == 3000 and r.nb_pages == -(-3000 // size) for r in got)
+    assert search.deep_page(df, [("item_id", False)], 9, 1000).count() == 0
+    assert search.deep_page(df.limit(0), [("item_id", False)], 1, 10).count() == 0
+    with pytest.raises(ValueError):
+        search.deep_page(df.withColumn("word", df.item_id.cast("string")), [("word", False)], 1, 10)
+
+
+def test_deep_page_sorts_only_its_range(spark):
+    """Of a million rows with one value on a third of them, no range handed to the sort is large."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(1_000_000).select(F.col("id").alias("item_id"), F.when(F.col("id") % 3 == 0, 500).otherwise(F.col("id") % 1000).alias("favorites"))
+    for first in (0, 333_000, 500_000, 700_000, 999_900):
+        ranges = search._ranges(df, F.lit(True), [("favorites", True), ("item_id", False)], first, first + 100, 1_000_000, 1_000_000, 5_000)
+        assert sum(take for _, _, take, _ in ranges) == 100
+        assert all(df.where(condition).count() <= 5_000 for condition, _, _, _ in ranges)
+
+
+def test_values_too_close_for_quantiles(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(600).select((F.col("id") + F.lit(2**62)).alias("item_id"))
+    got = [r.item_id - 2**62 for r in search.deep_page(df, [("item_id", False)], 30, 10, sorted_rows=20).collect()]
+    assert got == list(range(290, 300))
