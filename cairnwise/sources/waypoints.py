@@ -19,10 +19,8 @@ WAYPOINT_SCHEMA = (
 )
 
 
-def detect_dialect(text: Column) -> Column:
-    """Dialect of a whole document: root creator, then schema location, then
-    namespace version, then words anywhere in it; cgeo when nothing tells."""
-    root = F.regexp_extract(text, r"(?s)<(?:\w+:)?gpx\b[^>]*>", 0)
+def _dialect(root: Column, says_cgeo: Column, says_pocket: Column) -> Column:
+    """Dialect from the root tag and from words seen anywhere in the document."""
 
     def attribute(name: str) -> Column:
         return F.lower(F.regexp_extract(root, rf"(?s)\b{name}\s*=\s*[\"']([^\"']*)[\"']", 1))
@@ -31,23 +29,45 @@ def detect_dialect(text: Column) -> Column:
     spaces = F.regexp_extract_all(root, F.lit(r"xmlns(?::\w+)?\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1))
     ours = F.filter(spaces, lambda u: F.contains(u, F.lit("groundspeak.com/cache")))
     version = F.get(F.filter(ours, lambda u: F.contains(u, F.lit("1/0"))), F.lit(0))
-    lowered = F.lower(text)
     return (
         F.when(creator.contains("cgeo") | creator.contains("c:geo"), CGEO)
         .when(schema.contains("cgeo"), CGEO)
         .when(schema.contains("pocket query") | creator.contains("pocket query"), POCKET_QUERY)
         .when(version.contains("1/0/1"), CGEO)
         .when(version.isNotNull(), POCKET_QUERY)
-        .when(lowered.contains("c:geo"), CGEO)
-        .when(lowered.contains("pocket query"), POCKET_QUERY)
+        .when(says_cgeo, CGEO)
+        .when(says_pocket, POCKET_QUERY)
         .otherwise(CGEO)
     )
 
 
+def detect_dialect(text: Column) -> Column:
+    """Dialect of a whole document: root creator, then schema location, then
+    namespace version, then words anywhere in it; cgeo when nothing tells."""
+    root = F.regexp_extract(text, r"(?s)<(?:\w+:)?gpx\b[^>]*>", 0)
+    return _dialect(root, F.lower(text).contains("c:geo"), F.lower(text).contains("pocket query"))
+
+
 def read_dialects(spark: SparkSession, path: str) -> DataFrame:
-    """(source_file, dialect), one row per file."""
-    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("source_file"), detect_dialect(F.col("value")).alias("dialect"))
+    """(source_file, dialect), one row per file that holds anything, as ``detect_dialect`` of the whole file.
+
+    No file is held as one string: files are split and read tag by tag, a record
+    ending at every ``>``. A tag never crosses records, nor do the words looked
+    for; the first root tag is the one with the least offset. Each task keeps
+    one row a file. A root tag that the file breaks off counts as complete.
+    """
+    tags = spark.read.option("recursiveFileLookup", "true").text(path, lineSep=">").select(
+        F.col("_metadata.file_path").alias("source_file"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("place"),
+        F.regexp_extract("value", r"(?s)<(?:\w+:)?gpx\b[^>]*$", 0).alias("root"),
+        F.lower("value").alias("words"),
+    )
+    seen = tags.groupBy("source_file").agg(
+        F.min(F.when(F.col("root") != "", F.struct("place", "root")))["root"].alias("root"),
+        F.max(F.col("words").contains("c:geo")).alias("says_cgeo"),
+        F.max(F.col("words").contains("pocket query")).alias("says_pocket"),
+    )
+    return seen.select("source_file", _dialect(F.coalesce("root", F.lit("")), F.col("says_cgeo"), F.col("says_pocket")).alias("dialect"))
 
 
 def _text(value: Column) -> Column:

@@ -113,3 +113,37 @@ def test_blank_status_leaves_the_status_alone(spark):
     )
     got = {(r.uc_id, r.ord): (r.status, r.error) for r in e.check_patches(uc, patches).collect()}
     assert got == {(1, 1): (None, None), (2, 1): (None, None), (1, 2): ("gone", "status_unknown: gone")}
+
+
+def test_dialects_of_files_over_several_splits(spark, tmp_path):
+    """Tag by tag over small splits, and equal to the detection on whole texts."""
+    body = "".join(f'<wpt lat="1" lon="{i}"><name>GC{i}</name><desc>text {i}\n more</desc></wpt>\n' for i in range(200))
+    pocket, cgeo = '<gpx creator="Groundspeak Pocket Query">', '<gpx creator="c:geo - x">'
+    other = '<gpx\n version="1.0"\n creator="other"\n xmlns:g="http://www.groundspeak.com/cache/1/0">'
+    texts = {
+        "first_root_wins.gpx": f'<?xml version="1.0"?>\n{pocket}{body}{cgeo}{body}',
+        "first_root_wins_too.gpx": f"{cgeo}{body}{pocket}{body}{pocket}",
+        "late_root.gpx": f"<!-- {'x' * 3000} -->{body}<k:gpx creator='pocket query'>{cgeo}",
+        "several_lines.gpx": f"{other}{body}",
+        "late_words.gpx": f"<gpx>{body}{body}<desc>Made by C:GEO</desc></gpx>",
+        "late_pocket.gpx": f"<gpx>{body}{body}<desc>my Pocket Query</desc></gpx>",
+        "words_over_lines.gpx": f"<gpx>{body}<desc>pocket\nquery</desc></gpx>",
+        "no_root.gpx": "words only, a pocket query",
+        "not_a_root.gpx": '<gpxx creator="pocket query">',
+        "empty.gpx": "",
+        "sub/deeper.gpx": f"{pocket}{body}",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    whole = spark.createDataFrame(list(texts.items()), "name string, text string").coalesce(1)
+    want = {r["name"]: r.d for r in whole.select("name", waypoints.detect_dialect(F.col("text")).alias("d")).collect()}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        found = waypoints.read_dialects(spark, str(tmp_path))
+        got = {r.source_file.split(f"{tmp_path}/")[1]: r.dialect for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert want.pop("empty.gpx") == "cgeo" and got == want
+    assert want["first_root_wins.gpx"] == want["late_root.gpx"] == want["late_pocket.gpx"] == "pocket_query"
