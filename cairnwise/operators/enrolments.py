@@ -87,6 +87,42 @@ def sync_counts(users: DataFrame, challenges: DataFrame, enrolments: DataFrame,
     )
 
 
+def sync(
+    enrolments: DataFrame, challenges: DataFrame, finds: DataFrame, requests: DataFrame | None = None, as_of: str | None = None
+) -> DataFrame:
+    """The whole enrolment table after a synchronisation, with ``created`` and ``auto_completed``.
+
+    Open enrolments whose challenge item was found become completed at 100 %;
+    all others stay as they are. ``requests`` (user_id) adds the enrolments
+    those users lack, dated ``as_of`` and completed alike; columns these rows
+    cannot know, ids among them, are null. An enrolment in an unknown
+    challenge is kept, and repeated finds or challenge rows change nothing.
+    """
+    rows = enrolments.withColumn("created", F.lit(False))
+    if requests is not None:
+        if as_of is None:
+            raise ValueError("new enrolments need a date")
+        added = missing_enrolments(requests, challenges, enrolments, as_of).withColumn("created", F.lit(True))
+        known = [c for c in added.columns if c in rows.columns]
+        rows = rows.unionByName(added.select(*known), allowMissingColumns=True)
+    # Enrolments and finds meet on user and item, so neither a popular item nor a busy user makes pairs.
+    met = (
+        rows.select("user_id", "challenge_id").join(challenges.select("challenge_id", "item_id"), "challenge_id")
+        .join(finds.select("user_id", "item_id"), ["user_id", "item_id"], "left_semi")
+        .select("user_id", "challenge_id").distinct().withColumn("met", F.lit(True))
+    )
+    done = F.col("met").isNotNull() & ~has_status(COMPLETED)
+    return (
+        rows.join(met, ["user_id", "challenge_id"], "left")
+        .withColumn("auto_completed", done)
+        .withColumns({
+            "computed_status": F.when(F.col("auto_completed"), COMPLETED).otherwise(F.col("computed_status")),
+            "percent": F.when(F.col("auto_completed"), 100.0).otherwise(F.col("percent")),
+        })
+        .select(*enrolments.columns, "created", "auto_completed")
+    )
+
+
 def reset(enrolments: DataFrame, chosen: DataFrame) -> DataFrame:
     """Back to pending, with everything derived or noted cleared, for the chosen ids."""
     marked = enrolments.join(chosen.select("uc_id").distinct().withColumn("chosen", F.lit(True)), "uc_id", "left")

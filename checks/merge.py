@@ -216,6 +216,11 @@ def sync_enrolments(t):
     return e.sync_counts(t.users(), t.challenges(), t.enrolments(), t.finds())
 
 
+def sync_enrolments_merged(t):
+    """The whole enrolment table after completing what users have found."""
+    return e.sync(_full(t), t.challenges(), t.finds())
+
+
 def autocomplete(t):
     return e.autocomplete(_full(t), t.challenges(), t.finds()).select("uc_id", "user_id", "computed_status", "percent")
 
@@ -328,6 +333,13 @@ CHECKS = {
         WITH_UC
         + f"""SELECT m.*, coalesce(n, 0) AS auto_completed FROM ({MISSING}) m LEFT JOIN (SELECT e.user_id, count(*) AS n FROM enrolments e
  JOIN finds f ON f.user_id = e.user_id AND f.item_id = e.challenge_id WHERE coalesce(e.computed_status,'') <> 'completed' AND e.status <> 'completed' GROUP BY e.user_id) USING (user_id)""",
+    ),
+    "sync_enrolments_merged": (
+        _q(sync_enrolments_merged),
+        WITH_UC
+        + """SELECT e.* EXCLUDE (hit) REPLACE (CASE WHEN hit THEN 'completed' ELSE computed_status END AS computed_status, CASE WHEN hit THEN 100.0::DOUBLE ELSE percent END AS percent),
+ false AS created, hit AS auto_completed FROM (SELECT u.*, EXISTS (SELECT 1 FROM finds f JOIN challenges c USING (item_id) WHERE f.user_id = u.user_id AND c.challenge_id = u.challenge_id)
+ AND coalesce(computed_status,'') <> 'completed' AND coalesce(status,'') <> 'completed' AS hit FROM full_uc u) e""",
     ),
     "autocomplete_enrolments": (
         _q(autocomplete),

@@ -147,3 +147,27 @@ def test_dialects_of_files_over_several_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert want.pop("empty.gpx") == "cgeo" and got == want
     assert want["first_root_wins.gpx"] == want["late_root.gpx"] == want["late_pocket.gpx"] == "pocket_query"
+
+
+def test_enrolment_table_after_sync(spark):
+    """New rows for the users who ask, completion of old and new ones, nothing doubled."""
+    schema = "uc_id long, user_id long, challenge_id long, status string, computed_status string, percent double"
+    uc = spark.createDataFrame(
+        [(1, 1, 10, "accepted", None, 5.0), (2, 1, 11, "completed", None, 7.0), (3, 2, 10, None, "completed", 9.0),
+         (4, 2, 99, "pending", None, None), (5, None, 10, "pending", None, 1.0), (6, 3, 11, "dismissed", None, 2.0)], schema)
+    challenges = spark.createDataFrame([(10, 100), (11, 110), (12, 100), (12, 100), (13, None)], "challenge_id long, item_id long")
+    finds = spark.createDataFrame([(1, 100), (1, 100), (2, 100), (3, 110), (None, 100), (4, 110)], "user_id long, item_id long")
+    asked = spark.createDataFrame([(1,), (1,), (4,)], "user_id long")
+    rows = e.sync(uc, challenges, finds, asked, "2024-01-01").collect()
+    got = {(r.uc_id, r.user_id, r.challenge_id, r.status, r.computed_status, r.percent, r.created, r.auto_completed) for r in rows}
+    assert len(rows) == 12 and got == {
+        (1, 1, 10, "accepted", "completed", 100.0, False, True), (2, 1, 11, "completed", None, 7.0, False, False),
+        (3, 2, 10, None, "completed", 9.0, False, False), (4, 2, 99, "pending", None, None, False, False),
+        (5, None, 10, "pending", None, 1.0, False, False), (6, 3, 11, "dismissed", "completed", 100.0, False, True),
+        (None, 1, 12, "pending", "completed", 100.0, True, True), (None, 1, 13, "pending", None, None, True, False),
+        (None, 4, 10, "pending", None, None, True, False), (None, 4, 11, "pending", "completed", 100.0, True, True),
+        (None, 4, 12, "pending", None, None, True, False), (None, 4, 13, "pending", None, None, True, False),
+    }
+    assert e.sync(uc, challenges, finds).count() == 6
+    with pytest.raises(ValueError):
+        e.sync(uc, challenges, finds, asked)
