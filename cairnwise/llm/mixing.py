@@ -1,6 +1,8 @@
 """Mixing sources to target weights with exact word budgets.
 
-Every document gets a hash-random key. Within a source, documents are ordered
+Every document gets a hash-random key, made of its id and text, so that rows
+without an id, or sharing one, spread as well. Rows that agree in everything
+are counted before they are ordered. Within a source, documents are ordered
 by that key; their running sum of sizes is a distributed prefix sum: sizes are
 summed per range of the key (the key is uniform, so equal ranges hold equal
 shares), the range totals are summed up per source, and the running sums inside
@@ -23,6 +25,8 @@ TOTAL_SHARE = 1.5
 MOST_EPOCHS = 2
 #: Rows that one key range of a source should hold.
 RANGE_ROWS = 2_000
+#: Equal rows are written out again in lists of at most this many.
+COPIES = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -82,18 +86,17 @@ def _mix_sources(
     carry: Sequence[Column] = (),
 ) -> DataFrame:
     """``mix_sources`` with further columns of ``docs``, named ``carry``."""
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs[id_col].cast("string"), F.lit(""))))
-    rows = materialise(
-        docs.select(
-            docs[id_col].alias("doc_id"),
-            docs[source_col].cast("string").alias("source"),
-            word_count(docs[text_col]).alias("size"),
-            key.alias("key"),
-            *carry,
-        ),
-        "mix-sizes",
+    id_, text = (F.coalesce(docs[c].cast("string"), F.lit("")) for c in (id_col, text_col))
+    single = docs.select(
+        docs[id_col].alias("doc_id"),
+        docs[source_col].cast("string").alias("source"),
+        word_count(docs[text_col]).alias("size"),
+        F.md5(F.concat(F.lit(f"{seed}:"), id_, F.lit(":"), text)).alias("key"),
+        *carry,
     )
-    per_source = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
+    rows = materialise(single.groupBy(*single.columns).agg(F.count(F.lit(1)).alias("copies")), "mix-sizes")
+    all_words = F.col("size") * F.col("copies")
+    per_source = rows.groupBy("source").agg(F.sum(all_words).alias("size"), F.count(F.lit(1)).alias("n")).collect()
     sizes = {r["source"]: r["size"] for r in per_source}
     targets = source_targets(sizes, weights, share, most)
     ranges = {r["source"]: max(1, -(-r["n"] // RANGE_ROWS)) for r in per_source}
@@ -112,19 +115,24 @@ def _mix_sources(
     )
     parts = (
         joined.groupBy("source", "part")
-        .agg(F.sum("size").alias("part_size"))
+        .agg(F.sum(all_words).alias("part_size"))
         .select(F.col("source").alias("p_source"), F.col("part").alias("p_part"), before_part.alias("ahead"))
     )
     inside = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size")
     inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = joined.withColumn("within", F.sum("size").over(inside) - F.col("size"))
+    running = joined.withColumn("within", F.sum(all_words).over(inside) - all_words)
     same = running["source"].eqNullSafe(parts["p_source"]) & (running["part"] == parts["p_part"])
     full = F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(0).cast("bigint")
     rest = F.col("budget") - F.col("full") * F.col("source_size")
-    cut = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("ahead") - F.col("within"))).cast("bigint")
+    before = F.col("ahead") + F.col("within") + F.col("copy") * F.col("size")
+    cut = F.greatest(F.lit(0), F.least(F.col("size"), rest - before)).cast("bigint")
+    first = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1, F.lit(COPIES).cast("bigint")))
+    each = F.explode(F.sequence(F.col("first"), F.least(F.col("first") + COPIES, F.col("copies")) - 1))
     return (
         running.join(parts, same)
         .withColumn("full", full)
+        .withColumn("first", first)
+        .withColumn("copy", each)
         .withColumn("cut", cut)
         .select(
             "doc_id",
@@ -137,7 +145,7 @@ def _mix_sources(
             .otherwise(F.col("full") + (F.col("cut") > 0).cast("int"))
             .cast("int")
             .alias("epochs"),
-            *rows.columns[4:],
+            *single.columns[4:],
         )
     )
 

@@ -148,7 +148,8 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
  SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
 
 OP9_SQL = r"""
-WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+ md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS key FROM documents),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS total, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM sized GROUP BY source),
 weighted AS (SELECT source, total, CAST([5, 2, 1][(place - 1) % 3 + 1] AS DOUBLE) AS w FROM sources),
 filled AS (SELECT *, row_number() OVER o AS rank, sum(w) OVER (ORDER BY 2 * total / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w,
@@ -158,7 +159,7 @@ cut AS (SELECT rank, left_words, open_w FROM filled WHERE CAST(left_words AS DOU
 targets AS (SELECT source, total, CASE WHEN f.rank < coalesce(c.rank, 1000000000) THEN CAST(2 * total AS DOUBLE) ELSE CAST(c.left_words AS DOUBLE) * w / c.open_w END AS target
  FROM filled f LEFT JOIN cut c ON true),
 running AS (SELECT doc_id, size, total, target, CAST(floor(target + 0.5) AS BIGINT) AS budget,
- sum(size) OVER (PARTITION BY d.source ORDER BY md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS ahead
+ sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS ahead
  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
 epochs AS (SELECT *, CASE WHEN total > 0 THEN budget // total ELSE 0 END AS full_epochs FROM running),
 taken AS (SELECT *, greatest(0, least(size, budget - full_epochs * total - ahead)) AS part FROM epochs)

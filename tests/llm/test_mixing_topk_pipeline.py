@@ -45,6 +45,28 @@ def test_mixing_ranges_agree_with_one_range(spark, monkeypatch):
     assert {r["doc_id"]: r["taken"] for r in mixing.mix_sources(docs).collect()} == one
 
 
+def test_rows_without_ids_spread_and_equal_rows_share_one_place(spark, monkeypatch):
+    """A third of all rows without an id, and many copies of one row: ranges stay even, the budget is met exactly."""
+    rows = [(i, f"{'w ' * (i % 7)}{i}", "web") for i in range(400)] + [(None, f"{'v ' * (i % 5)}n{i}", "web") for i in range(400)]
+    rows += [(None, "same text here", "web")] * 150 + [(7, "a b", None)] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 20)
+    monkeypatch.setattr(mixing, "COPIES", 8)
+    mix = mixing.mix_sources(docs).collect()
+    assert len(mix) == len(rows)
+    for source in ("web", None):
+        mine = [r for r in mix if r["source"] == source]
+        words = [len(t.split()) for _, t, s in rows if s == source]
+        assert sorted(r["size"] for r in mine) == sorted(words) and mine[0]["source_size"] == sum(words)
+        assert sum(r["taken"] for r in mine) == int(mine[0]["target"] + 0.5)
+        assert all(0 <= r["taken"] <= 2 * r["size"] for r in mine)
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["source"] or "", r["size"], r["taken"])
+    again = mixing.mix_sources(docs.repartition(7)).collect()
+    assert sorted(map(key, again)) == sorted(map(key, mix))
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 10**9)
+    assert sorted(map(key, mixing.mix_sources(docs).collect())) == sorted(map(key, mix))
+
+
 def test_mixing_edges(spark):
     assert mixing.mix_sources(documents(spark, [])).count() == 0
     same = documents(spark, ["a b", "a b", "a b"], ids=[1, 1, None], sources=[None] * 3)
