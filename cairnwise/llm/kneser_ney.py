@@ -31,8 +31,10 @@ from cairnwise.session import materialise, scratch_path
 
 ORDER = 5
 SYMBOL_BITS = 12
-#: Bytes of text that a worker handles at once.
+#: Bytes of text that a worker counts at once.
 SLICE = 3 << 20
+#: Bytes of text that a worker scores at once, beside a shard of the model; a symbol takes about a dozen numbers.
+SCORE_SLICE = 1 << 20
 #: Code points below this are symbols of their own; others share as many by remainder.
 OWN = 2047
 #: Entries that one shard of the model holds at most (a single symbol's entries stay together).
@@ -269,7 +271,7 @@ def log_probabilities(docs: DataFrame, model: DataFrame, order: int = ORDER, ent
 
         def run(batches: Iterator[pa.RecordBatch], shard=shard, number=number) -> Iterator[pa.RecordBatch]:
             own = shard.value
-            for batch in slices(batches, "text", SLICE):
+            for batch in slices(batches, "text", SCORE_SLICE):
                 for lang, rows, texts in _by_language(batch):
                     if (lang, 0) not in own.tables:
                         continue
