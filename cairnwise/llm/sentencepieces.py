@@ -26,7 +26,7 @@ from cairnwise.llm.wordwise import Ragged, WordCache, binary_array, slices, spre
 
 BLANK = "▁"
 #: Bytes of text that a worker handles at once.
-SLICE = 6 << 20
+SLICE = 4 << 20
 _SCHEMA = "doc_id string, ids binary, piece_ends binary, decoded string"
 
 
