@@ -11,7 +11,8 @@ where trusted ids meet them.
 
 Each language has its own threshold, derived from quantiles of the trusted
 texts' log perplexities out of sample: the trusted texts are halved, and each
-half is scored by a model of the other one. An n-gram does not see that a text
+half is scored by a model of the other one. A language of few trusted texts has
+its own median, and takes the distance from it over from all languages. An n-gram does not see that a text
 says one word over and over, so words equal to the one before are counted too.
 """
 
@@ -35,8 +36,9 @@ SYMBOL_BITS = 12
 SLICE = 3 << 20
 #: Bytes of text that a worker scores at once, beside a shard of the model; a symbol takes about a dozen numbers.
 SCORE_SLICE = 1 << 20
-#: Code points below this are symbols of their own; others share as many by remainder.
-OWN = 2047
+#: Code points below this are one symbol; others are two, the upper bits and the lower TRAIL bits, so that no two collide.
+OWN = 1983
+TRAIL = 10
 #: Entries that one shard of the model holds at most (a single symbol's entries stay together).
 SHARD_ENTRIES = 6_000_000
 #: A document is rejected if its log perplexity exceeds the trusted median (out of sample) by more than SPREAD times
@@ -48,8 +50,10 @@ SHORT = 100
 #: A document is rejected as well if the share of its words that equal the word before exceeds the larger of
 #: ECHO and twice the trusted upper quantile; short texts are given the same leeway.
 ECHO = 0.2
-#: Distinct trusted texts that a language needs for a limit; below, the 99 % quantile says nothing and all is kept.
+#: Distinct trusted texts that a language needs for a quantile of its own; below, the one over all languages' texts counts.
 LEAST = 30
+#: The median of so few texts is uncertain, and their model thin: with t texts the distance is sqrt(1 + THIN / t) times that.
+THIN = 10
 _MASK = (1 << SYMBOL_BITS) - 1
 _SCORES = "doc_id bigint, version bigint, lang string, total double, symbols bigint, n bigint, echo double"
 
@@ -58,7 +62,16 @@ def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Symbols 1..4095 of all texts, joined, and the number of each text's symbols."""
     sizes = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
     raw = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    return 1 + np.where(raw < OWN, raw, OWN + raw % (_MASK - OWN)), sizes
+    wide = raw >= OWN
+    if not wide.any():
+        return 1 + raw, sizes
+    at = np.cumsum(1 + wide) - 1  # place of a code point's last symbol
+    codes = np.empty(at[-1] + 1, np.int64)
+    codes[at] = np.where(wide, _MASK - (1 << TRAIL) + 1 + (raw & ((1 << TRAIL) - 1)), 1 + raw)
+    codes[at[wide] - 1] = 1 + OWN + (raw[wide] >> TRAIL)
+    more = np.concatenate([[0], np.cumsum(wide)])
+    ends = np.cumsum(sizes)
+    return codes, sizes + more[ends] - more[ends - sizes]
 
 
 def ngram_keys(codes: np.ndarray, sizes: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -309,6 +322,12 @@ def _halved(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.read.schema(made.schema).parquet(path)
 
 
+def _symbols_of(text: str):
+    """The number of symbols of a text, as in ``symbols``."""
+    wide = F.length(F.regexp_replace(text, f"[\\x{{0}}-\\x{{{OWN - 1:x}}}]", ""))
+    return (F.length(text) + wide).cast("bigint")
+
+
 def _leeway(symbols):
     """How much further from the median a text of so many symbols may be than a long one."""
     return F.sqrt(1 + SHORT / F.greatest(symbols, F.lit(1)))
@@ -341,7 +360,8 @@ def document_quality(
     trained on. ``perplexity`` is per symbol; ``limit`` is the language's, see
     QUANTILES and SPREAD; texts that repeat single words are rejected too, see ECHO. A null text counts as empty; a text without symbols, or in a
     language without trusted text, has no perplexity and is kept; a language with fewer
-    than LEAST distinct trusted texts has no limit and is kept whole; a null language
+    than LEAST distinct trusted texts takes the distance of its limit from all languages' texts, one
+    whose trusted texts are all in one half has no limit and is kept; a null language
     is a language of its own, returned as null. Null ids are never trusted;
     repeated rows repeat their result. Other columns are not read.
     """
@@ -384,9 +404,13 @@ def _document_quality(
     quantile = lambda value, q: F.percentile_approx(value, F.lit(q), F.lit(10_000))
     middles = known.groupBy("lang").agg(quantile(F.col("loss"), QUANTILES[0]).alias("middle"), F.count(F.lit(1)).alias("texts"))
     above = (F.col("loss") - F.col("middle")) / F.col("leeway")
-    cuts = known.join(F.broadcast(middles.where(F.col("texts") >= LEAST)), "lang").groupBy("lang", "middle")
-    most = F.greatest(F.lit(ECHO), 2 * quantile(F.col("echo") / F.col("leeway"), QUANTILES[1]))
-    cuts = cuts.agg((SPREAD * quantile(above, QUANTILES[1])).alias("room"), most.alias("most"))
+    far = [quantile(above, QUANTILES[1]).alias("far"), quantile(F.col("echo") / F.col("leeway"), QUANTILES[1]).alias("often")]
+    placed = known.join(F.broadcast(middles), "lang")
+    everywhere = placed.agg(*far).first()  # two numbers
+    of = lambda c: F.when(F.col("texts") >= LEAST, F.col(c)).otherwise(F.lit(everywhere[c]).cast("double"))
+    unsure = F.when(F.col("texts") >= LEAST, 1.0).otherwise(F.sqrt(1 + THIN / F.col("texts")))
+    most = F.greatest(F.lit(ECHO), 2 * of("often")).alias("most")
+    cuts = placed.groupBy("lang", "middle", "texts").agg(*far).select("lang", "middle", (SPREAD * unsure * of("far")).alias("room"), most)
     leeway = _leeway(F.col("symbols") / F.col("n"))
     room, echoing = F.col("room") * leeway, F.coalesce(F.col("echo") > F.col("most") * leeway, F.lit(False))
     judged = scored.join(F.broadcast(cuts), "lang", "left").withColumn("cut", F.col("middle") + room).select(
@@ -396,7 +420,7 @@ def _document_quality(
     judged = judged.withColumn("n", F.explode(F.array_repeat("n", F.col("n").cast("int"))))
     languages = model.where("order = 0").select("lang")
     unknown = rows.join(F.broadcast(languages), "lang", "left_anti").select(
-        "doc_id", "lang", "version", F.length("text").cast("bigint").alias("symbols"), F.lit(None).cast("double").alias("perplexity"),
+        "doc_id", "lang", "version", _symbols_of("text").alias("symbols"), F.lit(None).cast("double").alias("perplexity"),
         F.lit(None).cast("double").alias("limit"), F.lit(True).alias("kept"),
     )
     return (

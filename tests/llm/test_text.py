@@ -303,7 +303,7 @@ def test_thinly_labelled_languages_keep_their_documents(spark):
     def prose():
         return " ".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(40, 200)))
 
-    few = {"one": 1, "two": 2, "five": 5, None: 3, "many": 60}
+    few = {"one": 1, "eight": 8, None: 12, "many": 60}
     texts, langs, trusted = [], [], []
     for lang, n in few.items():
         trusted += [(len(texts) + i,) for i in range(n)]
@@ -311,8 +311,29 @@ def test_thinly_labelled_languages_keep_their_documents(spark):
         langs += [lang] * (n + 41)
     docs = documents(spark, texts, langs=langs)
     rows = kneser_ney.document_quality(docs, spark.createDataFrame(trusted, "doc_id bigint")).collect()
-    lost = collections.Counter(r["lang"] for r in rows if not r["kept"])
-    assert lost == {"many": 1} and not rows_of(docs.sparkSession.createDataFrame(rows))[len(texts) - 1]["kept"]
+    junk = {i for i, t in enumerate(texts) if t.startswith("#") and langs[i] != "one"}
+    assert {r["doc_id"] for r in rows if not r["kept"]} == junk
+    assert all((r["limit"] is None) == (r["lang"] == "one") for r in rows)
+
+
+def test_code_points_do_not_collide():
+    texts = ["", "aé", chr(1982), chr(1983), chr(1983 + 2048), "漢字" + chr(0x10FFFF) + "x", "漢", chr(0x6F22 + 2048), chr(0x6F22 + 1024), "", "😀"]
+    codes, sizes = kneser_ney.symbols(pa.array(texts))
+    assert sizes.tolist() == [sum(1 + (ord(c) >= 1983) for c in t) for t in texts] and codes.min() >= 1 and codes.max() <= 4095
+    parts = [tuple(p) for p in np.split(codes, np.cumsum(sizes)[:-1])]
+    assert len(set(parts)) == len(set(texts))
+
+
+def test_quality_of_wide_code_points(spark):
+    """Texts of many thousand different characters: the counts of symbols agree, and shuffled characters are told from words."""
+    rng = random.Random(4)
+    words = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(2)) for _ in range(300)]
+    good = ["".join(rng.choice(words) for _ in range(150)) for _ in range(120)]
+    bad = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(300)) for _ in range(5)]
+    docs = documents(spark, good + bad + [good[0] + "a"], langs=["zh"] * 125 + ["xx"])
+    rows = rows_of(kneser_ney.document_quality(docs, spark.createDataFrame([(i,) for i in range(80)], "doc_id bigint")))
+    assert {d for d, r in rows.items() if not r["kept"]} == set(range(120, 125))
+    assert rows[0]["symbols"] == 600 and rows[125]["symbols"] == 601
 
 
 def test_language_identification(spark):
