@@ -4,9 +4,10 @@ The model is a character n-gram model per language, trained on all trusted
 texts. Character n-grams are counted by Spark; continuation counts, discounts
 and interpolated probabilities are joins and aggregates of the count tables,
 order by order. The finished table (n-gram: log probability, context: log
-back-off weight) is cut into shards by language and last context symbol; the
-shards, each of a bounded number of entries, are joined to the documents in
-turn, and a document's partial sums are added up. Texts are shuffled only once,
+back-off weight) is cut into shards by language and last context symbol. Spark
+writes each as one sorted file in the shared folder; the tasks that score the
+documents read the shards' files in turn, and a document's partial sums are
+added up. No part of the model passes the driver. Texts are shuffled only once,
 where trusted ids meet them.
 
 Each language has its own threshold, derived from quantiles of the trusted
@@ -24,9 +25,12 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairnwise.llm.token_files import _filesystem
 from cairnwise.llm.wordwise import slices, words_of
 from cairnwise.session import materialise, scratch_path
 
@@ -216,22 +220,21 @@ def echoes(texts: pa.Array) -> np.ndarray:
 class Shard:
     """A part of the model as sorted arrays by language and order.
 
-    ``links`` are the context symbols that it answers for; the first shard also
-    answers for all that are in no shard (``elsewhere`` then has the others').
+    ``entries`` are sorted by language, order and key. ``links`` are the context
+    symbols that the shard answers for; the first shard also answers for all that
+    are in no shard (``elsewhere`` then has the others').
     """
 
     def __init__(self, links: list[tuple[str, int]], entries: pa.Table, elsewhere: list[tuple[str, int]] | None):
         self.tables, self.links = {}, {}
         coded = entries.column("lang").combine_chunks().dictionary_encode()
         names, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-        orders, keys = (entries.column(c).to_numpy() for c in ("order", "key"))
-        at = np.lexsort((keys, orders, index))
-        edges = np.flatnonzero((np.diff(index[at]) != 0) | (np.diff(orders[at]) != 0)) + 1
-        columns = [entries.column(c).to_numpy()[at] for c in ("key", "logp", "back")]
-        for part in np.split(np.arange(len(at)), edges) if len(at) else []:
-            a, b = part[0], part[-1] + 1
-            lang = names[index[at[a]]]
-            self.tables[lang, int(orders[at[a]])] = tuple(c[a:b].copy() for c in columns)
+        orders, *columns = (entries.column(c).to_numpy() for c in ("order", "key", "logp", "back"))
+        edges = np.flatnonzero((np.diff(index) != 0) | (np.diff(orders) != 0)) + 1
+        starts = np.concatenate([[0], edges]) if len(index) else []
+        for a, b in zip(starts, [*edges, len(index)]):
+            lang = names[index[a]]
+            self.tables[lang, int(orders[a])] = tuple(c[a:b] for c in columns)
             self.links.setdefault(lang, np.full(_MASK + 1, elsewhere is not None))
         for lang, link in elsewhere or []:
             self.links[lang][link] = False
@@ -263,6 +266,40 @@ class Shard:
         return table[0][at] == keys, table[column][at]
 
 
+def write_shards(model: DataFrame, plan: list[list[tuple[str, int]]]) -> str:
+    """Writes one sorted file for each shard of the plan; returns their folder.
+
+    An entry goes to at most two shards. Entries of order 0 and 1 go along with
+    every shard of their language, and all of them with the first one.
+    """
+    spark = model.sparkSession
+    dealt = [(lang, link, number) for number, links in enumerate(plan) for lang, link in links]
+    dealt = F.broadcast(spark.createDataFrame(dealt, "lang string, link bigint, shard int"))
+    held = dealt.groupBy("lang").agg(F.collect_set("shard").alias("shards"))
+    shard_of = lambda name: dealt.withColumnRenamed("shard", name)
+    far = model.where("order > 1").withColumn("link", _link(-1)).join(shard_of("one"), ["lang", "link"], "left")
+    near = F.when(F.col("back").isNotNull(), _link(0))
+    far = far.withColumn("link", near).join(shard_of("two"), ["lang", "link"], "left")
+    far = far.withColumn("shards", F.array_distinct(F.array_compact(F.array("one", "two"))))
+    low = model.where("order <= 1").join(F.broadcast(held), "lang", "left")
+    low = low.withColumn("shards", F.array_union(F.array(F.lit(0)), F.coalesce("shards", F.array().cast("array<int>"))))
+    columns = [F.explode("shards").alias("shard"), "lang", "order", "key", "logp", "back"]
+    path = scratch_path(spark, "shards")
+    routed = far.select(*columns).unionByName(low.select(*columns)).repartition(len(plan), "shard")
+    routed.sortWithinPartitions("shard", "lang", "order", "key").write.partitionBy("shard").parquet(path)
+    return path
+
+
+def _read_shard(path: str, number: int) -> pa.Table:
+    files, inside = _filesystem(f"{path}/shard={number}")
+    found = [f.path for f in files.get_file_info(fs.FileSelector(inside)) if f.path.endswith(".parquet")]
+    columns = ["lang", "order", "key", "logp", "back"]
+    tables = [pq.read_table(files.open_input_file(f), columns=columns) for f in found]
+    if len(tables) != 1:
+        raise ValueError(f"{len(tables)} files of shard {number} in {path}")
+    return tables[0]
+
+
 def log_probabilities(docs: DataFrame, model: DataFrame, order: int = ORDER, entries: int = SHARD_ENTRIES) -> DataFrame:
     """``doc_id, version, lang, total, symbols, n, echo``: the log probability of each text of ``docs``.
 
@@ -272,18 +309,14 @@ def log_probabilities(docs: DataFrame, model: DataFrame, order: int = ORDER, ent
     """
     spark = docs.sparkSession
     plan = [links for links in shard_plan(model, entries) if links]
-    passes = None
+    if not plan:
+        return spark.createDataFrame([], _SCORES)
+    path, passes = write_shards(model, plan), None
     for number, links in enumerate(plan):
-        wanted = F.broadcast(spark.createDataFrame(links, "lang string, link bigint"))
-        big = model.where("order > 1")
-        one = big.withColumn("link", _link(-1)).join(wanted, ["lang", "link"], "left_semi")
-        two = big.where("back is not null").withColumn("link", _link(0)).join(wanted, ["lang", "link"], "left_semi")
-        part = one.unionByName(two).drop("link").distinct().unionByName(model.where("order <= 1"))
         elsewhere = [x for other in plan[1:] for x in other] if number == 0 else None
-        shard = spark.sparkContext.broadcast(Shard(links, part.toArrow(), elsewhere))
 
-        def run(batches: Iterator[pa.RecordBatch], shard=shard, number=number) -> Iterator[pa.RecordBatch]:
-            own = shard.value
+        def run(batches: Iterator[pa.RecordBatch], number=number, links=links, elsewhere=elsewhere) -> Iterator[pa.RecordBatch]:
+            own = Shard(links, _read_shard(path, number), elsewhere)
             for batch in slices(batches, "text", SCORE_SLICE):
                 for lang, rows, texts in _by_language(batch):
                     if (lang, 0) not in own.tables:
@@ -308,8 +341,6 @@ def log_probabilities(docs: DataFrame, model: DataFrame, order: int = ORDER, ent
 
         scored = docs.select("doc_id", "version", "text", "lang").mapInArrow(run, _SCORES)
         passes = scored if passes is None else passes.unionByName(scored)
-    if passes is None:
-        return spark.createDataFrame([], _SCORES)
     sums = [F.sum(c).alias(c) for c in ("total", "symbols", "n")]
     return passes.groupBy("doc_id", "version", "lang").agg(*sums, F.max("echo").alias("echo"))
 
