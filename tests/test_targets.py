@@ -132,3 +132,26 @@ def test_an_outlying_id_does_not_crowd_the_buckets(spark):
     ranked = g.ranked_postings(lists, lists.select("item_id"))
     assert [(r["item_id"], r["rank"]) for r in ranked.orderBy("rank").collect()] == [(i, n) for n, i in enumerate(ids, 1)]
     assert g._id_buckets(lists, lists.select("item_id")).groupBy("bucket").count().agg({"count": "max"}).first()[0] < 100
+
+
+def test_scores_are_grouped_where_the_blocks_were_dealt(spark, world, monkeypatch):
+    monkeypatch.setattr(g, "BLOCK", 8)
+    monkeypatch.setattr(g, "ROWS_PER_PARTITION", 50)
+    monkeypatch.setattr(g, "materialise", lambda df, label: df.localCheckpoint())
+    frames = world[0]
+    cand = g.candidates_by_rank(opened(world), frames["users"], frames["finds"], frames["items"], RULES, 40)
+    plan = g.score(cand, frames["items"])._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange" in line and "Broadcast" not in line]
+    assert len(dealt) == 1 and "uc_id" in dealt[0], plan
+
+
+@pytest.mark.parametrize("entries,shown", [(0, 500_000), (4_000_000, 0), (4_000_000, 100)])
+def test_lists_and_items_too_many_to_broadcast(spark, world, monkeypatch, entries, shown):
+    frames, items, finds, tasks = world
+    plain = g.score(g.candidates_by_rank(opened(world), frames["users"], frames["finds"], frames["items"], RULES, 30), frames["items"]).collect()
+    monkeypatch.setattr(g, "BLOCK", 4)
+    monkeypatch.setattr(g, "BROADCAST_ENTRIES", entries)
+    monkeypatch.setattr(g, "BROADCAST_ITEMS", shown)
+    got = g.candidates_by_rank(opened(world), frames["users"], frames["finds"], frames["items"], RULES, 30)
+    assert {(r.task_id, r.item_id) for r in got.collect()} == brute(items, finds, tasks, 30)
+    assert sorted(map(repr, g.score(got, frames["items"]).collect())) == sorted(map(repr, plain))
