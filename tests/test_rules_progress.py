@@ -148,3 +148,13 @@ def test_new_candidates(spark, limit, evaluated, skipped):
     snaps = spark.createDataFrame([(0,), (1,)], "uc_id long")
     row = p.new_candidate_counts(p.new_candidates(uc, snaps, limit=limit)).first()
     assert (row.evaluated_count, row.skipped_count) == (evaluated, skipped)
+
+
+def test_totals_are_made_in_as_many_parts_as_the_finds_ask_for(spark, monkeypatch):
+    rows = [(1, 1, 1, 0, None, 0, 3, "todo"), (4, 1, 1, 3, "t", 1, 0, "todo"), (5, 1, 1, 4, "t", 2, 0, "todo")]
+    plain = evaluate(spark, rows)
+    monkeypatch.setattr(p, "FINDS_PER_PARTITION", 2)
+    assert evaluate(spark, rows) == plain
+    found = finds(spark, [(1, i, D(2020, 1, 1) + dt.timedelta(days=i)) for i in range(11)])
+    measures = p.task_measures(p.with_rules(tasks(spark, rows), RULES), found, items(spark), RULES)
+    assert measures._jdf.queryExecution().executedPlan().toString().count(", 6), REPARTITION_BY_NUM") >= 2
