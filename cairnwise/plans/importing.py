@@ -18,6 +18,10 @@ ITEM_FIELDS = [
 ]
 
 
+# A batch is dealt in as many parts as it has this many rows, however few files it comes in.
+ROWS_PER_PARTITION = 20_000
+
+
 @dataclass
 class Dimensions:
     types: DataFrame
@@ -88,7 +92,8 @@ def import_rows(
     zones of their place before they are merged, so that items carry them as
     ``zone_level1`` and ``zone_level2`` (an ``items`` table without these
     columns gets them); an unplaced row leaves an item's zones alone.
-    Counters are observed while the tables are written.
+    Counters are observed while the tables are written. The batch is dealt
+    anew first, so a batch in one small file is not the work of one task.
     """
     if mode not in ("all", "found", "both"):
         raise ValueError(f"invalid import mode {mode!r}")
@@ -96,6 +101,7 @@ def import_rows(
         for name in ("zone_level1", "zone_level2"):
             if name not in items.columns:
                 items = items.withColumn(name, F.lit(None).cast("string"))
+    raw = raw.repartition(max(1, -(-raw.count() // ROWS_PER_PARTITION)))
     good_row = F.col("reject_reason").isNull()
     rows, seen = _written(conform(raw, as_of, mode, strict), "conformed", good=F.count_if(good_row), bad=F.count_if(~good_row))
     quarantine = rows.where("reject_reason IS NOT NULL")

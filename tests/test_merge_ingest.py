@@ -171,3 +171,33 @@ def test_enrolment_table_after_sync(spark):
     assert e.sync(uc, challenges, finds).count() == 6
     with pytest.raises(ValueError):
         e.sync(uc, challenges, finds, asked)
+
+
+def test_a_batch_in_one_file_is_not_the_work_of_one_task(spark, monkeypatch):
+    from cairnwise.plans import importing
+
+    texts = ["title", "description", "url", "type", "size", "owner", "difficulty", "terrain", "country", "state", "placed_date", "favorites", "status", "found_date", "notes"]
+    raw = spark.range(0, 90, 1, 1).selectExpr(
+        "concat('GC', 1000 + id) AS code", "'45.5' AS latitude", "'5.5' AS longitude", *[f"CAST(NULL AS STRING) AS {c}" for c in texts],
+        "array(named_struct('attr_id', 1, 'is_positive', true)) AS attributes", "id AS ord", "1L AS user_id", "'f' AS source_file",
+    )
+    items = spark.createDataFrame([], "item_id long, code string, title string, description string, url string, owner string, type_code string, size_code string, country_id int, state_id int,"
+                                      " lat double, lon double, elevation int, difficulty double, terrain double, favorites int, status string, placed_at date, attributes array<struct<attr_id:int,is_positive:boolean>>")
+    empty = lambda schema: spark.createDataFrame([], schema)
+    dims = importing.Dimensions(
+        empty("type_code string, name string"), empty("size_code string, name string"), empty("country_id int, name string"),
+        empty("state_id int, name string, country_id int"), spark.createDataFrame([(1,)], "attr_id int"),
+    )
+    parts = {}
+    written = importing.materialise
+
+    def counted(df, label):
+        kept = written(df, label)
+        parts[label] = df.select(F.spark_partition_id()).distinct().count()
+        return kept
+
+    monkeypatch.setattr(importing, "materialise", counted)
+    monkeypatch.setattr(importing, "ROWS_PER_PARTITION", 20)
+    result = importing.import_rows(raw, items, empty("user_id long, item_id long, found_date date, notes string"), dims, "2002-01-01")
+    assert parts["conformed"] == 5
+    assert sorted(r["code"] for r in result.items.collect()) == sorted(f"GC{1000 + k}" for k in range(90))
