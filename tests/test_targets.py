@@ -155,3 +155,20 @@ def test_lists_and_items_too_many_to_broadcast(spark, world, monkeypatch, entrie
     got = g.candidates_by_rank(opened(world), frames["users"], frames["finds"], frames["items"], RULES, 30)
     assert {(r.task_id, r.item_id) for r in got.collect()} == brute(items, finds, tasks, 30)
     assert sorted(map(repr, g.score(got, frames["items"]).collect())) == sorted(map(repr, plain))
+
+
+def test_merge_with_coded_items(spark, monkeypatch):
+    schema = "uc_id long, item_id long, user_id long, score double, code string, lat double, title string"
+    old = spark.createDataFrame([(1, 1, 1, 0.5, "a", 1.0, None), (1, 2, 1, 0.5, "b", 1.0, "t"), (1, 3, 1, 0.5, None, None, "t"), (2, 1, 2, 0.1, "a", 1.0, None), (2, 1, 2, 0.1, "a", 1.0, None), (None, 1, 1, 0.1, "a", 1.0, None)], schema)
+    new = spark.createDataFrame([(1, 1, 1, 0.5, "a", 1.0, None), (1, 2, 1, 0.5, "b", 1.5, "t"), (1, 4, 1, 0.5, "d", 2.0, "t"), (2, 1, 2, 0.1, "a", 1.0, None), (None, 1, 1, 0.1, "a", 1.0, None)], schema)
+    merged = g.merge_targets(old, new)
+    got = sorted(map(repr, merged.collect()))
+    assert "variant" in merged._jdf.queryExecution().optimizedPlan().toString()  # item texts do not travel
+    monkeypatch.setattr(g, "BROADCAST_ITEMS", 0)
+    assert sorted(map(repr, g.merge_targets(old, new).collect())) == got
+    assert {(r.uc_id, r.item_id, r.change) for r in merged.collect()} == {
+        (1, 1, "same"), (1, 2, "updated"), (1, 3, "kept"), (1, 4, "inserted"), (2, 1, "same"), (None, 1, "kept"), (None, 1, "inserted")}
+    assert merged.columns == [*new.columns, "change"]
+    assert len(got) == 8
+    gone = spark.createDataFrame([(1,), (1,)], "uc_id long")
+    assert {r.change for r in g.merge_targets(old, new, evaluated=gone).where("uc_id = 1").collect()} == {"inserted"}
