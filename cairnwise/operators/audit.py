@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cairnwise.session import materialise, scratch_path
+from cairnwise.session import materialise
 
 # Parents before children, and every foreign key (table, column, parent).
 ORDER = [
@@ -33,70 +32,59 @@ REFERENCES = [
     ("enrolments", "challenge_id", "challenges"),
     ("enrolments", "user_id", "users"),
 ]
-# Parents whose own rows refer to something, so that a marked row marks its children.
+# Parents whose own rows refer to something, so that an orphan among them makes orphans of its children.
 _CASCADING = {parent for _, _, parent in REFERENCES} & {source for source, _, _ in REFERENCES}
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
-def reference_rows(tables: dict[str, DataFrame]) -> DataFrame:
-    """One long table (table, id, column, parent, ref) of all references, ids as text.
+def _key(df: DataFrame, ref: Column) -> DataFrame:
+    """The values of ``ref``, as ``id``: whole numbers as they are, everything else as text."""
+    df = df.select(ref.alias("id"))
+    return df if isinstance(df.schema["id"].dataType, _WHOLE) else df.select(F.col("id").cast("string").alias("id"))
 
-    Each table is scanned once; every row also states itself, as a row without
-    a column whose parent is its own table.
-    """
-    kind = "array<struct<column:string,parent:string,ref:string>>"
 
-    def entry(column: str | None, parent: str, ref: Column) -> Column:
-        return F.struct(F.lit(column).cast("string").alias("column"), F.lit(parent).alias("parent"), ref.cast("string").alias("ref"))
+def _without(rows: DataFrame, column: str, ids: DataFrame, how: str = "left_anti") -> DataFrame:
+    """``rows`` whose value of ``column`` is not among the keys ``ids``; numbers are compared with text as text."""
+    whole = [isinstance(df.schema[c].dataType, _WHOLE) for df, c in ((rows, column), (ids, "id"))]
+    left, right = (F.col(column), F.col("_key")) if all(whole) else (F.col(column).cast("string"), F.col("_key").cast("string"))
+    return rows.join(ids.withColumnRenamed("id", "_key"), left == right, how)
 
-    parts = []
-    for name in ORDER:
-        entries = [F.array(entry(None, name, F.col("id"))).cast(kind)]
-        for source, column, parent in REFERENCES:
-            if source != name:
-                continue
-            if "." in column:
-                array, field = column.split(".")
-                refs = F.array_distinct(F.transform(array, lambda a: entry(column, parent, a[field])))  # noqa: B023
-                entries.append(F.coalesce(refs.cast(kind), F.array().cast(kind)))
-            else:
-                entries.append(F.array(entry(column, parent, F.col(column))).cast(kind))
-        stated = F.filter(F.concat(*entries), lambda e: e["ref"].isNotNull())
-        parts.append(tables[name].select(F.lit(name).alias("table"), F.col("id").cast("string").alias("id"), F.inline(stated)))
-    return reduce(DataFrame.unionByName, parts)
+
+def reference_rows(table: DataFrame, column: str) -> DataFrame:
+    """(id, ref) of the rows of a table that refer to something in this column (of an array's structs, if it has a dot)."""
+    array, _, field = column.partition(".")
+    refs = F.explode(F.transform(array, lambda a: a[field])) if field else F.col(column)
+    return table.select(F.col("id"), refs.alias("ref")).where(F.col("ref").isNotNull())
 
 
 def orphans(tables: dict[str, DataFrame]) -> DataFrame:
     """(table, column, id) of rows whose reference leads nowhere.
 
     A row that was found to be an orphan does not count as a parent any more,
-    so whole chains show up. Each table has an ``id`` column. All references
-    are written as one long table, by parent; one aggregation over it finds the
-    references to nothing (a popular parent is one key there). Then every round
-    takes only the rows marked in the round before, and reads only the
-    references to their tables, until nothing new is marked.
+    so whole chains show up. Each table has an ``id`` column. Parents come
+    before children: of every parent that refers to something itself, the ids
+    that are left are written before its children are looked at. Each reference
+    is one anti join of (id, ref) with these; a popular parent's rows are split
+    by adaptive execution. Reports of tables that nothing refers to are lazy.
     """
-    spark = tables[ORDER[0]].sparkSession
-    long = reference_rows(tables)
-    path = scratch_path(spark, "references")
-    long.write.partitionBy("parent").parquet(path)
-    long = spark.read.schema(long.schema).parquet(path)
-    references = long.where(F.col("column").isNotNull())
-    stated = long.groupBy("parent", "ref").agg(F.max(F.col("column").isNull()).alias("exists"))
-    gone = stated.where(~F.col("exists")).select("parent", "ref")
-    found = materialise(references.join(gone, ["parent", "ref"], "left_semi").select("table", "column", "id").distinct(), "orphans")
-    report, marked = found, None
-    while True:
-        ids = found.where(F.col("table").isin(sorted(_CASCADING))).select(F.col("table").alias("parent"), F.col("id").alias("ref")).distinct()
-        if marked is not None:
-            ids = ids.join(marked, ["parent", "ref"], "left_anti")
-        ids = materialise(ids, "marked")
-        touched = [r["parent"] for r in ids.select("parent").distinct().collect()]  # table names
-        if not touched:
-            return report.distinct()
-        marked = ids if marked is None else marked.unionByName(ids)
-        below = references.where(F.col("parent").isin(touched)).join(ids, ["parent", "ref"], "left_semi")
-        found = materialise(below.select("table", "column", "id").distinct(), "orphans")
-        report = report.unionByName(found)
+    left, report = {}, None
+    for name in ORDER:
+        table, found = tables[name], None
+        for source, column, parent in REFERENCES:
+            if source != name:
+                continue
+            lost = _without(reference_rows(table, column), "ref", left[parent])
+            lost = _key(lost, F.col("id")).distinct().select(F.lit(name).alias("table"), F.lit(column).alias("column"), "id")
+            found = lost if found is None else found.unionByName(lost)
+        left[name] = _key(table, F.col("id"))
+        if found is None:
+            continue
+        if name in _CASCADING:
+            found = materialise(found, "orphans")
+            left[name] = materialise(_without(left[name], "id", found.select("id")), "parents")
+        found = found.withColumn("id", F.col("id").cast("string"))
+        report = found if report is None else report.unionByName(found)
+    return report
 
 
 def orphan_counts(report: DataFrame) -> DataFrame:
@@ -108,11 +96,13 @@ def clean(tables: dict[str, DataFrame], report: DataFrame, backup: str | None =
     out = {}
     report = materialise(report, "orphan-report")
     for name, df in tables.items():
-        ids = report.where(F.col("table") == name).select("id").distinct()
-        keyed = df.withColumn("_id", F.col("id").cast("string"))
+        ids = report.where(F.col("table") == name).select("id")
+        if isinstance(df.schema["id"].dataType, _WHOLE):
+            number = F.expr("try_cast(id AS bigint)")
+            ids = ids.where(number.cast("string") == F.col("id")).select(number.alias("id"))
         if backup is not None:
-            keyed.join(ids.withColumnRenamed("id", "_id"), "_id", "left_semi").drop("_id").write.mode("error").parquet(f"{backup}/{name}")
-        out[name] = keyed.join(ids.withColumnRenamed("id", "_id"), "_id", "left_anti").drop("_id")
+            _without(df, "id", ids, "left_semi").write.mode("error").parquet(f"{backup}/{name}")
+        out[name] = _without(df, "id", ids)
     return out
 
 

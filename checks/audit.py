@@ -8,11 +8,12 @@ from cairnwise.operators import audit as a
 from cairnwise.operators import referentials as ref
 from cairnwise.session import scratch_path
 from cairnwise.sources.sample_tables import SampleTables
+from checks.progress import StoredEnrolments
 from checks.tables import with_tables
 
 
-def _q(fn):
-    return lambda spark, sf: fn(SampleTables(spark, sf))
+def _q(fn, tables=SampleTables):
+    return lambda spark, sf: fn(tables(spark, sf))
 
 
 # Every table with an id; parents lack the rows whose key divides by 101 (and some dimension rows).
@@ -134,10 +135,10 @@ WITH_ORPHANS = with_tables(
 AL = "SELECT * REPLACE (CASE WHEN item_id % 3 = 1 THEN concat('AL', item_id) ELSE code END AS code) FROM items"
 
 CHECKS = {
-    "orphan_report": (_q(orphan_report), WITH_ORPHANS + "SELECT * FROM report"),
-    "orphan_report_counts": (_q(orphan_report_counts), WITH_ORPHANS + 'SELECT "table", "column", count(*) AS orphans FROM report GROUP BY ALL'),
+    "orphan_report": (_q(orphan_report, StoredEnrolments), WITH_ORPHANS + "SELECT * FROM report"),
+    "orphan_report_counts": (_q(orphan_report_counts, StoredEnrolments), WITH_ORPHANS + 'SELECT "table", "column", count(*) AS orphans FROM report GROUP BY ALL'),
     "orphan_cleanup": (
-        _q(orphan_cleanup),
+        _q(orphan_cleanup, StoredEnrolments),
         WITH_ORPHANS
         + " UNION ALL ".join(
             f"SELECT '{n}' AS \"table\", count(*) FILTER (WHERE CAST(id AS VARCHAR) NOT IN (SELECT id FROM report r WHERE r.\"table\" = '{n}')) AS kept,"

@@ -105,6 +105,47 @@ def test_orphan_cleanup_is_idempotent(spark, tmp_path):
     assert audit.orphans(cleaned).count() == 0
 
 
+def _references(spark, **given):
+    """All tables of the audit, empty unless given."""
+    columns = {name: [] for name in audit.ORDER}
+    for source, column, _ in audit.REFERENCES:
+        columns[source].append("attributes array<struct<attr_id:int>>" if "." in column else f"{column} int")
+    return {n: spark.createDataFrame(given.get(n, []), ", ".join(["id int", *columns[n]])) for n in audit.ORDER}
+
+
+def test_orphans_of_repeated_and_missing_keys(spark):
+    """A marked id counts for all its rows, each orphan once; missing references are none, missing ids are reported."""
+    got = audit.orphans(_references(
+        spark, users=[(1,), (1,), (None,)], countries=[(1,)], states=[(5, 1), (5, 2), (6, None), (None, 3)],
+        items=[(7, None, 5, None, None, [(4,), (4,), (None,)]), (7, None, 5, None, None, None), (8, 1, 6, None, None, [])],
+        finds=[(1, 7, 1), (1, 7, 1), (2, 8, 1), (3, None, 2), (4, 8, None)], targets=[(9, 2, None, 7, None), (9, 1, None, 7, None)],
+    ))
+    want = [
+        ("finds", "item_id", "1"), ("finds", "user_id", "3"), ("items", "attributes.attr_id", "7"), ("items", "state_id", "7"),
+        ("states", "country_id", "5"), ("states", "country_id", None), ("targets", "item_id", "9"), ("targets", "user_id", "9"),
+    ]
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_orphans_of_text_keys(spark):
+    """Keys of unlike types are compared as text, and cleaned as text."""
+    tables = _references(spark, items=[(1, None, None, 7, None, None), (2, None, None, 8, None, None)])
+    tables["types"] = spark.createDataFrame([("07",), ("8",)], "id string")
+    report = audit.orphans(tables)
+    assert [tuple(r) for r in report.collect()] == [("items", "type_id", "1")]
+    more = report.unionByName(spark.createDataFrame([("items", "x", "02"), ("items", "x", "no number")], report.schema))
+    assert [r.id for r in audit.clean(tables, more)["items"].collect()] == [2]
+
+
+def test_orphans_move_ids_alone(spark, tmp_path, monkeypatch):
+    """Nothing but the ids of parents and their reports is written, and no row is sorted by its parent's name."""
+    labels = []
+    monkeypatch.setattr(audit, "materialise", lambda df, label: labels.append((label, df.columns)) or df)
+    plan = audit.orphans(_references(spark))._jdf.queryExecution().executedPlan().toString()
+    assert set(map(str, labels)) == {str(("orphans", ["table", "column", "id"])), str(("parents", ["id"]))}
+    assert "Sort [parent" not in plan and plan.count("LeftAnti") >= len(audit.REFERENCES)
+
+
 def test_blank_status_leaves_the_status_alone(spark):
     uc = spark.createDataFrame([(1, 1, "accepted", None), (2, 1, "accepted", "completed")], "uc_id long, user_id long, status string, computed_status string")
     patches = spark.createDataFrame(
