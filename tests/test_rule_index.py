@@ -120,3 +120,15 @@ def test_no_items_and_no_rules(spark):
     assert stored.pairs(table.where("false")).count() == 0
     none, _ = attached(spark, [{"kind": "moon_phase"}])
     assert none.pairs(table).count() == 0
+
+
+def test_items_are_dealt_by_their_number(spark, monkeypatch):
+    """Items travel to many tasks, rules to the items: the join's work follows the items, not their files."""
+    table = items(spark).coalesce(1)
+    stored, _ = attached(spark, [{"kind": "type_in", "codes": ["a"]}, {"kind": "not", "node": {"kind": "placed_year", "year": 1990}}])
+    want = sorted(map(tuple, ri.matching_pairs(table, stored.programs).collect()))
+    monkeypatch.setattr(ri, "ITEMS_PER_PARTITION", 4)
+    pairs = ri.matching_pairs(table, stored.programs)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert f", {-(-table.count() // 4)}), REPARTITION_BY_NUM" in plan and "BroadcastHashJoin" in plan and "BuildRight" in plan
+    assert sorted(map(tuple, pairs.collect())) == want

@@ -158,3 +158,15 @@ def test_totals_are_made_in_as_many_parts_as_the_finds_ask_for(spark, monkeypatc
     found = finds(spark, [(1, i, D(2020, 1, 1) + dt.timedelta(days=i)) for i in range(11)])
     measures = p.task_measures(p.with_rules(tasks(spark, rows), RULES), found, items(spark), RULES)
     assert measures._jdf.queryExecution().executedPlan().toString().count(", 6), REPARTITION_BY_NUM") >= 2
+
+
+def test_totals_are_summed_without_collecting(spark):
+    """Countries are counted over days, a missing one as one; nothing is gathered in lists."""
+    rows = [(1, 1, 1, 0, None, 0, 3, "todo"), (4, 1, 1, 3, "t", 1, 0, "todo"), (5, 1, 1, 4, "t", 2, 0, "todo")]
+    found = finds(spark, [(1, i, D(2020, 1, 1) + dt.timedelta(days=i % 3)) for i in range(11)])
+    measures = p.task_measures(p.with_rules(tasks(spark, rows), RULES), found, items(spark), RULES)
+    plan = measures._jdf.queryExecution().executedPlan().toString()
+    after = plan[: plan.index("Window")]
+    assert "collect_list" not in after and "ObjectHashAggregate" not in after
+    assert "collect_set(coalesce" not in plan
+    assert measures.count() == 3
