@@ -89,6 +89,13 @@ def ngram_keys(codes: np.ndarray, sizes: np.ndarray, order: int = ORDER) -> np.n
     return key
 
 
+def _written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once with zstandard to the shared folder and read back."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, pa.Array]]:
     coded = batch.column("lang").dictionary_encode()
     index = coded.indices.to_numpy(zero_copy_only=False)
@@ -141,7 +148,7 @@ def kneser_ney_model(rows: DataFrame, order: int = ORDER) -> DataFrame:
     holds the back-off weight of the empty context, and the log of the uniform
     probability over the language's symbols and one unknown.
     """
-    return _model_of_counts(materialise(count_ngrams(rows, order), "counts"), order)
+    return _model_of_counts(_written(count_ngrams(rows, order), "counts"), order)
 
 
 def _model_of_counts(longest: DataFrame, order: int) -> DataFrame:
@@ -150,7 +157,7 @@ def _model_of_counts(longest: DataFrame, order: int) -> DataFrame:
     counts = {order: longest}
     for n in range(order - 1, 0, -1):
         suffix = F.col("key").bitwiseAND(F.lit((1 << (SYMBOL_BITS * n)) - 1))
-        counts[n] = materialise(counts[n + 1].groupBy("lang", suffix.alias("key")).agg(F.count(F.lit(1)).alias("n")), "counts")
+        counts[n] = _written(counts[n + 1].groupBy("lang", suffix.alias("key")).agg(F.count(F.lit(1)).alias("n")), "counts")
     unit = counts[1].groupBy("lang").agg((-F.log(F.count(F.lit(1)) + F.lit(1.0))).alias("logp"))
     lower = unit.select("lang", F.lit(0).cast("bigint").alias("key"), "logp")
     tables, previous = [], None
@@ -177,12 +184,12 @@ def _model_of_counts(longest: DataFrame, order: int) -> DataFrame:
         )
         backs = contexts.select("lang", F.col("context").alias("key"), F.log("gamma").alias("back"))
         tables.append(lower.join(backs, ["lang", "key"], "full").select("lang", F.lit(n - 1).alias("order"), "key", "logp", "back"))
-        lower = materialise(made, "probabilities")
+        lower = _written(made, "probabilities")
     last = lower.select("lang", F.lit(order).alias("order"), "key", "logp", F.lit(None).cast("double").alias("back"))
     model = last
     for t in tables:
         model = model.unionByName(t)
-    return materialise(model, "model")
+    return _written(model, "model")
 
 
 def shard_plan(model: DataFrame, entries: int = SHARD_ENTRIES) -> list[list[tuple[str, int]]]:
@@ -286,7 +293,7 @@ def write_shards(model: DataFrame, plan: list[list[tuple[str, int]]]) -> str:
     columns = [F.explode("shards").alias("shard"), "lang", "order", "key", "logp", "back"]
     path = scratch_path(spark, "shards")
     routed = far.select(*columns).unionByName(low.select(*columns)).repartition(len(plan), "shard")
-    routed.sortWithinPartitions("shard", "lang", "order", "key").write.partitionBy("shard").parquet(path)
+    routed.sortWithinPartitions("shard", "lang", "order", "key").write.option("compression", "zstd").partitionBy("shard").parquet(path)
     return path
 
 
@@ -348,9 +355,7 @@ def log_probabilities(docs: DataFrame, model: DataFrame, order: int = ORDER, ent
 def _halved(rows: DataFrame) -> DataFrame:
     """``doc_id, version, text, lang, half``, written once; equal texts are in one half."""
     made = rows.select("doc_id", "version", "text", "lang", F.pmod("version", F.lit(2)).cast("int").alias("half"))
-    path = scratch_path(rows.sparkSession, "trusted")
-    made.write.option("compression", "zstd").parquet(path)
-    return rows.sparkSession.read.schema(made.schema).parquet(path)
+    return _written(made, "trusted")
 
 
 def _symbols_of(text: str):
@@ -369,9 +374,9 @@ def _with_halves(learnt: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
 
     The halves' counts add up to all counts; the three models are made in one go.
     """
-    halves = materialise(count_ngrams(learnt.select("text", F.concat("half", "lang").alias("lang")), order), "counts")
+    halves = _written(count_ngrams(learnt.select("text", F.concat("half", "lang").alias("lang")), order), "counts")
     whole = halves.groupBy(F.concat(F.lit("2"), F.expr("substring(lang, 2)")).alias("lang"), "key").agg(F.sum("n").alias("n"))
-    model = _model_of_counts(materialise(halves.unionByName(whole), "counts"), order)
+    model = _model_of_counts(halves.unionByName(_written(whole, "counts")), order)
     is_whole = F.col("lang").startswith("2")
     return model.where(is_whole).withColumn("lang", F.expr("substring(lang, 2)")), model.where(~is_whole)
 

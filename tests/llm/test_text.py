@@ -364,3 +364,22 @@ def test_letter_codes():
     assert counts.tolist() == [6, 1, 1, 1] and letters.tolist() == [True, False, False, False]
     assert "".join(map(chr, codes[:6])) == " ab c "
     assert sha("") == sha("")
+
+
+def test_counts_of_the_halves_are_written_once(spark, monkeypatch):
+    """The counts of all texts are written beside those of the halves, not together with them again."""
+    plain, written = kneser_ney._written, []
+
+    def spy(df, label):
+        written.append((label, plain(df, label)))
+        return written[-1][1]
+
+    monkeypatch.setattr(kneser_ney, "_written", spy)
+    rows = [(f"text {i} of some words", "en", i % 2) for i in range(8)]
+    learnt = spark.createDataFrame(rows, "text string, lang string, half int")
+    model, halves = kneser_ney._with_halves(learnt, 3)
+    counts = [{r.lang for r in df.select("lang").distinct().collect()} for label, df in written if label == "counts"][:2]
+    assert counts == [{"0en", "1en"}, {"2en"}]
+    whole = kneser_ney.kneser_ney_model(learnt.select("text", "lang"), 3)
+    of = lambda df: sorted((r.order, r.key, round(r.logp or 0, 9), round(r.back or 0, 9)) for r in df.collect())
+    assert of(model) == of(whole) and {r.lang for r in halves.select("lang").distinct().collect()} == {"0en", "1en"}
