@@ -172,3 +172,50 @@ def test_merge_with_coded_items(spark, monkeypatch):
     assert len(got) == 8
     gone = spark.createDataFrame([(1,), (1,)], "uc_id long")
     assert {r.change for r in g.merge_targets(old, new, evaluated=gone).where("uc_id = 1").collect()} == {"inserted"}
+
+
+def _exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange" in line and "Broadcast" not in line]
+
+
+@pytest.fixture
+def stored(spark, world, monkeypatch):
+    """Scored targets, plain and as stored by enrolment in several parts."""
+    monkeypatch.setattr(g, "BLOCK", 8)
+    monkeypatch.setattr(g, "ROWS_PER_PARTITION", 50)
+    frames = world[0]
+    scored = g.score(g.candidates_by_rank(opened(world), frames["users"], frames["finds"], frames["items"], RULES, 40), frames["items"])
+    kept = g.store_targets(scored, "test-targets")
+    assert scored.stored_as.parts > 1
+    assert kept.columns == scored.columns and sorted(map(repr, kept.collect())) == sorted(map(repr, scored.collect()))
+    return scored, kept
+
+
+def test_stored_targets_merge_where_they_lie(spark, stored):
+    from pyspark.sql import functions as F
+
+    _, kept = stored
+    older = kept.where("item_id % 4 > 0").withColumn("score", F.expr("IF(item_id % 2 = 0, score - 0.01, score)")).withColumn("title", F.expr("IF(item_id % 7 = 0, 'old', title)"))
+    older = older.select(*[c for c in older.columns if c != "item_id"], F.explode(F.expr("IF(item_id % 5 = 0, array(item_id, item_id, item_id + 1000), array(item_id))")).alias("item_id")).select(*kept.columns)
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    plain = sorted(map(repr, g.merge_targets(older, kept).collect()))
+    try:
+        merged = g.merge_targets(older, kept, dealt=True)
+        assert sorted(map(repr, merged.collect())) == plain
+        assert {r.change for r in merged.collect()} == {"inserted", "updated", "same", "kept"}
+        assert _exchanges(merged) == []
+    finally:
+        spark.conf.set(key, "true")
+
+
+def test_lists_are_ranked_only_as_far_as_tasks_read(spark, monkeypatch):
+    monkeypatch.setattr(g, "ID_BUCKETS", 20)
+    lists = spark.createDataFrame([(k, i) for i in range(2_000) for k in ("a", "b") if k == "a" or i % 3 == 0], "key string, item_id long")
+    deepest = spark.createDataFrame([("a", 150), ("none", 5)], "key string, deepest int")
+    counted = []
+    monkeypatch.setattr(g, "materialise", lambda df, label: counted.append((label, df.count())) or df)
+    got = g.ranked_postings(lists, lists.select("item_id"), deepest)
+    assert got.columns == ["key", "item_id", "rank"]
+    assert sorted((r["key"], r["item_id"], r["rank"]) for r in got.collect()) == [("a", i, i + 1) for i in range(150)]
+    assert counted[0][0] == "read-buckets" and counted[0][1] < 5  # of 40 buckets
