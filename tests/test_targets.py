@@ -219,3 +219,16 @@ def test_lists_are_ranked_only_as_far_as_tasks_read(spark, monkeypatch):
     assert got.columns == ["key", "item_id", "rank"]
     assert sorted((r["key"], r["item_id"], r["rank"]) for r in got.collect()) == [("a", i, i + 1) for i in range(150)]
     assert counted[0][0] == "read-buckets" and counted[0][1] < 5  # of 40 buckets
+
+
+def test_items_of_candidates_are_told_by_their_lists(spark, world, monkeypatch):
+    frames = world[0]
+    written = {}
+    real = g.materialise
+    monkeypatch.setattr(g, "materialise", lambda df, label: written.update({label: df._jdf.queryExecution().optimizedPlan().toString()}) or real(df, label))
+    monkeypatch.setattr(g, "BROADCAST_ITEMS", 250)  # fewer than the items, more than those on the lists
+    cand = g.candidates_by_rank(opened(world), frames["users"], frames["finds"], frames["items"], RULES, 5)
+    got = g.score(cand, frames["items"])
+    assert got.stored_as is not None and "Generate explode" not in written["candidate-items"]
+    ids = {r.item_id for r in cand.select("item_id").collect()}
+    assert {r.item_id for r in got.collect()} == ids
