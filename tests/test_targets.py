@@ -205,6 +205,10 @@ def test_stored_targets_merge_where_they_lie(spark, stored):
         assert sorted(map(repr, merged.collect())) == plain
         assert {r.change for r in merged.collect()} == {"inserted", "updated", "same", "kept"}
         assert _exchanges(merged) == []
+        gone = kept.select("uc_id").where("uc_id > 10")
+        forced = g.merge_targets(older, kept, evaluated=gone, dealt=True)
+        assert _exchanges(forced) == []
+        assert {r.change for r in forced.where("uc_id > 10").collect()} == {"inserted"}
     finally:
         spark.conf.set(key, "true")
 
