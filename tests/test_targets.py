@@ -236,3 +236,15 @@ def test_items_of_candidates_are_told_by_their_lists(spark, world, monkeypatch):
     assert got.stored_as is not None and "Generate explode" not in written["candidate-items"]
     ids = {r.item_id for r in cand.select("item_id").collect()}
     assert {r.item_id for r in got.collect()} == ids
+
+
+def test_listing_stored_targets_shuffles_only_first_rows(spark, world, stored):
+    scored, kept = stored
+    enrolments = world[0]["enrolments"]
+    got = g.list_targets(kept, sort="-score,code", page=1, size=5, enrolments=enrolments, status="accepted")
+    want = g.list_targets(scored, sort="-score,code", page=1, size=5, enrolments=enrolments, status="accepted")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = next(k for k, line in enumerate(plan) if "LeftSemi" in line)
+    assert "ShuffledHashJoin" in plan[at] or "Broadcast" in plan[at]
+    assert not any("Exchange" in line and "uc_id" in line and k < 3 for k, line in enumerate(plan[at + 1:]))
