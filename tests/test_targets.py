@@ -238,6 +238,21 @@ def test_items_of_candidates_are_told_by_their_lists(spark, world, monkeypatch):
     assert {r.item_id for r in got.collect()} == ids
 
 
+def test_targets_nearby_keeps_targets_where_they_lie(spark, stored):
+    from tests.test_search import haversine
+
+    _, kept = stored
+    rows = [(10, 1, 1, 45.1, 5.1), (10, 1, 1, 45.1, 5.1), (10, 2, 1, 47.0, 5.0), (20, 2, 2, 45.0, 5.0), (None, 3, 1, 45.0, 5.0), (10, 4, 2, 45.0, 5.0), (30, 5, 9, 45.0, 5.0), (40, 6, None, 45.0, 5.0)]
+    targets = spark.createDataFrame([(*r, 0.5, "c") for r in rows], "uc_id long, item_id long, user_id long, lat double, lon double, distance_m double, code string")
+    places = [(1, 45.0, 5.0), (1, 46.9, 5.0), (2, 45.0, 5.0), (None, 45.0, 5.0)]
+    near = g.targets_nearby(targets, spark.createDataFrame(places, "user_id long, place_lat double, place_lon double"), 60.0)
+    want = sorted((str(r[2]), r[1], r[0]) for r in rows for p in places if r[2] is not None and r[2] == p[0] and haversine(r[3], r[4], p[1], p[2]) <= 60.0)
+    assert sorted((str(r.user_id), r.item_id, r.uc_id) for r in near.collect()) == want
+    assert near.columns == ["user_id", "uc_id", "item_id", "lat", "lon", "code", "place_lat", "place_lon", "distance_m"]
+    moved = g.targets_nearby(kept, spark.createDataFrame(places, "user_id long, place_lat double, place_lon double"), 60.0)
+    assert not any("item_id" in line for line in _exchanges(moved.where("uc_id IS NOT NULL")))
+
+
 def test_listing_stored_targets_shuffles_only_first_rows(spark, world, stored):
     scored, kept = stored
     enrolments = world[0]["enrolments"]
